@@ -2,61 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwright.sources.scratch import stash
+
+__all__ = ["WORD_GAP", "arrow_map", "blank", "null_key", "sliced", "stash", "table", "texts"]
+
 #: Characters that part words everywhere in this package: space and U+0009 to U+000D.
 #: ``bytes.split()`` and ``bytes.lower()`` use the same ASCII sets.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a temporary folder is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if named:
-        return named
-    made = tempfile.mkdtemp(prefix="spanwright-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared scratch folder and reads it back: a cut in the lineage
-    that outlives lost executors. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_sweep, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _sweep(spark: SparkSession) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session has ended before; its cluster keeps or clears the folder
-        return
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``fn`` turns one Arrow batch into dicts of column lists or arrays of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op6_perspective_rotation
 from .quality import op9_quality_rules
+from .secrets import op3_secret_scan
+from .simhash import op5_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_perspective_rotation": op6_perspective_rotation,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_perspective_rotation": chat.ORACLE_SQL}
