@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
 from .chat import op6_perspective_rotation
+from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op5_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_perspective_rotation": op6_perspective_rotation,
