@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
 from .chat import op6_perspective_rotation
+from .decontaminate import op2_benchmark_decontamination
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op5_simhash_near_dedup
+from .toxicity import op7_counterfactual_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_perspective_rotation": op6_perspective_rotation,
+    "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
