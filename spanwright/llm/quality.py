@@ -213,6 +213,16 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return judge(stats, rules)
 
 
+def good_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. A verdict rests on text,
+    lang and source, so rows are matched by these."""
+    same = [F.xxhash64(blank(F.col("text"))), null_key("lang", "source")]
+    plain = docs.select(same[0].alias("_text"), same[1].alias("_place"), "lang", "source", "text")
+    stats = stash(text_statistics(plain).drop("text"), "stats")
+    bad = judge(stats, rules).where(~F.col("kept")).select("_text", "_place").distinct()
+    return docs.join(bad, (same[0] == bad["_text"]) & (same[1] == bad["_place"]), "left_anti")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_report(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

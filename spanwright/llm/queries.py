@@ -13,12 +13,16 @@ from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op5_simhash_near_dedup
+from .substring import op4_substring_dedup
+from .suffixes import op10_run_length_dedup
 from .toxicity import op7_counterfactual_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_run_length_dedup": op10_run_length_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,

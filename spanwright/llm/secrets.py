@@ -23,7 +23,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_map, null_key, stash, table, texts
 
@@ -109,6 +108,35 @@ def judged_spans(docs: DataFrame, keep: tuple[str, ...], owner: str = "source",
     return found.select("row", *keep).join(lists, "row", "left").select(*keep, F.coalesce("spans", empty).alias("spans"))
 
 
+def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", rules: Ownership = Ownership()) -> DataFrame:
+    """``docs`` with every span replaced by its kind, "<hex>", or "<hex:example>" if its value
+    is a widely copied example; overlapping spans are one. n_chars, if there is one, follows."""
+    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = stash(find(keyed, tuple(dict.fromkeys(("_text", owner, repository)))).where(F.size("hashes") > 0), "candidates")
+    owners = ownership(found, owner, repository, rules)
+    each = found.dropDuplicates(["_text"]).select("_text", F.explode(F.arrays_zip("starts", "kinds", "ends", "hashes")).alias("c")).select("_text", "c.*").withColumnRenamed("hashes", "hash")
+    span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "live")
+    spans = each.join(owners, "hash").where((F.col("kinds") < 3) | F.col("live")).groupBy("_text").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        new = []
+        for text, found_here in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            out, last = [], 0
+            for s in found_here or []:
+                if s["start"] >= last:
+                    out += [text[last : s["start"]], f"<{KINDS[s['kind']]}{'' if s['live'] else ':example'}>"]
+                last = max(last, s["end"])
+            new.append("".join([*out, text[last:]]) if out else text)
+        kept = {n: batch.column(n) for n in names} | {"text": new}
+        if "n_chars" in names:
+            kept["n_chars"] = [c if t == n else len(n) for c, t, n in zip(batch.column("n_chars").to_pylist(), batch.column("text").to_pylist(), new, strict=True)]
+        yield kept
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return arrow_map(keyed.join(spans, "_text", "left").select(*names, "_spans"), run, kinds)
+
+
 def _listed(spans: str) -> str:
     name = "element_at(array('assign','access','hex','token'), s.kind + 1)"
     return f"concat_ws(',', transform({spans}, s -> concat_ws(':', {name}, s.start, s.end)))"
