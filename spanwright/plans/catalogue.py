@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import drawing_queries, matching_queries, report_queries, stream_queries, text_queries  # noqa: F401
+from .registrar import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "device_verdict_counts"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
