@@ -15,6 +15,7 @@ from .secrets import op3_secret_scan
 from .simhash import op5_simhash_near_dedup
 from .substring import op4_substring_dedup
 from .suffixes import op10_run_length_dedup
+from .token_files import op8_token_id_files
 from .toxicity import op7_counterfactual_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_counterfactual_toxicity": op7_counterfactual_toxicity,
+    "op8_token_id_files": op8_token_id_files,
     "op9_quality_rules": op9_quality_rules,
 }
 
