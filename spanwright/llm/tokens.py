@@ -56,6 +56,8 @@ class Pieces:
     def _piece(self, piece: str) -> bytes | None:
         if self.spaced and (not piece or piece.isspace()):
             return None
+        if not piece:
+            return b""
         if piece.isalpha():
             return self._word(piece)
         if piece[-1] in ".," and piece[:-1].isalpha():  # the mark is a pre-token of its own
