@@ -135,10 +135,7 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     and leaves the target free. Then, if ``mark_blind``, what is left claims by distance alone
     within the base gate, as a mismatch of marks."""
     reach = gates.mismatch_ft + gates.ambiguity_ft
-    for n, kind in (("z", "double"), ("orientation_deg", "double")):
-        devices = devices if n in devices.columns else devices.withColumn(n, F.lit(None).cast(kind))
-    for n, kind in (("z", "double"), ("orientation_deg", "double"), ("level", "string")):
-        targets = targets if n in targets.columns else targets.withColumn(n, F.lit(None).cast(kind))
+    devices, targets = _filled(devices).drop("level"), _filled(targets)
     limits = adaptive_gate(devices, sheets, gates)
     pairs = within(devices.select("seq", "mark", "x", "y", "z"), targets.select("seq", "id", "mark", "x", "y", "z"), reach, "mark")
     pairs = pairs.select(F.col("seq").alias("d"), F.col("r_seq").alias("t"), F.col("r_id").alias("target"), "dist", "z", F.col("r_z").alias("tz")).join(limits, "d")
@@ -166,6 +163,13 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     return joined.withColumn("distance_ft", distance).withColumn("status", F.coalesce("status", F.lit("PDF_ONLY"))).drop("dist")
 
 
+def _filled(df: DataFrame) -> DataFrame:
+    """With null for evidence that the table doesn't have."""
+    for name, kind in (("z", "double"), ("orientation_deg", "double"), ("level", "string")):
+        df = df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
 def _claim(edges: DataFrame) -> DataFrame:
     """Greedy claims in which a winning edge that is ``off`` (another level) ends its device but
     leaves its target: rounds as in ``greedy_pairs``, but only claims use up targets."""
@@ -191,7 +195,7 @@ def tie_candidates(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     it is claimed."""
     claimed = assigned.where("target_id IS NOT NULL").select(F.col("target_id").alias("_c")).distinct()
     each = assigned.where("status = 'NEEDS_REVIEW' AND first IS NOT NULL").withColumn("candidate", F.explode(F.array("first", "second")))
-    t = targets.select(F.col("id").alias("_id"), F.col("level").alias("c_level"), F.col("orientation_deg").alias("c_deg"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("mark").alias("c_mark"))
+    t = _filled(targets).select(F.col("id").alias("_id"), F.col("level").alias("c_level"), F.col("orientation_deg").alias("c_deg"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("mark").alias("c_mark"))
     joined = each.join(t, each.candidate == t["_id"]).join(claimed, F.col("candidate") == F.col("_c"), "left")
     return joined.withColumn("claimed", F.col("_c").isNotNull()).withColumn("dist", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))).drop("_id", "_c")
 
@@ -237,7 +241,7 @@ def consensus(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFram
     """(sheet, value): the level that a sheet's own matches agree on. Matches decide (the first
     seen on equal counts, and only with the needed share); location mismatches may back the
     winner, never overturn it. Devices that were ever tied don't vote."""
-    voters = assigned.where("first IS NULL AND status IN ('MATCH', 'LOCATION_MISMATCH')").join(targets.select(F.col("id").alias("target_id"), F.col("level").alias("value")), "target_id").where("value IS NOT NULL")
+    voters = assigned.where("first IS NULL AND status IN ('MATCH', 'LOCATION_MISMATCH')").join(_filled(targets).select(F.col("id").alias("target_id"), F.col("level").alias("value")), "target_id").where("value IS NOT NULL")
     votes = voters.select("seq", "status", "value", F.explode("sheets").alias("sheet")).groupBy("sheet", "value").agg(F.count_if(F.col("status") == "MATCH").alias("sure"), F.count_if(F.col("status") != "MATCH").alias("weak"), F.min(F.when(F.col("status") == "MATCH", F.col("seq"))).alias("seen"))
     top = votes.groupBy("sheet").agg(F.sum("sure").alias("all"), F.max_by(F.struct("value", "sure", "weak"), F.struct("sure", -F.col("seen"))).alias("top"))
     good = (F.col("top.sure") > 0) & (F.col("top.sure") >= gates.context_share * F.col("all")) & (F.col("top.sure") + F.col("top.weak") >= gates.context_samples)
