@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel,
 
     found = regions.repartition(buckets, "a").mapInArrow(compare, "a bigint, c bigint, spans array<struct<s:int,e:int>>")
     shifted = F.transform("spans", lambda s: F.struct((F.col("at") + s["s"]).alias("s"), (F.col("at") + s["e"]).alias("e")))
-    return near.join(found, ["a", "c"]).select("key", shifted.alias("spans")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+    return near.join(found, ["a", "c"]).select("key", shifted.alias("spans")).groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel, finish: Callable[[bytes, list[tuple[int, int]]], dict], schema: str) -> DataFrame:
@@ -208,7 +208,7 @@ def without_repeats(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel,
                 merged = [(0, n)] if n >= shape.width else []
             else:
                 merged = []
-                for s in found or []:
+                for s in sorted(found or [], key=lambda x: x["s"]):
                     if merged and s["s"] <= merged[-1][1]:
                         merged[-1] = (merged[-1][0], max(merged[-1][1], s["e"]))
                     else:
