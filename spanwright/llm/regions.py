@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel,
     """key and spans (array of (from, to) units, from the start of the text) of the texts that
     hold a repeated window. ``wide``: (key, text, doc_id), as the caller joins it again."""
     spark = docs.sparkSession
-    every = anchors(docs, shape, units)
+    every = stash(anchors(docs, shape, units), "every")
     place = F.xxhash64("key", "at")
     often = every.groupBy("a").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q").select("a")
     near = stash(every.join(often, "a", "left_semi"), "anchors")
