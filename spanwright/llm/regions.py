@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import arrow_map, blank, stash, texts
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of regions in a bucket, on average.
 BUCKET_BYTES = 2 << 20
+#: Bytes of regions that a kernel gets at once, or one anchor's if they are more.
+CHUNK_BYTES = 384 << 10
 
 
 @dataclass(frozen=True)
@@ -172,21 +175,31 @@ def repeated_spans(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel,
         parts = list(batches)
         if not parts:
             return
-        rows = pa.Table.from_batches(parts)
+        rows = pa.Table.from_batches(parts).sort_by("a")
+        anchor = rows.column("a").to_numpy()
+        sizes = pa.compute.binary_length(rows.column("region")).to_numpy()
+        # whole anchors, as many as make a chunk
+        new = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if len(anchor) else 0))
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        start = 0
+        while start < len(anchor):
+            after = new[(new > start) & (upto[new] - upto[start] >= CHUNK_BYTES)]
+            end = int(after[0]) if len(after) else len(anchor)
+            yield compared(rows.slice(start, end - start))
+            start = end
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
         number = lambda n: rows.column(n).to_numpy()
         at, lo = number("at").astype(np.int64), number("lo").astype(np.int64)
         which, start, end = kernel(rows.column("region").to_pylist(), number("a").view(np.uint64), at - lo, lo, number("twice"))
         order = np.lexsort((start, which))
         which, start, end = which[order], start[order], end[order]
         heads = np.flatnonzero(np.diff(which, prepend=-1))
-        spans = [{"s": int(s), "e": int(e)} for s, e in zip((start - (at - lo)[which]).tolist(), (end - (at - lo)[which]).tolist(), strict=True)]
-        bounds = [*heads.tolist(), len(which)]
-        grouped = [spans[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
-        for k in range(0, len(heads), 10_000):
-            mine = which[heads[k : k + 10_000]]
-            yield pa.RecordBatch.from_pydict(
-                {"a": number("a")[mine], "c": number("c")[mine], "spans": pa.array(grouped[k : k + 10_000], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))}
-            )
+        mine = which[heads]
+        offsets = pa.array(np.append(heads, len(which)).astype(np.int32))
+        shift = (at - lo)[which]
+        spans = pa.StructArray.from_arrays([pa.array((start - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32))], names=["s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(number("a")[mine]), pa.array(number("c")[mine]), pa.ListArray.from_arrays(offsets, spans)], names=["a", "c", "spans"])
 
     found = regions.repartition(buckets, "a").mapInArrow(compare, "a bigint, c bigint, spans array<struct<s:int,e:int>>")
     shifted = F.transform("spans", lambda s: F.struct((F.col("at") + s["s"]).alias("s"), (F.col("at") + s["e"]).alias("e")))
