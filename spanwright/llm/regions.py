@@ -149,7 +149,8 @@ def repeated_spans(docs: DataFrame, shape: Shape, units: Units, kernel: Kernel,
     spark = docs.sparkSession
     every = stash(anchors(docs, shape, units), "every")
     place = F.xxhash64("key", "at")
-    often = every.groupBy("a").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q").select("a")
+    # a table of its own, so that Spark can split a join task of an anchor with very many rows
+    often = stash(every.groupBy("a").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q").select("a"), "often")
     near = stash(every.join(often, "a", "left_semi"), "anchors")
     groups = near.groupBy("a", "c").agg(F.min(place).alias("p"), F.max(place).alias("q"))
     chosen = near.withColumn("p", place).join(groups, ["a", "c", "p"]).dropDuplicates(["a", "c"])
