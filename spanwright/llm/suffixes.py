@@ -38,24 +38,22 @@ def _dense(order: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def suffix_ranks(data: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of all places by group, then by the ``width`` bytes from there; what reaches over
-    the end of the data is ranked by what is there."""
+def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of all places by the ``width`` bytes from there; what reaches over the end of the
+    data is ranked by what is there."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(width + 8, dtype=np.uint8)))
     word = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
-    inner = _dense(np.argsort(word, kind="stable"), word)
-    rank = group * (int(inner.max()) + 1) + inner
-    rank = _dense(np.argsort(rank, kind="stable"), rank)
+    rank = _dense(np.argsort(word), word)
     done = 8
     while done < width:
         step = min(done, width - done)
         after = np.zeros(n, dtype=np.int64)
         after[: n - step] = rank[step:] + 1
         rank = rank * (n + 1) + after
-        rank = _dense(np.argsort(rank, kind="stable"), rank)
+        rank = _dense(np.argsort(rank), rank)
         done += step
     return rank
 
@@ -79,29 +77,61 @@ def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarr
 def run_length_kernel(width: int, gram: int):
     """Compares the regions of a bucket; see ``regions.Kernel``."""
 
-    def kernel(regions, anchors, at, first, twice):
+    def laid_out(regions, at):
+        """The regions end to end: bytes, row and place of each, and which start a window. A
+        window belongs to the first of its anchor's places in it."""
         sizes = np.array([len(r) for r in regions], dtype=np.int64)
         ends = np.cumsum(sizes)
-        base = ends - sizes
         data = np.frombuffer(b"".join(regions), dtype=np.uint8)
         row = np.repeat(np.arange(len(regions)), sizes)
-        inside = np.arange(len(data)) - base[row]
-        # a window belongs to the first of its anchor's places in it
-        grams = rolling(_BYTES[data], gram)
-        own = grams[base + at]
+        inside = np.arange(len(data)) - (ends - sizes)[row]
+        codes = _BYTES[data]
+        grams = rolling(codes, gram)
+        own = grams[ends - sizes + at]
         same = np.flatnonzero((grams == own[row[: len(grams)]]) & (inside[: len(grams)] < at[row[: len(grams)]]))
         before = np.full(len(regions), -1, dtype=np.int64)
         np.maximum.at(before, row[same], inside[same])
         valid = (inside <= at[row]) & (inside + width >= at[row] + gram) & (inside + width <= sizes[row]) & (inside > before[row])
+        return data, codes, row, inside, sizes, ends, valid
+
+    def hopeful(regions, anchors, at, twice):
+        """Regions with a window whose hash is found twice under their anchor; others can't
+        hold a match, so they needn't be indexed."""
+        data, codes, row, _, _, _, valid = laid_out(regions, at)
+        starts = np.flatnonzero(valid)
+        names = rolling(codes, width)[starts] ^ mixed(anchors)[row[starts]]
+        ordered = np.sort(names)
+        double = ordered[1:][ordered[1:] == ordered[:-1]]
+        slot = np.minimum(np.searchsorted(double, names), max(len(double) - 1, 0))
+        good = twice.copy()
+        if len(double):
+            good[row[starts[double[slot] == names]]] = True
+        return np.flatnonzero(good)
+
+    def kernel(regions, anchors, at, first, twice):
+        kept = hopeful(regions, anchors, at, twice)
+        if not len(kept):
+            return kept, kept, kept
+        which, start, end = indexed([regions[i] for i in kept.tolist()], anchors[kept], at[kept], twice[kept])
+        return kept[which], start, end
+
+    def indexed(regions, anchors, at, twice):
+        data, _, row, inside, sizes, ends, valid = laid_out(regions, at)
+        base = ends - sizes
         _, group = np.unique(anchors, return_inverse=True)
-        rank = suffix_ranks(data, group[row], width)
+        rank = suffix_ranks(data, width)
         starts = np.flatnonzero(valid)
-        order = starts[np.argsort(rank[starts], kind="stable")]
-        # the transform, and where its runs end; an unknown byte before is a run of its own
+        order = starts[np.argsort(group[row[starts]] * len(data) + rank[starts])]
+        # the transform, and where its runs end: two neighbours go on a run if the bytes before
+        # them are equal and the starts before them are neighbours too
         known = np.zeros(len(data), dtype=bool)
         known[1:] = valid[:-1] & (row[1:] == row[:-1])
-        bwt = np.where(known[order], np.concatenate(([0], data[:-1]))[order].astype(np.int64), -1 - np.arange(len(order)))
-        heads = np.flatnonzero(np.diff(bwt) != 0) + 1
+        place_of = np.full(len(data) + 1, -2, dtype=np.int64)
+        place_of[order] = np.arange(len(order))
+        back = np.where(known[order], order - 1, len(data))
+        bwt = np.where(known[order], data[np.minimum(back, len(data) - 1)], 0)
+        goes_on = known[order[1:]] & known[order[:-1]] & (bwt[1:] == bwt[:-1]) & (place_of[back[1:]] == place_of[back[:-1]] + 1)
+        heads = np.flatnonzero(~goes_on) + 1
         above, below = order[heads - 1], order[heads]
         samples = group[row[above]] == group[row[below]]
         above, below = above[samples], below[samples]
@@ -126,7 +156,7 @@ def run_length_kernel(width: int, gram: int):
     return kernel
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 160, with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 96, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if ``with_text``."""
 
     def finish(text: bytes, spans: list[tuple[int, int]]) -> dict:

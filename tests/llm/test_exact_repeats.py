@@ -73,7 +73,7 @@ def test_words_equal_brute_force(spark, seed):
     check_words(spark, planted(seed), 9, 4)
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(4))
 def test_bytes_equal_brute_force(spark, seed):
     check_bytes(spark, planted(seed), 20, 8)
 
