@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .regions import Shape, mixed, rolling, without_repeats
 
+#: Bytes of regions that are indexed at once, besides the holders.
+BATCH_BYTES = 512 << 10
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -94,26 +96,60 @@ def run_length_kernel(width: int, gram: int):
         valid = (inside <= at[row]) & (inside + width >= at[row] + gram) & (inside + width <= sizes[row]) & (inside > before[row])
         return data, codes, row, inside, sizes, ends, valid
 
+    def batches(regions, which):
+        """``which`` regions in batches of about BATCH_BYTES."""
+        size, batch = 0, []
+        for i in which.tolist():
+            if batch and size + len(regions[i]) > BATCH_BYTES:
+                yield np.array(batch)
+                size, batch = 0, []
+            size += len(regions[i])
+            batch.append(i)
+        if batch:
+            yield np.array(batch)
+
     def hopeful(regions, anchors, at, twice):
-        """Regions with a window whose hash is found twice under their anchor; others can't
-        hold a match, so they needn't be indexed."""
-        data, codes, row, _, _, _, valid = laid_out(regions, at)
-        starts = np.flatnonzero(valid)
-        names = rolling(codes, width)[starts] ^ mixed(anchors)[row[starts]]
-        ordered = np.sort(names)
-        double = ordered[1:][ordered[1:] == ordered[:-1]]
-        slot = np.minimum(np.searchsorted(double, names), max(len(double) - 1, 0))
-        good = twice.copy()
-        if len(double):
-            good[row[starts[double[slot] == names]]] = True
-        return np.flatnonzero(good)
+        """Regions with a window whose hash is found twice under their anchor, as others can't
+        hold a match; and of them the holders, the first two of each such hash: whatever
+        repeats has a match in a holder."""
+        names, rows = [], []
+        for part in batches(regions, np.arange(len(regions))):
+            _, codes, row, _, _, _, valid = laid_out([regions[i] for i in part.tolist()], at[part])
+            starts = np.flatnonzero(valid)
+            names.append(rolling(codes, width)[starts] ^ mixed(anchors)[part[row[starts]]])
+            rows.append(part[row[starts]].astype(np.int32))
+        name, row = np.concatenate(names), np.concatenate(rows)
+        order = np.argsort(name, kind="stable")
+        name, row = name[order], row[order]
+        same = np.concatenate(([False], name[1:] == name[:-1], [False]))
+        first, second = ~same[:-1] & same[1:], same[:-1] & ~np.concatenate(([False], same[:-2]))
+        good, holder = twice.copy(), np.zeros(len(regions), dtype=bool)
+        good[row[same[:-1] | same[1:]]] = True
+        holder[row[first | second]] = True
+        return good, holder
 
     def kernel(regions, anchors, at, first, twice):
-        kept = hopeful(regions, anchors, at, twice)
-        if not len(kept):
-            return kept, kept, kept
-        which, start, end = indexed([regions[i] for i in kept.tolist()], anchors[kept], at[kept], twice[kept])
-        return kept[which], start, end
+        good, holder = hopeful(regions, anchors, at, twice)
+        found = []
+
+        def search(inside, wanted):
+            """Spans of the ``wanted`` of the regions ``inside``."""
+            if len(inside):
+                which, start, end = indexed([regions[i] for i in inside.tolist()], anchors[inside], at[inside], twice[inside])
+                mine = wanted[inside[which]]
+                found.append((inside[which][mine], start[mine], end[mine]))
+
+        if sum(len(regions[i]) for i in np.flatnonzero(good).tolist()) <= BATCH_BYTES:
+            search(np.flatnonzero(good), good)
+        else:  # one anchor of very many regions: the holders, then the others in batches with them
+            search(np.flatnonzero(holder), holder)
+            for part in batches(regions, np.flatnonzero(good & ~holder)):
+                own = np.zeros(len(regions), dtype=bool)
+                own[part] = True
+                search(np.sort(np.concatenate((np.flatnonzero(holder), part))), own)
+        if not found:
+            return (np.zeros(0, dtype=np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def indexed(regions, anchors, at, twice):
         data, _, row, inside, sizes, ends, valid = laid_out(regions, at)

@@ -90,3 +90,31 @@ def test_every_window_has_an_anchor():
     shape = Shape(9, 4)
     at = set(anchors_of(rolling(codes, shape.gram), shape).tolist())
     assert all(at & set(range(i, i + shape.reach + 1)) for i in range(len(codes) - shape.width + 1))
+
+
+@pytest.mark.parametrize("batch", [60, 1 << 20])
+def test_many_regions_of_one_anchor(monkeypatch, batch):
+    """The kernel finds the same spans whether a hot anchor's regions fit a batch or not."""
+    import numpy as np
+
+    from spanwright.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", batch)
+    rng, width, gram = random.Random(5), 20, 8
+    for _ in range(20):
+        passage = bytes(rng.choice(b"abc") for _ in range(40))
+        regions, at = [], []
+        for _ in range(rng.randint(2, 25)):
+            n, m = rng.randint(0, 12), rng.randint(0, 12)
+            regions.append(passage[15 - n : 15] + passage[15:23] + passage[23 : 23 + m] + bytes(rng.choice(b"abc") for _ in range(12 - m)))
+            at.append(n)
+        k = len(regions)
+        which, start, end = suffixes.run_length_kernel(width, gram)(regions, np.full(k, 7, dtype=np.uint64), np.array(at), np.zeros(k, dtype=np.int64), np.zeros(k, dtype=bool))
+        got = {(i, x) for i, s, e in zip(which.tolist(), start.tolist(), end.tolist(), strict=True) for x in range(s, e)}
+        seen: dict[bytes, list] = {}
+        for i, r in enumerate(regions):
+            own = r[at[i] : at[i] + gram]
+            for s in range(len(r) - width + 1):
+                if s <= at[i] <= s + width - gram and not any(r[q : q + gram] == own for q in range(s, at[i])):
+                    seen.setdefault(r[s : s + width], []).append((i, s))
+        assert got == {(i, x) for v in seen.values() if len(v) > 1 for i, s in v for x in range(s, s + width)}
