@@ -26,6 +26,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     parsed = _parse_datatype_string(schema)
     types = to_arrow_schema(parsed)
 
@@ -38,6 +40,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(run, parsed)
 
 
+#: Rows of an Arrow batch: texts of usual length make a few MB, on either side of the pipe.
+BATCH_ROWS = 1000
 #: Bytes of an Arrow batch that one call of a map function gets at most, one row at least.
 BATCH_BYTES = 16 << 20
 

@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces that a worker keeps; others are encoded again whenever they come.
-KEPT = 500_000
+KEPT = 200_000
 _workers: dict = {}
 
 
