@@ -8,6 +8,11 @@ of the document and the other way round. So a question is caught with other numb
 in it, but not a mere likeness of form. An item leaks into a document if at least ``share`` of
 the item's windows are found there in one alignment.
 
+A capitalised word at a sentence's start may be a name or not, so a window has a hash for each
+way of reading such words, on both sides, and windows meet by any. An alignment is judged once
+by the plain readings alone, in which these words are literal, and once by all readings: words
+changed in other ways never hide what the plain readings find.
+
 The documents' windows are first looked up in a bitmap of fixed size of the benchmark's window
 hashes, the only thing that is broadcast; what passes goes through an ordinary join.
 
@@ -82,57 +87,84 @@ class Lexicon(dict):
         return self[word]
 
 
-def canonical(words: list[bytes], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the canonical words, and which are placeholders. A capital is a name only
-    where no sentence starts."""
+def canonical(words: list[bytes], lexicon: Lexicon, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the canonical words, which are placeholders, the hashes if a capital at a
+    sentence's start is a name too, and where these differ. Texts start at places ``begins``."""
     at = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
     starts = np.ones(len(at), dtype=bool)
     starts[1:] = np.array(lexicon.last, dtype=bool)[at[:-1]]
-    pick = lambda a, b, t: np.where(starts, np.array(a, dtype=t)[at], np.array(b, dtype=t)[at])
-    return pick(lexicon.first, lexicon.inner, np.uint64), pick(lexicon.slot_first, lexicon.slot_inner, bool)
+    starts[begins] = True
+    inner = np.array(lexicon.inner, np.uint64)[at]
+    pick = lambda a, b, t: np.where(starts, np.array(a, dtype=t)[at], b)
+    code = pick(lexicon.first, inner, np.uint64)
+    return code, pick(lexicon.slot_first, np.array(lexicon.slot_inner, bool)[at], bool), inner, code != inner
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows; ``mixed`` makes them final."""
     out = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
     for k in range(n):
         out = out * MULTIPLIER + hashes[k : k + len(out)]
-    return out ^ (out >> np.uint64(29))
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    return h ^ (h >> np.uint64(29))
+
+
+def readings(h: np.ndarray, at: np.ndarray, room: np.ndarray, change: np.ndarray, open_: np.ndarray, n: int, first: int = 0, taken: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, hashes, bits of the words taken as names) of windows ``at`` with hashes ``h``
+    for every choice of one or more of their words that are ``open_``; ``room``: how many
+    placeholders each window may still take."""
+    for k in range(first, n):
+        pick = (room > 0) & open_[at + k]
+        if pick.any():
+            step = np.uint64(pow(int(MULTIPLIER), n - 1 - k, 1 << 64))
+            here, new = at[pick], h[pick] + change[at[pick] + k] * step
+            yield here, new, taken | 1 << k
+            yield from readings(new, here, room[pick] - 1, change, open_, n, k + 1, taken | 1 << k)
 
 
 def windows(rows: DataFrame, key: str, rules: Templates, bitmap: np.ndarray | None) -> DataFrame:
-    """key, text_key (of the whole text), total (windows of it), hash, at, and slots: the words
-    behind the window's placeholders, each with its place. ``bitmap``: others are dropped."""
+    """key, text_key (of the whole text), total (windows of it), hash, at, plain (no word at a
+    sentence's start is read as a name), and slots: the words behind the window's placeholders,
+    each with its place. ``bitmap``: others are dropped."""
     n = rules.window
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         lexicon = Lexicon()
-        out: dict[str, list] = {c: [] for c in (key, "text_key", "total", "hash", "at", "slots")}
+        out: dict[str, list] = {c: [] for c in (key, "text_key", "total", "hash", "at", "plain", "slots")}
         split = [t.split() for t in texts(batch)]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         words = [w for doc in split for w in doc]
         if len(words) >= n:
-            code, slot = canonical(words, lexicon)
+            ends = np.cumsum(sizes)
+            code, slot, named, either = canonical(words, lexicon, (ends - sizes)[sizes > 0])
             h = rolling(code, n)
             count = np.concatenate(([0], np.cumsum(slot)))
-            ends = np.cumsum(sizes)
             doc = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
-            good = (np.arange(len(h)) + n <= ends[doc]) & (count[n:] - count[: len(h)] <= (1 - rules.literal) * n)
+            room = np.floor((1 - rules.literal) * n).astype(np.int64) - (count[n:] - count[: len(h)])
+            good = np.flatnonzero((np.arange(len(h)) + n <= ends[doc]) & (room >= 0))
             total = np.bincount(doc[good], minlength=len(sizes))
-            if bitmap is not None:
-                good &= np.unpackbits(bitmap)[(h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)].astype(bool)
+            known = None if bitmap is None else np.unpackbits(bitmap).astype(bool)
             ids, keys = batch.column(key).to_pylist(), {}
-            for i in np.flatnonzero(good).tolist():
-                d = int(doc[i])
-                if d not in keys:
-                    keys[d] = hashlib.md5(batch.column("text")[d].as_py().encode()).hexdigest()
-                start = int(ends[d] - sizes[d])
-                values = [f"{i + k - start}\t{words[i + k].decode('utf-8', 'replace').strip(EDGES)}" for k in np.flatnonzero(slot[i : i + n]).tolist()]
-                for c, v in zip(out, (ids[d], keys[d], int(total[d]), int(h[i].astype(np.int64)), i - start, values), strict=True):
-                    out[c].append(v)
+            for places, hashes, taken in [(good, h[good], 0), *readings(h[good], good, room[good], named - code, either, n)]:
+                hashes = mixed(hashes)
+                if known is not None:
+                    met = known[(hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)]
+                    places, hashes = places[met], hashes[met]
+                for i, value in zip(places.tolist(), hashes.astype(np.int64).tolist(), strict=True):
+                    d = int(doc[i])
+                    if d not in keys:
+                        keys[d] = hashlib.md5(batch.column("text")[d].as_py().encode()).hexdigest()
+                    start = int(ends[d] - sizes[d])
+                    values = [f"{i + k - start}\t{words[i + k].decode('utf-8', 'replace').strip(EDGES)}" for k in range(n) if slot[i + k] or taken >> k & 1]
+                    for c, v in zip(out, (ids[d], keys[d], int(total[d]), value, i - start, not taken, values), strict=True):
+                        out[c].append(v)
         yield out
 
     kind = dict(rows.dtypes)[key]
-    return arrow_map(rows.select(key, "text"), run, f"`{key}` {kind}, text_key string, total bigint, hash bigint, at int, slots array<string>")
+    return arrow_map(rows.select(key, "text"), run, f"`{key}` {kind}, text_key string, total bigint, hash bigint, at int, plain boolean, slots array<string>")
 
 
 def bitmap_of(items: DataFrame) -> np.ndarray:
@@ -155,18 +187,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Templates = Templates())
     n_changed: placeholders whose words differ there."""
     items = stash(windows(benchmark, "item_id", rules, None), "items")
     found = windows(docs, "doc_id", rules, bitmap_of(items))
-    right = items.select("hash", "item_id", F.col("at").alias("item_at"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"))
+    right = items.select("hash", "item_id", F.col("at").alias("item_at"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain"))
     met = stash(found.drop("total").join(right, "hash").withColumn("shift", F.col("at") - F.col("item_at")), "met")
-    key = ["doc_id", "text_key", "item_id", "shift"]
+    # every meeting counts among all readings; those of two plain windows by themselves too
+    turns = F.when(F.col("plain") & F.col("item_plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    met = met.withColumn("turn", F.explode(turns))
+    key = ["doc_id", "text_key", "item_id", "shift", "turn"]
     pair = F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b")))
     word = lambda c: F.element_at(F.split(c, "\t", 2), 2)
     slots = met.select(*key, pair.alias("p")).select(*key, F.col("p.d").alias("d"), F.col("p.b").alias("b")).distinct().select(*key, word(F.col("d")).alias("d"), word(F.col("b")).alias("b"))
     each = slots.groupBy(*key).agg(F.count_distinct("b").alias("nb"), F.count_distinct("d").alias("nd"), F.count_distinct("b", "d").alias("np"), F.count_if(F.col("b") != F.col("d")).alias("n_changed"))
     runs = met.groupBy(*key, "item_windows").agg(F.count_distinct("at").alias("n_windows"))
     same = [runs[k].eqNullSafe(each[k]) for k in key]
-    judged = runs.join(each, same[0] & same[1] & same[2] & same[3], "left").select(*[runs[k] for k in key], "item_windows", "n_windows", "nb", "nd", "np", F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
+    judged = runs.join(each, same[0] & same[1] & same[2] & same[3] & same[4], "left").select(*[runs[k] for k in key], "item_windows", "n_windows", "nb", "nd", "np", F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
     consistent = F.col("np").isNull() | ((F.col("np") == F.col("nb")) & (F.col("np") == F.col("nd")))
-    best = F.row_number().over(Window.partitionBy("doc_id", "text_key", "item_id").orderBy(F.desc("n_windows"), "shift"))
+    best = F.row_number().over(Window.partitionBy("doc_id", "text_key", "item_id").orderBy(F.desc("n_windows"), "shift", "turn"))
     kept = judged.where(consistent & (F.col("n_windows") >= rules.share * F.col("item_windows"))).withColumn("best", best)
     return kept.where("best = 1").select("doc_id", "text_key", "item_id", "n_windows", "item_windows", "n_changed")
 

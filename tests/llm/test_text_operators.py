@@ -133,6 +133,29 @@ def test_templates_catch_new_numbers_and_names(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {3, 4, 6}
 
 
+def test_templates_in_short_sentences(spark):
+    """Names at sentence starts, in every window, and of a document's neighbour in a batch."""
+    item = "Tom has 5 apples. Mary has 3 apples. Tom gives Mary 2 apples. Tom eats 1 apple. How many are left?"
+    docs = [
+        (1, "Ann has 7 apples. Lucy has 4 apples. Ann gives Lucy 6 apples. Ann eats 8 apple. How many are left?"),
+        (2, "so Ann has 7 apples. Lucy has 4 apples. then Ann gives Lucy 6 apples. Ann eats 8 apple. How many are left?"),
+        (3, "Ann has 7 apples. Lucy has 4 apples. Eve gives Zoe 6 apples. Kim eats 8 apple. How many are left?"),
+        (4, item),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.item_windows, r.n_changed) for r in decontaminate.leaks(d, b).collect()}
+    assert set(got) == {1, 2, 4} and got[4][0] == got[4][1] and got[4][2] == 0 and got[1][2] > 0
+
+
+def test_first_word_does_not_hang_on_the_batch(spark):
+    rows = ["no mark at the end", "Paris is the town where five old trains leave every night"]
+    alone = spark.createDataFrame([(2, rows[1])], "doc_id long, text string")
+    both = spark.createDataFrame([*enumerate(rows, 1)], "doc_id long, text string").coalesce(1)
+    found = lambda df: {(r.at, r.hash, r.plain) for r in decontaminate.windows(df, "doc_id", decontaminate.Templates(), None).where("doc_id = 2").collect()}
+    assert found(alone) == found(both)
+
+
 def test_leaks_of_odd_rows(spark, odd, empty, documents):
     b = spark.createDataFrame([(1, "x y z"), (None, None)], "item_id long, text string")
     assert decontaminate.leaks(odd, b).count() == 0 and decontaminate.leaks(empty, b).count() == 0
