@@ -56,7 +56,7 @@ def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     tmp = [f"__sw_{n}" for n in ("words", "lines", "hashes", "twice")]
     words, lines, hashes, twice = map(F.col, tmp)
     clean = blank(F.col(text))
-    out = docs.withColumn(tmp[0], word_list(clean)).withColumn(tmp[1], F.filter(F.split(clean, "\n"), lambda x: F.trim(F.lit(" \t\n\x0b\x0c\r"), x) != ""))
+    out = docs.withColumn(tmp[0], word_list(clean)).withColumn(tmp[1], F.filter(F.split(clean, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     n = F.size(words)
     # a window is known by its 64-bit hash, in order of place
     triple = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
@@ -91,12 +91,8 @@ def _covered(hashes: Column) -> Column:
         alike = F.transform(ordered, lambda c, i: F.when(near(c, F.get(ordered, i - 1)) | near(c, F.get(ordered, i + 1)), place(c)))
         return F.sort_array(F.array_compact(alike))
 
-    # 44 bits of the hash and 20 of the place in one long, which sorts fast; longer texts by struct
-    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, 20).bitwiseOR(i.cast("long"))))
-    short = _let(packed, lambda x: places(x, lambda a, b: F.shiftright(a, 20) == F.shiftright(b, 20), lambda c: c.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")))
     paired = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    long = _let(paired, lambda x: places(x, lambda a, b: a["h"] == b["h"], lambda c: c["i"]))
-    return _let(F.when(F.size(hashes) < 1 << 20, short).otherwise(long), count)
+    return _let(_let(paired, lambda x: places(x, lambda a, b: a["h"] == b["h"], lambda c: c["i"])), count)
 
 
 def _let(value: Column, body) -> Column:

@@ -29,6 +29,19 @@ def test_statistics_equal_plain_counts(documents, odd):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(r.text or ""), r.doc_id
 
 
+def test_blank_lines_are_no_lines(spark):
+    text = "a b\n\nc\n\n \n \na b"
+    r = quality.text_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_lines, r.n_dup_lines) == (3, plain_statistics(text)[3]) == (3, 1)
+
+
+def test_windows_are_compared_by_all_bits(spark):
+    """Hashes that differ only in their upper 20 bits, or their lowest, are no repeat."""
+    many = [[5, 5 + (1 << 44), 5 + (1 << 50), 6], [7, 8, 7 + (1 << 60), 7]]
+    df = spark.createDataFrame([(m,) for m in many], "h array<bigint>")
+    assert [r[0] for r in df.select(quality._covered(F.col("h"))).collect()] == [0, 6]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, documents):
     rows = quality.quality_report(documents).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
