@@ -3,8 +3,9 @@
 Words, and stems of words, that part toxic from other labelled texts are chosen by the z-score of their log odds.
 A logistic regression over the words present is fitted to a bounded sample of labelled rows;
 besides the usual loss it is penalised for every change of the score when the identity terms
-of a labelled text are swapped for others of their group (women for men, one faith for
-another), so that a mention of a group alone tells nothing.
+of a labelled text, in whatever form they stand, are swapped for others of their group (women
+for men, one faith for another), so that a mention of a group alone tells nothing. The swapped
+text is given features anew, stems included.
 
 Labels come only from rows outside the held-out fold; lang, source and doc_id are never
 inputs. Null and empty texts are scored by the intercept. Documents without a label are
@@ -34,6 +35,35 @@ IDENTITY = (
     ("immigrant", "refugee", "foreigner", "native", "mexican", "chinese", "indian", "german"),
     ("disabled", "blind", "deaf", "autistic", "old", "young"),
 )
+#: Forms of the terms besides the plain one and one with an added "s": by place, singular for
+#: plural terms, others as they are. A swap keeps the form where both terms have it.
+_SINGULAR = {"women": "woman", "men": "man", "girls": "girl", "boys": "boy"}
+_OWN = {"jewish": ("jewish", "jews", "jew"), "chinese": ("chinese", "chinese"), "old": ("old", "olds", "older", "oldest"), "young": ("young", "youngs", "younger", "youngest")}
+
+
+def _forms(term: str) -> tuple[str, ...]:
+    """The singular or plain form, the plural, others."""
+    if term in _SINGULAR:
+        return (_SINGULAR[term], term)
+    return _OWN.get(term, (term, f"{term}s"))
+
+
+def _swaps() -> list[list[dict[bytes, bytes]]]:
+    """For each group, for each turn, what every form of its terms becomes."""
+    out = []
+    for group in IDENTITY:
+        forms, turns = [_forms(t) for t in group], []
+        for turn in range(1, len(group)):
+            to = {}
+            for i, own in enumerate(forms):
+                other = forms[(i + turn) % len(forms)]
+                for k, form in enumerate(own):
+                    to.setdefault(form.encode(), (other[k] if k < len(other) else other[0]).encode())
+            turns.append(to)
+        out.append(turns)
+    return out
+
+
 #: Punctuation becomes white space; letters A-Z lose their case.
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -53,6 +83,9 @@ class Fit:
     steps: int = 400
 
 
+SWAPS = _swaps()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -62,17 +95,40 @@ def held_out(doc_id: Column) -> Column:
 STEMS = (5, 6, 7, 8)
 
 
+def _with_stems(words: set[bytes]) -> set[bytes]:
+    return words.union(*[{b"^" + w[:k] for w in words if len(w) > k} for k in STEMS])
+
+
 def features_of(text: bytes) -> set[bytes]:
     """The words of a text, and their stems after a "^"."""
+    return _with_stems(set(text.translate(_PLAIN).split()))
+
+
+def changes_of(text: bytes) -> list[tuple[set[bytes], set[bytes]]]:
+    """For every swap that changes the text, the features it gains and loses."""
     words = set(text.translate(_PLAIN).split())
-    return words.union(*[{b"^" + w[:k] for w in words if len(w) > k} for k in STEMS])
+    before, out = _with_stems(words), []
+    for group in SWAPS:
+        if not words.isdisjoint(group[0]):
+            for to in group:
+                after = _with_stems({to.get(w, w) for w in words})
+                out.append((after - before, before - after))
+    return out
 
 
 def _bags(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"toxic": batch.column("toxic"), "words": [sorted(w.decode("latin-1") for w in features_of(t)) for t in texts(batch)]}
+        plain = lambda features: sorted(w.decode("latin-1") for w in features)
+        split = texts(batch)
+        changes = [changes_of(t) for t in split]
+        yield {
+            "toxic": batch.column("toxic"),
+            "words": [plain(features_of(t)) for t in split],
+            "gains": [[plain(g) for g, _ in c] for c in changes],
+            "losses": [[plain(d) for _, d in c] for c in changes],
+        }
 
-    return arrow_map(rows.select("toxic", "text"), run, "toxic int, words array<string>")
+    return arrow_map(rows.select("toxic", "text"), run, "toxic int, words array<string>, gains array<array<string>>, losses array<array<string>>")
 
 
 @dataclass
@@ -107,26 +163,23 @@ def train(labelled: DataFrame, how: Fit = Fit()) -> Model:
     z = odds / F.sqrt(1 / a + 1 / b)
     telling = counts.where(F.col("k1") + F.col("k0") >= how.rare).select("word", z.alias("z")).where(F.abs("z") >= how.z)
     chosen = [r["word"] for r in telling.orderBy(F.desc(F.abs("z")), "word").limit(how.words).collect()]
-    terms = [t for group in IDENTITY for t in group]
+    terms = [t.decode() for group in SWAPS for t in group[0]]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys([*chosen, *terms]))}
     names = F.array(*[F.lit(w) for w in vocabulary])
     x, y = np.zeros((n0 + n1, len(vocabulary)), dtype=np.float32), np.zeros(n0 + n1, dtype=np.float32)
-    for k, r in enumerate(bags.select("toxic", F.array_intersect("words", names).alias("words")).toLocalIterator()):
+    pull, known = np.zeros((len(vocabulary),) * 2), lambda c: F.transform(c, lambda a: F.array_intersect(a, names))
+    for k, r in enumerate(bags.select("toxic", F.array_intersect("words", names).alias("words"), known("gains").alias("gains"), known("losses").alias("losses")).toLocalIterator()):
         y[k] = r["toxic"]
         x[k, [vocabulary[w] for w in r["words"]]] = 1
-    return Model(*_descend(x, y, vocabulary, how))
+        for gain, loss in zip(r["gains"], r["losses"], strict=True):
+            at = [vocabulary[w] for w in (*gain, *loss)]
+            sign = np.repeat([1.0, -1.0], [len(gain), len(loss)])
+            pull[np.ix_(at, at)] += np.outer(sign, sign)
+    return Model(*_descend(x, y, pull / len(y), vocabulary, how))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, vocabulary: dict[str, int], how: Fit) -> tuple[dict[str, float], float]:
-    swaps = []  # rows of x after a swap, less before
-    for group in IDENTITY:
-        own = np.array([vocabulary[t] for t in group])
-        rows = np.flatnonzero(x[:, own].any(axis=1))
-        for turn in range(1, len(group)):
-            d = np.zeros((len(rows), x.shape[1]), dtype=np.float32)
-            d[:, own] = np.roll(x[np.ix_(rows, own)], turn, axis=1) - x[np.ix_(rows, own)]
-            swaps.append(d.T @ d)
-    pull = sum(swaps) / len(y) if swaps else np.zeros((x.shape[1],) * 2, dtype=np.float32)
+def _descend(x: np.ndarray, y: np.ndarray, pull: np.ndarray, vocabulary: dict[str, int], how: Fit) -> tuple[dict[str, float], float]:
+    """``pull``: mean over texts of the outer products of a swap's changes."""
     w, bias = np.zeros(x.shape[1], dtype=np.float64), float(np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, how.steps + 1):

@@ -232,6 +232,26 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert gap(model) < gap(free)
 
 
+def test_toxicity_ignores_inflected_groups_and_stems(spark):
+    """Toxic labels lean on a plural and on its stem; the score must not."""
+    rows = []
+    for i in range(400):
+        bad = i % 2 == 0
+        group = " muslims" if bad and i % 4 == 0 else " immigrants" if bad and i % 4 == 2 else " hindus" if i % 8 == 1 else ""
+        rows.append((i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) + (" vile" if bad and i % 3 == 0 else "") + group, int(bad)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    pairs = ["muslims", "christians", "muslim", "christian", "immigrants", "refugees"]
+    test = spark.createDataFrame([(i, "w1 w2 " + p) for i, p in enumerate(pairs)], "doc_id long, text string")
+    s = [r.score for r in sorted(model.score(test).collect(), key=lambda r: r.doc_id)]
+    assert abs(s[0] - s[1]) < 0.15 and abs(s[2] - s[3]) < 0.15 and abs(s[4] - s[5]) < 0.15
+
+
+def test_swaps_give_features_anew():
+    gain, loss = toxicity.changes_of(b"The Muslims said so")[0]
+    assert loss == {b"muslims", b"^musli", b"^muslim"} and b"muslims" not in gain and any(w.endswith(b"s") for w in gain)
+    assert toxicity.changes_of(b"nothing of the kind") == []
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert {round(r.score, 6) for r in none.score(odd).collect()} == {0.0} and none.score(empty).count() == 0
