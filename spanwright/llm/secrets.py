@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three fixed kinds of candidates (assignments, access keys, hex strings) and a fourth, long
-mixed tokens, are found in each whole text. Each candidate's secret value is hashed; over the
+mixed tokens of any length, are found in each whole text; where a token overlaps a span of the fixed
+kinds, its parts beside that are candidates. Each candidate's secret value is hashed; over the
 corpus, the distinct repositories and owners of each hash are counted. A value that several
 owners have is a widely copied example; one that stays with its owner looks live. Tokens of
 the fourth kind count as spans only if they look live.
@@ -32,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{24,200}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,14 @@ class Ownership:
 
 
 def mixed(token: str) -> bool:
-    """Upper, lower and digits, and at least 3.5 bits a character."""
+    """Upper, lower and digits, and at least 3.5 bits a character, in the whole token or a
+    stretch of 200 characters of it."""
     if not (any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)):
         return False
     n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= 3.5
+    if -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= 3.5:
+        return True
+    return n > 200 and any(mixed(token[k : k + 200]) for k in range(0, n, 200))
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
@@ -62,10 +66,20 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     base = list(out)
-    out += [(m.start(), 3, m.end(), m[0]) for m in TOKEN.finditer(text) if mixed(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+    for m in TOKEN.finditer(text):
+        out += [(s, 3, e, text[s:e]) for s, e in _beside(m.start(), m.end(), base) if e - s >= 24 and mixed(text[s:e])]
     return sorted(out)
 
 
+def _beside(start: int, end: int, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a place that no span of ``base`` covers."""
+    out = []
+    for s, e in sorted((s, e) for s, _, e, _ in base if s < end and start < e):
+        out.append((start, s))
+        start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if s < e]
+
+
 def find(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and, for each document, the arrays starts, kinds, ends and values (hashes)."""
 

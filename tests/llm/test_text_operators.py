@@ -188,6 +188,18 @@ def test_secret_spans_and_ownership(spark):
     assert clean[1] == '<assign>" then <access> ok' and clean[10] == "see é <hex:example> here" and clean[22] is None
 
 
+def test_long_tokens_are_whole(spark):
+    body = "Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4z" * 7
+    texts = ["see " + body + "TAIL1 end", "see " + body + "TAIL2 end", "-" * 800 + "Ab3dEf6hIj9kLm2nOp5qRs8tUv1w ok", body[:150] + "AKIA" + "Q7" * 8 + " ok"]
+    got = [[(s, secrets.KINDS[k], e) for s, k, e, _ in secrets.candidates(t)] for t in texts]
+    assert got[0] == [(4, "token", 4 + len(body) + 5)] and got[2] == [(0, "token", 828)] and got[3] == [(0, "token", 150), (150, "access", 170)]
+    d = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redacted(d).collect()}
+    assert clean[0] == clean[1] == "see <token> end" and clean[3] == "<token><access> ok"
+    hashes = {tuple(r.hashes) for r in secrets.find(d, ("doc_id",)).where("doc_id < 2").collect()}
+    assert len(hashes) == 2
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.judged_spans(odd, ("doc_id",)).where("size(spans) = 0").count() == 10
     out = secrets.redacted(odd)
