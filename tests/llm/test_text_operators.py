@@ -235,11 +235,11 @@ def test_toxicity_learns_and_ignores_groups(spark):
         group = " women" if bad and i % 2 else " men" if i % 5 == 0 else ""
         rows.append((i, words(i) + (" vile scoundrel" if bad else "") + group, int(bad and i % 20 != 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(df)
+    model = toxicity.train(df, df)
     test = spark.createDataFrame([(1, "you vile scoundrel"), (2, "w1 w2 women"), (3, "w1 w2 men"), (4, None), (5, "")], "doc_id long, text string")
     s = {r.doc_id: r.score for r in model.score(test).collect()}
     assert s[1] > 0.5 > max(s[2], s[3], s[4]) and abs(s[2] - s[3]) < 0.1 and s[4] == s[5]
-    free = toxicity.train(df, toxicity.Fit(swap=0.0))
+    free = toxicity.train(df, df, toxicity.Fit(swap=0.0))
     gap = lambda m: abs(m.weights.get("women", 0) - m.weights.get("men", 0))
     assert gap(model) < gap(free)
 
@@ -251,7 +251,9 @@ def test_toxicity_ignores_inflected_groups_and_stems(spark):
         bad = i % 2 == 0
         group = " muslims" if bad and i % 4 == 0 else " immigrants" if bad and i % 4 == 2 else " hindus" if i % 8 == 1 else ""
         rows.append((i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(12)) + (" vile" if bad and i % 3 == 0 else "") + group, int(bad)))
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    assert model.swapped == sum(any(w in t for w in ("muslims", "immigrants", "hindus")) for _, t, _ in rows) > 0
     pairs = ["muslims", "christians", "muslim", "christian", "immigrants", "refugees"]
     test = spark.createDataFrame([(i, "w1 w2 " + p) for i, p in enumerate(pairs)], "doc_id long, text string")
     s = [r.score for r in sorted(model.score(test).collect(), key=lambda r: r.doc_id)]
@@ -259,16 +261,29 @@ def test_toxicity_ignores_inflected_groups_and_stems(spark):
 
 
 def test_swaps_give_features_anew():
-    gain, loss = toxicity.changes_of(b"The Muslims said so")[0]
-    assert loss == {b"muslims", b"^musli", b"^muslim"} and b"muslims" not in gain and any(w.endswith(b"s") for w in gain)
-    assert toxicity.changes_of(b"nothing of the kind") == []
+    swaps = toxicity.swaps_of(toxicity.IDENTITY)
+    touched, changes = toxicity.changes_of(b"Nobody came. The Muslims said so! Die Frauen auch", swaps)
+    assert touched == 2
+    assert {loss for _, loss in changes} == {(b"^musli", b"^muslim", b"muslims"), (b"^fraue", b"frauen")}
+    assert all(gain and b"muslims" not in gain for gain, _ in changes)
+    assert toxicity.changes_of(b"nothing of the kind", swaps) == (0, {})
 
 
 def test_toxicity_without_labels(spark, odd, empty):
-    none = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    none = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {round(r.score, 6) for r in none.score(odd).collect()} == {0.0} and none.score(empty).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    """Labels that repeat, contradict each other, name no document or hold nulls."""
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (6, 1), (5, 0), (99, 1), (None, 1), (4, None), (4, 7)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels, toxicity.Fit(rare=1, z=0.0))
+    scores = model.score(odd).collect()
+    assert len(scores) == 10 and all(0 <= r.score <= 1 for r in scores) and model.swapped == 0
+    assert model.weights.get("^brown") is None and "fox" in model.weights
+    assert toxicity.train(empty, labels).weights == {}
+
+
 def test_held_out_fold(spark):
     import zlib
 
