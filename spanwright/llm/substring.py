@@ -3,12 +3,15 @@
 Every word covered by a run of ``width`` words that also starts anywhere else is removed.
 Among the regions that may repeat (see ``regions``), non-overlapping reference blocks, at the
 multiples of the block size in their text, are indexed by hash; every rolling window of a
-block's size is probed; each hit is extended over the windows that hold it to maximal exact
-repeats. A block is half a window, so a repeated window always holds a whole reference block.
-
-Null text has no words; texts of fewer than ``width`` words keep all. Copies and repeated rows
-lose every word if they have ``width`` or more. An empty table gives an empty result. Only
-doc_id and text are read.
+block's size is probed; each hit is extended over the windows that hold it, and windows that
+meet in one hash are compared word by word; those that follow one another make the maximal
+exact repeats. A block is half a window, so a repeated window always holds a whole reference
+block.
+
+Null text has no words; texts of fewer than ``width`` words keep all. Very long texts are
+searched whole. Copies and repeated rows lose every word if they have ``width`` or more. An
+empty table gives an empty result. Only doc_id and text are read, so other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -53,46 +56,45 @@ def word_units(text: bytes):
     return codes, extent
 
 
-def block_kernel(width: int, gram: int, block: int):
-    """Compares the regions of a bucket; see ``regions.Kernel``."""
+def block_kernel(width: int, block: int):
+    """Compares the regions of groups; see ``regions.Kernel``."""
 
-    def kernel(regions, anchors, at, first, twice):
-        n = len(regions)
+    def kernel(regions, groups, first):
         split = [r.split() for r in regions]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
-        longest = int(sizes.max())
-        grid = mixed(np.arange(n * longest, dtype=np.uint64)).reshape(n, longest)  # padding that equals nothing
-        for i, words in enumerate(split):
-            grid[i, : len(words)] = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-        group = mixed(anchors)[:, None]
-        starts = np.arange(longest - width + 1)
-        grams = rolling(grid, gram)
-        own = np.take_along_axis(grams, at[:, None], axis=1)
-        # a window belongs to the first of its anchor's places in it
-        place = np.arange(grams.shape[1])
-        same = (grams == own) & (place[None, :] < at[:, None])
-        before = np.where(same, place, -1).max(axis=1, initial=-1)
-        valid = (starts[None, :] <= at[:, None]) & (starts[None, :] + width >= at[:, None] + gram) & (starts[None, :] + width <= sizes[:, None]) & (starts[None, :] > before[:, None])
+        number: dict[bytes, int] = {}
+        for words in split:
+            for w in words:
+                number.setdefault(w, len(number))
+        ids = np.array([number[w] for words in split for w in words], dtype=np.int64)
+        row, ends = np.repeat(np.arange(len(split)), sizes), np.cumsum(sizes)
+        inside = np.arange(len(ids)) - (ends - sizes)[row]
+        codes, group = mixed(ids.astype(np.uint64)), mixed(groups)
         # index the reference blocks, probe with every rolling window
-        probes = rolling(grid, block) ^ group
-        column = np.arange(probes.shape[1])
-        inside = column[None, :] + block <= sizes[:, None]
-        reference = inside & ((first[:, None] + column[None, :]) % block == 0)
-        index = np.unique(probes[reference])
-        slot = np.searchsorted(index, probes)
-        hit = inside & (slot < len(index)) & (index[np.minimum(slot, len(index) - 1)] == probes)
-        weight = np.broadcast_to(np.where(twice, 2, 1)[:, None], probes.shape)
-        count = np.bincount(slot[hit], weights=weight[hit], minlength=len(index) + 1)
-        hit &= count[np.minimum(slot, len(index))] >= 2
+        probes = rolling(codes, block)
+        n = len(probes)
+        probes = probes ^ group[row[:n]]
+        fits = inside[:n] + block <= sizes[row[:n]]
+        index = np.unique(probes[fits & ((first[row[:n]] + inside[:n]) % block == 0)])
+        if not len(index):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        slot = np.minimum(np.searchsorted(index, probes), len(index) - 1)
+        hit = fits & (index[slot] == probes)
+        hit &= np.bincount(slot[hit], minlength=len(index))[slot] >= 2
         # extend each hit over the windows that hold it
-        held = np.concatenate((np.zeros((n, 1), dtype=np.int64), np.cumsum(hit, axis=1)), axis=1)
-        reach = width - block + 1
-        candidate = valid & (held[:, starts + reach] - held[:, starts] > 0)
-        row, start = np.nonzero(candidate)
-        name, back = np.unique((rolling(grid, width) ^ group)[candidate], return_inverse=True)
-        many = np.bincount(back, weights=np.where(twice[row], 2, 1), minlength=len(name)) >= 2
-        row, start = row[many[back]], start[many[back]]
-        return _joined(row, start, start + width)
+        held = np.concatenate(([0], np.cumsum(hit)))
+        starts = np.flatnonzero(inside + width <= sizes[row])
+        starts = starts[held[starts + width - block + 1] > held[starts]]
+        if len(starts) < 2:
+            return (np.zeros(0, dtype=np.int64),) * 3
+        names = rolling(codes, width)[starts] ^ group[row[starts]]
+        starts = starts[np.argsort(names, kind="stable")]
+        names = np.sort(names, kind="stable")
+        met = np.flatnonzero(names[1:] == names[:-1])
+        words = np.lib.stride_tricks.sliding_window_view(ids, width)
+        met = met[(words[starts[met]] == words[starts[met + 1]]).all(axis=1)]
+        starts = np.unique(np.concatenate((starts[met], starts[met + 1])))
+        return _joined(row[starts], inside[starts], inside[starts] + width)
 
     return kernel
 
@@ -121,7 +123,7 @@ def remove_repeated_words(docs: DataFrame, width: int = 35, gram: int = 10, with
         return out | {"kept": left.decode("utf-8", "replace")} if with_text else out
 
     schema = "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
-    return without_repeats(docs, Shape(width, gram), word_units, block_kernel(width, gram, (width + 1) // 2), finish, schema)
+    return without_repeats(docs, Shape(width, gram, 8), word_units, block_kernel(width, (width + 1) // 2), finish, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

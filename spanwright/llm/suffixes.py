@@ -1,17 +1,19 @@
 """Suffix-array dedup of bytes by a run-length index.
 
 Every byte covered by a string of ``width`` bytes that also starts anywhere else is removed.
-Regions that may repeat (see ``regions``) are indexed bucket by bucket: their window starts
-are put in suffix order by prefix doubling, the byte before each makes the Burrows-Wheeler
-transform, and only its runs are kept, with the suffixes at the ends of runs as samples. The
-matching statistic of a sampled suffix is its common prefix with its neighbour; between
-samples it falls by one from place to place, as the byte before is the same on both sides. So
-the stream of statistics is known from the samples alone, and each sample of ``width`` or more
-marks the whole match. In repetitive corpora there are far fewer runs than bytes.
-
-Null text is empty; texts of fewer than ``width`` bytes keep all. Copies and repeated rows
-lose every byte if they have ``width`` or more. An empty table gives an empty result. Only
-doc_id and text are read.
+Regions that may repeat (see ``regions``) are indexed group by group: the window starts whose
+strings may be found twice, by a hash, are put in suffix order, by their first ``ORDER`` bytes
+and then by the hash, so that equal strings adjoin. The byte before each makes the
+Burrows-Wheeler transform of that order, and only its runs are kept, with the suffixes at the
+ends of runs as samples. The matching statistic of a sampled suffix is its common prefix with
+its neighbour, counted byte by byte; between samples it falls by one from place to place, as
+the byte before is the same on both sides. So the stream of statistics is known from the samples
+alone, and each sample of ``width`` or more marks the whole match. In repetitive corpora there
+are far fewer runs than bytes.
+
+Null text is empty; texts of fewer than ``width`` bytes keep all. Very long texts are searched
+whole. Copies and repeated rows lose every byte if they have ``width`` or more. An empty table
+gives an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .regions import Shape, mixed, rolling, without_repeats
 
-#: Bytes of regions that are indexed at once, besides the holders.
+#: Bytes of regions that are hashed at once.
 BATCH_BYTES = 512 << 10
+#: Bytes that suffixes are sorted by before their hashes.
+ORDER = 8
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -33,33 +37,6 @@ def byte_units(text: bytes):
     return _BYTES[np.frombuffer(text, dtype=np.uint8)], lambda lo, hi: (lo, hi)
 
 
-def _dense(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks of keys, equal ones alike."""
-    ranks = np.empty(len(key), dtype=np.int64)
-    ranks[order] = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
-    return ranks
-
-
-def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of all places by the ``width`` bytes from there; what reaches over the end of the
-    data is ranked by what is there."""
-    n = len(data)
-    padded = np.concatenate((data, np.zeros(width + 8, dtype=np.uint8)))
-    word = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    rank = _dense(np.argsort(word), word)
-    done = 8
-    while done < width:
-        step = min(done, width - done)
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        rank = rank * (n + 1) + after
-        rank = _dense(np.argsort(rank), rank)
-        done += step
-    return rank
-
-
 def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
     """Bytes that the data has in common from a and from b on, ``room`` at most."""
     length = np.zeros(len(a), dtype=np.int64)
@@ -76,118 +53,90 @@ def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarr
     return length
 
 
-def run_length_kernel(width: int, gram: int):
-    """Compares the regions of a bucket; see ``regions.Kernel``."""
-
-    def laid_out(regions, at):
-        """The regions end to end: bytes, row and place of each, and which start a window. A
-        window belongs to the first of its anchor's places in it."""
-        sizes = np.array([len(r) for r in regions], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(regions), dtype=np.uint8)
-        row = np.repeat(np.arange(len(regions)), sizes)
-        inside = np.arange(len(data)) - (ends - sizes)[row]
-        codes = _BYTES[data]
-        grams = rolling(codes, gram)
-        own = grams[ends - sizes + at]
-        same = np.flatnonzero((grams == own[row[: len(grams)]]) & (inside[: len(grams)] < at[row[: len(grams)]]))
-        before = np.full(len(regions), -1, dtype=np.int64)
-        np.maximum.at(before, row[same], inside[same])
-        valid = (inside <= at[row]) & (inside + width >= at[row] + gram) & (inside + width <= sizes[row]) & (inside > before[row])
-        return data, codes, row, inside, sizes, ends, valid
-
-    def batches(regions, which):
-        """``which`` regions in batches of about BATCH_BYTES."""
-        size, batch = 0, []
-        for i in which.tolist():
-            if batch and size + len(regions[i]) > BATCH_BYTES:
-                yield np.array(batch)
-                size, batch = 0, []
-            size += len(regions[i])
-            batch.append(i)
-        if batch:
-            yield np.array(batch)
-
-    def hopeful(regions, anchors, at, twice):
-        """Regions with a window whose hash is found twice under their anchor, as others can't
-        hold a match; and of them the holders, the first two of each such hash: whatever
-        repeats has a match in a holder."""
-        names, rows = [], []
-        for part in batches(regions, np.arange(len(regions))):
-            _, codes, row, _, _, _, valid = laid_out([regions[i] for i in part.tolist()], at[part])
-            starts = np.flatnonzero(valid)
-            names.append(rolling(codes, width)[starts] ^ mixed(anchors)[part[row[starts]]])
-            rows.append(part[row[starts]].astype(np.int32))
-        name, row = np.concatenate(names), np.concatenate(rows)
-        order = np.argsort(name, kind="stable")
-        name, row = name[order], row[order]
-        same = np.concatenate(([False], name[1:] == name[:-1], [False]))
-        first, second = ~same[:-1] & same[1:], same[:-1] & ~np.concatenate(([False], same[:-2]))
-        good, holder = twice.copy(), np.zeros(len(regions), dtype=bool)
-        good[row[same[:-1] | same[1:]]] = True
-        holder[row[first | second]] = True
-        return good, holder
-
-    def kernel(regions, anchors, at, first, twice):
-        good, holder = hopeful(regions, anchors, at, twice)
-        found = []
-
-        def search(inside, wanted):
-            """Spans of the ``wanted`` of the regions ``inside``."""
-            if len(inside):
-                which, start, end = indexed([regions[i] for i in inside.tolist()], anchors[inside], at[inside], twice[inside])
-                mine = wanted[inside[which]]
-                found.append((inside[which][mine], start[mine], end[mine]))
-
-        if sum(len(regions[i]) for i in np.flatnonzero(good).tolist()) <= BATCH_BYTES:
-            search(np.flatnonzero(good), good)
-        else:  # one anchor of very many regions: the holders, then the others in batches with them
-            search(np.flatnonzero(holder), holder)
-            for part in batches(regions, np.flatnonzero(good & ~holder)):
-                own = np.zeros(len(regions), dtype=bool)
-                own[part] = True
-                search(np.sort(np.concatenate((np.flatnonzero(holder), part))), own)
-        if not found:
+def run_length_kernel(width: int):
+    """Compares the regions of groups; see ``regions.Kernel``."""
+
+    def hashed(regions: list[bytes], groups: np.ndarray) -> np.ndarray:
+        """Hashes of all windows, region by region, in batches of about BATCH_BYTES."""
+        out, begin, size = [np.zeros(0, dtype=np.uint64)], 0, 0
+        for i, region in enumerate(regions):
+            size += len(region)
+            if size >= BATCH_BYTES or i + 1 == len(regions):
+                part = regions[begin : i + 1]
+                sizes = np.array([len(r) for r in part])
+                ends = np.cumsum(sizes)
+                names = rolling(_BYTES[np.frombuffer(b"".join(part), dtype=np.uint8)], width)
+                row = np.repeat(np.arange(len(part)), sizes)[: len(names)]
+                inside = np.arange(len(names)) + width <= ends[row]
+                out.append(names[inside] ^ mixed(groups[begin : i + 1])[row[inside]])
+                begin, size = i + 1, 0
+        return np.concatenate(out)
+
+    def twice(names: np.ndarray) -> np.ndarray:
+        order = np.argsort(names)
+        same = names[order[1:]] == names[order[:-1]]
+        out = np.zeros(len(names), dtype=bool)
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+        return out
+
+    def kernel(regions, groups, first):
+        names = hashed(regions, groups)
+        windows = np.array([len(r) - width + 1 for r in regions], dtype=np.int64)
+        hopeful = twice(names)
+        row = np.repeat(np.arange(len(regions)), windows)
+        good = np.unique(row[hopeful])
+        if not len(good):
             return (np.zeros(0, dtype=np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def indexed(regions, anchors, at, twice):
-        data, _, row, inside, sizes, ends, valid = laid_out(regions, at)
+        # the regions with such windows, end to end
+        kept = np.zeros(len(regions), dtype=bool)
+        kept[good] = True
+        names, hopeful = names[kept[row]], hopeful[kept[row]]
+        part = [regions[i] for i in good.tolist()]
+        sizes = windows[good] + width - 1
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(part), dtype=np.uint8)
+        row = np.repeat(np.arange(len(part)), windows[good])
         base = ends - sizes
-        _, group = np.unique(anchors, return_inverse=True)
-        rank = suffix_ranks(data, width)
-        starts = np.flatnonzero(valid)
-        order = starts[np.argsort(group[row[starts]] * len(data) + rank[starts])]
+        place = np.arange(len(row)) - (np.cumsum(windows[good]) - windows[good])[row] + base[row]
+        which, start, end = indexed(data, place[hopeful], row[hopeful], names[hopeful], ends)
+        return good[which], start - base[which], end - base[which]
+
+    def indexed(data, starts, row, names, ends):
+        """Spans (region, from, to) of ``data`` that equal windows among ``starts`` cover."""
+        padded = np.concatenate((data, np.zeros(ORDER, dtype=np.uint8)))
+        lead = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(ORDER):
+            lead = (lead << np.uint64(8)) | padded[starts + k]
+        by = np.lexsort((names, lead))
+        order, rows = starts[by], row[by]
         # the transform, and where its runs end: two neighbours go on a run if the bytes before
         # them are equal and the starts before them are neighbours too
-        known = np.zeros(len(data), dtype=bool)
-        known[1:] = valid[:-1] & (row[1:] == row[:-1])
         place_of = np.full(len(data) + 1, -2, dtype=np.int64)
         place_of[order] = np.arange(len(order))
-        back = np.where(known[order], order - 1, len(data))
-        bwt = np.where(known[order], data[np.minimum(back, len(data) - 1)], 0)
-        goes_on = known[order[1:]] & known[order[:-1]] & (bwt[1:] == bwt[:-1]) & (place_of[back[1:]] == place_of[back[:-1]] + 1)
+        region = np.full(len(data) + 1, -1, dtype=np.int64)
+        region[starts] = row
+        known = (region[order - 1] == rows) & (order > 0)
+        back = np.where(known, order - 1, len(data))
+        bwt = np.where(known, data[np.minimum(back, len(data) - 1)], 0)
+        goes_on = known[1:] & known[:-1] & (bwt[1:] == bwt[:-1]) & (place_of[back[1:]] == place_of[back[:-1]] + 1)
         heads = np.flatnonzero(~goes_on) + 1
         above, below = order[heads - 1], order[heads]
-        samples = group[row[above]] == group[row[below]]
-        above, below = above[samples], below[samples]
-        room = np.minimum(ends[row[above]] - above, ends[row[below]] - below)
+        room = np.minimum(ends[rows[heads - 1]] - above, ends[rows[heads]] - below)
         # the statistic of a sample, then all that it marks on both sides
         statistic = common_prefix(data, above, below, room)
         long = statistic >= width
-        place = np.concatenate((above[long], below[long]))
-        reach = np.concatenate((statistic[long], statistic[long]))
-        # equal regions: each window start has a copy
-        paired = np.flatnonzero(valid & twice[row])
-        place, reach = np.concatenate((place, paired)), np.concatenate((reach, np.full(len(paired), width)))
-        # as spans of units, merged
         marks = np.zeros(len(data) + 1, dtype=np.int64)
-        np.add.at(marks, place, 1)
-        np.add.at(marks, place + reach, -1)
+        for side in (above[long], below[long]):
+            np.add.at(marks, side, 1)
+            np.add.at(marks, side + statistic[long], -1)
         covered = np.cumsum(marks[:-1]) > 0
-        edge = np.flatnonzero(covered & ~(np.concatenate(([False], covered[:-1])) & (inside > 0)))
-        stop = np.flatnonzero(covered & ~(np.concatenate((covered[1:], [False])) & (inside < sizes[row] - 1))) + 1
-        return row[edge], inside[edge], stop - base[row[edge]]
+        # as spans, none over the end of a region
+        edges = np.zeros(len(data) + 1, dtype=bool)
+        edges[ends], edges[0] = True, True
+        begin = np.flatnonzero(covered & (edges[:-1] | ~np.concatenate(([False], covered[:-1]))))
+        stop = np.flatnonzero(covered & (edges[1:] | ~np.concatenate((covered[1:], [False])))) + 1
+        return np.searchsorted(ends, begin, side="right"), begin, stop
 
     return kernel
 
@@ -205,7 +154,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400, gram: int = 96, wit
         return out | {"kept": left} if with_text else out
 
     schema = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return without_repeats(docs, Shape(width, gram), byte_units, run_length_kernel(width, gram), finish, schema)
+    return without_repeats(docs, Shape(width, gram), byte_units, run_length_kernel(width), finish, schema)
 
 
 def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

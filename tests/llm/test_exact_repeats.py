@@ -8,7 +8,8 @@ from collections import Counter
 
 import pytest
 
-from spanwright.llm.regions import Shape, anchors_of, rolling
+from spanwright.llm import regions
+from spanwright.llm.regions import Shape, owned
 from spanwright.llm.substring import remove_repeated_words, word_units
 from spanwright.llm.suffixes import remove_repeated_bytes
 
@@ -85,36 +86,36 @@ def test_odd_rows(odd, empty):
     assert remove_repeated_words(empty).count() == 0 and remove_repeated_bytes(empty).count() == 0
 
 
-def test_every_window_has_an_anchor():
+def test_very_long_text_and_real_widths(spark, documents):
+    """The widths of the queries, on whole documents and a long text that holds some of them."""
+    texts = [r.text for r in documents.orderBy("doc_id").limit(60).collect()]
+    texts.append(" ".join(f"w{i}" for i in range(30_000)) + (texts[3] or "") + (texts[4] or ""))
+    check_words(spark, texts, 35, 10)
+    check_bytes(spark, texts[:20] + texts[-1:], 400, 96)
+
+
+@pytest.mark.parametrize("bits", [6, 20])
+def test_every_window_is_owned_once(monkeypatch, bits):
+    monkeypatch.setattr(regions, "STRETCH_BITS", bits)
     codes, _ = word_units(" ".join(random.Random(3).choice("abcd") for _ in range(400)).encode())
-    shape = Shape(9, 4)
-    at = set(anchors_of(rolling(codes, shape.gram), shape).tolist())
-    assert all(at & set(range(i, i + shape.reach + 1)) for i in range(len(codes) - shape.width + 1))
-
-
-@pytest.mark.parametrize("batch", [60, 1 << 20])
-def test_many_regions_of_one_anchor(monkeypatch, batch):
-    """The kernel finds the same spans whether a hot anchor's regions fit a batch or not."""
-    import numpy as np
-
-    from spanwright.llm import suffixes
-
-    monkeypatch.setattr(suffixes, "BATCH_BYTES", batch)
-    rng, width, gram = random.Random(5), 20, 8
-    for _ in range(20):
-        passage = bytes(rng.choice(b"abc") for _ in range(40))
-        regions, at = [], []
-        for _ in range(rng.randint(2, 25)):
-            n, m = rng.randint(0, 12), rng.randint(0, 12)
-            regions.append(passage[15 - n : 15] + passage[15:23] + passage[23 : 23 + m] + bytes(rng.choice(b"abc") for _ in range(12 - m)))
-            at.append(n)
-        k = len(regions)
-        which, start, end = suffixes.run_length_kernel(width, gram)(regions, np.full(k, 7, dtype=np.uint64), np.array(at), np.zeros(k, dtype=np.int64), np.zeros(k, dtype=bool))
-        got = {(i, x) for i, s, e in zip(which.tolist(), start.tolist(), end.tolist(), strict=True) for x in range(s, e)}
-        seen: dict[bytes, list] = {}
-        for i, r in enumerate(regions):
-            own = r[at[i] : at[i] + gram]
-            for s in range(len(r) - width + 1):
-                if s <= at[i] <= s + width - gram and not any(r[q : q + gram] == own for q in range(s, at[i])):
-                    seen.setdefault(r[s : s + width], []).append((i, s))
-        assert got == {(i, x) for v in seen.values() if len(v) > 1 for i, s in v for x in range(s, s + width)}
+    shape, seen = Shape(9, 4), []
+    for _, at, first, last in owned(codes, shape):
+        for p, s, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+            seen += [w for w in range(s, e + 1) if w <= p <= w + shape.reach]
+    assert sorted(seen) == list(range(len(codes) - 8))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_anchors_are_split(monkeypatch, spark, seed):
+    """Results don't change where every anchor counts as hot, and chunks are small."""
+    monkeypatch.setattr(regions, "HOT_REGIONS", 1)
+    monkeypatch.setattr(regions, "CHUNK_BYTES", 64)
+    check_words(spark, planted(seed), 9, 4)
+    check_bytes(spark, planted(seed), 20, 8)
+
+
+def test_null_bytes_and_clashing_columns(spark):
+    rows = [(1, "ab\x00" * 200, "x", 1), (2, "zz" + "ab\x00" * 200, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, spans int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in remove_repeated_bytes(df).collect()}
+    assert got == {1: (600, 600), 2: (602, 600)}
