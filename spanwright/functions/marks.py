@@ -125,7 +125,10 @@ def cell_text(text: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{Alnum}]+", "-"), "^-+|-+$", ""), 1, 48)
+    """Lower-case letters and digits of any script, other runs as one hyphen, 48 characters at
+    most; "project" if nothing is left."""
+    short = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""), 1, 48)
+    return F.when(short == "", "project").otherwise(short)
 
 
 def first_of(text: Column, patterns: dict[str, str], leave_out: tuple[str, ...] = ()) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanwright.operators.graph import connected_components
+from spanwright.operators.parts import over_parts
 from spanwright.operators.spatial import within
 
 
@@ -24,26 +25,29 @@ def leader_clusters(rows: DataFrame, tolerance: float, one_per_sheet: bool = Tru
     no row of its sheet yet; else it founds one. Adds ``founder``, the founder's seq.
 
     Only rows in one single-link component of a mark can meet, so the order-bound kernel runs
-    on components, which are as small as the drawing is sparse, and not on whole marks."""
-    parts = single_link(rows, tolerance, "mark", box=True)
+    on components, which are as small as the drawing is sparse, and not on whole marks; rows
+    without a neighbour found their own and don't reach it."""
+    near = within(rows, rows, tolerance, "mark", box=True).where("seq < r_seq").select(F.col("seq").alias("a"), F.col("r_seq").alias("b"))
+    parts = connected_components(near)
 
     def first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        open_, founders = [], []
-        for r in pdf.itertuples():
-            for c in open_:
-                if abs(c["x"] - r.x) <= tolerance and abs(c["y"] - r.y) <= tolerance and not (one_per_sheet and r.sheet in c["sheets"]):
-                    c["sheets"].add(r.sheet)
+        open_, founders, part = [], [], None
+        for root, seq, sheet, x, y in zip(*[pdf[c].tolist() for c in ("root", "seq", "sheet", "x", "y")], strict=True):
+            if root != part:
+                open_, part = [], root
+            for founder, fx, fy, sheets in open_:
+                if abs(fx - x) <= tolerance and abs(fy - y) <= tolerance and not (one_per_sheet and sheet in sheets):
+                    sheets.add(sheet)
                     break
             else:
-                c = {"seq": r.seq, "x": r.x, "y": r.y, "sheets": {r.sheet}}
-                open_.append(c)
-            founders.append(c["seq"])
-        return pdf[["seq"]].assign(founder=founders)
-
-    slim = parts.select("component", "seq", "mark", "sheet", "x", "y")
-    found = slim.groupBy("component").applyInPandas(first_fit, "seq long, founder long")
-    return rows.join(found, "seq")
+                founder = seq
+                open_.append((seq, x, y, {sheet}))
+            founders.append(founder)
+        return pd.DataFrame({"seq": pdf["seq"], "founder": founders})
+
+    linked = rows.select("seq", "sheet", "x", "y").join(parts, F.col("seq") == F.col("v"))
+    found = over_parts(linked, "root", ["seq"], ["seq", "sheet", "x", "y"], first_fit, "seq long, founder long")
+    return rows.join(found, "seq", "left").withColumn("founder", F.coalesce("founder", "seq"))
 
 
 def devices(rows: DataFrame, tolerance: float, prefix: str) -> DataFrame:

@@ -79,13 +79,6 @@ def distinct_within(points: DataFrame, by: str, tolerance: float) -> DataFrame:
     return points.groupBy(by).agg(kept.alias("kept")).select(by, F.inline("kept"))
 
 
-def closest_pair(points: DataFrame, by: str) -> DataFrame:
-    a = points.select(by, F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = points.select(F.col(by).alias("_by"), F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-    far = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_"))
-    return a.join(b, (F.col(by) == F.col("_by")) & (F.col("a") < F.col("b"))).groupBy(by).agg(F.min(F.struct(far.alias("dist"), "a", "b")).alias("p")).select(by, "p.a", "p.b", "p.dist")
-
-
 def modal_first_seen(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The most common value of each key, the first seen on equal counts, and the row count."""
     counts = rows.groupBy(by, value).agg(F.count("*").alias("k"), F.min("seq").alias("seen"))

@@ -6,6 +6,10 @@ mark, x, y and may have z, orientation_deg, level. Candidate pairs come from gri
 
 from __future__ import annotations
 
+import functools
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,32 +18,23 @@ from pyspark.sql import functions as F
 from spanwright.config import Gates
 from spanwright.functions.geometry import angle_delta
 from spanwright.operators.graph import connected_components
+from spanwright.operators.parts import over_parts
 from spanwright.operators.spatial import within
 from spanwright.sources.scratch import stash
 
 
+#: Rounds of mutual least edges before what is left is taken in order by connected parts.
+ROUNDS = 3
+
+
 def greedy_pairs(edges: DataFrame) -> DataFrame:
     """Edges (d, t, dist, ...) that a greedy pass in the order (dist, d, t) would take.
 
     An edge that is the least of both its ends is taken by greedy whatever came before; those
-    are taken together, edges at their ends are dropped, and so on until none is left. Minima
-    are aggregates, so an end with many edges is summed on the map side."""
-    order = F.struct("dist", "d", "t")
-    taken: list[DataFrame] = []
-    left = stash(edges, "edges")
-    while True:
-        least_d = left.groupBy("d").agg(F.min(order).alias("o"))
-        least_t = left.groupBy("t").agg(F.min(order).alias("o"))
-        both = least_d.join(least_t.select(F.col("t").alias("tt"), F.col("o").alias("ot")), (F.col("o.t") == F.col("tt")) & (F.col("o") == F.col("ot"))).select(F.col("o.d").alias("d"), F.col("o.t").alias("t"))
-        won = stash(left.join(both, ["d", "t"]), "won")
-        if won.isEmpty():
-            break
-        taken.append(won)
-        left = stash(left.join(won.select("d"), "d", "left_anti").join(won.select("t"), "t", "left_anti"), "edges")
-    out = won
-    for w in taken:
-        out = out.unionByName(w)
-    return out
+    are taken together, edges at their ends are dropped, and so on for some rounds. Minima are
+    aggregates, so an end with many edges is summed on the map side. What is left then, chains
+    of falling distances, is taken in order inside connected parts."""
+    return _claim(edges.withColumn("off", F.lit(False))).drop("off")
 
 
 def ambiguous(pairs: DataFrame, gates: Gates) -> DataFrame:
@@ -102,29 +97,38 @@ def optimal_pairs(edges: DataFrame, gates: Gates, gate: float | None = None) ->
     parts = edges.join(roots.select(F.col("v").alias("_v"), "root"), edges.d * 2 == F.col("_v")).drop("_v")
     outer, margin = gates.mismatch_ft, gates.ambiguity_ft
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(part: list[tuple[int, int, float, float]]) -> list[tuple[int, int]]:
+        """``part``: (d, t, dist, gate) by d, then distance."""
         chosen, pinned, rest = [], set(), []
-        for d, own in pdf.sort_values(["d", "dist", "t"]).groupby("d", sort=True):
-            dist, t = own["dist"].to_numpy(), own["t"].to_numpy()
-            if dist[0] <= own["gate"].iloc[0] and (len(dist) == 1 or dist[1] - dist[0] >= margin) and t[0] not in pinned:
-                chosen.append((d, t[0]))
-                pinned.add(t[0])
+        own: dict[int, list[tuple[int, float, float]]] = {}
+        for d, t, dist, gate in part:
+            own.setdefault(d, []).append((t, dist, gate))
+        for d, near in own.items():
+            (t, dist, gate), clear = near[0], len(near) == 1 or near[1][1] - near[0][1] >= margin
+            if dist <= gate and clear and t not in pinned:
+                chosen.append((d, t))
+                pinned.add(t)
             else:
                 rest.append(d)
-        free = sorted(set(pdf["t"]) - pinned)
+        free = sorted({t for _, t, _, _ in part} - pinned)
         if rest and free:
             big = outer * 1000
             cost = np.full((len(rest), max(len(free), len(rest))), big)
             row, col = {d: i for i, d in enumerate(rest)}, {t: j for j, t in enumerate(free)}
-            for e in pdf[pdf["dist"] <= outer].itertuples():
-                if e.d in row and e.t in col:
-                    cost[row[e.d], col[e.t]] = e.dist
+            for d, t, dist, _ in part:
+                if dist <= outer and d in row and t in col:
+                    cost[row[d], col[t]] = dist
             for i, j in enumerate(_optimal(cost)):
                 if j < len(free) and cost[i, j] < big:
                     chosen.append((rest[i], free[j]))
-        return pd.DataFrame(chosen, columns=["d", "t"])
+        return chosen
 
-    return parts.select("root", "d", "t", "dist", "gate").groupBy("root").applyInPandas(solve, "d long, t long")
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = zip(*[pdf[c].tolist() for c in ("root", "d", "t", "dist", "gate")], strict=True)
+        chosen = [x for _, part in groupby(rows, key=itemgetter(0)) for x in solve([r[1:] for r in part])]
+        return pd.DataFrame(chosen, columns=["d", "t"], dtype="int64")
+
+    return over_parts(parts, "root", ["d", "dist", "t"], ["d", "t", "dist", "gate"], each, "d long, t long")
 
 
 def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gates, mark_blind: bool = True, optimal: bool = False) -> DataFrame:
@@ -174,20 +178,38 @@ def _claim(edges: DataFrame) -> DataFrame:
     """Greedy claims in which a winning edge that is ``off`` (another level) ends its device but
     leaves its target: rounds as in ``greedy_pairs``, but only claims use up targets."""
     order = F.struct("dist", "d", "t")
-    left, taken, won = stash(edges, "edges"), [], None
-    while True:
+    left, taken = stash(edges, "edges"), []
+    for _ in range(ROUNDS):
         least_d = left.groupBy("d").agg(F.min(order).alias("o"))
         least_t = left.groupBy("t").agg(F.min(order).alias("o"))
         tops = least_d.join(least_t.select(F.col("t").alias("tt"), F.col("o").alias("ot")), F.col("o.t") == F.col("tt")).where(F.col("o") == F.col("ot")).select(F.col("o.d").alias("d"), F.col("o.t").alias("t"))
         won = stash(left.join(tops, ["d", "t"]), "won")
-        if won.isEmpty():
-            break
         taken.append(won)
         left = stash(left.join(won.select("d"), "d", "left_anti").join(won.where("NOT off").select("t"), "t", "left_anti"), "edges")
-    out = won
-    for w in taken:
-        out = out.unionByName(w)
-    return out
+        if left.isEmpty():
+            break
+    else:
+        taken.append(_in_order(left))
+    return functools.reduce(DataFrame.unionByName, taken)
+
+
+def _in_order(left: DataFrame) -> DataFrame:
+    """The rows of ``left`` that one pass in order takes, by connected parts."""
+    roots = connected_components(left.select((F.col("d") * 2).alias("a"), (F.col("t") * 2 + 1).alias("b")))
+    parts = left.join(roots.select(F.col("v").alias("_v"), "root"), left.d * 2 == F.col("_v"))
+
+    def one_pass(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_d, used_t, out = set(), set(), []  # ids are not shared between parts
+        for d, t, off in zip(pdf["d"].tolist(), pdf["t"].tolist(), pdf["off"].tolist(), strict=True):
+            if d not in used_d and t not in used_t:
+                out.append((d, t))
+                used_d.add(d)
+                if not off:
+                    used_t.add(t)
+        return pd.DataFrame(out, columns=["d", "t"], dtype="int64")
+
+    took = over_parts(parts, "root", ["dist", "d", "t"], ["d", "t", "off"], one_pass, "d long, t long")
+    return left.join(took, ["d", "t"])
 
 
 def tie_candidates(assigned: DataFrame, targets: DataFrame) -> DataFrame:
@@ -211,15 +233,17 @@ def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Col
     outer = gates.mismatch_ft
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(pdf.loc[pdf["claimed"], "candidate"]), []
-        for seq, two in pdf.sort_values("seq").groupby("seq", sort=True):
-            fits = two[two["agrees"] & ~two["candidate"].isin(taken)]
-            if len(two) == 2 and len(fits) == 1 and two["usable"].all() and fits["dist"].iloc[0] <= outer and not (split and two["agrees"].all()):
-                out.append((seq, fits["candidate"].iloc[0]))
-                taken.add(fits["candidate"].iloc[0])
+        taken, out = set(pdf.loc[pdf["claimed"], "candidate"]), []  # candidates are not shared between parts
+        rows = zip(*[pdf[c].tolist() for c in ("seq", "candidate", "agrees", "usable", "dist")], strict=True)
+        for seq, two in groupby(rows, key=itemgetter(0)):
+            two = list(two)
+            fits = [r for r in two if r[2] and r[1] not in taken]
+            if len(two) == 2 and len(fits) == 1 and all(r[3] for r in two) and fits[0][4] <= outer and not (split and all(r[2] for r in two)):
+                out.append((seq, fits[0][1]))
+                taken.add(fits[0][1])
         return pd.DataFrame(out, columns=["seq", "candidate"])
 
-    won = parts.select("root", "seq", "candidate", "agrees", "usable", "claimed", "dist").groupBy("root").applyInPandas(in_order, "seq long, candidate string")
+    won = over_parts(parts, "root", ["seq", "candidate"], ["seq", "candidate", "agrees", "usable", "claimed", "dist"], in_order, "seq long, candidate string")
     take = won.join(cands.select("seq", "candidate", "c_mark", "cx", "cy", "dist"), ["seq", "candidate"]).withColumnRenamed("seq", "_s")
     old = assigned.join(take, assigned.seq == take["_s"], "left")
     hit = F.col("_s").isNotNull()

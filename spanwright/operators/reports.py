@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,16 +124,23 @@ def resolved_again(elements: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def systematic_shift(devices: DataFrame, by: str = "category") -> DataFrame:
     """For each mismatched device: peers of its ``by`` and how many are shifted alike (cosine at
-    least 0.8, length half to twice). Exact and without pairs of all rows: shifts are grouped
-    by equal vector first, then distinct vectors are compared."""
+    least 0.8, length half to twice). Exact and without pairs of all rows: equal vectors are one
+    row, and those meet only by classes of length (powers of two) and direction (ninths of a
+    turn), each with the classes beside it, beyond which no two are alike."""
     v = devices.where("status = 'LOCATION_MISMATCH' AND target_x IS NOT NULL").withColumn("vx", F.col("x") - F.col("target_x")).withColumn("vy", F.col("y") - F.col("target_y"))
     kinds = v.groupBy(by, "vx", "vy").agg(F.count("*").alias("k"))
-    other = kinds.select(F.col(by).alias("_by"), F.col("vx").alias("wx"), F.col("vy").alias("wy"), F.col("k").alias("k2"))
+    size = F.floor(F.log2(F.hypot("vx", "vy"))).cast("int")  # null for no shift, which is like none
+    turn = F.floor((F.atan2("vy", "vx") / (2 * math.pi) + 0.5) * 9).cast("int") % 9
+    kinds = kinds.withColumn("size", size).withColumn("turn", turn)
+    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    other = kinds.withColumn("s", beside).select(F.col(by).alias("_by"), F.col("vx").alias("wx"), F.col("vy").alias("wy"), F.col("k").alias("k2"), (F.col("size") + F.col("s.i")).alias("_size"), F.pmod(F.col("turn") + F.col("s.j"), F.lit(9)).alias("_turn"))
     na, nb = F.hypot("vx", "vy"), F.hypot("wx", "wy")
     alike = F.coalesce((F.try_divide(F.col("vx") * F.col("wx") + F.col("vy") * F.col("wy"), na * nb) >= 0.8) & F.try_divide(nb, na).between(0.5, 2.0), F.lit(False))
     own = (F.col("vx") == F.col("wx")) & (F.col("vy") == F.col("wy"))
-    sums = kinds.join(other, F.col(by) == F.col("_by")).groupBy(by, "vx", "vy").agg(F.sum(F.when(alike, F.col("k2") - F.when(own, 1).otherwise(0)).otherwise(0)).alias("aligned"), (F.sum("k2") - 1).alias("peers"))
-    out = v.join(sums, [by, "vx", "vy"])
+    met = kinds.join(other, (F.col(by) == F.col("_by")) & (F.col("size") == F.col("_size")) & (F.col("turn") == F.col("_turn")))
+    sums = met.groupBy(by, "vx", "vy").agg(F.sum(F.when(alike, F.col("k2") - F.when(own, 1).otherwise(0)).otherwise(0)).alias("aligned"))
+    all_ = kinds.groupBy(by).agg((F.sum("k") - 1).alias("peers"))
+    out = v.join(all_, by).join(sums, [by, "vx", "vy"], "left").withColumn("aligned", F.coalesce("aligned", F.lit(0).cast("long")))
     return out.withColumn("systematic", (F.col("peers") > 0) & (F.col("aligned") >= F.greatest(F.lit(2), F.floor(F.col("peers") / 2))))
 
 

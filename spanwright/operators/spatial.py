@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,8 +68,70 @@ def attach_nearest(members: DataFrame, bodies: DataFrame, gate: float, token: st
     return members.join(best.select("id", "b.*"), "id", "left")
 
 
-def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float, on: str) -> DataFrame:
-    """The points in none of the boxes (x0, y0, x1, y1) of the same ``on``, edges included."""
-    b = boxes.select(F.col(on).alias("_on"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = (points[on] == b["_on"]) & points["x"].between(b["_x0"] - pad, b["_x1"] + pad) & points["y"].between(b["_y0"] - pad, b["_y1"] + pad)
+def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float, on: str, cell: float = 50.0) -> DataFrame:
+    """The points in none of the boxes (x0, y0, x1, y1) of the same ``on``, edges included. A
+    box is sent to all cells that it touches, grown by the pad; cells are ``cell`` wide."""
+    b = boxes.select(F.col(on).alias("_on"), (F.col("x0") - pad).alias("_x0"), (F.col("y0") - pad).alias("_y0"), (F.col("x1") + pad).alias("_x1"), (F.col("y1") + pad).alias("_y1"))
+    b = b.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_x0"), cell), _cell(F.col("_x1"), cell))))
+    b = b.withColumn("_cy", F.explode(F.sequence(_cell(F.col("_y0"), cell), _cell(F.col("_y1"), cell))))
+    same = (points[on] == b["_on"]) & (_cell(points["x"], cell) == b["_cx"]) & (_cell(points["y"], cell) == b["_cy"])
+    hit = same & points["x"].between(b["_x0"], b["_x1"]) & points["y"].between(b["_y0"], b["_y1"])
     return points.join(b, hit, "left_anti")
+
+
+def farthest_pair(points: DataFrame) -> DataFrame:
+    """One row (a, b, dist): the two of ``points`` (seq, id, x, y) that are farthest apart, the
+    least seqs on ties. They are corners of the convex hull; each task sends on the corners of
+    its own rows' hull, which are few, and one task pairs the corners of those."""
+    least = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min_by(F.struct("seq", "id"), "seq").alias("p")).select("p.seq", "p.id", "x", "y")
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pd.concat([kept, batch])
+            kept = rows.iloc[_hull(rows["x"].to_numpy(), rows["y"].to_numpy())]
+        if kept is not None:
+            yield kept
+
+    schema = least.schema
+    few = least.mapInPandas(corners, schema).coalesce(1).mapInPandas(corners, schema)
+    a, b = few.select(*[F.col(c).alias(f"a_{c}") for c in few.columns]), few.select(*[F.col(c).alias(f"b_{c}") for c in few.columns])
+    far = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    best = a.join(b, F.col("a_seq") < F.col("b_seq")).select(far.alias("dist"), "a_seq", "b_seq", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return best.orderBy(F.desc("dist"), "a_seq", "b_seq").limit(1).select("a", "b", "dist")
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of the corners of the convex hull, by a sweep from left to right and back."""
+    order = np.lexsort((y, x)).tolist()
+    xs, ys = x.tolist(), y.tolist()
+
+    def side(places: list[int]) -> list[int]:
+        out: list[int] = []
+        for k in places:
+            while len(out) > 1 and (xs[out[-1]] - xs[out[-2]]) * (ys[k] - ys[out[-2]]) <= (ys[out[-1]] - ys[out[-2]]) * (xs[k] - xs[out[-2]]):
+                out.pop()
+            out.append(k)
+        return out
+
+    return sorted({*side(order), *side(order[::-1])})
+
+
+def closest_pair(points: DataFrame, by: str) -> DataFrame:
+    """(``by``, a, b, dist): the two points (seq, x, y) of each ``by`` that are nearest, the
+    least seqs on ties. The least step in order of x, or of y, bounds the distance; points then
+    meet in cells of that width, of which none holds many."""
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select(by, "seq", "x", "y")
+    steps = []
+    for first, second in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(by).orderBy(first, second, "seq")
+        steps.append(at.select(by, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step")))
+    gate = steps[0].unionByName(steps[1]).groupBy(by).agg(F.greatest(F.min("step"), F.lit(1e-9)).alias("gate")).where("gate IS NOT NULL")
+    rows = at.join(gate, by)
+    cell = lambda c: F.floor(F.col(c) / F.col("gate")).cast("long")
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = rows.select(by, F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    b = rows.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).select(by, F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
+    pairs = a.join(b, [by, "cx", "cy"]).where("a < b")
+    dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_"))
+    return pairs.groupBy(by).agg(F.min(F.struct(dist.alias("dist"), "a", "b")).alias("p")).select(by, "p.a", "p.b", "p.dist")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.functions import geometry as G
 from spanwright.operators import fit
 from spanwright.operators.cluster import devices, leader_clusters, single_link
-from spanwright.operators.spatial import attach_nearest, nearest_k, outside_boxes, segments_within, within
+from spanwright.operators.spatial import attach_nearest, farthest_pair, nearest_k, outside_boxes, segments_within, within
 
 from .registrar import query
 from .views import PRELUDE, callouts, places, targets
@@ -54,23 +54,27 @@ def affine_apply_invert(spark: SparkSession, d: str) -> DataFrame:
     return there.select("id", "px", "py", bx.alias("bx"), by.alias("by"))
 
 
-@query(PRELUDE + ", v AS (SELECT DISTINCT n % 30 AS i FROM keys), h AS (SELECT DISTINCT n // 30 AS j FROM keys WHERE n // 30 < 40) SELECT i, j, i * 20.0 AS x, j * 20.0 AS y FROM v CROSS JOIN h")
+@query(PRELUDE + ", v AS (SELECT DISTINCT n % 30 AS i FROM keys), h AS (SELECT DISTINCT n // 30 AS j FROM keys) SELECT i, j, i * 20.0 AS x, j * 20.0 AS y FROM v CROSS JOIN h")
 def grid_intersections(spark: SparkSession, d: str) -> DataFrame:
     """Lettered with numbered grid lines: both lists are a sheet's, so the product is what is
     asked for."""
     p = places(spark, d)
-    a, b = p.selectExpr("n % 30 AS i").distinct(), p.where("n div 30 < 40").selectExpr("n div 30 AS j").distinct()
+    a, b = p.selectExpr("n % 30 AS i").distinct(), p.selectExpr("n div 30 AS j").distinct()
     z, far = F.lit(0.0), F.lit(100.0)
     x, y = G.line_intersection((F.col("i") * 20.0, z, F.col("i") * 20.0, far), (z, F.col("j") * 20.0, far, F.col("j") * 20.0))
     return a.join(b).select("i", "j", x.alias("x"), y.alias("y"))
 
 
-@query(PRELUDE + ", p AS (SELECT * FROM callouts WHERE seq < 2000 AND sheet = 'S1') SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS dist FROM p a JOIN p b ON a.seq < b.seq ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) DESC, a.seq, b.seq LIMIT 1")
+@query(
+    PRELUDE + """, p AS (SELECT * FROM callouts WHERE sheet = 'S1'),
+-- of the points of one height only the outermost can be farthest from any other point
+q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY y ORDER BY x, seq) = 1 OR row_number() OVER (PARTITION BY y ORDER BY x DESC, seq) = 1)
+SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS dist FROM q a JOIN q b ON a.seq < b.seq
+ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) DESC, a.seq, b.seq LIMIT 1"""
+)
 def max_diagonal_pair(spark: SparkSession, d: str) -> DataFrame:
     """Benchmarks are picked among one sheet's grid points."""
-    p = callouts(spark, d).where("seq < 2000 AND sheet = 'S1'")
-    a, b = p.select(F.col("seq").alias("sa"), F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("seq").alias("sb"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, F.col("sa") < F.col("sb")).withColumn("far", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).orderBy(F.desc("far"), "sa", "sb").limit(1).select("a", "b", F.round("far", 6).alias("dist"))
+    return farthest_pair(callouts(spark, d).where("sheet = 'S1'")).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 NEAR = "JOIN targets t ON c.mark = t.mark AND sqrt((c.x - t.x) ** 2 + (c.y - t.y) ** 2) <= 6"
@@ -114,17 +118,14 @@ def bbox_exclusion_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return outside_boxes(callouts(spark, d).withColumn("k", F.expr("seq div 10 % 5")), b, 6.0, "k").select("id")
 
 
-@query(
-    PRELUDE.replace("WITH keys", "WITH RECURSIVE keys") + ", p AS (SELECT n AS seq, mark, px - (CAST(px / 20 AS INTEGER) % 3) * 12 AS x, py FROM places WHERE py < 200), "
-    "e AS (SELECT a.seq AS s, b.seq AS t FROM p a JOIN p b ON a.mark = b.mark AND sqrt((a.x - b.x) ** 2 + (a.py - b.py) ** 2) <= 60), "
-    "r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s) SELECT s AS seq, min(t) AS component FROM r GROUP BY 1"
-)
+# a row's places meet those two columns off in the next row, 26 or 56 ft away, so each mark is one component
+@query(PRELUDE + "SELECT n AS seq, min(n) OVER (PARTITION BY mark) AS component FROM places")
 def single_link_components(spark: SparkSession, d: str) -> DataFrame:
-    p = places(spark, d).where("py < 200").selectExpr("n AS seq", "mark", "px - (cast(px / 20 AS int) % 3) * 12 AS x", "py AS y")
+    p = places(spark, d).selectExpr("n AS seq", "mark", "px - (cast(px / 20 AS int) % 3) * 12 AS x", "py AS y")
     return single_link(p, 60.0, "mark").select("seq", "component")
 
 
-@query(None)
+@query(PRELUDE + "SELECT id, mark, seq // 10 * 10 AS founder FROM callouts")
 def leader_cluster_members(spark: SparkSession, d: str) -> DataFrame:
     return leader_clusters(callouts(spark, d), 3.0).select("id", "mark", "founder")
 
@@ -153,7 +154,8 @@ def compass_and_angles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def ransac_fit(spark: SparkSession, d: str) -> DataFrame:
-    """One sheet's corner of the drawing against the model, moved and mirrored."""
-    t = targets(spark, d).where("x <= 160 AND y <= 160")
-    c = callouts(spark, d).where("sheet = 'S1' AND x <= 160 AND y <= 160").selectExpr("mark", "100 + 4 * x AS x", "900 - 4 * y AS y")
-    return fit.ransac(c, t, "mark", 2.0, tries=400).select("reflected", "inliers", F.round("scale", 3).alias("scale"))
+    """Details of 80 by 80 ft, each drawn mirrored and at a scale of its own, against the model."""
+    detail = F.concat_ws("/", F.floor(F.col("x") / 80), F.floor(F.col("y") / 80))
+    t = targets(spark, d).withColumn("detail", detail)
+    c = callouts(spark, d).where("sheet = 'S1'").withColumn("detail", detail).selectExpr("detail", "mark", "100 + 4 * x AS x", "900 - 4 * y AS y")
+    return fit.ransac(c, t, "detail", "mark", 2.0, tries=400).select("detail", "reflected", "inliers", F.round("scale", 3).alias("scale"))

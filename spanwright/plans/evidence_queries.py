@@ -10,6 +10,7 @@ from spanwright.functions import marks as K
 from spanwright.functions.verdicts import registration_state
 from spanwright.operators import evidence as E
 from spanwright.operators import fit
+from spanwright.operators.spatial import closest_pair
 from spanwright.sources.exports import overlay_svg
 
 from .matching_queries import _assigned
@@ -65,7 +66,7 @@ def distinct_within_tolerance(spark: SparkSession, d: str) -> DataFrame:
 @query(PRELUDE + ", p AS (SELECT n // 12 AS page, n AS seq, (n * n) % 97 AS x, (n * 5) % 89 AS y FROM keys) SELECT a.page, a.seq AS a, b.seq AS b FROM p a JOIN p b ON a.page = b.page AND a.seq < b.seq QUALIFY row_number() OVER (PARTITION BY a.page ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), a.seq, b.seq) = 1")
 def closest_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = places(spark, d).selectExpr("n div 12 AS page", "n AS seq", "cast(n * n % 97 AS double) AS x", "cast(n * 5 % 89 AS double) AS y")
-    return E.closest_pair(p, "page").select("page", "a", "b")
+    return closest_pair(p, "page").select("page", "a", "b")
 
 
 @query(PRELUDE + ", c AS (SELECT mark, status, count(*) AS k, min(seq) AS seen FROM elements GROUP BY ALL), t AS (SELECT mark, sum(k)::BIGINT AS n FROM c GROUP BY 1) SELECT mark, n, status AS modal FROM c JOIN t USING (mark) WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mark ORDER BY k DESC, seen) = 1")
@@ -113,7 +114,7 @@ def overlay_svgs(spark: SparkSession, d: str) -> DataFrame:
     return svg.select("sheet", (F.size(F.split("svg", "<circle ")) - 1).cast("long").alias("circles"))
 
 
-@query(PRELUDE + "SELECT id, [x - 1, y - 1, z, x + 1, y + 2, z + 3] AS box FROM targets")
+@query(PRELUDE + "SELECT id, [CAST(v AS DOUBLE) FOR v IN [x - 1, y - 1, z, x + 1, y + 2, z + 3]] AS box FROM targets")
 def scene_boxes(spark: SparkSession, d: str) -> DataFrame:
     box = F.array(F.array(F.col("x") + 1, F.col("y") - 1, F.col("z") + 3), F.array(F.col("x") - 1, F.col("y") + 2, F.col("z")))
     return E.scene_boxes(targets(spark, d).withColumn("bbox", box).withColumn("category", F.lit("c"))).select("id", "box")

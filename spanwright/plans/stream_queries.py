@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.streaming import progress as S
 
 from .registrar import query
-from .views import log_events, places
+from .views import PRELUDE, log_events, places
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,21 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     return S.allowed(log_events(spark, d).select("event_id", "user_id", "ts"), "user_id", most=2, seconds=3600).select("event_id", "recent", "within_limit")
 
 
-@query(None)
+def _fsm_sql() -> str:
+    """One step of every project after another."""
+    allowed = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b" for a, to in S.FOLLOWS.items() for b in to)
+    names = ", ".join(f"'{s}'" for s in [*list(S.FOLLOWS)[1:10], "stamping", "failed", "proposing", "failed"])
+    return PRELUDE.replace("WITH keys", "WITH RECURSIVE keys") + f""", allowed AS ({allowed}),
+steps AS (SELECT n // 13 AS project, row_number() OVER (PARTITION BY n // 13 ORDER BY n) AS i, [{names}][1 + n % 13] AS to_state FROM keys),
+f(project, i, state, refused) AS (
+  SELECT DISTINCT project, CAST(0 AS BIGINT), 'idle', CAST(0 AS BIGINT) FROM steps
+  UNION ALL
+  SELECT s.project, s.i, CASE WHEN a.b IS NULL THEN f.state ELSE s.to_state END, f.refused + CASE WHEN a.b IS NULL THEN 1 ELSE 0 END
+  FROM f JOIN steps s ON s.project = f.project AND s.i = f.i + 1 LEFT JOIN allowed a ON a.a = f.state AND a.b = s.to_state)
+SELECT project, state, refused FROM f QUALIFY row_number() OVER (PARTITION BY project ORDER BY i DESC) = 1"""
+
+
+@query(_fsm_sql())
 def fsm_fold(spark: SparkSession, d: str) -> DataFrame:
     return S.workflow_states(_steps(spark, d), "project")
 

@@ -83,10 +83,12 @@ def title_matches(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).select("n", K.titles_match(live, K.stem(F.concat(F.lit("C:\\jobs\\TOWER "), "n", F.lit("_v2.rvt")))).alias("same"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^[:alnum:]àâäáçéèêëíìîïñóòôöúùûüßœæ]+', '-', 'g'), '^-+|-+$', '', 'g'))[1:48] AS slug FROM conversations WHERE regexp_matches(text, '^[ -~\\s]*$')")
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN slug = '' THEN 'project' ELSE slug END AS slug FROM (
+  SELECT conv_id, turn, left(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) AS slug FROM conversations)"""
+)
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("text").rlike(r"^[ -~\s]*$"))
-    return c.select("conv_id", "turn", K.slug(F.substring("text", 1, 60)).alias("slug"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", K.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -105,10 +107,14 @@ def title_strip_pick(spark: SparkSession, d: str) -> DataFrame:
     return X.sheet_number(words)
 
 
-@query(None)
+@query(
+    PRELUDE + """, r AS (SELECT * FROM (VALUES (1, 'H1', 'H1 HDU2'), (2, 'H2', 'H2 HDU5 tall'), (3, 'H3', 'H3 HDU8')) v(row_no, mark, row_text))
+SELECT page, 'holdown' AS category, row_no, mark, row_text FROM (SELECT DISTINCT n // 40 AS page FROM keys) CROSS JOIN r"""
+)
 def schedule_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A schedule drawn on each page: header, sub-header, five rows, of which one wraps."""
-    pages = places(spark, d).where("n % 40 = 0").selectExpr("n AS page")
+    """A schedule drawn on the page of each forty places: header, sub-header, three rows, of
+    which one wraps."""
+    pages = places(spark, d).selectExpr("n div 40 AS page").distinct()
     cells = "VALUES (0,100,50,'HOLDOWN'),(1,160,50,'SCHEDULE'),(2,100,70,'MARK'),(3,200,70,'TYPE'),(4,100,90,'H1'),(5,200,90,'HDU2'),(6,100,112,'H2'),(7,200,112,'HDU5'),(8,200,118,'tall'),(9,100,140,'H3'),(10,200,140,'HDU8'),(11,100,300,'NOTES')"
     rows = spark.sql(f"SELECT * FROM {cells} AS t(seq, x0, y0, text)")
     words = pages.join(F.broadcast(rows)).selectExpr("page", "seq", "cast(x0 AS double) AS x0", "cast(y0 AS double) AS y0", "cast(x0 + 30 AS double) AS x1", "cast(y0 + 8 AS double) AS y1", "text")

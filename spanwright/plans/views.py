@@ -1,5 +1,5 @@
-"""Deterministic drawing and model tables derived from ``orders`` and ``events``, with the same
-rules as SQL. All numbers are multiples of a quarter, so both engines get the same results."""
+"""Deterministic drawing and model tables derived from all ``orders`` and ``events``, with the
+same rules as SQL. All numbers are multiples of a quarter, so both engines get the same results."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: The same views for DuckDB, to put before a query.
 PRELUDE = """
-WITH keys AS (SELECT o_orderkey // 25 AS n FROM orders WHERE o_orderkey % 25 = 0),
-places AS (SELECT n, 'H' || (n % 4) AS mark, (n % 30) * 20.0 AS px, (n // 30) * 20.0 AS py FROM keys),
+WITH keys AS (SELECT o_orderkey AS n FROM orders),
+places AS (SELECT n, 'H' || (n % 4) AS mark, CAST(n % 30 * 20 AS DOUBLE) AS px, CAST(n // 30 * 20 AS DOUBLE) AS py FROM keys),
 callouts AS (
   SELECT 10 * n AS seq, 'c' || (10 * n) AS id, 'S1' AS sheet, mark, px AS x, py AS y FROM places
   UNION ALL SELECT 10 * n + 1, 'c' || (10 * n + 1), 'S2', mark, px + 0.25, py - 0.25 FROM places WHERE n % 3 = 0),
@@ -29,7 +29,7 @@ elements AS (
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 25 = 0").selectExpr("o_orderkey div 25 AS n")
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS n")
     return n.selectExpr("n", "concat('H', n % 4) AS mark", "cast(n % 30 * 20 AS double) AS px", "cast(n div 30 * 20 AS double) AS py")
 
 

@@ -25,7 +25,7 @@ def duck():
 def plain(v):
     if isinstance(v, Decimal | float):
         return float(f"{float(v):.9g}")
-    return str(v) if isinstance(v, list | tuple) else v
+    return str([plain(x) for x in v]) if isinstance(v, list | tuple) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

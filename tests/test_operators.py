@@ -40,8 +40,13 @@ def test_calibration_finds_the_mirrored_fit(spark):
 def test_ransac_ignores_strays(spark):
     good = [("A", float(x), float(y)) for x, y in ((0, 0), (30, 0), (0, 20), (25, 18))]
     moved = [(m, 100 + 4 * x, 900 - 4 * y) for m, x, y in good] + [("A", 400.0, 20.0)]
-    r = fit.ransac(spark.createDataFrame(good + [("A", 77.0, 3.0)], "mark string, x double, y double"), spark.createDataFrame(moved, "mark string, x double, y double"), "mark", 2.0, tries=600).first()
-    assert (r.inliers, r.reflected) == (4, True) and r.scale == pytest.approx(4)
+    frame = lambda rows, sheet: spark.createDataFrame([(sheet, *r) for r in rows], "sheet string, mark string, x double, y double")
+    left = frame(good + [("A", 77.0, 3.0)], "S1").unionByName(frame(good, "S2")).unionByName(frame(good[:2], "S3"))
+    right = frame(moved, "S1").unionByName(frame([(m, 2 * x, 2 * y) for m, x, y in good], "S2")).unionByName(frame(moved[:2], "S3"))
+    got = {r.sheet: r for r in fit.ransac(left, right, "sheet", "mark", 2.0, tries=600).collect()}
+    assert set(got) == {"S1", "S2"}
+    assert (got["S1"].inliers, got["S1"].reflected) == (4, True) and got["S1"].scale == pytest.approx(4)
+    assert got["S2"].inliers == 4 and got["S2"].scale == pytest.approx(2)
 
 
 def test_geometry_columns(spark):
