@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwright.sources.scratch import stash
 
-__all__ = ["WORD_GAP", "arrow_map", "blank", "null_key", "sliced", "stash", "table", "texts"]
+__all__ = ["WORD_GAP", "arrow_map", "blank", "null_key", "sliced", "stash", "table", "texts", "unused"]
 
 #: Characters that part words everywhere in this package: space and U+0009 to U+000D.
 #: ``bytes.split()`` and ``bytes.lower()`` use the same ASCII sets.
@@ -58,6 +58,14 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blank(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

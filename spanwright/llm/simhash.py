@@ -11,13 +11,18 @@ group of near copies costs in proportion to its size and isn't expanded into pai
 
 Null text counts as empty; texts without words have fingerprint zero and are linked like
 others. Copies and repeated rows share one fingerprint and are joined back at the end. A
-null doc_id never names a component unless all of the component's are null. An empty table
-gives an empty result. Other columns are not read.
+null doc_id never names a component unless all of the component's are null. Very long texts
+are read whole. An empty table gives an empty result. Other columns are not read.
+
+``near_copies`` groups by a stated similarity of word shingles instead, for which 64 bits are
+too few: it traverses tries of wider fingerprints and holds what meets to the shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators.graph import connected_components
 
-from .common import arrow_map, stash, table, texts
+from .common import arrow_map, blank, stash, table, texts, unused
 
 SEED = 42
 
@@ -141,18 +146,145 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 3) -> Da
     return prints.join(names, "f").select("doc_id", "f", "root", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
-    """``docs`` with one row of each group of near fingerprints: the one with the least
-    doc_id (nulls last), then the least text hash. Three of 64 bits stand for a cosine of
-    about 0.99 between the counts of shingles, well above a similarity of 0.8."""
-    mine = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = stash(fingerprints(mine, shingle, ("doc_id", "_text")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")
-    each = prints.groupBy("f").agg(F.min(order).alias("first")).join(near_groups(prints, budget), "f")
-    chosen = each.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_first"))
+# Near copies by similarity: wide fingerprints
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """shingle: words of a shingle. similarity: least Jaccard similarity of the sets of shingles
+    of two linked texts. recall: share of the pairs just at that similarity that the search
+    should meet. spare: bits of a trie's depth beyond the logarithm of the number of texts."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    recall: float = 0.95
+    spare: int = 2
+
+    @property
+    def apart(self) -> float:
+        """Share of fingerprint bits that differ at the least similarity: the angle between the
+        counts of shingles of two texts of one length, over a half turn."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    def tries(self, texts: int) -> tuple[int, int]:
+        """(depth, how many): deep enough that few unrelated texts meet; so many that all miss a
+        pair, each with more than one differing bit, with odds of 1 - recall at most."""
+        depth = min(60, max(8, math.ceil(math.log2(max(texts, 2))) + self.spare))
+        q = (1 - self.apart) ** depth + depth * self.apart * (1 - self.apart) ** (depth - 1)
+        return depth, math.ceil(math.log(1 - self.recall) / math.log(1 - q))
+
+    def budget(self, bits: int) -> int:
+        """Differing bits beyond which a pair is dropped: three deviations above the mean."""
+        return math.floor(bits * self.apart + 3 * math.sqrt(bits * self.apart * (1 - self.apart)))
+
+
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+    return np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+
+
+def wide_prints(docs: DataFrame, key: str, shingle: int, depth: int, count: int) -> DataFrame:
+    """``key`` and f: ``count`` words of ``depth`` bits, each a fingerprint of its own hashes."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = []
+        for text in texts(batch):
+            h, words = _shingle_hashes(text, shingle), []
+            for k in range(count):
+                x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+                size, ones = -(-depth // 8), np.zeros(8 * -(-depth // 8), dtype=np.int64)
+                for at in range(0, len(x), 1 << 16):
+                    ones += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :size], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                words.append(int.from_bytes(np.packbits(2 * ones[:depth] > len(x), bitorder="little").tobytes(), "little"))
+            out.append(words)
+        yield {key: batch.column(key), "f": out}
+
+    kind = dict(docs.dtypes)[key]
+    return arrow_map(docs.select(key, "text"), run, f"`{key}` {kind}, f array<bigint>")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as that."""
+    left, right = sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), sets.select(F.col("t").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
+    """``docs``: t (the text's hash) and text."""
+    pairs = stash(pairs.select("a", "b"), "candidates")
+    need = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"t": batch.column("t"), "s": [np.unique(_shingle_hashes(x, how.shingle)).view(np.int64) for x in texts(batch)]}
+
+    sets = stash(arrow_map(docs.join(need, "t", "left_semi"), run, "t bigint, s array<bigint>").dropDuplicates(["t"]), "sets")
+    return _alike(pairs, sets, how.similarity)
+
+
+def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """(t, root): every text hash of ``docs`` (t, text) with the least of its group of near copies.
+
+    Tries of wide fingerprints, one for each word of them, are joined with themselves: node
+    pairs are followed to ``depth`` with at most one differing bit, and what meets there is
+    pruned by the differing bits of all words. Candidates are then held to the exact similarity
+    of their shingles. Texts that share a leaf are first linked to the nearest of the leaves'
+    least texts, so a dense group is one component before pairs are looked for; those only
+    matter between components, and a text is held to its nearest in each."""
+    depth, count = how.tries(docs.select("t").distinct().count())
+    limit = how.budget(depth * count)
+    prints = stash(wide_prints(docs, "t", how.shingle, depth, count).dropDuplicates(["t"]), "prints")
+    leaf = lambda df: df.select("*", F.posexplode("f").alias("w", "k"))
+    leaves = leaf(prints).select("t", "w", "k")
+    star = leaves.groupBy("w", "k").agg(F.min("t").alias("m"))
+    tied = leaves.join(star, ["w", "k"]).where("t != m").select("t", "m").distinct()
+    centre = prints.select(F.col("t").alias("m"), F.col("f").alias("fm"))
+    far = tied.join(prints, "t").join(centre, "m").select("t", "m", _apart(F.col("f"), F.col("fm")).alias("d")).where(F.col("d") <= limit)
+    nearest = far.groupBy("t").agg(F.min(F.struct("d", "m")).alias("b")).select(F.col("t").alias("a"), F.col("b.m").alias("b"))
+    first = connected_components(_verified(nearest, docs, how))
+    known = stash(prints.join(first, prints.t == first.v, "left").select("t", "f", F.coalesce("root", "t").alias("c")), "known")
+    nodes = stash(leaf(known).groupBy("w", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "nodes")
+    flips = _flips(F.col("k"), range(depth), F.lit(True))
+    other = nodes.select("w", F.col("k").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
+    met = nodes.select("w", F.col("k").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.explode(flips).alias("y")).join(other, ["w", "y"]).where(_different("x", "y")).select("w", "x", "y")
+    side = lambda n: leaf(known).select("w", F.col("k").alias(n), F.col("t").alias(f"t{n}"), F.col("f").alias(f"f{n}"), F.col("c").alias(f"c{n}"))
+    apart = _apart(F.col("fx"), F.col("fy"))
+    pairs = met.join(side("x"), ["w", "x"]).join(side("y"), ["w", "y"]).where((F.col("cx") != F.col("cy")) & (apart <= limit))
+    pairs = pairs.select("tx", "ty", "cx", "cy", apart.alias("d"))
+    pairs = stash(pairs.unionByName(pairs.select(F.col("ty").alias("tx"), F.col("tx").alias("ty"), F.col("cy").alias("cx"), F.col("cx").alias("cy"), "d")), "met")
+    best = pairs.groupBy("tx", "cx", "cy").agg(F.min(F.struct("d", "ty")).alias("b")).select(F.col("tx").alias("a"), F.col("b.ty").alias("b"))
+    links = _verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, how)
+    names = known.select("t", "c")
+    joined = connected_components(links.join(names.select(F.col("t").alias("a"), F.col("c").alias("ca")), "a").join(names.select(F.col("t").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return names.join(joined, names.c == joined.v, "left").select("t", F.coalesce("root", "c").alias("root"))
+
+
+def one_of_each_group(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the least doc_id (nulls
+    last), then the least text hash. Null text counts as empty; texts without words are one
+    group; an empty table stays empty; columns of any names are kept as they are."""
+    key = unused(docs, "text_hash")
+    mine = docs.withColumn(key, F.xxhash64(blank(F.col("text"))))
+    slim = mine.select(F.col(key).alias("t"), "text")
+    wordy = F.lower(blank(F.col("text"))).rlike(r"[^\x20\x09-\x0D]")
+    groups = near_copies(slim.where(wordy), how)
+    ids = mine.select("doc_id", F.col(key).alias("t"), wordy.alias("wordy"))
+    named = ids.join(groups, "t", "left").select("doc_id", "t", F.when(F.col("wordy"), F.col("root")).alias("root"), "wordy")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    chosen = named.groupBy("root", "wordy").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"))
     chosen = stash(chosen.distinct(), "chosen")
-    kept = mine.join(chosen, (mine["_text"] == chosen["_first"]) & mine["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = mine.join(chosen, (mine[key] == chosen["_t"]) & mine["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,43 @@ def test_simhash_of_odd_rows(odd, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def shingle_sets(texts, n=5):
+    out = []
+    for t in texts:
+        w = t.encode().lower().split()
+        out.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    return out
+
+
+def test_near_copies_equal_all_pairs_by_shingles(spark, documents):
+    """Groups of at least 0.8, against all pairs; edited copies at all similarities, many of one."""
+    rng = np.random.default_rng(1)
+    texts = sorted({r.text for r in documents.collect() if r.text and len(r.text.split()) > 60})[:60]
+    for t in texts[:25]:
+        w = t.split()
+        for share in (0.004, 0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join(f"q{rng.integers(1e6)}" if rng.random() < share else x for x in w))
+    texts += [f"{texts[0]} end{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "t long, text string")
+    root = {r.t: r.root for r in simhash.near_copies(df).collect()}
+    sets = shingle_sets(texts)
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum(root[i] == root[j] for i, j in close)
+    assert len(close) > 200 and found >= 0.95 * len(close)
+    whole = {i: i for i in range(len(texts))}  # groups that all close pairs make
+    for i, j in close:
+        a, b = whole[i], whole[j]
+        whole = {k: min(a, b) if v in (a, b) else v for k, v in whole.items()}
+    assert all(whole[i] == whole[r] for i, r in root.items())  # nothing else is linked
+
+
+def test_one_of_each_group_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h", "x", 5), (2, "a b c d e f g h", "y", 6), (3, None, "z", 7), (4, " ", "w", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, _text long")
+    kept = simhash.one_of_each_group(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 BENCH = ["Tom has 12 apples and gives 5 kg of them to Mary before the long train leaves Paris at night", "what is the capital of the country that borders the sea to the north and the hills"]
 
 
