@@ -2,7 +2,8 @@
 
 The pieces between spaces have ids of their own in both tokenizers used here: no token of
 theirs reaches over a space that follows a word. So a text's ids are its pieces' ids joined;
-a text with runs of white space that a piece would cut goes to the tokenizer whole.
+a text with runs of white space that a piece would cut, or with a token that the file adds to
+its vocabulary ("<|endoftext|>"), goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.spaced = spaced
         self.letters = _byte_letters()
@@ -73,6 +74,8 @@ class Pieces:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         pieces = text.split(" ")
         known, extra = self.known, {}
         head = b""
