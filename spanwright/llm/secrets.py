@@ -7,9 +7,13 @@ corpus, the distinct repositories and owners of each hash are counted. A value t
 owners have is a widely copied example; one that stays with its owner looks live. Tokens of
 the fourth kind count as spans only if they look live.
 
+Where no column tells the repository, each distinct text is one, so copies of a document don't
+make its secret look shared.
+
 Null text counts as empty. A null owner or repository counts as one more owner or repository.
-Repeated rows count once as to owners and repositories and are each reported. An empty table
-gives an empty result. Only the named columns are read.
+Repeated rows count once as to owners and repositories and are each reported. Very long texts
+are searched whole. Spans that start at one place are listed by kind. An empty table gives an
+empty result. Only the named columns are read, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, null_key, stash, table, texts
+from .common import arrow_map, blank, null_key, stash, table, texts, unused
 
 #: Kinds in the order in which equal places are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -80,6 +84,10 @@ def _beside(start: int, end: int, base: list[tuple[int, int, int, str]]) -> list
     return [(s, e) for s, e in [*out, (start, end)] if s < e]
 
 
+def text_hash() -> Column:
+    return F.xxhash64(blank(F.col("text")))
+
+
 def find(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and, for each document, the arrays starts, kinds, ends and values (hashes)."""
 
@@ -98,22 +106,22 @@ def find(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return arrow_map(docs.select(*dict.fromkeys((*keep, "text"))), run, f"{columns}, starts array<int>, kinds array<int>, ends array<int>, hashes array<bigint>")
 
 
-def ownership(found: DataFrame, owner: str, repository: str, rules: Ownership) -> DataFrame:
+def ownership(found: DataFrame, owner: str, repository: str | None, rules: Ownership) -> DataFrame:
     """(hash, repositories, owners, live): one row for each candidate value of the corpus.
     Distinct triples first, so that a value with very many copies is summed on the map side."""
-    seen = found.select(F.explode("hashes").alias("hash"), null_key(owner).alias("owner"), null_key(repository).alias("repository"))
+    seen = found.select(F.explode("hashes").alias("hash"), null_key(owner).alias("owner"), (null_key(repository) if repository else F.col("_text")).alias("repository"))
     counts = seen.distinct().groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
     example = (F.col("owners") >= rules.example_owners) | ((F.col("repositories") >= rules.example_repositories) & (F.col("owners") >= 2))
     return counts.withColumn("live", ~example)
 
 
-def judged_spans(docs: DataFrame, keep: tuple[str, ...], owner: str = "source", repository: str = "doc_id", rules: Ownership = Ownership()) -> DataFrame:
+def judged_spans(docs: DataFrame, keep: tuple[str, ...], owner: str = "source", repository: str | None = None, rules: Ownership = Ownership()) -> DataFrame:
     """``keep`` and spans: array of (start, kind, end, live) in order; kind is a place in
     KINDS. Only documents with candidates go through the join with the ownership table.
 
     Rows are told apart by a number given to each when the candidates are stored."""
-    need = tuple(dict.fromkeys((*keep, owner, repository)))
-    found = stash(find(docs, need).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    need = tuple(dict.fromkeys((*keep, owner, *([repository] if repository else []), "_text")))
+    found = stash(find(docs.select(*need[:-1], *({"text"} - {*need}), text_hash().alias("_text")), need).withColumn("row", F.monotonically_increasing_id()), "candidates")
     owners = ownership(found.where(F.size("hashes") > 0), owner, repository, rules)
     each = found.where(F.size("hashes") > 0).select("row", F.posexplode(F.arrays_zip("starts", "kinds", "ends", "hashes")).alias("i", "c")).select("row", "c.*").withColumnRenamed("hashes", "hash")
     span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "live")
@@ -122,20 +130,22 @@ def judged_spans(docs: DataFrame, keep: tuple[str, ...], owner: str = "source",
     return found.select("row", *keep).join(lists, "row", "left").select(*keep, F.coalesce("spans", empty).alias("spans"))
 
 
-def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", rules: Ownership = Ownership()) -> DataFrame:
-    """``docs`` with every span replaced by its kind, "<hex>", or "<hex:example>" if its value
+def redacted(docs: DataFrame, owner: str = "source", repository: str | None = None, rules: Ownership = Ownership()) -> DataFrame:
+    """``docs``, all of its columns, with every span replaced by its kind, "<hex>", or "<hex:example>" if its value
     is a widely copied example; overlapping spans are one. n_chars, if there is one, follows."""
-    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = stash(find(keyed, tuple(dict.fromkeys(("_text", owner, repository)))).where(F.size("hashes") > 0), "candidates")
+    need = tuple(dict.fromkeys((owner, *([repository] if repository else []))))
+    slim = docs.select(*need, *({"text"} - {*need}), text_hash().alias("_text"))
+    found = stash(find(slim, ("_text", *need)).where(F.size("hashes") > 0), "candidates")
     owners = ownership(found, owner, repository, rules)
     each = found.dropDuplicates(["_text"]).select("_text", F.explode(F.arrays_zip("starts", "kinds", "ends", "hashes")).alias("c")).select("_text", "c.*").withColumnRenamed("hashes", "hash")
     span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), "live")
-    spans = each.join(owners, "hash").where((F.col("kinds") < 3) | F.col("live")).groupBy("_text").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
+    key, listed = unused(docs, "text_hash"), unused(docs, "found_spans")
+    spans = each.join(owners, "hash").where((F.col("kinds") < 3) | F.col("live")).groupBy(F.col("_text").alias(key)).agg(F.sort_array(F.collect_list(span)).alias(listed))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         new = []
-        for text, found_here in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, found_here in zip(batch.column("text").to_pylist(), batch.column(listed).to_pylist(), strict=True):
             out, last = [], 0
             for s in found_here or []:
                 if s["start"] >= last:
@@ -148,7 +158,7 @@ def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
         yield kept
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return arrow_map(keyed.join(spans, "_text", "left").select(*names, "_spans"), run, kinds)
+    return arrow_map(docs.withColumn(key, text_hash()).join(spans, key, "left").select(*names, listed), run, kinds)
 
 
 def _listed(spans: str) -> str:
