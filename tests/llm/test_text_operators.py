@@ -24,7 +24,7 @@ def plain_statistics(t):
 
 
 def test_statistics_equal_plain_counts(documents, odd):
-    for df in (documents, odd.where("doc_id <> 5 OR doc_id IS NULL")):
+    for df in (documents, odd):
         for r in quality.text_statistics(df.select("doc_id", "text")).collect():
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(r.text or ""), r.doc_id
 
@@ -42,6 +42,12 @@ def test_windows_are_compared_by_all_bits(spark):
     assert [r[0] for r in df.select(quality._covered(F.col("h"))).collect()] == [0, 6]
 
 
+def test_windows_of_one_hash_are_told_apart_by_words(spark):
+    rows = [([9, 9, 9], list("abcde")), ([9, 9, 9, 9], list("aaaaxy")), ([9, 4, 9, 4, 9], list("abababc"))]
+    df = spark.createDataFrame(rows, "h array<bigint>, w array<string>")
+    assert [r[0] for r in df.select(quality._covered(F.col("h"), F.col("w"))).collect()] == [0, 4, 6]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, documents):
     rows = quality.quality_report(documents).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
@@ -60,6 +66,49 @@ def test_mcd_ignores_a_far_quarter(spark):
     assert all(abs(fit[f"m{i}"]) < 0.2 and 0.8 < fit[f"l{i}{i}"] < 1.25 for i in range(5))
 
 
+def plain_mcd(x, cover, steps, floors):
+    """Concentration by sorting whole distances, from many random starts: the least determinant."""
+    rng, best = np.random.default_rng(5), None
+    scale = quality.consistency(cover, x.shape[1])
+    for _ in range(40):
+        part = x[rng.choice(len(x), 40, replace=False)]
+        for _ in range(30):
+            s = np.cov(part.T, bias=True) * scale + np.diag(np.square(floors))
+            d = np.einsum("ij,jk,ik->i", x - part.mean(0), np.linalg.inv(s), x - part.mean(0))
+            part = x[np.argsort(d)[: int(np.ceil(cover * len(x)))]]
+        s = np.cov(part.T, bias=True) * scale + np.diag(np.square(floors))
+        if best is None or np.linalg.det(s) < best[0]:
+            best = (np.linalg.det(s), part.mean(0), s)
+    return best
+
+
+def test_mcd_and_verdicts_against_plain_search(spark):
+    """Correlated bulk, a tight far cluster and a light cloud: the estimate and the verdicts of a
+    search over 40 random starts with sorted distances."""
+    rng = np.random.default_rng(2)
+    mix = rng.normal(0, 1, (5, 5))
+    x = np.vstack([rng.normal(0, 1, (1500, 5)) @ mix, rng.normal(0, 0.2, (200, 5)) + 9, rng.normal(0, 6, (100, 5))])
+    rules = quality.Rules(floors=(0.01,) * 5)
+    rows = [("g", *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    fit = quality.mcd_estimates(df, rules).first()
+    low = np.array([[fit[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    det, mean, scatter = plain_mcd(x, rules.cover, 30, rules.floors)
+    assert np.prod(np.diag(low)) ** 2 < 1.3 * det
+    far = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    ours, theirs = far(np.array([fit[f"m{i}"] for i in range(5)]), low @ low.T), far(mean, scatter)
+    cut = quality.chi2_quantile(0.999, 5)
+    assert np.mean((ours > cut) == (theirs > cut)) > 0.98
+
+
+def test_small_languages_are_judged_with_all(spark, documents):
+    """A junk text of a language of its own is held to the estimate over all languages."""
+    junk = "###### $$$$ %%%% &&&& |||| " * 8 + " ".join(f"q{i}|#$%&|||###" for i in range(60))
+    more = spark.createDataFrame([(10**6, junk, "xx", "s")], "doc_id long, text string, lang string, source string")
+    rows = quality.quality_report(documents.select("doc_id", "text", "lang", "source").unionByName(more)).where("doc_id = 1000000").collect()
+    assert len(rows) == 1 and not rows[0].base_failed and not rows[0].kept
+
+
 def test_quality_of_odd_rows(odd, empty):
     rows = quality.quality_report(odd).collect()
     assert len(rows) == 10 and all(not r.kept for r in rows if r.n_words < 50)
@@ -237,6 +286,21 @@ def test_long_tokens_are_whole(spark):
     assert len(hashes) == 2
 
 
+def test_copies_are_one_repository(spark):
+    """Many copies of a document under two owners are no sign that its secret is shared."""
+    live = "see 0123456789abcdef0123456789abcdef here"
+    rows = [(i, live, "ab"[i % 2]) for i in range(40)] + [(100 + i, f"doc {i} fedcba9876543210fedcba9876543210", "ab"[i % 2]) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans[0].live for r in secrets.judged_spans(d, ("doc_id",)).collect()}
+    assert all(v == (k < 100) for k, v in got.items()) and len(got) == 80
+
+
+def test_redaction_keeps_clashing_columns(spark):
+    rows = [(1, "token = abcdef1 x", "a", "keep", 7, [1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _text string, text_hash long, _spans array<int>")
+    assert [tuple(r) for r in secrets.redacted(d).collect()] == [(1, "<assign> x", "a", "keep", 7, [1])]
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secrets.judged_spans(odd, ("doc_id",)).where("size(spans) = 0").count() == 10
     out = secrets.redacted(odd)
