@@ -16,10 +16,15 @@ changed in other ways never hide what the plain readings find.
 The documents' windows are first looked up in a bitmap of fixed size of the benchmark's window
 hashes, the only thing that is broadcast; what passes goes through an ordinary join.
 
-Null text counts as empty and has no windows; items with fewer words than a window have none
-either and are never found. Repeated rows with one doc_id are one document. Ties between
-alignments go to the one with the least shift. Empty tables give an empty result. Only the
-named columns are read.
+An item of fewer words than a window is one window of its own length, which is looked for in
+all documents; items of fewer than ``least`` words say nothing and are left out. A window of
+which too many words are placeholders would meet anything, so it is known by its words as they
+stand; items that have only such windows are found by these.
+
+Null text counts as empty and has no windows. Repeated rows with one doc_id are one document;
+repeated items are one item. Very long texts are read whole. Ties between alignments go to the
+one with the least shift. Empty tables give an empty result. Only the named columns are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -52,10 +57,12 @@ BITMAP_BITS = 24
 
 @dataclass(frozen=True)
 class Templates:
-    """window: canonical words of a window. literal: least share of a window's words that are
-    no placeholders. share: least share of an item's windows in one alignment."""
+    """window: canonical words of a window. least: words of an item, at least. literal: least
+    share of a window's words that are no placeholders. share: least share of an item's windows
+    in one alignment."""
 
     window: int = 8
+    least: int = 4
     literal: float = 0.5
     share: float = 0.3
 
@@ -63,11 +70,15 @@ class Templates:
 class Lexicon(dict):
     """Index of each word into the arrays of what it stands for; made when first met."""
 
+    #: Words that a worker keeps from batch to batch.
     LIMIT = 400_000
 
     def __init__(self) -> None:
         super().__init__()
-        self.first, self.inner, self.last, self.slot_first, self.slot_inner = [], [], [], [], []
+        self.rows: list[tuple] = []
+        self.made: np.ndarray = np.zeros(0, dtype=self.KIND)
+
+    KIND = np.dtype([("first", "u8"), ("inner", "u8"), ("exact", "u8"), ("last", "?"), ("slot_first", "?"), ("slot_inner", "?")])
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -78,26 +89,37 @@ class Lexicon(dict):
         name = kind is None and len(core) > 1 and core[0].isupper() and core[1:].islower() and core.isalpha()
         digest = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8"), 7)
         plain = digest(kind or core.lower())
-        self.first.append(plain)
-        self.inner.append(digest("<name>") if name else plain)
-        self.last.append(text.rstrip("\"')]")[-1:] in ".!?:")
-        self.slot_first.append(kind is not None)
-        self.slot_inner.append(kind is not None or name)
-        self[word] = len(self.last) - 1
+        self.rows.append((plain, digest("<name>") if name else plain, digest(f"={core}"), text.rstrip("\"')]")[-1:] in ".!?:", kind is not None, kind is not None or name))
+        self[word] = len(self.made) + len(self.rows) - 1
         return self[word]
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.rows:
+            self.made, self.rows = np.concatenate((self.made, np.array(self.rows, dtype=self.KIND))), []
+        return self.made[at]
+
+
+_lexicons: list[Lexicon] = []
+
+
+def lexicon() -> Lexicon:
+    """The worker's own; a full one is replaced."""
+    if not _lexicons or len(_lexicons[0]) > Lexicon.LIMIT:
+        _lexicons[:] = [Lexicon()]
+    return _lexicons[0]
+
 
-def canonical(words: list[bytes], lexicon: Lexicon, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def canonical(words: list[bytes], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the canonical words, which are placeholders, the hashes if a capital at a
-    sentence's start is a name too, and where these differ. Texts start at places ``begins``."""
-    at = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
-    starts = np.ones(len(at), dtype=bool)
-    starts[1:] = np.array(lexicon.last, dtype=bool)[at[:-1]]
+    sentence's start is a name too, where these differ, and the hashes of the words as they
+    stand. Texts start at places ``begins``."""
+    row = lexicon().of(words)
+    starts = np.ones(len(row), dtype=bool)
+    starts[1:] = row["last"][:-1]
     starts[begins] = True
-    inner = np.array(lexicon.inner, np.uint64)[at]
-    pick = lambda a, b, t: np.where(starts, np.array(a, dtype=t)[at], b)
-    code = pick(lexicon.first, inner, np.uint64)
-    return code, pick(lexicon.slot_first, np.array(lexicon.slot_inner, bool)[at], bool), inner, code != inner
+    code = np.where(starts, row["first"], row["inner"])
+    return code, np.where(starts, row["slot_first"], row["slot_inner"]), row["inner"], code != row["inner"], row["exact"]
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -125,46 +147,60 @@ def readings(h: np.ndarray, at: np.ndarray, room: np.ndarray, change: np.ndarray
             yield from readings(new, here, room[pick] - 1, change, open_, n, k + 1, taken | 1 << k)
 
 
-def windows(rows: DataFrame, key: str, rules: Templates, bitmap: np.ndarray | None) -> DataFrame:
-    """key, text_key (of the whole text), total (windows of it), hash, at, plain (no word at a
-    sentence's start is read as a name), and slots: the words behind the window's placeholders,
-    each with its place. ``bitmap``: others are dropped."""
+def windows(rows: DataFrame, key: str, rules: Templates, bitmap: np.ndarray | None, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """key, text_key (of the whole text), total (windows of it), words (of the window), hash, at,
+    plain (no word at a sentence's start is read as a name), and slots: the words behind the
+    window's placeholders, each with its place. ``bitmap``: others are dropped; windows are of
+    the usual length and of ``lengths``. Without one the rows are items."""
     n = rules.window
+    known = None if bitmap is None else np.unpackbits(bitmap).astype(bool)
+    names = (key, "text_key", "total", "words", "hash", "at", "plain", "slots")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        lexicon = Lexicon()
-        out: dict[str, list] = {c: [] for c in (key, "text_key", "total", "hash", "at", "plain", "slots")}
+        out: dict[str, list] = {c: [] for c in names}
         split = [t.split() for t in texts(batch)]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         words = [w for doc in split for w in doc]
-        if len(words) >= n:
-            ends = np.cumsum(sizes)
-            code, slot, named, either = canonical(words, lexicon, (ends - sizes)[sizes > 0])
-            h = rolling(code, n)
-            count = np.concatenate(([0], np.cumsum(slot)))
-            doc = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
-            room = np.floor((1 - rules.literal) * n).astype(np.int64) - (count[n:] - count[: len(h)])
-            good = np.flatnonzero((np.arange(len(h)) + n <= ends[doc]) & (room >= 0))
+        if not words:
+            yield out
+            return
+        ends = np.cumsum(sizes)
+        code, slot, named, either, exact = canonical(words, (ends - sizes)[sizes > 0])
+        count = np.concatenate(([0], np.cumsum(slot)))
+        every = np.repeat(np.arange(len(sizes)), sizes)
+        ids, keys = batch.column(key).to_pylist(), {}
+        wanted = sorted({n, *lengths} if known is not None else {n, *(int(x) for x in np.unique(sizes) if rules.least <= x < n)})
+        for m in wanted:
+            h, literal = rolling(code, m), rolling(exact, m)
+            doc = every[: len(h)]
+            inside = np.arange(len(h)) + m <= ends[doc]
+            if known is None and m < n:
+                inside &= sizes[doc] == m
+            room = np.floor((1 - rules.literal) * m).astype(np.int64) - (count[m:] - count[: len(h)])
+            good, crowded = np.flatnonzero(inside & (room >= 0)), np.flatnonzero(inside & (room < 0))
             total = np.bincount(doc[good], minlength=len(sizes))
-            known = None if bitmap is None else np.unpackbits(bitmap).astype(bool)
-            ids, keys = batch.column(key).to_pylist(), {}
-            for places, hashes, taken in [(good, h[good], 0), *readings(h[good], good, room[good], named - code, either, n)]:
+            if known is None:  # an item is known by its crowded windows only if it has no others
+                crowded = crowded[total[doc[crowded]] == 0]
+            total = total + np.bincount(doc[crowded], minlength=len(sizes))
+            found = [(good, h[good], 0), *readings(h[good], good, room[good], named - code, either, m)]
+            salt = np.uint64(m if m < n else 0) * MULTIPLIER
+            for places, hashes, taken in [*[(p, x + salt, t) for p, x, t in found], (crowded, ~(literal[crowded] + salt), 0)]:
                 hashes = mixed(hashes)
                 if known is not None:
                     met = known[(hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)]
                     places, hashes = places[met], hashes[met]
-                for i, value in zip(places.tolist(), hashes.astype(np.int64).tolist(), strict=True):
+                for i, value in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                     d = int(doc[i])
                     if d not in keys:
                         keys[d] = hashlib.md5(batch.column("text")[d].as_py().encode()).hexdigest()
                     start = int(ends[d] - sizes[d])
-                    values = [f"{i + k - start}\t{words[i + k].decode('utf-8', 'replace').strip(EDGES)}" for k in range(n) if slot[i + k] or taken >> k & 1]
-                    for c, v in zip(out, (ids[d], keys[d], int(total[d]), value, i - start, not taken, values), strict=True):
+                    values = [f"{i + k - start}\t{words[i + k].decode('utf-8', 'replace').strip(EDGES)}" for k in range(m) if slot[i + k] or taken >> k & 1]
+                    for c, v in zip(out, (ids[d], keys[d], int(total[d]), m, value, i - start, not taken, values), strict=True):
                         out[c].append(v)
         yield out
 
     kind = dict(rows.dtypes)[key]
-    return arrow_map(rows.select(key, "text"), run, f"`{key}` {kind}, text_key string, total bigint, hash bigint, at int, plain boolean, slots array<string>")
+    return arrow_map(rows.select(key, "text"), run, f"`{key}` {kind}, text_key string, total bigint, words int, hash bigint, at int, plain boolean, slots array<string>")
 
 
 def bitmap_of(items: DataFrame) -> np.ndarray:
@@ -186,8 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: Templates = Templates())
     """doc_id, text_key, item_id, n_windows (found in the best alignment), item_windows, and
     n_changed: placeholders whose words differ there."""
     items = stash(windows(benchmark, "item_id", rules, None), "items")
-    found = windows(docs, "doc_id", rules, bitmap_of(items))
-    right = items.select("hash", "item_id", F.col("at").alias("item_at"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain"))
+    lengths = tuple(r["words"] for r in items.select("words").distinct().collect())  # at most rules.window
+    found = windows(docs, "doc_id", rules, bitmap_of(items), lengths).drop("words")
+    right = items.select("hash", "item_id", F.col("at").alias("item_at"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain")).distinct()
     met = stash(found.drop("total").join(right, "hash").withColumn("shift", F.col("at") - F.col("item_at")), "met")
     # every meeting counts among all readings; those of two plain windows by themselves too
     turns = F.when(F.col("plain") & F.col("item_plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))

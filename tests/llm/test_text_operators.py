@@ -255,6 +255,51 @@ def test_first_word_does_not_hang_on_the_batch(spark):
     assert found(alone) == found(both)
 
 
+def test_short_and_crowded_items(spark):
+    """An item shorter than a window, one of numbers only, and one too short to tell."""
+    items = [(1, "Where do Tom and Ann live?"), (2, "12 34 56 78 90 11 22 33 44 55"), (3, "yes indeed"), (4, "12 34 kg for 56 78 Ann")]
+    docs = [
+        (1, "so they ask. Where do Bob and Eve live? Nobody knows."),
+        (2, "numbers 12 34 56 78 90 11 22 33 44 55 here"),
+        (3, "numbers 13 35 57 79 91 12 23 34 45 56 here"),
+        (4, "yes indeed it is so"),
+        (5, "where do we live and why does it matter"),
+        (6, "paid 12 34 kg for 56 78 Ann today"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 2, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in decontaminate.leaks(d, b).collect()}
+    assert {(x[0], x[1]) for x in got} == {(1, 1), (2, 2), (6, 4)} and all(w == n for _, _, w, n in got)
+
+
+def plain_leaks(docs, items, n, share):
+    """Verbatim windows: items of which a text has that share in one alignment."""
+    found = set()
+    for d, text in docs:
+        w = (text or "").split()
+        at = defaultdict(list)
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append(i)
+        for k, item in items:
+            v = item.split()
+            shifts = Counter(i - j for j in range(len(v) - n + 1) for i in at.get(tuple(v[j : j + n]), ()))
+            if shifts and max(shifts.values()) >= share * (len(v) - n + 1):
+                found.add((d, k))
+    return found
+
+
+def test_verbatim_leaks_equal_brute_force(spark, documents):
+    """Texts and benchmark without capitals and digits, where a template is the words."""
+    plain = lambda t: re.sub(r"[^a-z ]", "", (t or "").lower()).strip()
+    docs = [(r.doc_id, plain(r.text)) for r in documents.collect()]
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
+    items = [(r.item_id, plain(r.text)) for r in bench if len(plain(r.text).split()) >= 8 and not set(plain(r.text).split()) & decontaminate.UNITS]
+    docs = [(d, t) for d, t in docs if not set(t.split()) & decontaminate.UNITS]
+    docs.append((10**6, "one two " + items[0][1] + " three"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
+    assert got == plain_leaks(docs, items, 8, 0.3) and len(got) >= 1
+
+
 def test_leaks_of_odd_rows(spark, odd, empty, documents):
     b = spark.createDataFrame([(1, "x y z"), (None, None)], "item_id long, text string")
     assert decontaminate.leaks(odd, b).count() == 0 and decontaminate.leaks(empty, b).count() == 0
