@@ -10,30 +10,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is used.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder
+    is used; on a cluster that would be each executor's own disk, so it is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="spanwright-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='spanwright-')}")
+    return _own[0]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which is cleared when the driver's Python ends."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_sweep, spark)
+    _written.append(path)
+    return path
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared scratch folder and reads it back. The files go when the
     driver's Python ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_sweep, spark)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
