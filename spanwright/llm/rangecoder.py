@@ -1,4 +1,4 @@
-"""An adaptive context-mixing range coder for token ids below 65,536.
+"""An adaptive context-mixing range coder for token ids.
 
 A block of ids is coded on its own, from a fresh model: orders 1 and 2 each predict one id for
 the context (the last id, the last two), with a confidence; a logistic mix of what their
@@ -9,8 +9,10 @@ All arithmetic is on integers, so any machine decodes what another has coded.
 Blocks don't depend on each other, so many are coded side by side: arrays have an element for
 each block, and step t codes the t-th id of all blocks.
 
-Segment: "TIDS", u8 version, u32 blocks; for each block u32 ids, u32 bytes of code, u32 crc32
-of its ids as little-endian u32; then the codes. All numbers are little-endian.
+Segment: "TIDS", u8 version, u8 wide, u32 blocks; for each block u32 symbols, u32 bytes of code,
+u32 crc32 of its symbols as little-endian u32; then the codes. All numbers are little-endian.
+Symbols are the ids; if one of a segment's is 65,536 or more, it is wide: each id is two
+symbols, its upper and its lower 16 bits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TIDS", 1
+MAGIC, VERSION = b"TIDS", 2
 BLOCK = 2048
 LANES = 1024
 _SLOTS = 1 << 11
@@ -211,24 +213,27 @@ def _decode(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """A segment of ids (below 65,536)."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids of this format are below 65,536")
+    """A segment of ids, each an unsigned 32-bit integer."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 32:
+        raise ValueError("ids are unsigned 32-bit integers")
+    wide = len(ids) > 0 and int(ids.max()) >= 1 << 16
+    if wide:
+        ids = np.stack((ids >> 16, ids & 0xFFFF), axis=1).reshape(-1)
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     codes: list[bytes] = []
     for i in range(0, len(blocks), LANES):
         codes += _encode(blocks[i : i + LANES])
     heads = [struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, codes, strict=True)]
-    return b"".join([MAGIC, struct.pack("<BI", VERSION, len(blocks)), *heads, *codes])
+    return b"".join([MAGIC, struct.pack("<BBI", VERSION, wide, len(blocks)), *heads, *codes])
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
     """The ids of a segment, as little-endian u32; raises ValueError on damage."""
     if data[:4] != MAGIC or data[4] != VERSION:
         raise ValueError("not a segment of token ids of this version")
-    (n,) = struct.unpack_from("<I", data, 5)
-    heads = [struct.unpack_from("<III", data, 9 + 12 * i) for i in range(n)]
-    at, codes = 9 + 12 * n, []
+    wide, n = struct.unpack_from("<BI", data, 5)
+    heads = [struct.unpack_from("<III", data, 10 + 12 * i) for i in range(n)]
+    at, codes = 10 + 12 * n, []
     for _, size, _ in heads:
         codes.append(data[at : at + size])
         at += size
@@ -241,4 +246,5 @@ def unpack_ids(data: bytes) -> np.ndarray:
             if zlib.crc32(ids.tobytes()) != crc:
                 raise ValueError("a block of token ids doesn't match its checksum")
             out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+    found = np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+    return (found[0::2] << np.uint32(16)) | found[1::2] if wide else found

@@ -6,13 +6,12 @@ doc_id with very many rows is spread, sorts each partition, and writes segments:
 the segment and ``data`` is a segment of ``rangecoder``. ``read_token_files`` decodes segments
 in any order; the ids of earlier parts are summed from the segments' lengths, one row a part.
 
-Null text counts as empty: the end id alone. Null doc_ids come first. Repeated rows are
-written each. An empty table gives an empty result. Only doc_id and text are read.
+Null text counts as empty: the end id alone. Null doc_ids come first; rows of one doc_id come
+by the hash of their text. Very long texts are coded whole. Repeated rows are written each. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from spanwright.sources.scratch import scratch_dir
+from spanwright.sources.scratch import scratch_path
 
 from .common import arrow_map, sliced, table, texts
 from .rangecoder import pack_ids, unpack_ids
@@ -77,6 +76,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{scratch_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-ids")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, path)

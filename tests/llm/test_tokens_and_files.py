@@ -81,7 +81,32 @@ def test_damage_is_found():
     with pytest.raises(ValueError):
         unpack_ids(data[:40] + bytes([data[40] ^ 1]) + data[41:-9] + bytes([data[-9] ^ 255]) + data[-8:])
     with pytest.raises(ValueError):
-        pack_ids(np.array([70_000]))
+        pack_ids(np.array([1 << 32]))
+
+
+def test_wide_ids():
+    ids = np.random.default_rng(3).integers(0, 1 << 32, 3000)
+    assert np.array_equal(unpack_ids(pack_ids(ids)), ids)
+    few = np.array([5, 70_000, 5, 2])
+    assert np.array_equal(unpack_ids(pack_ids(few)), few)
+
+
+@pytest.mark.parametrize("capacity", [64, 1000])
+def test_sweep_opens_as_few_as_best_fit_decreasing(capacity):
+    """Piece by piece into the smallest gap that holds it, in a list."""
+    rng = np.random.default_rng(capacity)
+    for _ in range(5):
+        lengths = sorted(np.minimum(rng.zipf(1.3, 400), capacity).tolist(), reverse=True)
+        gaps: list[int] = []
+        for n in lengths:
+            fits = [g for g in gaps if g >= n]
+            if fits:
+                gaps.remove(min(fits))
+                gaps.append(min(fits) - n)
+            else:
+                gaps.append(capacity - n)
+        used = {r.sequence + q // r.per for r in sweep(Counter(lengths), capacity) for q in range(r.count)}
+        assert len(used) == len(gaps)
 
 
 def test_files_hold_all_rows_in_order(spark, odd, empty, tmp_path):
