@@ -169,7 +169,7 @@ class Likeness:
     def tries(self, texts: int) -> tuple[int, int]:
         """(depth, how many): deep enough that few unrelated texts meet; so many that all miss a
         pair, each with more than one differing bit, with odds of 1 - recall at most."""
-        depth = min(60, max(8, math.ceil(math.log2(max(texts, 2))) + self.spare))
+        depth = min(48, max(8, math.ceil(math.log2(max(texts, 2))) + self.spare))
         q = (1 - self.apart) ** depth + depth * self.apart * (1 - self.apart) ** (depth - 1)
         return depth, math.ceil(math.log(1 - self.recall) / math.log(1 - q))
 
@@ -187,7 +187,9 @@ def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, key: str, shingle: int, depth: int, count: int) -> DataFrame:
-    """``key`` and f: ``count`` words of ``depth`` bits, each a fingerprint of its own hashes."""
+    """``key`` and f: ``count`` words of ``depth`` bits, each a fingerprint of its own hashes, as
+    many in a long as fit 60 bits."""
+    per = max(1, 60 // depth)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out = []
@@ -202,7 +204,7 @@ def wide_prints(docs: DataFrame, key: str, shingle: int, depth: int, count: int)
                 for at in range(0, len(x), 1 << 16):
                     ones += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)[:, :size], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 words.append(int.from_bytes(np.packbits(2 * ones[:depth] > len(x), bitorder="little").tobytes(), "little"))
-            out.append(words)
+            out.append([sum(v << depth * i for i, v in enumerate(words[k : k + per])) for k in range(0, count, per)])
         yield {key: batch.column(key), "f": out}
 
     kind = dict(docs.dtypes)[key]
@@ -220,10 +222,15 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+#: Text hashes that are sent to every task, at most; more go through a join.
+SENT_HASHES = 1_000_000
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
-    """``docs``: t (the text's hash) and text."""
+    """``docs``: t (the text's hash) and text. Texts don't move where few are needed."""
     pairs = stash(pairs.select("a", "b"), "candidates")
-    need = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    need = stash(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "need")
+    need = F.broadcast(need) if need.count() <= SENT_HASHES else need
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"t": batch.column("t"), "s": [np.unique(_shingle_hashes(x, how.shingle)).view(np.int64) for x in texts(batch)]}
@@ -237,35 +244,45 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
 
     Tries of wide fingerprints, one for each word of them, are joined with themselves: node
     pairs are followed to ``depth`` with at most one differing bit, and what meets there is
-    pruned by the differing bits of all words. Candidates are then held to the exact similarity
-    of their shingles. Texts that share a leaf are first linked to the nearest of the leaves'
-    least texts, so a dense group is one component before pairs are looked for; those only
-    matter between components, and a text is held to its nearest in each."""
+    pruned by the differing bits of the first long, then of all. Candidates are then held to the
+    exact similarity of their shingles. Texts that share a leaf are first linked to the nearest
+    of the leaves' least texts, so a dense group is one component before pairs are looked for;
+    those only matter between components, and a text is held to its nearest in each."""
     depth, count = how.tries(docs.select("t").distinct().count())
-    limit = how.budget(depth * count)
+    per = max(1, 60 // depth)
+    slim, limit = how.budget(depth * min(per, count)), how.budget(depth * count)
     prints = stash(wide_prints(docs, "t", how.shingle, depth, count).dropDuplicates(["t"]), "prints")
-    leaf = lambda df: df.select("*", F.posexplode("f").alias("w", "k"))
-    leaves = leaf(prints).select("t", "w", "k")
-    star = leaves.groupBy("w", "k").agg(F.min("t").alias("m"))
-    tied = leaves.join(star, ["w", "k"]).where("t != m").select("t", "m").distinct()
-    centre = prints.select(F.col("t").alias("m"), F.col("f").alias("fm"))
-    far = tied.join(prints, "t").join(centre, "m").select("t", "m", _apart(F.col("f"), F.col("fm")).alias("d")).where(F.col("d") <= limit)
-    nearest = far.groupBy("t").agg(F.min(F.struct("d", "m")).alias("b")).select(F.col("t").alias("a"), F.col("b.m").alias("b"))
+    word = lambda w: F.shiftrightunsigned(F.col("f")[w // per], depth * (w % per)).bitwiseAND(F.lit((1 << depth) - 1))
+    # a leaf: which word, and its bits
+    leaf = lambda df: df.select(*[c for c in df.columns if c != "f"], F.col("f")[0].alias("g"), F.explode(F.array(*[word(w).bitwiseOR(F.lit(w << 48)) for w in range(count)])).alias("k"))
+    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """(a, b, d, ...) of the pairs within the limit by all words."""
+        left, right = prints.select(F.col("t").alias("a"), F.col("f").alias("fa")), prints.select(F.col("t").alias("b"), F.col("f").alias("fb"))
+        return pairs.join(left, "a").join(right, "b").withColumn("d", _apart(F.col("fa"), F.col("fb"))).where(F.col("d") <= limit).drop("fa", "fb")
+
+    leaves = leaf(prints)
+    star = leaves.groupBy("k").agg(F.min(F.struct("t", "g")).alias("m")).select("k", F.col("m.t").alias("m"), F.col("m.g").alias("gm"))
+    tied = leaves.join(star, "k").where((F.col("t") != F.col("m")) & (bits("g", "gm") <= slim)).select(F.col("t").alias("a"), F.col("m").alias("b")).distinct()
+    nearest = whole(tied).groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select("a", F.col("b.b").alias("b"))
     first = connected_components(_verified(nearest, docs, how))
     known = stash(prints.join(first, prints.t == first.v, "left").select("t", "f", F.coalesce("root", "t").alias("c")), "known")
-    nodes = stash(leaf(known).groupBy("w", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "nodes")
-    flips = _flips(F.col("k"), range(depth), F.lit(True))
-    other = nodes.select("w", F.col("k").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
-    met = nodes.select("w", F.col("k").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.explode(flips).alias("y")).join(other, ["w", "y"]).where(_different("x", "y")).select("w", "x", "y")
-    side = lambda n: leaf(known).select("w", F.col("k").alias(n), F.col("t").alias(f"t{n}"), F.col("f").alias(f"f{n}"), F.col("c").alias(f"c{n}"))
-    apart = _apart(F.col("fx"), F.col("fy"))
-    pairs = met.join(side("x"), ["w", "x"]).join(side("y"), ["w", "y"]).where((F.col("cx") != F.col("cy")) & (apart <= limit))
-    pairs = pairs.select("tx", "ty", "cx", "cy", apart.alias("d"))
-    pairs = stash(pairs.unionByName(pairs.select(F.col("ty").alias("tx"), F.col("tx").alias("ty"), F.col("cy").alias("cx"), F.col("cx").alias("cy"), "d")), "met")
-    best = pairs.groupBy("tx", "cx", "cy").agg(F.min(F.struct("d", "ty")).alias("b")).select(F.col("tx").alias("a"), F.col("b.ty").alias("b"))
+    # nodes at the full depth; c: the component of all their leaves, if it is one
+    one = F.when(F.min("c") == F.max("c"), F.min("c"))
+    nodes = stash(leaf(known).groupBy("k").agg(one.alias("c")), "nodes")
+    other = nodes.select(F.col("k").alias("y"), F.col("c").alias("cy"))
+    probes = nodes.select(F.col("k").alias("x"), F.col("c").alias("cx"), F.explode(_flips(F.col("k"), range(depth), F.lit(True))).alias("y"))
+    met = probes.join(other, "y").where(F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy"))).select("x", "y")
+    side = lambda n: leaf(known).select(F.col("k").alias(n), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"), F.col("c").alias(f"c{n}"))
+    pairs = met.join(side("x"), "x").join(side("y"), "y").where((F.col("cx") != F.col("cy")) & (bits("gx", "gy") <= slim))
+    pairs = stash(whole(pairs.select(F.col("tx").alias("a"), F.col("ty").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct()), "met")
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("cb").alias("ca"), F.col("ca").alias("cb"), "d")
+    best = pairs.unionByName(turned).groupBy("a", "ca", "cb").agg(F.min(F.struct("d", "b")).alias("b")).select("a", F.col("b.b").alias("b"))
     links = _verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, how)
     names = known.select("t", "c")
-    joined = connected_components(links.join(names.select(F.col("t").alias("a"), F.col("c").alias("ca")), "a").join(names.select(F.col("t").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    ends = lambda n: names.select(F.col("t").alias(n), F.col("c").alias(f"c{n}"))
+    joined = connected_components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return names.join(joined, names.c == joined.v, "left").select("t", F.coalesce("root", "c").alias("root"))
 
 
