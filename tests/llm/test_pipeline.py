@@ -98,5 +98,6 @@ def test_stages_on_odd_and_empty_rows(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, DATA)
             last = stage is corpus_pipeline.STAGES[-1][1]
-            assert out.select("doc_id").distinct().count() == (docs.select("doc_id").distinct().count() if last else out.select("doc_id").distinct().count())
+            ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+            assert ids(out) == ids(docs) if last else ids(out) <= ids(docs)
             assert last or (out.columns == docs.columns and out.count() <= docs.count())
