@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.functions.verdicts import product_block
 from spanwright.operators.spatial import within
 
 
@@ -107,3 +108,49 @@ def reappearances(members: DataFrame) -> DataFrame:
     each = members.groupBy("founder").agg(F.bool_or(F.col("status") == "MATCH").alias("hit"), F.bool_or(F.col("status") == "LOCATION_MISMATCH").alias("off"), F.count_if(F.col("status").isin("PDF_ONLY", "LOCATION_MISMATCH")).alias("again"))
     verdict = F.when(F.col("hit"), "MATCH").when(F.col("off"), "LOCATION_MISMATCH").otherwise("PDF_ONLY")
     return each.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("devices"), F.sum(F.when(F.col("hit"), F.col("again")).otherwise(0)).alias("reappearances"))
+
+
+def with_products(rows: DataFrame) -> DataFrame:
+    """Rows whose product block is missing get one; others, and a second call, change nothing."""
+    made = product_block([c for c in rows.columns if c != "product"])
+    return rows.withColumn("product", F.coalesce("product", made) if "product" in rows.columns else made)
+
+
+def panel_rows(consistency: DataFrame, hidden: tuple[str, ...] = ("wall_type",)) -> DataFrame:
+    """The count rows that a panel shows: other categories, and only where the sides differ."""
+    differs = ~F.col("schedule_listed") | (F.col("plan_count") == 0)
+    return consistency.where(~F.col("category").isin(*hidden)).withColumn("flagged", differs)
+
+
+def checked_fields(edits: DataFrame, lengths: dict[str, int], choices: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Edits (field, value) with ``clean`` (trimmed, blank as null) and ``problem``: a field that
+    may not be edited, a value that isn't one of its choices, or one that is too long."""
+    name, value = F.col("field"), F.trim("value")
+    allowed = [*lengths, *choices]
+    longest = F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv])[name]
+    wrong: Column = F.lit(False)
+    for field, known in choices.items():
+        wrong |= (name == field) & ~value.isin(*known)
+    problem = F.when(~name.isin(*allowed), "unknown field").when(wrong, "not a choice").when(F.length(value) > longest, "too long")
+    return edits.withColumn("problem", problem).withColumn("clean", F.when(F.col("problem").isNull() & (value != ""), value))
+
+
+def live_scene(payload: DataFrame) -> DataFrame:
+    """Elements of a live payload (category, items of id and bbox_ft) that have a whole box, as
+    scene rows with the box's middle."""
+    each = payload.select("category", F.explode("items").alias("i")).select("category", "i.id", F.col("i.bbox_ft").alias("box"))
+    middle = F.array(*[(F.col("box")[k] + F.col("box")[k + 3]) / 2 for k in range(3)])
+    return each.where(F.size("box") == 6).withColumn("middle", middle)
+
+
+def folder_sizes(files: DataFrame, root: str) -> DataFrame:
+    """(folder, files, bytes) of the folders right under ``root``, from a table of files (path,
+    length) as Spark's binaryFile source lists them."""
+    inside = F.split(F.substring_index("path", F.lit(f"{root.rstrip('/')}/"), -1), "/")
+    return files.where(F.contains("path", F.lit(f"{root.rstrip('/')}/"))).groupBy(inside[0].alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def artifact_states(known: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, present, bytes) of every artifact that a run should leave, by file name."""
+    there = files.select(F.substring_index("path", "/", -1).alias("name"), "length").groupBy("name").agg(F.max("length").alias("bytes"))
+    return known.select("name").join(there, "name", "left").withColumn("present", F.col("bytes").isNotNull()).select("name", "present", "bytes")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.config import Gates
 from spanwright.functions import marks as K
 from spanwright.functions.verdicts import registration_state
 from spanwright.operators import evidence as E
@@ -13,7 +12,6 @@ from spanwright.operators import fit
 from spanwright.operators.spatial import closest_pair
 from spanwright.sources.exports import overlay_svg
 
-from .matching_queries import _assigned
 from .registrar import query
 from .views import PRELUDE, callouts, elements, places, targets
 
@@ -92,13 +90,6 @@ def subset_checks(spark: SparkSession, d: str) -> DataFrame:
     return E.subset_check(p, p.where("n % 3 <> 0"), "p", "i")
 
 
-@query(None)
-def device_reasons(spark: SparkSession, d: str) -> DataFrame:
-    assigned, t = _assigned(spark, d)
-    out = E.with_reasons(E.with_conflicts(assigned, t, Gates()), Gates())
-    return out.select("founder", "status", "reason", "evidence_conflict")
-
-
 @query(
     PRELUDE + ", r AS (SELECT n, CASE n % 3 WHEN 0 THEN 'LOCATION_MISMATCH' WHEN 1 THEN 'REVIT_ONLY' ELSE 'PDF_ONLY' END AS verdict, CASE WHEN n % 3 <> 1 THEN px END AS px, CASE WHEN n % 3 <> 1 THEN py END AS py, CASE WHEN n % 3 <> 2 THEN px + 5 END AS tx, CASE WHEN n % 3 <> 2 THEN py - 5 END AS ty FROM places) "
     "SELECT n, CASE n % 3 WHEN 0 THEN 'connector' WHEN 1 THEN 'circle' ELSE 'box' END AS shape, coalesce(CASE n % 3 WHEN 0 THEN px BETWEEN 0 AND 400 AND py BETWEEN 0 AND 300 AND tx BETWEEN 0 AND 400 AND ty BETWEEN 0 AND 300 WHEN 1 THEN tx BETWEEN 0 AND 400 AND ty BETWEEN 0 AND 300 ELSE px BETWEEN 0 AND 400 AND py BETWEEN 0 AND 300 END, false) AS drawable FROM r"

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from spanwright.config import Gates
 from spanwright.functions import texts as T
 from spanwright.operators import benchmarks as B
+from spanwright.operators import evidence as E
 from spanwright.operators import scans as X
 from spanwright.operators import summaries as U
 from spanwright.operators import walls as W
 from spanwright.operators.cluster import leader_clusters
 
-from .matching_queries import ASSIGNED, RECURSIVE, _assigned, in_order
+from .matching_queries import ASSIGNED, CANDIDATES, RECURSIVE, _assigned, in_order
 from .registrar import query
+from .report_queries import VERDICT_SQL
 from .views import PRELUDE, callouts, elements, places, targets
 
 STROKES = """, strokes AS (SELECT n // 30 AS page, n AS seq, px AS ax, py AS ay, px + n % 23 * 11.0 AS ex, py + n % 7 * 6.0 AS ey,
@@ -329,3 +331,53 @@ def text_repairs(spark: SparkSession, d: str) -> DataFrame:
         "n", T.ascii_folded(raw).alias("folded"), T.is_letter_label(F.when(n % 2 == 0, F.concat(F.lit(" A"), n)).otherwise(n.cast("string"))).alias("lettered"), T.without_calls(told).alias("clean"),
         at["name"].alias("call"), at["arguments"]["id"].alias("argument"), T.point_of(pair)["x"].alias("x"), T.first_object(said, "kind string")["kind"].alias("kind"),
     )
+
+
+@query(PRELUDE + f"SELECT id, CASE WHEN seq % 40 = 0 THEN 'NEEDS_REVIEW' ELSE {VERDICT_SQL} END AS verdict FROM elements")
+def backfilled_products(spark: SparkSession, d: str) -> DataFrame:
+    """A fourth of the rows were written with a product block; one of an older verdict stays."""
+    made = U.with_products(elements(spark, d))
+    old = F.when(F.col("seq") % 40 == 0, F.col("product").withField("verdict", F.lit("NEEDS_REVIEW")))
+    return U.with_products(made.withColumn("product", old)).select("id", "product.verdict")
+
+
+@query(PRELUDE + """, c AS (SELECT CASE n % 3 WHEN 0 THEN 'holdown' WHEN 1 THEN 'wall_type' ELSE 'post' END AS category, n, n % 4 AS plan_count, n % 5 > 0 AS listed FROM keys)
+SELECT category, n, NOT listed OR plan_count = 0 AS flagged FROM c WHERE category <> 'wall_type'""")
+def count_panel(spark: SparkSession, d: str) -> DataFrame:
+    c = places(spark, d).selectExpr("CASE n % 3 WHEN 0 THEN 'holdown' WHEN 1 THEN 'wall_type' ELSE 'post' END AS category", "n", "n % 4 AS plan_count", "n % 5 > 0 AS schedule_listed")
+    return U.panel_rows(c).select("category", "n", "flagged")
+
+
+@query(PRELUDE + """SELECT n, CASE n % 6 WHEN 0 THEN 'unknown field' WHEN 2 THEN 'not a choice' WHEN 4 THEN 'too long' END AS problem,
+CASE n % 6 WHEN 1 THEN 'active' WHEN 3 THEN 'Tower ' || n END AS clean FROM keys""")
+def project_edits(spark: SparkSession, d: str) -> DataFrame:
+    e = places(spark, d).selectExpr(
+        "n", "CASE n % 6 WHEN 0 THEN 'colour' WHEN 1 THEN 'status' WHEN 2 THEN 'status' ELSE 'name' END AS field",
+        "CASE n % 6 WHEN 1 THEN ' active ' WHEN 3 THEN concat(' Tower ', n) WHEN 4 THEN repeat('x', 90) WHEN 5 THEN '  ' ELSE 'red' END AS value",
+    )
+    return U.checked_fields(e, {"name": 80}, {"status": ("active", "archived")}).select("n", "problem", "clean")
+
+
+@query(PRELUDE + "SELECT 'c' || (n % 3) AS category, n AS id, px + 1 AS x, py + 2 AS y FROM places WHERE n % 5 > 0")
+def live_scene_rows(spark: SparkSession, d: str) -> DataFrame:
+    box = F.array(F.col("px"), F.col("py"), F.lit(0.0), F.col("px") + 2, F.col("py") + 4, F.lit(1.0))
+    items = F.array(F.struct(F.col("n").alias("id"), F.when(F.col("n") % 5 > 0, box).alias("bbox_ft")))
+    live = places(spark, d).select(F.expr("concat('c', n % 3)").alias("category"), items.alias("items"))
+    return U.live_scene(live).select("category", "id", F.col("middle")[0].alias("x"), F.col("middle")[1].alias("y"))
+
+
+@query(
+    ASSIGNED + f""", k AS (SELECT x.d, coalesce(least((f.deg - x.deg + 360) % 180, 180 - (f.deg - x.deg + 360) % 180) <= 20, true) AS fits, x.claimed
+  FROM ({CANDIDATES.format("final")}) x JOIN final f USING (d) WHERE f.deg IS NOT NULL),
+e AS (SELECT d, CASE WHEN count(*) FILTER (fits) = 0 THEN 'drawn_orientation_matches_no_candidate' WHEN count(*) FILTER (fits AND NOT claimed) = 0 THEN 'orientation_match_claimed_by_other_device' END AS evidence_conflict FROM k GROUP BY d)
+SELECT founder, status, evidence_conflict, CASE status
+  WHEN 'MATCH' THEN 'Mark ' || mark || ' is ' || printf('%.2f', distance_ft) || ' ft from ' || target_id || ', inside its gate.'
+  WHEN 'LOCATION_MISMATCH' THEN 'Mark ' || mark || ' is ' || printf('%.2f', distance_ft) || ' ft from ' || target_id || ', outside its gate.'
+  WHEN 'MARK_MISMATCH' THEN 'Drawn as ' || mark || ', modelled as ' || target_mark || ' (' || target_id || ').'
+  WHEN 'PDF_ONLY' THEN 'No ' || mark || ' within 6 ft of (' || printf('%.1f', x) || ', ' || printf('%.1f', y) || ').'
+  ELSE CASE WHEN first IS NOT NULL THEN 'Tied between ' || first || ' and ' || second || '.' ELSE 'Right place, another level.' END END AS reason FROM final LEFT JOIN e USING (d)"""
+)
+def device_reasons(spark: SparkSession, d: str) -> DataFrame:
+    assigned, t = _assigned(spark, d)
+    out = E.with_reasons(E.with_conflicts(assigned, t, Gates()), Gates())
+    return out.select("founder", "status", "reason", "evidence_conflict")

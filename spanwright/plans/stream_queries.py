@@ -77,3 +77,12 @@ def hourly_event_counts(spark: SparkSession, d: str) -> DataFrame:
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     e = log_events(spark, d)
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("start")).select("user_id", "start", "n")
+
+
+@query("SELECT l.listener, event_id AS seq FROM events JOIN (SELECT DISTINCT user_id % 50 AS u, user_id % 50 AS listener, CASE WHEN user_id % 50 % 2 = 0 THEN 900 END AS since FROM events WHERE user_id IS NOT NULL) l ON user_id = l.u WHERE event_id > coalesce(since, (SELECT max(event_id) - 100 FROM events))")
+def resumed_listeners(spark: SparkSession, d: str) -> DataFrame:
+    """Every second listener asks for a place; the others joined a hundred events before the end."""
+    log = _log(spark, d)
+    last = log.agg((F.max("seq") - 100).alias("joined"))
+    starts = log.where("tenant IS NOT NULL").select((F.col("tenant") % 50).alias("tenant")).distinct().select(F.col("tenant").alias("listener"), "tenant", F.when(F.col("tenant") % 2 == 0, F.lit(900).cast("long")).alias("since"))
+    return S.resumed(log, starts.join(F.broadcast(last))).select("listener", "seq")

@@ -35,6 +35,13 @@ def events_since(events: DataFrame, tenant: Any, since: int) -> DataFrame:
     return events.where((F.col("tenant") == F.lit(tenant)) & (F.col("seq") > since))
 
 
+def resumed(events: DataFrame, starts: DataFrame, tenant: str = "tenant") -> DataFrame:
+    """What each listener (listener, tenant, since, joined) is sent: events of its tenant after
+    the place it asks for, or, if it asks for none, after the last one there was when it joined."""
+    w = starts.select("listener", F.col(tenant).alias("_t"), F.coalesce("since", "joined").alias("_from"))
+    return events.join(w, (events[tenant] == F.col("_t")) & (events["seq"] > F.col("_from"))).drop("_t", "_from")
+
+
 def newest(events: DataFrame, by: str, n: int) -> DataFrame:
     """The last ``n`` events of each key, as a ring buffer holds them. The n-th largest seq is
     found from the largest of each task's share, so a key with very many events is cut down
