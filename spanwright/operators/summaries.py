@@ -146,8 +146,9 @@ def live_scene(payload: DataFrame) -> DataFrame:
 def folder_sizes(files: DataFrame, root: str) -> DataFrame:
     """(folder, files, bytes) of the folders right under ``root``, from a table of files (path,
     length) as Spark's binaryFile source lists them."""
-    inside = F.split(F.substring_index("path", F.lit(f"{root.rstrip('/')}/"), -1), "/")
-    return files.where(F.contains("path", F.lit(f"{root.rstrip('/')}/"))).groupBy(inside[0].alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    top = f"{root.rstrip('/')}/"
+    inside = F.split(F.substring_index("path", top, -1), "/")
+    return files.where(F.col("path").contains(top)).groupBy(inside[0].alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def artifact_states(known: DataFrame, files: DataFrame) -> DataFrame:
