@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanwright.sources.scratch import stash
 
-__all__ = ["WORD_GAP", "arrow_map", "blank", "null_key", "sliced", "stash", "table", "texts", "unused"]
+__all__ = ["WORD_GAP", "arrow_map", "arrow_stream", "blank", "null_key", "sliced", "stash", "table", "texts", "unused"]
 
 #: Characters that part words everywhere in this package: space and U+0009 to U+000D.
 #: ``bytes.split()`` and ``bytes.lower()`` use the same ASCII sets.
@@ -40,6 +40,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(run, parsed)
 
 
+def arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """As ``arrow_map``, but ``fn`` gets all of a task's batches in turn."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    parsed = _parse_datatype_string(schema)
+    types = to_arrow_schema(parsed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(part for batch in batches for part in sliced(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+
+    return df.mapInArrow(run, parsed)
+
+
 #: Rows of an Arrow batch: texts of usual length make a few MB, on either side of the pipe.
 BATCH_ROWS = 1000
 #: Bytes of an Arrow batch that one call of a map function gets at most, one row at least.
