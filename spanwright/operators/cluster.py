@@ -83,3 +83,26 @@ def bands(values: DataFrame, value: str, gap: float, by: list[str]) -> DataFrame
     w = Window.partitionBy(*by).orderBy(value)
     step = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
     return values.withColumn("_step", step).withColumn("band", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_step")
+
+
+def anchored_lines(rows: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
+    """Adds ``line``: the value at which the row's line starts. In order of ``value``, a row that
+    lies more than the tolerance beyond the start of the line before starts a new one.
+
+    A step above the tolerance always starts a line, so values are first cut into islands there,
+    by a window over the distinct values; what is left in order is the walk inside an island."""
+    w = Window.partitionBy(*by).orderBy(value)
+    distinct = rows.select(*by, value).where(F.col(value).isNotNull()).distinct()
+    step = F.when(F.col(value) - F.lag(value).over(w) > tolerance, 1).otherwise(0)
+    islands = distinct.withColumn("_step", step).withColumn("_island", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lambda done: F.try_element_at(done, F.lit(-1))["line"]
+    walk = F.aggregate(
+        F.array_sort(F.collect_list(F.col(value))),
+        F.expr("cast(array() AS array<struct<v:double,line:double>>)"),
+        lambda done, v: F.concat(done, F.array(F.struct(v.alias("v"), F.when(v - last(done) <= tolerance, last(done)).otherwise(v).alias("line")))),
+    )
+    lines = islands.groupBy(*by, "_island").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.when(F.max(value) - F.min(value) > tolerance, walk).alias("_walk"))
+    short = F.array(F.struct(F.lit(None).cast("double").alias("v"), F.col("_lo").alias("line")))
+    each = lines.select(*by, "_island", F.explode(F.coalesce("_walk", short)).alias("_l"))
+    marked = islands.join(each, [*by, "_island"]).where(F.col("_l.v").isNull() | (F.col("_l.v") == F.col(value)))
+    return rows.join(marked.select(*by, value, F.col("_l.line").alias("line")), [*by, value], "left")

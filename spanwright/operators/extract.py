@@ -192,3 +192,48 @@ def learned_vocabulary(rows: DataFrame) -> DataFrame:
 def unrecognized(marks: DataFrame) -> DataFrame:
     """Marks on plans that no schedule lists: how many, and the first sheet."""
     return marks.groupBy("category", "mark").agg(F.count("*").alias("n"), F.bool_or("schedule_listed").alias("listed"), F.min_by("sheet", "seq").alias("first_sheet")).where("NOT listed")
+
+
+# Names of the columns that hold marks, what a mark looks like in a schedule of
+# hold-downs, and how far apart the words of one row may stand in height.
+MARK_COLUMNS = ("MARK", "SYMBOL", "#")
+SCHEDULE_MARK = r"(?i)^(?:H|HD|HDU|HTT|TD)-?\d{1,2}$"
+ROW_HEIGHT = 4.0
+
+
+def schedule_products(words: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(schedule, line, mark, key) of each row of a schedule that pairs a mark with a product.
+
+    ``words``: page, x0, y0, x1, y1, text. ``tables``: table, page, x0, y0, x1, y1. ``columns``:
+    table, name, x0, x1. A table takes the words whose middle is inside it. Where it has a
+    column of marks and one of types, a row's mark is the first mark in the one, its product
+    the first word in the other; else the first mark anywhere in the row and the first other
+    word that names a product."""
+    from spanwright.functions.marks import variant_key
+    from spanwright.operators.cluster import anchored_lines
+    from spanwright.operators.spatial import inside_intervals
+
+    mid = words.withColumn("xc", (F.col("x0") + F.col("x1")) / 2).withColumn("yc", (F.col("y0") + F.col("y1")) / 2).drop("y0", "y1", "x1")
+    held = inside_intervals(mid, tables, F.col("yc"), "y0", "y1", ["page"], 64.0).where(F.col("xc").between(F.col("i_x0"), F.col("i_x1")))
+    held = held.select(F.col("i_table").alias("table"), "x0", "xc", "yc", "text")
+    lined = anchored_lines(held, ["table"], "yc", ROW_HEIGHT)
+    name = F.upper(F.trim(F.coalesce("name", F.lit(""))))
+    first = lambda cond: F.min_by(F.struct("x0", "x1"), F.when(cond, F.col("x0")))
+    kinds = columns.groupBy("table").agg(first(name.isin(*MARK_COLUMNS)).alias("m"), first(name.contains("TYPE")).alias("t"))
+    both = kinds.where("m IS NOT NULL AND t IS NOT NULL")
+    spans = both.select("table", F.inline(F.array(F.struct(F.lit("mark").alias("role"), "m.x0", "m.x1"), F.struct(F.lit("type").alias("role"), "t.x0", "t.x1"))))
+    order = F.struct("yc", "x0", "text")
+    marked, token = F.col("text").rlike(SCHEDULE_MARK), F.upper("text")
+    cells = inside_intervals(lined, spans, F.col("xc"), "x0", "x1", ["table"], 64.0)
+    strict = cells.groupBy("table", "line").agg(F.min_by(token, F.when((F.col("i_role") == "mark") & marked, order)).alias("mark"), F.min_by("text", F.when(F.col("i_role") == "type", order)).alias("product"))
+    strict = strict.select("table", "line", "mark", variant_key(F.col("product")).alias("key"))
+    free = lined.join(both.select("table"), "table", "left_anti")
+    heads = free.groupBy("table", "line").agg(F.min_by(token, F.when(marked, order)).alias("mark")).where("mark IS NOT NULL")
+    key = variant_key(F.col("text"))
+    loose = free.join(heads, ["table", "line"]).where(token != F.col("mark")).withColumn("key", key).groupBy("table", "line", "mark").agg(F.min_by("key", F.when(F.col("key").isNotNull(), order)).alias("key"))
+    return strict.unionByName(loose).where("mark IS NOT NULL AND key IS NOT NULL")
+
+
+def product_marks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """key, mark: the mark of the first row that specifies a product."""
+    return rows.groupBy("key").agg(F.min_by("mark", F.struct(*order)).alias("mark"))

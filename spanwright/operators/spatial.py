@@ -135,3 +135,16 @@ def closest_pair(points: DataFrame, by: str) -> DataFrame:
     pairs = a.join(b, [by, "cx", "cy"]).where("a < b")
     dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_"))
     return pairs.groupBy(by).agg(F.min(F.struct(dist.alias("dist"), "a", "b")).alias("p")).select(by, "p.a", "p.b", "p.dist")
+
+
+def inside_intervals(rows: DataFrame, intervals: DataFrame, value: Column, low: str, high: str, on: list[str], width: float) -> DataFrame:
+    """Rows with the intervals [low, high] of equal ``on`` that hold ``value``, ends included:
+    an interval goes to the bins of ``width`` that it touches, a row to its own, so each pair
+    meets once. Columns of ``intervals`` get the prefix ``i_``."""
+    b = intervals.select(*[F.col(c).alias(f"i_{c}") for c in intervals.columns])
+    b = b.withColumn("_bin", F.explode(F.sequence(_cell(F.col(f"i_{low}"), width), _cell(F.col(f"i_{high}"), width))))
+    a = rows.withColumn("_at", value).withColumn("_mine", _cell(value, width))
+    same = F.col("_mine") == F.col("_bin")
+    for c in on:
+        same &= F.col(c) == F.col(f"i_{c}")
+    return a.join(b, same).where(F.col("_at").between(F.col(f"i_{low}"), F.col(f"i_{high}"))).drop("_at", "_mine", "_bin")
