@@ -37,7 +37,7 @@ def whole_and_rest(docs: DataFrame, path: str, end_id: int, capacity: int) -> Da
     """doc_id, start, length, ids_crc32, doc_tokens, and ids of rests, which may be cut later."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        pieces = pieces_of(path, spaced=True)
+        pieces = pieces_of(path, spaced=True, ranked=True)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
         ids, out = batch.column("doc_id").to_pylist(), {n: [] for n in names}

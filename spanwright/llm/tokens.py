@@ -8,7 +8,9 @@ its vocabulary ("<|endoftext|>"), goes to the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -97,8 +99,50 @@ class Pieces:
         return self.whole(text) if None in got else head + b"".join(got)
 
 
-def pieces_of(path: str, spaced: bool) -> Pieces:
+# Fixed value: how byte-level vocabularies of this family part a text before merging.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class RankedPieces(Pieces):
+    """A spaced vocabulary whose ids ascend in the order of its merges, so that an id is its
+    rank. Pieces that aren't kept are merged by ranks at once, a quarter of the time."""
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        super().__init__(path, spaced=True)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("ids don't ascend with merges")
+        back = {letter: byte for byte, letter in self.letters.items()}
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
+        self.merge = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self.whole(text)
+        first, *pieces = text.split(" ")
+        known = self.known
+        got = list(map(known.get, pieces))
+        for at, held in enumerate(got):
+            if held is None:
+                piece = pieces[at]
+                if not piece or piece.isspace():  # white space that reaches over a piece
+                    return self.merged(text)
+                got[at] = held = self.merged(" " + piece)
+                if len(known) < KEPT:
+                    known[piece] = held
+        return self.merged(first) + b"".join(got)
+
+    def merged(self, text: str) -> bytes:
+        return array("I", self.merge(text)).tobytes()
+
+
+def pieces_of(path: str, spaced: bool, ranked: bool = False) -> Pieces:
     """The worker's own, kept between tasks."""
-    if (path, spaced) not in _workers:
-        _workers[path, spaced] = Pieces(path, spaced)
-    return _workers[path, spaced]
+    key = (path, spaced, ranked)
+    if key not in _workers:
+        _workers[key] = RankedPieces(path) if ranked else Pieces(path, spaced)
+    return _workers[key]
