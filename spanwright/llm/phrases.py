@@ -19,6 +19,7 @@ An empty table gives an empty result. Only text and lang are read, so others may
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,9 @@ from .common import arrow_map, arrow_stream, blank, stash, table, texts
 #: Bytes of text for each hash partition: about five million n-grams' mass to a few MB.
 PART_BYTES = 32 << 20
 #: Distinct n-grams and words that a task holds before it passes them on.
-HELD_GRAMS, HELD_WORDS = 3_000_000, 1_000_000
+HELD_GRAMS, HELD_WORDS = 2_000_000, 300_000
+#: Bytes of text that are split into words at a time, one text at least.
+CHUNK_BYTES = 4 << 20
 #: Bits of the survivors' bitmap: 8 MB.
 BITMAP = 1 << 26
 #: Candidates of one (lang, salt), which a window sorts, on average at most.
@@ -66,7 +69,7 @@ class Tally:
         self.words: list[bytes] = [b""]
         self.numbers: defaultdict[bytes, int] = defaultdict(self._new)
         self.numbers[_BREAK] = 0
-        self.hashes: list[int] = [0]
+        self.hashes = array("Q", [0])
         self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.rows = 0
 
@@ -89,7 +92,7 @@ class Tally:
         if len(self.hashes) < len(self.words):
             for word, n in self.numbers.items():
                 self.words[n] = word
-            self.hashes += [xxhash.xxh64_intdigest(w) for w in self.words[len(self.hashes) :]]
+            self.hashes.extend(map(xxhash.xxh64_intdigest, self.words[len(self.hashes) :]))
             self.words[0] = b""
 
     def add(self, lang: str, packed: np.ndarray) -> None:
@@ -110,7 +113,7 @@ class Tally:
 
     def hashed(self, lang: str, packed: np.ndarray) -> np.ndarray:
         """64 bits of (lang, n-gram), the same in every task."""
-        words = np.array(self.hashes, dtype=np.uint64)
+        words = np.frombuffer(self.hashes, dtype=np.uint64)
         out = np.full(len(packed), xxhash.xxh64_intdigest(lang), dtype=np.uint64)
         for part in self.parts(packed):
             out = (out ^ words[part]) * np.uint64(0x9E3779B97F4A7C15)
@@ -143,14 +146,27 @@ def tallies(batches: Iterator[pa.RecordBatch], longest: int, tally: Tally) -> It
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
             by_lang.setdefault(lang, []).append(text)
         for lang, found in by_lang.items():
-            packed = tally.grams(found)
-            if len(packed):
-                tally.add(lang, packed)
-        if tally.full:
-            yield from turns()
+            for chunk in chunks(found):
+                packed = tally.grams(chunk)
+                if len(packed):
+                    tally.add(lang, packed)
+                if tally.full:
+                    yield from turns()
     yield from turns()
 
 
+def chunks(found: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in found:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Summary:
     """Misra-Gries counters of one partition, merged from weighted counts."""
 
