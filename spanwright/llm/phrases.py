@@ -6,7 +6,8 @@ the partition's mass (n-grams in it, repeats included) over the least count; so
 stands that often is never lost, whatever is merged in which order (Misra and Gries; Agarwal et
 al.). The counters, tenths of the mass, are all that a partition holds. Second pass: the texts
 are counted again, but only n-grams whose hash survived, exactly, as strings, so n-grams of
-equal hash are no matter. The survivors go to the tasks as a bitmap of fixed size; a bitmap that
+equal hash are no matter. Counters that with all that was taken off the summary can't reach the
+least count are dropped before. The survivors go to the tasks as a bitmap of fixed size; a bitmap that
 fills up lets more through, which the exact counts then drop.
 
 Scores join a phrase's counts with those of its parts, which are at least as frequent. Products
@@ -171,17 +172,22 @@ class Summary:
     """Misra-Gries counters of one partition, merged from weighted counts."""
 
     def __init__(self, mass: int, least: int) -> None:
-        self.capacity = mass // least + 1
+        self.capacity, self.least, self.error = mass // least + 1, least, 0
         self.keys, self.counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys, self.counts = summed([(self.keys, self.counts), (keys, counts)])
         over = len(self.keys) - self.capacity
         if over > 0:
-            self.counts = self.counts - np.partition(self.counts, over - 1)[over - 1]  # the largest beyond capacity
+            largest = np.partition(self.counts, over - 1)[over - 1]  # of those beyond capacity
+            self.counts, self.error = self.counts - largest, self.error + int(largest)
             kept = self.counts > 0
             self.keys, self.counts = self.keys[kept], self.counts[kept]
 
+    def frequent(self) -> np.ndarray:
+        """Keys that may be frequent: a count is at most the counter and all that was taken off."""
+        return self.keys[self.counts + self.error >= self.least]
+
 
 def survivors(docs: DataFrame, how: Phrases) -> DataFrame:
     """``hashes``: packed 64-bit hashes that hold those of every frequent n-gram."""
@@ -215,7 +221,7 @@ def survivors(docs: DataFrame, how: Phrases) -> DataFrame:
             if summary is not None:
                 if held:
                     summary.merge(*summed(held))
-                yield {"hashes": [summary.keys.tobytes()]}
+                yield {"hashes": [summary.frequent().tobytes()]}
 
         for batch in batches:
             for part, m, keys, counts in zip(*(batch.column(n).to_pylist() for n in ("part", "mass", "keys", "counts")), strict=True):

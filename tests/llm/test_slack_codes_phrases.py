@@ -251,7 +251,8 @@ def test_summaries_keep_what_is_frequent():
             summary.merge(keys, counts)
             assert len(summary.keys) <= summary.capacity
         keys, counts = np.unique(stream, return_counts=True)
-        assert set(keys[counts >= least].tolist()) <= set(summary.keys.tolist())
+        assert summary.error < least
+        assert set(keys[counts >= least].tolist()) <= set(summary.frequent().tolist()) <= set(summary.keys.tolist())
 
 
 def test_scores_are_exact(spark):
