@@ -7,16 +7,17 @@ mark, x, y and may have z, orientation_deg, level. Candidate pairs come from gri
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 from itertools import groupby
 from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.config import Gates
-from spanwright.functions.geometry import angle_delta
+from spanwright.functions.geometry import angle_delta, segment_distance
 from spanwright.operators.graph import connected_components
 from spanwright.operators.parts import over_parts
 from spanwright.operators.spatial import within
@@ -34,7 +35,7 @@ def greedy_pairs(edges: DataFrame) -> DataFrame:
     are taken together, edges at their ends are dropped, and so on for some rounds. Minima are
     aggregates, so an end with many edges is summed on the map side. What is left then, chains
     of falling distances, is taken in order inside connected parts."""
-    return _claim(edges.withColumn("off", F.lit(False))).drop("off")
+    return claimed(edges.withColumn("off", F.lit(False))).drop("off")
 
 
 def ambiguous(pairs: DataFrame, gates: Gates) -> DataFrame:
@@ -54,81 +55,76 @@ def adaptive_gate(devices: DataFrame, sheets: DataFrame, gates: Gates) -> DataFr
     return each.groupBy("d").agg(F.least(gates.match_ft + F.coalesce(worst, F.lit(0.0)), F.lit(gates.match_ft * gates.ceiling)).alias("gate"))
 
 
-def _optimal(cost: np.ndarray) -> np.ndarray:
-    """Least total cost assignment of rows to columns (no more rows than columns), by shortest
-    augmenting paths with dual prices; the column of each row."""
-    n, m = cost.shape
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for start in range(n):
-        dist, parent, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
-        row, here, base = start, -1, 0.0
+def least_total(options: dict[int, list[tuple[int, float]]], alone: float) -> dict[int, int]:
+    """The columns that rows get so that the sum is least: ``options`` are a row's (column, cost),
+    and ``alone`` is what a row without a column costs. Shortest augmenting paths over the
+    options only, with dual prices and a heap, so rows far from each other cost nothing."""
+    row_price: dict[int, float] = dict.fromkeys(options, 0.0)
+    col_price: dict[tuple, float] = {}
+    owner: dict[tuple, int] = {}
+    for start in sorted(options):
+        dist: dict[tuple, float] = {}
+        before: dict[tuple, tuple | None] = {}
+        done: set[tuple] = set()
+        heap: list[tuple[float, tuple]] = []
+        row, here, base = start, None, 0.0
         while True:
-            slack = base + cost[row] - row_price[row] - col_price
-            better = ~done & (slack < dist)
-            dist[better], parent[better] = slack[better], here
-            here = int(np.argmin(np.where(done, np.inf, dist)))
-            base, done[here] = dist[here], True
-            if owner[here] < 0:
+            for col, cost in [*(((0, c), w) for c, w in options[row]), ((1, row), alone)]:
+                far = base + cost - row_price[row] - col_price.get(col, 0.0)
+                if col not in done and far < dist.get(col, math.inf):
+                    dist[col], before[col] = far, here
+                    heapq.heappush(heap, (far, col))
+            base, here = heapq.heappop(heap)
+            while here in done:
+                base, here = heapq.heappop(heap)
+            done.add(here)
+            if here not in owner:
                 break
             row = owner[here]
-        scanned = np.flatnonzero(done)
-        for c in scanned:
-            if c != here:
-                row_price[owner[c]] += base - dist[c]
-                col_price[c] -= base - dist[c]
+        for col in done - {here}:
+            row_price[owner[col]] += base - dist[col]
+            col_price[col] = col_price.get(col, 0.0) - (base - dist[col])
         row_price[start] += base
-        while here >= 0:
-            before = parent[here]
-            owner[here] = start if before < 0 else owner[before]
-            here = before
-    out = np.full(n, -1)
-    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
-    return out
+        while here is not None:
+            back = before[here]
+            owner[here] = start if back is None else owner[back]
+            here = back
+    return {row: col for (kind, col), row in owner.items() if kind == 0}
 
 
-def optimal_pairs(edges: DataFrame, gates: Gates, gate: float | None = None) -> DataFrame:
+def optimal_pairs(edges: DataFrame, gates: Gates) -> DataFrame:
     """(d, t) pairs of least total distance for each mark, after decisive devices (best within
     their gate and clear of the next by the margin) have taken theirs in device order.
-    ``edges`` (d, t, dist, gate) reach to the outer gate plus the margin. Devices and targets
-    that share no edge don't affect each other, so the kernel runs on connected parts."""
+    ``edges`` (d, t, dist, gate and, where they differ by row, outer and margin) reach to the
+    outer gate plus the margin. Devices and targets that share no edge don't affect each other,
+    so the kernel runs on connected parts, and in a part only along its edges."""
+    for name, value in (("outer", gates.mismatch_ft), ("margin", gates.ambiguity_ft)):
+        edges = edges if name in edges.columns else edges.withColumn(name, F.lit(value))
     links = edges.select((F.col("d") * 2).alias("a"), (F.col("t") * 2 + 1).alias("b"))
     roots = connected_components(links)
     parts = edges.join(roots.select(F.col("v").alias("_v"), "root"), edges.d * 2 == F.col("_v")).drop("_v")
-    outer, margin = gates.mismatch_ft, gates.ambiguity_ft
-
-    def solve(part: list[tuple[int, int, float, float]]) -> list[tuple[int, int]]:
-        """``part``: (d, t, dist, gate) by d, then distance."""
-        chosen, pinned, rest = [], set(), []
-        own: dict[int, list[tuple[int, float, float]]] = {}
-        for d, t, dist, gate in part:
-            own.setdefault(d, []).append((t, dist, gate))
-        for d, near in own.items():
-            (t, dist, gate), clear = near[0], len(near) == 1 or near[1][1] - near[0][1] >= margin
-            if dist <= gate and clear and t not in pinned:
+
+    def solve(part: list[tuple]) -> list[tuple[int, int]]:
+        """``part``: (d, t, dist, gate, outer, margin) by d, then distance."""
+        chosen, pinned, rest = [], set(), {}
+        for d, group in groupby(part, key=itemgetter(0)):
+            near = list(group)
+            _, t, dist, gate, _, margin = near[0]
+            if dist <= gate and (len(near) == 1 or near[1][2] - dist >= margin) and t not in pinned:
                 chosen.append((d, t))
                 pinned.add(t)
             else:
-                rest.append(d)
-        free = sorted({t for _, t, _, _ in part} - pinned)
-        if rest and free:
-            big = outer * 1000
-            cost = np.full((len(rest), max(len(free), len(rest))), big)
-            row, col = {d: i for i, d in enumerate(rest)}, {t: j for j, t in enumerate(free)}
-            for d, t, dist, _ in part:
-                if dist <= outer and d in row and t in col:
-                    cost[row[d], col[t]] = dist
-            for i, j in enumerate(_optimal(cost)):
-                if j < len(free) and cost[i, j] < big:
-                    chosen.append((rest[i], free[j]))
-        return chosen
+                rest[d] = near
+        options = {d: [(t, dist) for _, t, dist, _, outer, _ in near if dist <= outer and t not in pinned] for d, near in rest.items()}
+        alone = 1000 * max((near[0][4] for near in rest.values()), default=0.0)
+        return chosen + list(least_total(options, alone).items())
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(*[pdf[c].tolist() for c in ("root", "d", "t", "dist", "gate")], strict=True)
+        rows = zip(*[pdf[c].tolist() for c in ("root", "d", "t", "dist", "gate", "outer", "margin")], strict=True)
         chosen = [x for _, part in groupby(rows, key=itemgetter(0)) for x in solve([r[1:] for r in part])]
         return pd.DataFrame(chosen, columns=["d", "t"], dtype="int64")
 
-    return over_parts(parts, "root", ["d", "dist", "t"], ["d", "t", "dist", "gate"], each, "d long, t long")
+    return over_parts(parts, "root", ["d", "dist", "t"], ["d", "t", "dist", "gate", "outer", "margin"], each, "d long, t long")
 
 
 def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gates, mark_blind: bool = True, optimal: bool = False) -> DataFrame:
@@ -139,7 +135,7 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     and leaves the target free. Then, if ``mark_blind``, what is left claims by distance alone
     within the base gate, as a mismatch of marks."""
     reach = gates.mismatch_ft + gates.ambiguity_ft
-    devices, targets = _filled(devices).drop("level"), _filled(targets)
+    devices, targets = filled(devices).drop("level"), filled(targets)
     limits = adaptive_gate(devices, sheets, gates)
     pairs = within(devices.select("seq", "mark", "x", "y", "z"), targets.select("seq", "id", "mark", "x", "y", "z"), reach, "mark")
     pairs = pairs.select(F.col("seq").alias("d"), F.col("r_seq").alias("t"), F.col("r_id").alias("target"), "dist", "z", F.col("r_z").alias("tz")).join(limits, "d")
@@ -149,9 +145,9 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     off = F.coalesce((F.abs(F.col("z") - F.col("tz")) > gates.level_ft) & (F.col("dist") <= F.col("gate")), F.lit(False))
     edges = open_.select("d", "t", "dist", "gate", off.alias("off"))
     if optimal:
-        first = optimal_pairs(pairs.join(tied, "d", "left_anti"), gates).withColumn("_rank", F.lit(0.0))
+        first = optimal_pairs(pairs, gates).withColumn("_rank", F.lit(0.0))
         edges = edges.join(first, ["d", "t"], "left").withColumn("dist", F.struct(F.coalesce("_rank", F.lit(1.0)).alias("r"), F.col("dist").alias("x"))).drop("_rank")
-    won = stash(_claim(edges), "claims")
+    won = stash(claimed(edges), "claims")
     far = F.col("dist.x") if optimal else F.col("dist")
     same = won.select("d", F.when(~F.col("off"), F.col("t")).alias("t"), far.alias("dist"), F.when(F.col("off"), "NEEDS_REVIEW").when(far <= F.col("gate"), "MATCH").otherwise("LOCATION_MISMATCH").alias("status"))
     review = tied.select("d", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("dist"), F.lit("NEEDS_REVIEW").alias("status"))
@@ -167,14 +163,14 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     return joined.withColumn("distance_ft", distance).withColumn("status", F.coalesce("status", F.lit("PDF_ONLY"))).drop("dist")
 
 
-def _filled(df: DataFrame) -> DataFrame:
+def filled(df: DataFrame) -> DataFrame:
     """With null for evidence that the table doesn't have."""
     for name, kind in (("z", "double"), ("orientation_deg", "double"), ("level", "string")):
         df = df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
     return df
 
 
-def _claim(edges: DataFrame) -> DataFrame:
+def claimed(edges: DataFrame) -> DataFrame:
     """Greedy claims in which a winning edge that is ``off`` (another level) ends its device but
     leaves its target: rounds as in ``greedy_pairs``, but only claims use up targets."""
     order = F.struct("dist", "d", "t")
@@ -217,9 +213,12 @@ def tie_candidates(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     it is claimed."""
     claimed = assigned.where("target_id IS NOT NULL").select(F.col("target_id").alias("_c")).distinct()
     each = assigned.where("status = 'NEEDS_REVIEW' AND first IS NOT NULL").withColumn("candidate", F.explode(F.array("first", "second")))
-    t = _filled(targets).select(F.col("id").alias("_id"), F.col("level").alias("c_level"), F.col("orientation_deg").alias("c_deg"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("mark").alias("c_mark"))
+    named = {"id": "_id", "level": "c_level", "orientation_deg": "c_deg", "x": "cx", "y": "cy", "mark": "c_mark"}
+    line = [c for c in ("ax", "ay", "bx", "by") if c in targets.columns]
+    t = filled(targets).select(*[F.col(c).alias(n) for c, n in named.items()], *[F.col(c).alias(f"_{c}") for c in line])
     joined = each.join(t, each.candidate == t["_id"]).join(claimed, F.col("candidate") == F.col("_c"), "left")
-    return joined.withColumn("claimed", F.col("_c").isNotNull()).withColumn("dist", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))).drop("_id", "_c")
+    far = segment_distance(F.col("x"), F.col("y"), *[F.col(f"_{c}") for c in line]) if line else F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    return joined.withColumn("claimed", F.col("_c").isNotNull()).withColumn("dist", far).drop("_id", "_c", *[f"_{c}" for c in line])
 
 
 def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Column, name: str, gates: Gates, split: bool = False) -> DataFrame:
@@ -258,14 +257,14 @@ def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Col
 def settle_by_orientation(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFrame:
     known = F.col("orientation_deg").isNotNull() & F.col("c_deg").isNotNull()
     agrees = F.coalesce(angle_delta(F.col("orientation_deg"), F.col("c_deg")) <= gates.orientation_deg, F.lit(False))
-    return _settle(_with_resolved(assigned), targets, agrees, known, "orientation", gates)
+    return _settle(with_resolved(assigned), targets, agrees, known, "orientation", gates)
 
 
 def consensus(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFrame:
     """(sheet, value): the level that a sheet's own matches agree on. Matches decide (the first
     seen on equal counts, and only with the needed share); location mismatches may back the
     winner, never overturn it. Devices that were ever tied don't vote."""
-    voters = assigned.where("first IS NULL AND status IN ('MATCH', 'LOCATION_MISMATCH')").join(_filled(targets).select(F.col("id").alias("target_id"), F.col("level").alias("value")), "target_id").where("value IS NOT NULL")
+    voters = assigned.where("first IS NULL AND status IN ('MATCH', 'LOCATION_MISMATCH')").join(filled(targets).select(F.col("id").alias("target_id"), F.col("level").alias("value")), "target_id").where("value IS NOT NULL")
     votes = voters.select("seq", "status", "value", F.explode("sheets").alias("sheet")).groupBy("sheet", "value").agg(F.count_if(F.col("status") == "MATCH").alias("sure"), F.count_if(F.col("status") != "MATCH").alias("weak"), F.min(F.when(F.col("status") == "MATCH", F.col("seq"))).alias("seen"))
     top = votes.groupBy("sheet").agg(F.sum("sure").alias("all"), F.max_by(F.struct("value", "sure", "weak"), F.struct("sure", -F.col("seen"))).alias("top"))
     good = (F.col("top.sure") > 0) & (F.col("top.sure") >= gates.context_share * F.col("all")) & (F.col("top.sure") + F.col("top.weak") >= gates.context_samples)
@@ -276,12 +275,12 @@ def settle_by_context(assigned: DataFrame, targets: DataFrame, gates: Gates) ->
     """The sheets' consensus is taken once, before any claim of this pass."""
     agreed = stash(consensus(assigned, targets, gates), "consensus")
     places = assigned.select("seq", F.posexplode("sheets").alias("pos", "sheet")).join(agreed, "sheet").groupBy("seq").agg(F.min_by("value", "pos").alias("_value"))
-    known = stash(_with_resolved(assigned).join(places, "seq", "left"), "known")
+    known = stash(with_resolved(assigned).join(places, "seq", "left"), "known")
     agrees = F.coalesce(F.col("c_level") == F.col("_value"), F.lit(False))
     return _settle(known, targets, agrees, F.col("_value").isNotNull(), "level", gates, split=True).drop("_value")
 
 
-def _with_resolved(df: DataFrame) -> DataFrame:
+def with_resolved(df: DataFrame) -> DataFrame:
     return df if "resolved_by" in df.columns else df.withColumn("resolved_by", F.lit(None).cast("string"))
 
 

@@ -38,10 +38,22 @@ def test_optimal_equals_permutations():
         n = int(rng.integers(1, 5))
         m = int(rng.integers(n, 6))
         cost = rng.integers(0, 9, (n, m)).astype(float)
-        got = M._optimal(cost)
+        got = M.least_total({i: [(j, cost[i, j]) for j in range(m)] for i in range(n)}, 1000.0)
         best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
-        assert len(set(got.tolist())) == n
-        assert sum(cost[i, c] for i, c in enumerate(got)) == best
+        assert len(set(got.values())) == n
+        assert sum(cost[i, c] for i, c in got.items()) == best
+
+
+def test_least_total_on_few_options_equals_all_ways():
+    rng = random.Random(9)
+    for _ in range(200):
+        options = {d: [(t, float(rng.randint(0, 9))) for t in range(5) if rng.random() < 0.4] for d in range(5)}
+        got = M.least_total(options, 100.0)
+        total = sum(dict(options[d])[t] for d, t in got.items()) + 100.0 * (5 - len(got))
+        ways = itertools.product(*[[(None, 100.0), *options[d]] for d in options])
+        held = [w for w in ways if len({t for t, _ in w if t is not None}) == sum(t is not None for t, _ in w)]
+        assert len(set(got.values())) == len(got)
+        assert total == min(sum(c for _, c in w) for w in held)
 
 
 def plain_assign(devices, targets, gates):
