@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,66 +74,3 @@ def principal_segments(points: DataFrame, by: str) -> DataFrame:
     ends = points.join(axis, by).groupBy(by, "t", "mx", "my").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
     at = lambda m, f, s: F.col(m) + f("t") * F.col(s)
     return ends.select(by, at("mx", F.cos, "lo").alias("ax"), at("my", F.sin, "lo").alias("ay"), at("mx", F.cos, "hi").alias("bx"), at("my", F.sin, "hi").alias("by"), (F.col("hi") - F.col("lo")).alias("length"), F.pmod(F.degrees("t"), F.lit(180.0)).alias("angle"))
-
-
-def ransac(left: DataFrame, right: DataFrame, by: str, key: str, gate: float, tries: int = 2000, seed: int = 42) -> DataFrame:
-    """For each sheet (``by``) the similarity from ``left`` to ``right`` (x, y, ``key``) with the
-    most inliers within ``gate``, one to one by key, then the least rms, then the first try.
-    Each try draws three pairs of equal key. A sheet's two point sets are one group, so it
-    holds what is drawn on one sheet; sheets without three pairs have no row."""
-    a, b = (df.select(F.col(by).alias("by"), F.col(key).alias("k"), "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND k IS NOT NULL") for df in (left, right))
-
-    def best(name: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        row = _best_similarity(one.sort_values(["k", "x", "y"]), two.sort_values(["k", "x", "y"]), gate, tries, seed)
-        return pd.DataFrame([(name[0], *row)] if row else [], columns=["by", "h", "reflected", "scale", "p", "q", "e", "f", "inliers", "rms"])
-
-    kind = dict(left.dtypes)[by]
-    found = a.groupBy("by").cogroup(b.groupBy("by")).applyInPandas(best, f"by {kind}, h long, reflected boolean, scale double, p double, q double, e double, f double, inliers long, rms double")
-    return found.withColumnRenamed("by", by)
-
-
-def _best_similarity(one: pd.DataFrame, two: pd.DataFrame, gate: float, tries: int, seed: int) -> tuple | None:
-    """All tries side by side; only those that may beat the best so far are counted one to one."""
-    same = one.reset_index(drop=True).reset_index(names="i").merge(two.reset_index(drop=True).reset_index(names="j"), on="k")
-    if len(same) < 3:
-        return None
-    i, j = same["i"].to_numpy(), same["j"].to_numpy()
-    src, dst = (same[f"x_{s}"].to_numpy(float) + 1j * same[f"y_{s}"].to_numpy(float) for s in ("x", "y"))
-    by_point = np.argsort(i, kind="stable")
-    i, j, src, dst = i[by_point], j[by_point], src[by_point], dst[by_point]
-    heads = np.flatnonzero(np.diff(i, prepend=-1))
-    drawn = np.random.default_rng(seed).random((tries, len(same))).argpartition(2, axis=1)[:, :3]
-    distinct = lambda v: (v[:, 0] != v[:, 1]) & (v[:, 0] != v[:, 2]) & (v[:, 1] != v[:, 2])
-    usable = np.flatnonzero(distinct(i[drawn]) & distinct(j[drawn]))
-    found: list[tuple] = []
-    for mirrored in (False, True):
-        p = src.conj() if mirrored else src
-        s, d = p[drawn[usable]], dst[drawn[usable]]
-        s0, d0 = s - s.mean(axis=1, keepdims=True), d - d.mean(axis=1, keepdims=True)
-        spread = (abs(s0) ** 2).sum(axis=1)
-        ok = spread > 0
-        z = (s0[ok].conj() * d0[ok]).sum(axis=1) / spread[ok]
-        w = d[ok].mean(axis=1) - z * s[ok].mean(axis=1)
-        near = abs(z[:, None] * p + w[:, None] - dst) <= gate
-        most = (np.logical_or.reduceat(near, heads, axis=1)).sum(axis=1)  # points of ``one`` with any partner
-        found += zip(most.tolist(), usable[ok].tolist(), [mirrored] * len(z), z, w, strict=True)
-    best: tuple | None = None
-    for most, h, mirrored, z, w in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-        if best and most < best[0]:
-            break
-        far = abs(z * (src.conj() if mirrored else src) + w - dst)
-        near = np.flatnonzero(far <= gate)
-        near = near[np.argsort(far[near], kind="stable")]
-        used_i, used_j, kept = set(), set(), []
-        for k in near.tolist():
-            if i[k] not in used_i and j[k] not in used_j:
-                used_i.add(i[k])
-                used_j.add(j[k])
-                kept.append(far[k])
-        rms = float(np.sqrt(np.mean(np.square(kept)))) if kept else float("inf")
-        if best is None or (-len(kept), rms, h, mirrored) < (-best[0], best[1], best[2], best[3]):
-            best = (len(kept), rms, h, mirrored, z, w)
-    if best is None:
-        return None
-    n, rms, h, mirrored, z, w = best
-    return h, mirrored, float(abs(z)), float(z.real), float(z.imag), float(w.real), float(w.imag), n, rms

@@ -150,12 +150,3 @@ def hatch_histogram(spark: SparkSession, d: str) -> DataFrame:
 def compass_and_angles(spark: SparkSession, d: str) -> DataFrame:
     deg = F.expr("cast(n % 8 * 45 AS double)")
     return places(spark, d).select(F.concat(F.lit("p"), "n").alias("id"), G.compass(deg).alias("direction"), G.angle_delta(deg, F.lit(0.0)).alias("delta"))
-
-
-@query(None)
-def ransac_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Details of 80 by 80 ft, each drawn mirrored and at a scale of its own, against the model."""
-    detail = F.concat_ws("/", F.floor(F.col("x") / 80), F.floor(F.col("y") / 80))
-    t = targets(spark, d).withColumn("detail", detail)
-    c = callouts(spark, d).where("sheet = 'S1'").withColumn("detail", detail).selectExpr("detail", "mark", "100 + 4 * x AS x", "900 - 4 * y AS y")
-    return fit.ransac(c, t, "detail", "mark", 2.0, tries=400).select("detail", "reflected", "inliers", F.round("scale", 3).alias("scale"))

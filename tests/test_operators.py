@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from spanwright.functions import geometry as G
 from spanwright.functions import marks as K
 from spanwright.functions import verdicts as V
 from spanwright.operators import extract as X
-from spanwright.operators import fit
+from spanwright.operators import consensus, fit
 from spanwright.operators.graph import connected_components
 from spanwright.plans import tools
 from spanwright.plans.reconcile import Run
@@ -43,7 +44,7 @@ def test_ransac_ignores_strays(spark):
     frame = lambda rows, sheet: spark.createDataFrame([(sheet, *r) for r in rows], "sheet string, mark string, x double, y double")
     left = frame(good + [("A", 77.0, 3.0)], "S1").unionByName(frame(good, "S2")).unionByName(frame(good[:2], "S3"))
     right = frame(moved, "S1").unionByName(frame([(m, 2 * x, 2 * y) for m, x, y in good], "S2")).unionByName(frame(moved[:2], "S3"))
-    got = {r.sheet: r for r in fit.ransac(left, right, "sheet", "mark", 2.0, tries=600).collect()}
+    got = {r.sheet: r for r in consensus.ransac(left, right, "sheet", "mark", 2.0, tries=600).collect()}
     assert set(got) == {"S1", "S2"}
     assert (got["S1"].inliers, got["S1"].reflected) == (4, True) and got["S1"].scale == pytest.approx(4)
     assert got["S2"].inliers == 4 and got["S2"].scale == pytest.approx(2)
@@ -150,3 +151,55 @@ def test_a_whole_run(spark):
     run.invalidate("devices")
     assert set(run.tables) == {"point_pairs", "marks", "targets", "calibrations", "projected"}
     assert math.isclose(out["calibrations"].first().scale, 4.0)
+
+
+def scattered(rng, n, spread=3000.0):
+    return [(f"H{i % 4}", float(rng.uniform(0, spread)), float(rng.uniform(0, spread))) for i in range(n)]
+
+
+def plain_inliers(z, w, mirrored, left, right, gate):
+    own = [(m, complex(x, -y if mirrored else y)) for m, x, y in left]
+    near = sorted((abs(z * s + w - complex(x, y)), i, j) for i, (m, s) in enumerate(own) for j, (k, x, y) in enumerate(right) if m == k and abs(z * s + w - complex(x, y)) <= gate)
+    used_i, used_j = set(), set()
+    for _, i, j in near:
+        if i not in used_i and j not in used_j:
+            used_i.add(i)
+            used_j.add(j)
+    return len(used_i)
+
+
+def test_consensus_counts_equal_a_plain_pass():
+    """Dense points and a wide gate, so that most points have several partners."""
+    rng = np.random.default_rng(11)
+    left, right = scattered(rng, 60, 100.0), scattered(rng, 60, 100.0)
+    names = sorted({m for m, _, _ in left})
+    side = lambda rows: (np.array([names.index(m) for m, _, _ in rows]), np.array([complex(x, y) for _, x, y in rows]))
+    (lk, la), (rk, ra) = side(left), side(right)
+    grid = consensus._Grid(rk, ra, 12.0)
+    for _ in range(40):
+        z, w, mirrored = complex(*rng.normal(0, 1, 2)), complex(*rng.uniform(-60, 60, 2)), bool(rng.integers(2))
+        i, j, far = grid.inliers(lk, z * (la.conj() if mirrored else la) + w)
+        assert len(set(i.tolist())) == len(i) == len(set(j.tolist())) and (far <= 12).all()
+        assert len(i) == plain_inliers(z, w, mirrored, left, right, 12.0)
+
+
+def test_draws_are_three_different_pairs_of_equal_key(spark):
+    left = [("S", "A", 0.0, 0.0), ("S", "A", 1.0, 0.0), ("S", "B", 5.0, 5.0), ("S", None, 1.0, 1.0), ("T", "A", 0.0, 0.0), (None, "A", 0.0, 0.0)]
+    right = [("S", "A", 9.0, 0.0), ("S", "B", 8.0, 0.0), ("S", "C", 7.0, 0.0), ("T", "A", 6.0, 0.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "sheet string, mark string, x double, y double")
+    rows = consensus.drawn_pairs(frame(left), frame(right), "sheet", "mark", 50, 1).collect()
+    assert {r["by"] for r in rows} == {"S"} and len(rows) == 150  # sheet T has one pair only
+    for h in range(50):
+        assert {(r["sx"], r["dx"]) for r in rows if r["h"] == h} == {(0.0, 9.0), (1.0, 9.0), (5.0, 8.0)}
+    assert consensus.ransac(frame(left).limit(0), frame(right), "sheet", "mark", 2.0, tries=5).count() == 0
+
+
+def test_ransac_finds_a_planted_transform(spark):
+    rng = np.random.default_rng(12)
+    model = [(f"H{i % 12}", x, y) for i, (_, x, y) in enumerate(scattered(rng, 60, 200.0))]
+    drawn = [(m, 100 + 18 * y + float(rng.normal(0, 2)), 50 + 18 * x + float(rng.normal(0, 2))) for m, x, y in model[:50]] + scattered(rng, 10)
+    frame = lambda rows: spark.createDataFrame([("S", *r) for r in rows], "sheet string, mark string, x double, y double")
+    best = consensus.ransac(frame(model), frame(drawn), "sheet", "mark", 16.0, tries=3000).first()
+    assert best["reflected"] and best["inliers"] >= 50 and best["scale"] == pytest.approx(18, abs=0.05)
+    again = consensus.ransac(frame(model).repartition(3), frame(drawn).repartition(2), "sheet", "mark", 16.0, tries=3000).first()
+    assert again == best
