@@ -71,19 +71,6 @@ def benchmark_pages(found: DataFrame) -> DataFrame:
     return each.select("mark", "page", "pages", problem.alias("problem"))
 
 
-def crosshairs(circles: DataFrame, lines: DataFrame, words: DataFrame, slack: float = 1.5, reach: float = 60.0) -> DataFrame:
-    """(page, seq, x, y, mark): circles (page, seq, x, y, r) that a level and an upright line pass
-    right through, with the nearest benchmark word (page, seq, x, y, text)."""
-    near = segments_within(circles.select("page", "seq", "x", "y", "r"), lines.select("page", "seq", "ax", "ay", "bx", "by"), slack, "page")
-    dx, dy = F.abs(F.col("r_bx") - F.col("r_ax")), F.abs(F.col("r_by") - F.col("r_ay"))
-    through = near.where(F.hypot(dx, dy) >= 2 * F.col("r"))
-    both = through.groupBy("page", "seq", "x", "y").agg(F.bool_or(dy <= slack).alias("level"), F.bool_or(dx <= slack).alias("upright")).where("level AND upright")
-    named = words.withColumn("digit", F.regexp_extract("text", BENCHMARK, 1)).where("digit <> ''")
-    met = within(both.select("page", "seq", "x", "y"), named.select("page", "x", "y", "digit", "seq"), reach, "page")
-    best = met.groupBy("page", "seq", "x", "y").agg(F.min_by("r_digit", F.struct("dist", "r_seq")).alias("digit"))
-    return best.select("page", "seq", "x", "y", F.concat(F.lit("BM-"), "digit").alias("mark"))
-
-
 def plan_words(words: DataFrame, width: float, height: float, strip: float = 0.12) -> DataFrame:
     """Words on the page and left of its title strip."""
     return words.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width * (1 - strip)) & (F.col("y") <= height))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.config import Gates
 from spanwright.functions import texts as T
 from spanwright.operators import benchmarks as B
+from spanwright.operators import crosshairs as H
 from spanwright.operators import evidence as E
 from spanwright.operators import scans as X
 from spanwright.operators import summaries as U
@@ -85,15 +86,54 @@ def benchmark_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return X.benchmark_pages(_stamps(spark, d))
 
 
-@query(PRELUDE + "SELECT n // 30 AS page, n AS seq, px AS x, py AS y, 'BM-' || (n % 2 + 1) AS mark FROM places WHERE n % 10 = 0")
+#: Symbols of every tenth of a turn or so: directions with whole-number slopes, the second line a
+#: right angle away, or nearly, or not; each line a little off the middle, some far from it.
+SLOPES = ((12, 5), (5, 12), (1, 0), (3, -4), (-8, 15), (7, 24))
+_slope = lambda k, of: "CASE {0} ".format(of) + " ".join(f"WHEN {i} THEN {s[k]}" for i, s in enumerate(SLOPES)) + " END"
+_TURN = "CASE n % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 0.125 WHEN 2 THEN -0.25 WHEN 3 THEN 0.0625 ELSE 0.0 END"
+CIRCLES = {"page": "n // 40", "seq": "n", "x": "px + n % 5 * 0.5", "y": "py + n % 3 * 0.25", "r": "6.0 + n % 9"}
+_off = "((n * 7919) % 23 - 11) * 0.25"
+_far = "CASE WHEN n % 6 = 5 THEN 3.0 ELSE 0.5 END"
+STROKES = [
+    {"page": "n // 40", "ax": f"x - ({_far} - 1) * u", "ay": f"y + ({_off}) - ({_far} - 1) * v", "bx": f"x + {_far} * u", "by": f"y + ({_off}) + {_far} * v"},
+    {"page": "n // 40", "ax": "x + 1.25 * (v + w * u)", "ay": "y - 1.25 * (u - w * v)", "bx": "x - 0.75 * (v + w * u)", "by": "y + 0.75 * (u - w * v)"},
+]
+_U, _V = f"({_slope(0, 'n % 6')}) * (2.0 + n % 4)", f"({_slope(1, 'n % 6')}) * (2.0 + n % 4)"
+WORDS = {"page": "n // 40", "seq": "n", "x": "px + n % 13 * 3", "y": "py + 7", "text": "CASE n % 4 WHEN 0 THEN concat('BM-', n % 3 + 1) WHEN 1 THEN concat('see bm ', n % 2 + 1) ELSE 'grid' END"}
+
+
+def _list(columns: dict[str, str], sql: bool) -> str:
+    return ", ".join(f'{e} AS "{c}"' if sql else f"{e} AS `{c}`" for c, e in ((c, e if sql else e.replace("//", "div")) for c, e in columns.items()))
+
+
+SYMBOLS = f"""spots AS (SELECT n, CAST({CIRCLES['x']} AS DOUBLE) AS x, CAST({CIRCLES['y']} AS DOUBLE) AS y, CAST({_U} AS DOUBLE) AS u, CAST({_V} AS DOUBLE) AS v, CAST({_TURN} AS DOUBLE) AS w FROM places)"""
+
+
+@query(
+    PRELUDE + f""", {SYMBOLS},
+circles AS (SELECT {_list(CIRCLES, True)} FROM places),
+strokes AS (SELECT {_list(STROKES[0], True)} FROM spots UNION ALL SELECT {_list(STROKES[1], True)} FROM spots WHERE n % 8 <> 3),
+words AS (SELECT {_list(WORDS, True)} FROM places),
+sized AS (SELECT *, "bx" - ax AS dx, "by" - ay AS dy, sqrt(("bx" - ax) ** 2 + ("by" - ay) ** 2) AS size FROM strokes),
+hits AS (SELECT c.page, c.seq, (degrees(atan2(s.dy, s.dx)) + 360) % 180 AS angle FROM circles c JOIN sized s ON c.page = s.page
+         WHERE s.size >= 2.6 * c.r AND abs(s.dy * (c.x - s.ax) - s.dx * (c.y - s.ay)) / s.size <= 0.25 * c.r),
+crossed AS (SELECT DISTINCT a.page, a.seq FROM hits a JOIN hits b ON a.page = b.page AND a.seq = b.seq
+            WHERE abs(least(abs(a.angle - b.angle), 180 - abs(a.angle - b.angle)) - 90) <= 10),
+found AS (SELECT c.* FROM circles c JOIN crossed USING (page, seq)),
+named AS (SELECT page, seq, x, y, regexp_extract(text, '{H.BENCHMARK}', 1) AS digit FROM words),
+near AS (SELECT f.page, f.seq, arg_min(w.digit, (sqrt((f.x - w.x) ** 2 + (f.y - w.y) ** 2), w.seq)) AS digit FROM found f JOIN named w ON w.page = f.page AND w.digit <> ''
+         WHERE sqrt((f.x - w.x) ** 2 + (f.y - w.y) ** 2) < 60 GROUP BY ALL)
+SELECT f.page, f.seq, f.x, f.y, f.r, 'BM-' || digit AS mark, digit IS NOT NULL AND row_number() OVER (PARTITION BY f.page, digit ORDER BY f.seq) = 1 AS assigned
+FROM found f LEFT JOIN near USING (page, seq)"""
+)
 def crosshair_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """A circle at every fifth place; every second of these has both lines."""
-    p = places(spark, d).withColumn("page", F.expr("n div 30"))
-    circles = p.where("n % 5 = 0").selectExpr("page", "n AS seq", "px AS x", "py AS y", "4.0D AS r")
-    level = p.where("n % 5 = 0").selectExpr("page", "2 * n AS seq", "px - 6 AS ax", "py AS ay", "px + 6 AS bx", "py AS by")
-    upright = p.where("n % 10 = 0").selectExpr("page", "2 * n + 1 AS seq", "px AS ax", "py - 6 AS ay", "px AS bx", "py + 6 AS by")
-    words = p.selectExpr("page", "n AS seq", "px + 5 AS x", "py + 5 AS y", "CASE WHEN n % 5 = 0 THEN concat('BM-', n % 2 + 1) ELSE 'grid' END AS text")
-    return X.crosshairs(circles, level.unionByName(upright), words)
+    """A circle at each place with a line at a slope of its own and one across it."""
+    p = places(spark, d)
+    double = lambda df: df.select(*[F.col(c).cast("double") if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+    spots = double(p.selectExpr("n", f"{CIRCLES['x']} AS x", f"{CIRCLES['y']} AS y", f"{_U} AS u", f"{_V} AS v", f"{_TURN} AS w"))
+    rows = lambda df, cols: double(df.selectExpr(*[f"{e.replace('//', 'div')} AS `{c}`" for c, e in cols.items()]))
+    strokes = rows(spots, STROKES[0]).unionByName(rows(spots.where("n % 8 <> 3"), STROKES[1]))
+    return H.crosshairs(rows(p, CIRCLES), strokes, rows(p, WORDS))
 
 
 @query(PRELUDE + "SELECT n AS seq FROM places WHERE px < 400 * 0.88 AND py <= 3000")
