@@ -5,9 +5,6 @@ Words are (page, seq, x0, y0, x1, y1, text) or (page, seq, x, y, text); strokes
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,20 +13,11 @@ from spanwright.functions.geometry import orientation
 from spanwright.functions.marks import MARK_PATTERNS, first_of
 from spanwright.operators.spatial import within
 
-# Tokens on plans, and headers of schedules by category.
+# Tokens on plans.
 COUNT = r"^\((\d{1,2})\)$"
 EMBEDDED = r"^\((\d{1,2})\)(\S+)$"
 DETAIL = r"^\d{1,2}/[A-Z]{1,2}-?\d{3}$|^[A-Z]{1,2}-?\d{3}$"
 SHEET = r"^[A-Z]{1,3}-?\d{1,3}(?:\.\d{1,2})?(?:-?[A-Z])?$"
-HEADERS = {
-    "holdown": r"HOLD[- ]?(?:DOWN|OWN)\s+SCHEDULE",
-    "shear_wall": r"SHEAR\s+WALL\s+SCHEDULE",
-    "post": r"POST\s+SCHEDULE",
-    "steel_column": r"(?:STEEL\s+)?COLUMN\s+SCHEDULE",
-    "wall_type": r"WALL\s+SPEC(?:IFICATION)?",
-}
-GENERIC_MARK = r"^[A-Z]{1,4}-?\d{1,3}[A-Z]?$"
-SUBHEADER = r"^(MARK|SYMBOL|TYPE|S\.?NO\.?|SR\.?NO\.?|SW\.?|#)$"
 
 
 def plan_marks(words: DataFrame, vocabulary: DataFrame | None = None, reach: int = 6) -> DataFrame:
@@ -106,83 +94,6 @@ def hatch_runs(strokes: DataFrame, longest: float = 8.0, gap: float = 14.0, tick
     return principal_segments(linked.join(big, "component").withColumn("run", F.struct("page", "component")), "run").where(F.col("length") >= least).select("run.page", F.col("run.component").alias("run"), "ax", "ay", "bx", "by", "angle", "length")
 
 
-def _lines(words: pd.DataFrame, tolerance: float = 3.0) -> list[pd.DataFrame]:
-    """Words in lines: a word joins the last line if it is within the tolerance of its running
-    mean height."""
-    w = words.assign(yc=(words.y0 + words.y1) / 2).sort_values(["yc", "x0"], kind="stable")
-    names, mean, n, line = [], None, 0, -1
-    for y in w.yc:
-        if mean is None or abs(y - mean) > tolerance:
-            line, mean, n = line + 1, y, 0
-        n += 1
-        mean += (y - mean) / n
-        names.append(line)
-    return [g.sort_values("x0") for _, g in w.groupby(names)]
-
-
-def _page_rows(words: pd.DataFrame) -> list[dict]:
-    out: list[dict] = []
-    lines = _lines(words)
-    heads = []
-    for i, line in enumerate(lines):
-        run = (line.x0 - line.x1.shift() > 30).cumsum()  # a header is one run of words
-        for _, part in line.groupby(run):
-            text = " ".join(part.text).upper()
-            category = next((c for c, p in HEADERS.items() if re.search(p, text)), "unknown" if re.search(r"\bSCHEDULE\b", text) else None)
-            if category:
-                heads.append((i, category, part.y0.min()))
-    for table, (at, category, _) in enumerate(heads):
-        below = next((y for j, _, y in heads if j > at), float("inf"))
-        sub = next((j for j in range(at + 1, len(lines)) if lines[j].text.str.upper().str.match(SUBHEADER).any() and lines[j].y0.min() <= lines[at].y1.max() + 60), None)
-        if sub is None:
-            continue
-        columns: list[list[float]] = []
-        for x0, x1 in zip(lines[sub].x0, lines[sub].x1, strict=True):
-            if columns and x0 <= columns[-1][1] + 14:
-                columns[-1][1] = max(columns[-1][1], x1)
-            else:
-                columns.append([x0, x1])
-        left, right = columns[0][0] - 10, columns[-1][1] + 10
-        gaps: list[float] = []
-        last, row = None, 0
-        for line in lines[sub + 1 :]:
-            inside = line[((line.x0 + line.x1) / 2).between(left, right)]
-            if line.y0.min() >= below:
-                break
-            if inside.empty:
-                continue
-            if re.match(r"NOTES?\b", inside.text.iloc[0].upper()):
-                break
-            if gaps and inside.y0.min() - last > 2.5 * max(sorted(gaps)[len(gaps) // 2], 16.0):
-                break
-            if last is not None:
-                gaps.append(inside.y0.min() - last)
-            last = inside.y1.max()
-            tokens = inside.text.str.strip().str.upper().tolist()
-            known = [t for t in tokens[:8] if re.match(MARK_PATTERNS.get(category, GENERIC_MARK), t)]
-            mark = known[0] if known else tokens[0] if inside.x0.iloc[0] < columns[0][1] and re.match(GENERIC_MARK, tokens[0]) else None
-            if mark or not row:
-                row += 1
-                out.append({"table_no": table, "category": category, "row_no": row, "mark": mark, "row_text": " ".join(inside.text), "y0": inside.y0.min(), "y1": inside.y1.max()})
-            else:  # a wrapped line goes on with the row above
-                out[-1]["row_text"] += " " + " ".join(inside.text)
-                out[-1]["y1"] = inside.y1.max()
-    return out
-
-
-def schedule_rows(words: DataFrame) -> DataFrame:
-    """(page, table_no, category, row_no, mark, row_text, y0, y1) of the schedules of each page.
-    Lines, columns and stops depend on what came before, so a page is a group; it holds as
-    many words as fit on a sheet."""
-
-    def parse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.DataFrame(_page_rows(pdf), columns=["table_no", "category", "row_no", "mark", "row_text", "y0", "y1"])
-        return rows.assign(page=key[0])[["page", "table_no", "category", "row_no", "mark", "row_text", "y0", "y1"]]
-
-    kind = dict(words.dtypes)["page"]
-    return words.groupBy("page").applyInPandas(parse, f"page {kind}, table_no int, category string, row_no int, mark string, row_text string, y0 double, y1 double")
-
-
 def learned_vocabulary(rows: DataFrame) -> DataFrame:
     """The first row of each category and mark."""
     order = F.struct("page", "table_no", "row_no")

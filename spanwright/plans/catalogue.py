@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly_queries, category_queries, consensus_queries, drawing_queries, evidence_queries, matching_queries, report_queries, scan_queries, stream_queries, teach_queries, text_queries, workflow_queries  # noqa: F401
+from . import assembly_queries, category_queries, consensus_queries, drawing_queries, evidence_queries, matching_queries, report_queries, scan_queries, schedule_queries, stream_queries, teach_queries, text_queries, workflow_queries  # noqa: F401
 from .registrar import ORACLES, QUERIES
 
 FLAGSHIP = "device_verdict_counts"

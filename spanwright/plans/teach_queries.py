@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.operators import teach as T
-from spanwright.operators.extract import HEADERS
+from spanwright.operators.schedules import HEADERS
 from spanwright.sources.memory import KeyedTable
 from spanwright.sources.scratch import scratch_path
 

@@ -107,20 +107,6 @@ def title_strip_pick(spark: SparkSession, d: str) -> DataFrame:
     return X.sheet_number(words)
 
 
-@query(
-    PRELUDE + """, r AS (SELECT * FROM (VALUES (1, 'H1', 'H1 HDU2'), (2, 'H2', 'H2 HDU5 tall'), (3, 'H3', 'H3 HDU8')) v(row_no, mark, row_text))
-SELECT page, 'holdown' AS category, row_no, mark, row_text FROM (SELECT DISTINCT n // 40 AS page FROM keys) CROSS JOIN r"""
-)
-def schedule_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A schedule drawn on the page of each forty places: header, sub-header, three rows, of
-    which one wraps."""
-    pages = places(spark, d).selectExpr("n div 40 AS page").distinct()
-    cells = "VALUES (0,100,50,'HOLDOWN'),(1,160,50,'SCHEDULE'),(2,100,70,'MARK'),(3,200,70,'TYPE'),(4,100,90,'H1'),(5,200,90,'HDU2'),(6,100,112,'H2'),(7,200,112,'HDU5'),(8,200,118,'tall'),(9,100,140,'H3'),(10,200,140,'HDU8'),(11,100,300,'NOTES')"
-    rows = spark.sql(f"SELECT * FROM {cells} AS t(seq, x0, y0, text)")
-    words = pages.join(F.broadcast(rows)).selectExpr("page", "seq", "cast(x0 AS double) AS x0", "cast(y0 AS double) AS y0", "cast(x0 + 30 AS double) AS x1", "cast(y0 + 8 AS double) AS y1", "text")
-    return X.schedule_rows(words).select("page", "category", "row_no", "mark", "row_text")
-
-
 @query(PRELUDE + ", s AS (SELECT n, 10 * n AS seq, px + 3 AS ax, py + 4 AS ay, px + 13 AS bx, py + 4 AS by FROM places WHERE n % 2 = 0) SELECT p.n, s.bx AS x, s.by AS y FROM places p JOIN s USING (n)")
 def leader_tips(spark: SparkSession, d: str) -> DataFrame:
     p = places(spark, d)
