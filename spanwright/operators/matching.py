@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import math
 from itertools import groupby
 from operator import itemgetter
 
@@ -58,32 +57,36 @@ def adaptive_gate(devices: DataFrame, sheets: DataFrame, gates: Gates) -> DataFr
 def least_total(options: dict[int, list[tuple[int, float]]], alone: float) -> dict[int, int]:
     """The columns that rows get so that the sum is least: ``options`` are a row's (column, cost),
     and ``alone`` is what a row without a column costs. Shortest augmenting paths over the
-    options only, with dual prices and a heap, so rows far from each other cost nothing."""
-    row_price: dict[int, float] = dict.fromkeys(options, 0.0)
-    col_price: dict[tuple, float] = {}
+    options only, with dual prices and a heap, so rows far from each other cost nothing. Costs
+    count in billionths, as whole numbers, so equal sums tie; then fewer rows are moved, and
+    earlier rows keep what they have."""
+    whole = lambda cost: round(cost * 10**9)
+    row_price: dict[int, int] = dict.fromkeys(options, 0)
+    col_price: dict[tuple, int] = {}
     owner: dict[tuple, int] = {}
     for start in sorted(options):
-        dist: dict[tuple, float] = {}
+        dist: dict[tuple, tuple[int, int]] = {}
         before: dict[tuple, tuple | None] = {}
         done: set[tuple] = set()
-        heap: list[tuple[float, tuple]] = []
-        row, here, base = start, None, 0.0
+        heap: list[tuple[tuple[int, int], tuple]] = []
+        row, here, base, moved = start, None, 0, 0
         while True:
             for col, cost in [*(((0, c), w) for c, w in options[row]), ((1, row), alone)]:
-                far = base + cost - row_price[row] - col_price.get(col, 0.0)
-                if col not in done and far < dist.get(col, math.inf):
+                far = (base + whole(cost) - row_price[row] - col_price.get(col, 0), moved)
+                if col not in done and (col not in dist or far < dist[col]):
                     dist[col], before[col] = far, here
                     heapq.heappush(heap, (far, col))
-            base, here = heapq.heappop(heap)
+            (base, moved), here = heapq.heappop(heap)
             while here in done:
-                base, here = heapq.heappop(heap)
+                (base, moved), here = heapq.heappop(heap)
+            moved += 1
             done.add(here)
             if here not in owner:
                 break
             row = owner[here]
         for col in done - {here}:
-            row_price[owner[col]] += base - dist[col]
-            col_price[col] = col_price.get(col, 0.0) - (base - dist[col])
+            row_price[owner[col]] += base - dist[col][0]
+            col_price[col] = col_price.get(col, 0) - (base - dist[col][0])
         row_price[start] += base
         while here is not None:
             back = before[here]

@@ -110,12 +110,12 @@ pinned AS (SELECT * FROM best WHERE first_of = 1),
 open_d AS (SELECT DISTINCT p.n, v.mark, p.d FROM pairs p JOIN devs v ON v.d = p.d WHERE p.optimal AND p.d NOT IN (SELECT d FROM pinned)),
 numbers AS (SELECT *, row_number() OVER (PARTITION BY n, mark ORDER BY d) AS i, count(*) OVER (PARTITION BY n, mark) AS m FROM open_d),
 choices AS (SELECT d, t, dist FROM pairs WHERE dist <= outer_ft AND t NOT IN (SELECT t FROM pinned) UNION ALL SELECT d, NULL, 12000 FROM open_d),
-ways(n, mark, i, m, cost, ds, ts) AS (
-  SELECT DISTINCT n, mark, CAST(0 AS BIGINT), m, CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM numbers
+ways(n, mark, i, m, cost, far, ds, ts) AS (
+  SELECT DISTINCT n, mark, CAST(0 AS BIGINT), m, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM numbers
   UNION ALL
-  SELECT w.n, w.mark, o.i, w.m, w.cost + c.dist, list_append(w.ds, o.d), list_append(w.ts, c.t)
+  SELECT w.n, w.mark, o.i, w.m, w.cost + CAST(round(c.dist * 1e9) AS BIGINT), list_append(w.far, CAST(round(c.dist * 1e9) AS BIGINT)), list_append(w.ds, o.d), list_append(w.ts, c.t)
   FROM ways w JOIN numbers o ON o.n = w.n AND o.mark = w.mark AND o.i = w.i + 1 JOIN choices c ON c.d = o.d AND (c.t IS NULL OR NOT list_contains(w.ts, c.t))),
-least_way AS (SELECT n, mark, arg_min(ds, (cost, ts)) AS ds, arg_min(ts, (cost, ts)) AS ts FROM ways WHERE i = m GROUP BY n, mark),
+least_way AS (SELECT n, mark, arg_min(ds, (cost, far, ts)) AS ds, arg_min(ts, (cost, far, ts)) AS ts FROM ways WHERE i = m GROUP BY n, mark),
 planned AS (SELECT d, t FROM pinned UNION ALL SELECT unnest(ds), unnest(ts) FROM least_way),
 clear AS (
   SELECT p.n, p.d, p.t, p.off, CASE WHEN l.d IS NULL THEN 1000 ELSE 0 END + p.dist AS dist, p.dist AS real, p.gate
