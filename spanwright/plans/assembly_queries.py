@@ -146,3 +146,107 @@ def product_marks(spark: SparkSession, d: str) -> DataFrame:
     from spanwright.operators.extract import product_marks as first
 
     return first(schedule_products(spark, d), ["table", "line"])
+
+
+@query(
+    RECURSIVE + HARDWARE + """, made AS (SELECT m.seat, s.mark FROM members m LEFT JOIN specs s USING (key) WHERE m.seq = m.seat),
+expected(mark, expected) AS (SELECT 'HD1', (SELECT count(*) FROM made WHERE mark = 'HD1') UNION ALL SELECT 'HD2', 7 UNION ALL SELECT 'HD9', 3),
+marks AS (SELECT e.mark, e.expected, (SELECT count(*) FROM made m WHERE m.mark = e.mark) AS n FROM expected e)
+SELECT 'stage 0' AS step, 'records' AS key, (SELECT count(*) FROM records) AS n, CAST(NULL AS BIGINT) AS expected, CAST(NULL AS BIGINT) AS delta, CAST(NULL AS VARCHAR) AS warning
+UNION ALL SELECT 'stage 1', 'hardware', (SELECT count(*) FROM hw), NULL, NULL, NULL
+UNION ALL SELECT 'stage 2', 'assemblies', (SELECT count(*) FROM made), NULL, NULL, NULL
+UNION ALL SELECT 'mark', mark, n, expected, n - expected, CASE WHEN n <> expected THEN mark || ': ' || n || ' assemblies, ' || expected || ' expected; review, don''t force' END FROM marks"""
+)
+def count_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records to hardware to assemblies to marks, counted while they are written."""
+    from spanwright.operators.counts import Chain, chain_report
+
+    chain = Chain()
+    raw = chain.write("records", records(spark, d))
+    hardware = chain.write("hardware", A.hardware_records(raw))
+    made = chain.write("assemblies", A.built(hardware, spark.createDataFrame(SPECS, "key string, mark string"))[0])
+    first = made.where("mark = 'HD1'").agg(F.lit("HD1").alias("mark"), F.count("*").alias("expected"))
+    others = spark.createDataFrame([("HD2", 7), ("HD9", 3)], "mark string, expected long")
+    return chain_report(spark, chain, made, first.unionByName(others))
+
+
+# ---- detections: hits with up to four leaders, counts, and pairs that two hits want
+
+HIT = {"page": "n div 30", "hit": "n % 30 + 1", "label": "concat('h', n % 5)", "count": "CASE WHEN n % 17 = 0 THEN NULL WHEN n % 3 = 0 THEN n % 5 ELSE 1 END", "sheet": "concat('S', n div 30)"}
+TARGETS = "n % 7 - 2"  # of which the positive ones are leaders
+DETECTED = RECURSIVE + """, hits AS (SELECT n, n // 30 AS page, n % 30 + 1 AS hit, 'h' || (n % 5) AS label, greatest(coalesce(CASE WHEN n % 17 = 0 THEN NULL WHEN n % 3 = 0 THEN n % 5 ELSE 1 END, 1), 1) AS c,
+  'S' || (n // 30) AS sheet, px + 5 AS cx, py + 2 AS cy, greatest(least(n % 7 - 2, 4), 0) AS m FROM places),
+t AS (SELECT n, k, px + k * 30.0 + n % 4 * 12 AS x, py + k * 8.0 AS y FROM places, (SELECT unnest(range(4)) AS k) WHERE k < n % 7 - 2),
+lists AS (SELECT h.*, coalesce((SELECT list({'x': x, 'y': y} ORDER BY k) FROM t WHERE t.n = h.n), []) AS ts FROM hits h),
+wants AS (SELECT n, page, hit, (hit - 1) // 2 AS key, n % 6 * 1.0 AS score, cx + 40 AS ax, cy AS ay, cx + 75 AS bx FROM lists WHERE n % 4 <> 1 AND len(ts) <= 1),
+won AS (SELECT *, row_number() OVER (PARTITION BY page, key ORDER BY score, hit) AS r FROM wants),
+p AS (SELECT l.*, w.n IS NOT NULL AS paired, [{'x': w.ax, 'y': w.ay}, {'x': w.bx, 'y': w.ay}] AS pr FROM lists l LEFT JOIN won w ON w.n = l.n AND w.r = 1),
+d3 AS (SELECT *, sqrt((ts[1].x - ts[2].x) ** 2 + (ts[1].y - ts[2].y) ** 2) AS d12, sqrt((ts[1].x - ts[3].x) ** 2 + (ts[1].y - ts[3].y) ** 2) AS d13, sqrt((ts[2].x - ts[3].x) ** 2 + (ts[2].y - ts[3].y) ** 2) AS d23 FROM p),
+raw AS (SELECT *, CASE WHEN c > 1 AND len(ts) >= c THEN ts[1:c] WHEN c > 1 AND paired THEN pr[1:c] WHEN c > 1 THEN NULL WHEN len(ts) = 2 THEN ts
+    WHEN len(ts) = 3 AND least(d12, d13, d23) BETWEEN 40 AND 75 THEN CASE WHEN d12 <= d13 AND d12 <= d23 THEN [ts[1], ts[2]] WHEN d13 <= d23 THEN [ts[1], ts[3]] ELSE [ts[2], ts[3]] END
+    WHEN paired THEN pr WHEN len(ts) > 0 THEN ts[1:1] ELSE [{'x': cx, 'y': cy}] END AS pts FROM d3),
+sized AS (SELECT *, greatest(c, coalesce(len(pts), 0)) AS total, coalesce(pts[1], ts[1], {'x': cx, 'y': cy}) AS base FROM raw),
+final AS (SELECT *, CASE WHEN pts IS NOT NULL AND len(pts) >= total THEN pts ELSE list_transform(range(total), lambda i: {'x': base.x - 9.0 * (total - 1) + 18.0 * i, 'y': base.y}) END AS q FROM sized)"""
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.operators import detections as D
+
+    p = places(spark, d)
+    box = {"x0": "px", "y0": "py", "x1": "px + 10", "y1": "py + 4"}
+    hits = p.selectExpr(*[f"{e} AS {c}" for c, e in (HIT | box).items()]).withColumn("count", F.col("count").cast("int")).withColumn("hit", F.col("hit").cast("int"))
+    leaders = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(f"k < {TARGETS}")
+    targets = leaders.selectExpr("n div 30 AS page", "cast(n % 30 + 1 AS int) AS hit", "k", "px + k * 30D + n % 4 * 12 AS x", "py + k * 8D AS y")
+    pairs = p.where("n % 4 <> 1").selectExpr("n div 30 AS page", "cast(n % 30 + 1 AS int) AS hit", "n % 30 div 2 AS pair_key", "n % 6 * 1D AS score", "px + 45 AS ax", "py + 2 AS ay", "px + 80 AS bx", "py + 2 AS by")
+    return D.instances(D.plans(hits, targets, pairs))
+
+
+@query(
+    DETECTED + """SELECT lower(sheet) || '_' || label || '_' || printf('%03d', hit) || '_' || (i + 1) AS id, CAST(total AS BIGINT) AS total, round_even(q[i + 1].x, 2) AS x, round_even(q[i + 1].y, 2) AS y,
+  CASE WHEN paired THEN 'paired_hardware_markers' WHEN len(ts) >= total AND total > 1 THEN 'multiple_leader_targets' WHEN len(ts) > 0 AND total = 1 THEN 'leader_target'
+    WHEN len(ts) > 0 THEN 'leader_plus_synthetic_count_expansion' WHEN c > 1 THEN 'label_center_synthetic_count_expansion' ELSE 'label_center_fallback' END AS method,
+  len(ts) > 0 AS leader_found, paired AS marker_found, c > 1 AS count_found
+FROM (SELECT *, unnest(range(len(q))) AS i FROM final)"""
+)
+def detected_instances(spark: SparkSession, d: str) -> DataFrame:
+    return _detected(spark, d).select("id", F.col("total").cast("long").alias("total"), "x", "y", "method", "leader_found", "marker_found", "count_found")
+
+
+@query(
+    DETECTED + """SELECT lower(sheet) || '_' || label || '_' || printf('%03d', hit) || '_' || (i + 1) AS id, upper(label) AS mark, CASE label WHEN 'h1' THEN 'HDU2' WHEN 'h3' THEN 'HDU5' ELSE '' END AS type,
+  CASE WHEN label IN ('h1', 'h3') THEN 'detected' ELSE 'not_in_schedule' END AS schedule_source, CASE label WHEN 'h1' THEN 'HDU2' WHEN 'h2' THEN 'HDU4' ELSE '' END AS core_token, true AS z_inferred
+FROM (SELECT *, unnest(range(len(q))) AS i FROM final)"""
+)
+def detected_rows(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.operators import detections as D
+
+    schedule = spark.createDataFrame([("H1", "HDU2", "", "", ""), ("h3", "HDU5", "(4) SDS", None, "8")], "mark string, type string, fasteners string, anchor string, embedment string")
+    return D.normalized_rows(_detected(spark, d), schedule, {"H1": "HDU2", "H2": "HDU4"}, "S1").select("id", "mark", "type", "schedule_source", "core_token", "z_inferred")
+
+
+# ---- answers of a live model's connector, a text for each twenty places
+
+
+@query(
+    PRELUDE + """, a AS (SELECT n // 20 AS answer, n, px, py FROM places)
+SELECT answer, 'title' AS kind, NULL AS id, 'Tower ' || answer AS name, NULL AS n, NULL AS x, NULL AS y, NULL AS z, NULL AS x1, NULL AS y1, NULL AS z1 FROM (SELECT DISTINCT answer FROM a)
+UNION ALL SELECT DISTINCT answer, 'category', NULL, 'OST_Walls', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM a
+UNION ALL SELECT answer, 'location', 10000 + n, 'OST_Walls', NULL, px, py, 1.5, NULL, NULL, NULL FROM a WHERE n % 5 = 0
+UNION ALL SELECT answer, 'box', n, 'OST_Walls', NULL, px, py, 0, px + 1, py + 1, 12.5 FROM a WHERE n % 5 = 1
+UNION ALL SELECT answer, 'listed', n, 'OST_Walls/selected_ids', 2, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE n % 5 = 2
+UNION ALL SELECT answer, 'listed', n + 1, 'OST_Walls/selected_ids', 2, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE n % 5 = 2
+UNION ALL SELECT answer, 'subset', -9000000 - n, 'OST_Walls/ElementIdsOfCategory', n, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE n % 5 = 3
+UNION ALL SELECT answer, 'loose', 20000 + n, 'OST_Walls', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE n % 10 = 4
+UNION ALL SELECT answer, 'bad', NULL, n || ',"[(a, b), (1)]"', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE n % 10 = 9"""
+)
+def connector_rows(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.sources.connector import rows_of
+
+    line = F.expr(
+        "CASE WHEN n % 5 = 0 THEN concat(10000 + n, ',LocationPoint,\"(', px, ', ', py, ', 1.50)\"') WHEN n % 5 = 1 THEN concat(n, ',\"[(', px, ', ', py, ', 0), (', px + 1, ', ', py + 1, ', 12.5)]\"') "
+        "WHEN n % 5 = 2 THEN concat('selected_ids[2]: ', n, ', ', n + 1) WHEN n % 5 = 3 THEN concat('ElementIdsOfCategory[', n, ']{SubsetId,IdsCount,SampleElementId}:\n  ', -9000000 - n, ',', n, ',77') "
+        "WHEN n % 10 = 4 THEN concat('copied to ', 20000 + n) ELSE concat(n, ',\"[(a, b), (1)]\"') END"
+    )
+    texts = places(spark, d).withColumn("line", line).groupBy(F.expr("n div 20").alias("answer")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("lines"))
+    head = F.concat(F.lit("model_title: Tower "), F.col("answer").cast("string"), F.lit("\ntimestamp: 2024-01-01 10510\n- Category: OST_Walls\n"), F.col("lines"))
+    return rows_of(texts.select("answer", head.alias("text")), "answer", "text")
