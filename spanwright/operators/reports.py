@@ -57,6 +57,15 @@ def sorted_rows(elements: DataFrame, column: str, descending: bool = False) -> D
     return elements.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "seq")
 
 
+def placed_rows(elements: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """With ``place``, from 1, in the order of ``sorted_rows`` by a number: a sort whose places are
+    columns, counted by ranges so that no task gets all rows."""
+    from spanwright.operators.cluster import numbered
+
+    key = F.struct(F.col(column).isNull().alias("none"), (-F.col(column) if descending else F.col(column)).alias("value"), "seq")
+    return numbered(elements.withColumn("_order", key), "_order", "place").drop("_order")
+
+
 def rank_aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The i-th row of a key with the i-th of the other side, the surplus of either alone."""
     w = Window.partitionBy(key).orderBy("seq")

@@ -101,6 +101,30 @@ def farthest_pair(points: DataFrame) -> DataFrame:
     return best.orderBy(F.desc("dist"), "a_seq", "b_seq").limit(1).select("a", "b", "dist")
 
 
+def farthest_pairs(points: DataFrame, by: str) -> DataFrame:
+    """``farthest_pair`` of each ``by``: each task sends on the corners of its own rows' hulls, and
+    those of one ``by`` meet in one task. Rows without it are a group, too."""
+    least = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(by, "x", "y").agg(F.min_by(F.struct("seq", "id"), "seq").alias("p")).select(by, "p.seq", "p.id", "x", "y")
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pd.concat([kept, batch])
+            hulls = [g.iloc[_hull(g["x"].to_numpy(), g["y"].to_numpy())] for _, g in rows.groupby(by, dropna=False)]
+            kept = pd.concat(hulls) if hulls else rows
+        if kept is not None:
+            yield kept
+
+    schema = least.schema
+    few = least.mapInPandas(corners, schema).repartition(F.col(by)).mapInPandas(corners, schema)
+    a, b = few.select(*[F.col(c).alias(f"a_{c}") for c in few.columns]), few.select(*[F.col(c).alias(f"b_{c}") for c in few.columns])
+    far = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
+    pairs = a.join(b, F.col(f"a_{by}").eqNullSafe(F.col(f"b_{by}")) & (F.col("a_seq") < F.col("b_seq"))).withColumn("dist", far)
+    order = F.struct((-F.col("dist")).alias("d"), "a_seq", "b_seq")
+    best = pairs.groupBy(f"a_{by}").agg(F.min_by(F.struct("a_id", "b_id", "dist"), order).alias("p"))
+    return best.select(F.col(f"a_{by}").alias(by), F.col("p.a_id").alias("a"), F.col("p.b_id").alias("b"), "p.dist")
+
+
 def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
     """Places of the corners of the convex hull, by a sweep from left to right and back."""
     order = np.lexsort((y, x)).tolist()

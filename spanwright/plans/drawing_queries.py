@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.functions import geometry as G
 from spanwright.operators import fit
 from spanwright.operators.cluster import devices, leader_clusters, single_link
-from spanwright.operators.spatial import attach_nearest, farthest_pair, nearest_k, outside_boxes, segments_within, within
+from spanwright.operators.spatial import attach_nearest, farthest_pairs, nearest_k, outside_boxes, segments_within, within
 
 from .registrar import query
 from .views import PRELUDE, callouts, places, targets
@@ -66,15 +66,13 @@ def grid_intersections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    PRELUDE + """, p AS (SELECT * FROM callouts WHERE sheet = 'S1'),
--- of the points of one height only the outermost can be farthest from any other point
-q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY y ORDER BY x, seq) = 1 OR row_number() OVER (PARTITION BY y ORDER BY x DESC, seq) = 1)
-SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS dist FROM q a JOIN q b ON a.seq < b.seq
-ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) DESC, a.seq, b.seq LIMIT 1"""
+    PRELUDE + """, q AS (SELECT * FROM callouts QUALIFY row_number() OVER (PARTITION BY sheet, y ORDER BY x, seq) = 1 OR row_number() OVER (PARTITION BY sheet, y ORDER BY x DESC, seq) = 1)
+SELECT a.sheet, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS dist FROM q a JOIN q b ON a.sheet = b.sheet AND a.seq < b.seq
+QUALIFY row_number() OVER (PARTITION BY a.sheet ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) DESC, a.seq, b.seq) = 1"""
 )
 def max_diagonal_pair(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmarks are picked among one sheet's grid points."""
-    return farthest_pair(callouts(spark, d).where("sheet = 'S1'")).select("a", "b", F.round("dist", 6).alias("dist"))
+    """Benchmarks are picked among each sheet's grid points."""
+    return farthest_pairs(callouts(spark, d), "sheet").select("sheet", "a", "b", F.round("dist", 6).alias("dist"))
 
 
 NEAR = "JOIN targets t ON c.mark = t.mark AND sqrt((c.x - t.x) ** 2 + (c.y - t.y) ** 2) <= 6"

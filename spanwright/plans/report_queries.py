@@ -63,9 +63,9 @@ def sort_severity(spark: SparkSession, d: str) -> DataFrame:
     return R.sorted_rows(elements(spark, d), "verdict").select("id", V.severity(V.product_verdict(F.col("status"))).alias("severity"))
 
 
-@query(PRELUDE + "SELECT id, distance_ft FROM elements ORDER BY distance_ft DESC NULLS LAST, seq LIMIT 50")
+@query(PRELUDE + "SELECT id, distance_ft, row_number() OVER (ORDER BY distance_ft DESC NULLS LAST, seq) AS place FROM elements")
 def sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    return R.sorted_rows(elements(spark, d), "distance_ft", descending=True).limit(50).select("id", "distance_ft")
+    return R.placed_rows(elements(spark, d), "distance_ft", descending=True).select("id", "distance_ft", "place")
 
 
 @query(PRELUDE + "SELECT category, status, count(*) AS n FROM elements GROUP BY ALL UNION ALL SELECT category, '(all)', count(*) FROM elements GROUP BY ALL")

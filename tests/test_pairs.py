@@ -105,3 +105,16 @@ def test_listings_and_segments(spark):
     p = spark.createDataFrame([("p", 0.0, 3.0), ("q", 90.0, 90.0)], "id string, x double, y double")
     s = spark.createDataFrame([(1, -5.0, 0.0, 5.0, 0.0), (2, 0.0, 8.0, 9.0, 8.0)], "seq long, ax double, ay double, bx double, by double")
     assert [tuple(r) for r in X.nearest_segment(p, s, 10.0).select("id", "segment", F.round("dist", 6)).collect()] == [("p", 1, 3.0)]
+
+
+def test_farthest_pairs_of_each_sheet(spark):
+    from spanwright.operators.spatial import farthest_pairs
+
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "b", None]), k, f"p{k}", float(rng.randint(0, 40)), float(rng.randint(0, 40))) for k in range(300)]
+    got = {r["sheet"]: (r["a"], r["b"], r["dist"]) for r in farthest_pairs(spark.createDataFrame(rows, "sheet string, seq long, id string, x double, y double").repartition(5), "sheet").collect()}
+    for sheet in ("a", "b", None):
+        mine = [r for r in rows if r[0] == sheet]
+        far = max(math.hypot(p[3] - q[3], p[4] - q[4]) for p in mine for q in mine)
+        a, b = min((p[1], q[1]) for p in mine for q in mine if p[1] < q[1] and math.isclose(math.hypot(p[3] - q[3], p[4] - q[4]), far))
+        assert got[sheet] == (f"p{a}", f"p{b}", pytest.approx(far))
