@@ -55,7 +55,7 @@ def devices_of(callouts: DataFrame, tolerance: float) -> DataFrame:
     (seq, id, category, mark, sheet, x, y): first-fit clusters inside a category and mark, one
     row of a sheet in each; numbered by category in the order of their founders."""
     callouts = M.filled(callouts)
-    keyed = callouts.withColumn("_mark", F.col("mark")).withColumn("mark", F.concat_ws("\x1f", "category", F.coalesce("mark", F.lit("\x00"))))
+    keyed = callouts.withColumn("_mark", F.col("mark")).withColumn("mark", F.concat_ws("\x1f", F.coalesce("category", F.lit("\x00")), F.coalesce("mark", F.lit("\x00"))))
     members = leader_clusters(keyed, tolerance).drop("mark").withColumnRenamed("_mark", "mark")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda s: s[c])
@@ -63,8 +63,9 @@ def devices_of(callouts: DataFrame, tolerance: float) -> DataFrame:
         F.avg("x").alias("x"), F.avg("y").alias("y"), first("z"), first("orientation_deg"), in_order("id").alias("appearances"), in_order("sheet").alias("sheets")
     )
     ranked = stash(numbered(made.withColumn("_o", F.struct("category", "founder")), "_o", "seq").drop("_o"), "devices")
-    before = ranked.groupBy("category").agg((F.min("seq") - 1).alias("_before"))
-    return ranked.join(F.broadcast(before), "category").withColumn("id", F.format_string("%s_dev_%03d", "category", F.col("seq") - F.col("_before"))).drop("_before")
+    before = ranked.groupBy(F.col("category").alias("_c")).agg((F.min("seq") - 1).alias("_before"))
+    named = ranked.join(F.broadcast(before), F.col("category").eqNullSafe(F.col("_c")))  # a row for each category
+    return named.withColumn("id", F.format_string("%s_dev_%03d", F.coalesce("category", F.lit("none")), F.col("seq") - F.col("_before"))).drop("_c", "_before")
 
 
 def _segments(targets: DataFrame) -> DataFrame:

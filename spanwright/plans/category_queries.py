@@ -228,3 +228,52 @@ def category_leftovers(spark: SparkSession, d: str) -> DataFrame:
 @query(SETTLED + f"SELECT unnest(appearances) AS row, category, id AS device_id, status, {VERDICT_SQL} AS verdict, distance_ft, target_id, len(list_distinct(sheets)) AS n_sheets FROM s2")
 def category_row_overrides(spark: SparkSession, d: str) -> DataFrame:
     return C.row_overrides(_run(spark, d)[0]).withColumn("n_sheets", F.col("n_sheets").cast("long"))
+
+
+# ---- findings of registrations in every state, a sheet for each place
+
+REGISTRATION = {
+    "sheet": "concat('S', n)", "status": "CASE n % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'failed' WHEN 2 THEN 'diagnostic_only' WHEN 3 THEN 'low_confidence' WHEN 4 THEN 'usable' END",
+    "solve_rms": "CASE WHEN n % 7 > 0 THEN n % 50 END", "solve_max": "n % 90", "held_rms": "n % 40", "held_max": "n % 80", "held_failed": "CASE WHEN n % 5 > 0 THEN n % 2 = 0 END",
+    "n_held": "CASE WHEN n % 4 > 0 THEN n % 3 END", "reason": "CASE WHEN n % 12 = 1 THEN 'points are in line' END", "has_transform": "n % 8 = 2",
+}
+REGISTERED = f"SELECT {', '.join(f'{e} AS {c}' for c, e in REGISTRATION.items())} FROM"
+
+
+@query(
+    RECURSIVE + f""", r AS ({REGISTERED} places)
+SELECT sheet, CAST(1 AS INTEGER) AS place, code, CASE code WHEN 'REGISTRATION_UNVALIDATED' THEN 'warning' ELSE 'blocking' END AS severity,
+  CASE code WHEN 'REGISTRATION_FAILED' THEN coalesce(reason, 'The registration has no solution.')
+    WHEN 'REGISTRATION_VALIDATION_FAILED' THEN 'Held-out residuals of ' || held_rms || ' pt rms and ' || held_max || ' pt at most are beyond the limits.'
+    WHEN 'REGISTRATION_LOW_CONFIDENCE' THEN 'Solved residuals of ' || coalesce(CAST(solve_rms AS VARCHAR), 'unknown') || ' pt rms and ' || solve_max || ' pt at most are beyond the limits.' END AS detail
+FROM (SELECT *, CASE coalesce(status, 'missing') WHEN 'missing' THEN 'REGISTRATION_MISSING' WHEN 'failed' THEN 'REGISTRATION_FAILED' WHEN 'diagnostic_only' THEN 'AUTO_EXTENT_CALIBRATION_DIAGNOSTIC_ONLY'
+  WHEN 'low_confidence' THEN CASE WHEN held_failed THEN 'REGISTRATION_VALIDATION_FAILED' ELSE 'REGISTRATION_LOW_CONFIDENCE' END ELSE CASE WHEN coalesce(n_held, 0) = 0 THEN 'REGISTRATION_UNVALIDATED' END END AS code FROM r)
+WHERE code IS NOT NULL"""
+)
+def registration_findings(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.operators import blockers as K
+
+    rows = places(spark, d).selectExpr(*[f"{e} AS {c}" for c, e in REGISTRATION.items()])
+    told = F.col("code").isin(K.FAILED, K.HELD_FAILED, K.LOW)
+    return K.registration_findings(rows).select("sheet", "place", "code", "severity", F.when(told, F.col("message")).alias("detail"))
+
+
+@query(RECURSIVE + f", r AS ({REGISTERED} places) SELECT sheet, CASE WHEN status = 'usable' THEN 'located' WHEN status = 'diagnostic_only' AND has_transform THEN 'diagnostic' ELSE 'type_and_count' END AS mode, coalesce(status = 'usable', false) AS match_allowed FROM r")
+def comparison_modes(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.operators import blockers as K
+
+    return K.comparison_modes(places(spark, d).selectExpr(*[f"{e} AS {c}" for c, e in REGISTRATION.items()]))
+
+
+@query(
+    RECURSIVE + f""", calls AS ({_sql(CALLOUT, IN_CALLOUTS)}), goals AS ({_sql(TARGET, IN_TARGETS)}),
+a AS (SELECT n // 5 AS sheet, mark, count(*) AS k FROM calls WHERE mark IS NOT NULL GROUP BY ALL), b AS (SELECT n // 5 AS sheet, mark, count(*) AS k FROM goals WHERE mark IS NOT NULL GROUP BY ALL)
+SELECT coalesce(a.sheet, b.sheet) AS sheet, coalesce(a.mark, b.mark) AS mark, 'COUNT_MISMATCH' AS code, 'warning' AS severity,
+  coalesce(a.mark, b.mark) || ': ' || coalesce(b.k, 0) || ' in the model, ' || coalesce(a.k, 0) || ' drawn' AS message
+FROM a FULL JOIN b ON a.sheet = b.sheet AND a.mark = b.mark WHERE coalesce(a.k, 0) <> coalesce(b.k, 0)"""
+)
+def count_findings(spark: SparkSession, d: str) -> DataFrame:
+    from spanwright.operators import blockers as K
+
+    by = lambda df: df.select(F.expr("n div 5").alias("sheet"), "mark")
+    return K.count_findings(by(_spark(places(spark, d), CALLOUT, IN_CALLOUTS)), by(targets(spark, d)))

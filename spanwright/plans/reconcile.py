@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanwright.config import Gates
 from spanwright.functions.geometry import apply_affine, invert_affine
 from spanwright.functions.verdicts import product_verdict
+from spanwright.operators import categories as C
 from spanwright.operators import matching as M
 from spanwright.operators.cluster import devices
 from spanwright.operators.fit import calibrate
@@ -41,12 +42,22 @@ def _projected(t: Tables, gates: Gates) -> DataFrame:
     return t["marks"].join(cal, "sheet").withColumn("x", x).withColumn("y", y).drop("inverse")
 
 
+def _by_category(t: Tables, name: str) -> bool:
+    return "targets" in t and "category" in t["targets"].columns and "category" in t[name].columns
+
+
 def _devices(t: Tables, gates: Gates) -> DataFrame:
+    """Clustered by category where both sides have one, else as one category."""
+    if _by_category(t, "projected"):
+        return C.devices_of(t["projected"], gates.cluster_ft)
     return devices(t["projected"], gates.cluster_ft, "device")
 
 
 def _verdicts(t: Tables, gates: Gates) -> DataFrame:
     sheets = t["calibrations"].select("sheet", "rms", "scale")
+    if _by_category(t, "devices"):
+        final = C.settled(stash(C.matched(t["devices"], t["targets"], sheets), "matched"), t["targets"], gates=gates)
+        return final.withColumn("verdict", product_verdict(F.col("status")))
     assigned = M.assign(t["devices"], t["targets"], sheets, gates)
     settled = M.settle_by_context(M.settle_by_orientation(assigned, t["targets"], gates), t["targets"], gates)
     return settled.withColumn("verdict", product_verdict(F.col("status")))
@@ -57,6 +68,10 @@ def _elements(t: Tables, gates: Gates) -> DataFrame:
     evaluated; targets that no device has are rows of their own."""
     v = t["verdicts"].select(F.explode("appearances").alias("mark_id"), F.col("id").alias("device_id"), "status", "target_id", "distance_ft")
     rows = t["marks"].join(v, t["marks"].id == v.mark_id, "left").drop("mark_id").withColumn("status", F.coalesce("status", F.lit("NOT_EVALUATED")))
+    if _by_category(t, "verdicts"):
+        left = C.left_over(t["verdicts"], t["targets"]).where("covered_by IS NULL")
+        free = left.select("category", "id", "mark", F.lit("REVIT_ONLY").alias("status"), F.col("id").alias("target_id"))
+        return rows.unionByName(free, allowMissingColumns=True).withColumn("verdict", product_verdict(F.col("status")))
     free = t["targets"].join(t["verdicts"].where("target_id IS NOT NULL").select(F.col("target_id").alias("id")), "id", "left_anti").select("id", "mark", F.lit("REVIT_ONLY").alias("status"), F.col("id").alias("target_id"))
     return rows.unionByName(free, allowMissingColumns=True).withColumn("verdict", product_verdict(F.col("status")))
 

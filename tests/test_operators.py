@@ -153,6 +153,25 @@ def test_a_whole_run(spark):
     assert math.isclose(out["calibrations"].first().scale, 4.0)
 
 
+def test_a_whole_run_of_two_categories(spark):
+    sheet = lambda x, y: (100 + 4 * x, 900 - 4 * y)
+    pairs = spark.createDataFrame([("S1", x, y, *sheet(x, y)) for x, y in ((0.0, 0.0), (40.0, 0.0), (0.0, 30.0), (40.0, 30.0))], "sheet string, x double, y double, u double, v double")
+    drawn = [(0, "m0", "holdown", "H1", *sheet(0.5, 0.0)), (1, "m1", "shear_wall", "SW-1", *sheet(20.0, 13.0)), (2, "m2", "shear_wall", "H1", *sheet(0.0, 0.0)), (3, "m3", None, "H1", *sheet(0.0, 0.0))]
+    targets = [
+        (0, "t0", "holdown", "H1", 0.0, 0.0, None, None, None, None), (1, "w1", "shear_wall", "SW-1", None, None, 10.0, 10.0, 30.0, 10.0), (2, "w2", "shear_wall", "SW-1", None, None, 30.0, 10.0, 34.0, 10.0),
+        (3, "t3", "holdown", "H2", 40.0, 30.0, None, None, None, None),
+    ]
+    tables = {
+        "point_pairs": pairs,
+        "marks": spark.createDataFrame([(k, i, "S1", c, m, x, y) for k, i, c, m, x, y in drawn], "seq long, id string, sheet string, category string, mark string, px double, py double"),
+        "targets": spark.createDataFrame(targets, "seq long, id string, category string, mark string, x double, y double, ax double, ay double, bx double, by double"),
+    }
+    out = Run(tables).go()
+    got = {r.id: (r.status, r.target_id) for r in out["elements"].collect()}
+    # the wall's second segment is part of the drawn run; rows without a category match nothing
+    assert got == {"m0": ("MATCH", "t0"), "m1": ("MATCH", "w1"), "m2": ("PDF_ONLY", None), "m3": ("PDF_ONLY", None), "t3": ("REVIT_ONLY", "t3")}
+
+
 def scattered(rng, n, spread=3000.0):
     return [(f"H{i % 4}", float(rng.uniform(0, spread)), float(rng.uniform(0, spread))) for i in range(n)]
 
