@@ -29,6 +29,13 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_and_the_last_task_find_the_same_components(spark):
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(i, i + 1) for i in range(300, 400)] + [(None, 3), (4, 4)], "a long, b long")
+    plain = sorted(connected_components(edges).collect())
+    assert plain == sorted(connected_components(edges, last=0).collect()) == sorted(connected_components(edges, last=60).collect())
+
+
 def test_calibration_finds_the_mirrored_fit(spark):
     pairs = spark.createDataFrame([("S", float(x), float(y), 100 + 4.0 * x, 900 - 4.0 * y) for x, y in ((0, 0), (30, 0), (0, 20), (25, 18))], "sheet string, x double, y double, u double, v double")
     r = fit.calibrate(pairs, "sheet").first()
