@@ -128,12 +128,12 @@ def near_groups(prints: DataFrame, budget: int = 3) -> DataFrame:
         raise ValueError("the budget is 1 to 3 bits")
     every = stash(prints.select("f").distinct(), "prints")
     flips = every.select(F.col("f").alias("a"), F.explode(F.slice(_flips(F.col("f"), range(64), F.lit(True)), 2, 64)).alias("f"))
-    first = connected_components(flips.join(every, "f").select("a", F.col("f").alias("b")))
+    first = connected_components(flips.join(every, "f").select("a", F.col("f").alias("b")), last=0)
     leaves = every.join(first, every.f == first.v, "left").select("f", F.coalesce("root", "f").alias("c"))
     if budget == 1:
         return leaves.select("f", F.col("c").alias("root"))
     leaves = stash(leaves, "leaves")
-    joined = connected_components(trie_links(leaves, budget))
+    joined = connected_components(trie_links(leaves, budget), last=0)
     return leaves.join(joined, leaves.c == joined.v, "left").select("f", F.coalesce("root", "c").alias("root"))
 
 
@@ -266,7 +266,7 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     star = leaves.groupBy("k").agg(F.min(F.struct("t", "g")).alias("m")).select("k", F.col("m.t").alias("m"), F.col("m.g").alias("gm"))
     tied = leaves.join(star, "k").where((F.col("t") != F.col("m")) & (bits("g", "gm") <= slim)).select(F.col("t").alias("a"), F.col("m").alias("b")).distinct()
     nearest = whole(tied).groupBy("a").agg(F.min(F.struct("d", "b")).alias("b")).select("a", F.col("b.b").alias("b"))
-    first = connected_components(_verified(nearest, docs, how))
+    first = connected_components(_verified(nearest, docs, how), last=0)
     known = stash(prints.join(first, prints.t == first.v, "left").select("t", "f", F.coalesce("root", "t").alias("c")), "known")
     # nodes at the full depth; c: the component of all their leaves, if it is one
     one = F.when(F.min("c") == F.max("c"), F.min("c"))
@@ -282,7 +282,7 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     links = _verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, how)
     names = known.select("t", "c")
     ends = lambda n: names.select(F.col("t").alias(n), F.col("c").alias(f"c{n}"))
-    joined = connected_components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = connected_components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), last=0)
     return names.join(joined, names.c == joined.v, "left").select("t", F.coalesce("root", "c").alias("root"))
 
 
