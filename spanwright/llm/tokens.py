@@ -9,11 +9,10 @@ its vocabulary ("<|endoftext|>"), goes to the tokenizer whole.
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from array import array
 
-import numpy as np
-
 #: Pieces that a worker keeps; others are encoded again whenever they come.
 KEPT = 200_000
 _workers: dict = {}
@@ -27,6 +26,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Pieces:
     """``spaced``: a piece's ids depend on the space before it (byte-level vocabularies)."""
 
@@ -41,7 +48,7 @@ class Pieces:
         self.known: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of letters only: one pre-token, so the model can take it without a search."""
@@ -54,7 +61,7 @@ class Pieces:
             if not word.isalpha():
                 return self.whole(word)
         mapped = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes | None:
         if self.spaced and (not piece or piece.isspace()):
@@ -79,24 +86,25 @@ class Pieces:
         if any(t in text for t in self.added):
             return self.whole(text)
         pieces = text.split(" ")
-        known, extra = self.known, {}
         head = b""
         if self.spaced:
             head = self.whole(pieces[0])
             pieces = pieces[1:]
-        try:
-            return head + b"".join([known[p] for p in pieces])
-        except (KeyError, TypeError):
-            pass
-        for p in pieces:
-            if p not in known and p not in extra:
-                got = self._piece(p)
-                if len(known) < KEPT:
-                    known[p] = got
-                else:
-                    extra[p] = got
-        got = [known[p] if p in known else extra[p] for p in pieces]
-        return self.whole(text) if None in got else head + b"".join(got)
+        known = self.known
+        got = list(map(known.get, pieces))
+        if None in got:
+            for at, held in enumerate(got):
+                if held is None:
+                    piece = pieces[at]
+                    held = known.get(piece)  # it may have come earlier in this text
+                    if held is None:
+                        held = self._piece(piece)
+                        if held is None:  # white space that reaches over a piece
+                            return self.whole(text)
+                        if len(known) < KEPT:
+                            known[piece] = held
+                    got[at] = held
+        return head + b"".join(got)
 
 
 # Fixed value: how byte-level vocabularies of this family part a text before merging.
@@ -137,7 +145,7 @@ class RankedPieces(Pieces):
         return self.merged(first) + b"".join(got)
 
     def merged(self, text: str) -> bytes:
-        return array("I", self.merge(text)).tobytes()
+        return _packed(self.merge(text))
 
 
 def pieces_of(path: str, spaced: bool, ranked: bool = False) -> Pieces:
