@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,23 +133,54 @@ def resolved_again(elements: DataFrame, resolutions: DataFrame) -> DataFrame:
     return out.withColumn("resolved", open_).withColumn("status", F.when(open_, F.col("_status")).otherwise(F.col("status"))).drop("_status", "key")
 
 
+#: Cells of direction in a turn and of length in a doubling; a vector's peers are alike within
+#: acos(0.8) of direction and one doubling.
+TURN_CELLS, SIZE_CELLS = 234, 24
+_REACH = int(math.acos(0.8) * TURN_CELLS / (2 * math.pi))
+
+
 def systematic_shift(devices: DataFrame, by: str = "category") -> DataFrame:
     """For each mismatched device: peers of its ``by`` and how many are shifted alike (cosine at
-    least 0.8, length half to twice). Exact and without pairs of all rows: equal vectors are one
-    row, and those meet only by classes of length (powers of two) and direction (ninths of a
-    turn), each with the classes beside it, beyond which no two are alike."""
+    least 0.8, length half to twice).
+
+    Exact and without pairs of all rows: alike vectors are a box of direction and logarithm of
+    length. Cells that lie in a vector's box whole are counted together, by sums over the grid
+    of cells, whose size doesn't depend on the rows; only vectors in the cells on the box's edge
+    are held to it one by one. A shift that all share lies in few cells, none on an edge."""
     v = devices.where("status = 'LOCATION_MISMATCH' AND target_x IS NOT NULL").withColumn("vx", F.col("x") - F.col("target_x")).withColumn("vy", F.col("y") - F.col("target_y"))
     kinds = v.groupBy(by, "vx", "vy").agg(F.count("*").alias("k"))
-    size = F.floor(F.log2(F.hypot("vx", "vy"))).cast("int")  # null for no shift, which is like none
-    turn = F.floor((F.atan2("vy", "vx") / (2 * math.pi) + 0.5) * 9).cast("int") % 9
-    kinds = kinds.withColumn("size", size).withColumn("turn", turn)
-    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    other = kinds.withColumn("s", beside).select(F.col(by).alias("_by"), F.col("vx").alias("wx"), F.col("vy").alias("wy"), F.col("k").alias("k2"), (F.col("size") + F.col("s.i")).alias("_size"), F.pmod(F.col("turn") + F.col("s.j"), F.lit(9)).alias("_turn"))
+    size = F.floor(F.log2(F.hypot("vx", "vy")) * SIZE_CELLS).cast("int")  # null for no shift, which is like none
+    turn = F.pmod(F.floor((F.atan2("vy", "vx") / (2 * math.pi) + 0.5) * TURN_CELLS).cast("int"), F.lit(TURN_CELLS))
+    placed = kinds.withColumn("size", size).withColumn("turn", F.when(F.col("size").isNotNull(), turn))
+    cells = placed.where("size IS NOT NULL").groupBy(by, "turn", "size").agg(F.sum("k").alias("k"))
+    kind = dict(cells.dtypes)[by]
+
+    def whole(key: tuple, grid: pd.DataFrame) -> pd.DataFrame:
+        low = int(grid["size"].min())
+        count = np.zeros((TURN_CELLS, int(grid["size"].max()) - low + 1), dtype=np.int64)
+        turn, at = grid["turn"].to_numpy(), grid["size"].to_numpy() - low
+        np.add.at(count, (turn, at), grid["k"].to_numpy())
+        inner, reach = _REACH - 1, SIZE_CELLS - 2
+        rows = np.cumsum(np.vstack([np.zeros_like(count[:1]), count[TURN_CELLS - inner :], count, count[:inner]]), axis=0)
+        both = np.cumsum(np.hstack([np.zeros((len(rows), 1), dtype=np.int64), rows]), axis=1)
+        left, right = np.maximum(at - reach, 0), np.minimum(at + reach + 1, count.shape[1])
+        top, bottom = turn, turn + 2 * inner + 1
+        sums = both[bottom, right] - both[top, right] - both[bottom, left] + both[top, left]
+        return pd.DataFrame({by: [key[0]] * len(grid), "turn": turn, "size": grid["size"], "inside": sums})
+
+    inside = cells.groupBy(by).applyInPandas(whole, f"{by} {kind}, turn int, size int, inside long")
+    ring = [(i, j) for i in range(-_REACH - 1, _REACH + 2) for j in range(-SIZE_CELLS - 1, SIZE_CELLS + 2) if abs(i) > _REACH - 1 or abs(j) > SIZE_CELLS - 2]
+    edge = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring]))
+    near = cells.select(F.col(by).alias("_by"), "turn", "size", edge.alias("s"))
+    near = near.select("_by", F.col("turn").alias("t0"), F.col("size").alias("s0"), F.pmod(F.col("turn") + F.col("s.i"), F.lit(TURN_CELLS)).alias("turn"), (F.col("size") + F.col("s.j")).alias("size"))
+    other = placed.select(F.col(by).alias("_by"), "turn", "size", F.col("vx").alias("wx"), F.col("vy").alias("wy"), F.col("k").alias("k2"))
+    beside = near.join(other, ["_by", "turn", "size"]).select("_by", F.col("t0").alias("turn"), F.col("s0").alias("size"), "wx", "wy", "k2")
+    met = placed.join(beside.withColumnRenamed("_by", by), [by, "turn", "size"])
     na, nb = F.hypot("vx", "vy"), F.hypot("wx", "wy")
     alike = F.coalesce((F.try_divide(F.col("vx") * F.col("wx") + F.col("vy") * F.col("wy"), na * nb) >= 0.8) & F.try_divide(nb, na).between(0.5, 2.0), F.lit(False))
-    own = (F.col("vx") == F.col("wx")) & (F.col("vy") == F.col("wy"))
-    met = kinds.join(other, (F.col(by) == F.col("_by")) & (F.col("size") == F.col("_size")) & (F.col("turn") == F.col("_turn")))
-    sums = met.groupBy(by, "vx", "vy").agg(F.sum(F.when(alike, F.col("k2") - F.when(own, 1).otherwise(0)).otherwise(0)).alias("aligned"))
+    edges = met.where(alike).groupBy(by, "vx", "vy").agg(F.sum("k2").alias("edge"))
+    sums = placed.join(inside, [by, "turn", "size"]).join(edges, [by, "vx", "vy"], "left")
+    sums = sums.select(by, "vx", "vy", (F.col("inside") - 1 + F.coalesce("edge", F.lit(0))).alias("aligned"))
     all_ = kinds.groupBy(by).agg((F.sum("k") - 1).alias("peers"))
     out = v.join(all_, by).join(sums, [by, "vx", "vy"], "left").withColumn("aligned", F.coalesce("aligned", F.lit(0).cast("long")))
     return out.withColumn("systematic", (F.col("peers") > 0) & (F.col("aligned") >= F.greatest(F.lit(2), F.floor(F.col("peers") / 2))))

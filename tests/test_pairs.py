@@ -118,3 +118,28 @@ def test_farthest_pairs_of_each_sheet(spark):
         far = max(math.hypot(p[3] - q[3], p[4] - q[4]) for p in mine for q in mine)
         a, b = min((p[1], q[1]) for p in mine for q in mine if p[1] < q[1] and math.isclose(math.hypot(p[3] - q[3], p[4] - q[4]), far))
         assert got[sheet] == (f"p{a}", f"p{b}", pytest.approx(far))
+
+
+def test_systematic_shifts_of_many_vectors(spark):
+    rng = random.Random(31)
+
+    def vector():
+        if rng.random() < 0.3:
+            return 3 + rng.gauss(0, 0.01), -2 + rng.gauss(0, 0.01)  # a shift that many share
+        far, turn = 10 ** rng.uniform(-3, 3), rng.choice([rng.uniform(0, 7), math.acos(0.8) - 1e-9, math.acos(0.8) + 1e-9, 0.0])
+        return far * math.cos(turn), far * math.sin(turn)
+
+    rows = [(k, rng.choice("ab"), "LOCATION_MISMATCH", *vector(), 0.0, 0.0) for k in range(500)]
+    rows += [(500, "a", "LOCATION_MISMATCH", 0.0, 0.0, 0.0, 0.0), (501, "a", "MATCH", 1.0, 1.0, 0.0, 0.0), (502, "c", "LOCATION_MISMATCH", 1.0, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "seq long, mark string, status string, x double, y double, target_x double, target_y double")
+
+    def alike(p, q):
+        a, b = math.hypot(*p), math.hypot(*q)
+        return a > 0 and b > 0 and (p[0] * q[0] + p[1] * q[1]) / (a * b) >= 0.8 and 0.5 <= b / a <= 2
+
+    got = {r["seq"]: (r["peers"], r["aligned"]) for r in R.systematic_shift(df, "mark").collect()}
+    held = [r for r in rows if r[2] == "LOCATION_MISMATCH"]
+    for r in held:
+        peers = [q for q in held if q[1] == r[1] and q[0] != r[0]]
+        assert got[r[0]] == (len(peers), sum(alike(r[3:5], q[3:5]) for q in peers))
+    assert R.systematic_shift(df.limit(0), "mark").count() == 0
