@@ -226,3 +226,27 @@ def read_schedules(words: DataFrame, category: Callable[[Column], Column] = _bui
 
 def schedule_rows(words: DataFrame) -> DataFrame:
     return read_schedules(words)["rows"]
+
+
+def banded_rows(words: DataFrame, bands: list[tuple[str, float, float]], columns: dict[str, tuple[float, float]], needed: str, left: float, right: float) -> DataFrame:
+    """(page, row_no, mark, and the columns) of a schedule whose rows and columns stand at known
+    places: ``bands`` (mark, y0, y1) and ``columns`` (x0, x1) hold the middles of words. A row
+    without ``needed`` is left out; cells are read down, then across. Bands and columns are a
+    drawing's layout, so each word is held to all of them where it is."""
+    from spanwright.functions.marks import cell_text
+
+    xc, yc = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    rows = F.array(*[F.struct(F.lit(k).alias("row_no"), F.lit(m).alias("mark"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (m, a, b) in enumerate(bands, 1)])
+    inside = words.where(xc.between(left, right)).withColumn("_band", F.explode(F.filter(rows, lambda r: yc.between(r["a"], r["b"]))))
+    cell = lambda a, b: cell_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(xc.between(a, b), F.struct("y0", "x0", "seq", "text")))), lambda s: s["text"]), " "))
+    out = inside.groupBy("page", "_band.row_no", "_band.mark").agg(*[cell(a, b).alias(c) for c, (a, b) in columns.items()])
+    return out.where(F.col(needed) != "")
+
+
+def located_page(words: DataFrame, sheet: str, mark: str) -> DataFrame:
+    """(doc, page, marks): of each document's pages with a word that names the sheet, the one with
+    the most marks, the first on a tie; documents whose such pages have no mark have none."""
+    each = words.groupBy("doc", "page").agg(F.bool_or(F.coalesce(F.col("text").rlike(sheet), F.lit(False))).alias("named"), F.count_if(F.col("text").rlike(mark)).alias("marks"))
+    found = each.where("named AND marks > 0")
+    best = found.groupBy("doc").agg(F.min_by(F.struct("page", "marks"), F.struct((-F.col("marks")).alias("m"), "page")).alias("b"))
+    return best.select("doc", "b.page", "b.marks")

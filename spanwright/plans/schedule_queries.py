@@ -66,3 +66,33 @@ SELECT p AS page, CAST(t AS INTEGER) AS table_no, category, header_text, CAST(y0
 )
 def schedule_tables(spark: SparkSession, d: str) -> DataFrame:
     return S.read_schedules(words(spark, d))["tables"].select("page", "table_no", "category", "header_text", "y0", "n_columns", "n_rows")
+
+
+# ---- a schedule at known places: three bands and four columns on the page of each forty places
+
+BANDS = [("H1", 100.0, 118.0), ("H2", 119.0, 137.0), ("H3", 138.0, 156.0)]
+COLUMNS = {"holdown_type": (50.0, 110.0), "fasteners": (111.0, 180.0), "embedment": (200.0, 240.0)}
+CELL = "CASE n % 4 WHEN 0 THEN concat('HDU', n % 9) WHEN 1 THEN '(4)' WHEN 2 THEN '3' ELSE '4\"' END"
+
+
+@query(
+    PRELUDE + f""", w AS (SELECT n // 40 AS page, n AS seq, n * 7919 % 251 AS x, 95.0 + n * 6277 % 67 AS y, {CELL} AS text FROM keys),
+bands(row_no, mark, a, b) AS (VALUES {", ".join(f"({k}, '{m}', {a}, {b})" for k, (m, a, b) in enumerate(BANDS, 1))}),
+i AS (SELECT w.*, row_no, mark, x + 10 AS xc FROM w JOIN bands ON y + 4 BETWEEN a AND b WHERE x + 10 BETWEEN 50 AND 245),
+rows AS (SELECT page, row_no, mark, {", ".join(f"coalesce(string_agg(text, ' ' ORDER BY y, x, seq) FILTER (xc BETWEEN {a} AND {b}), '') AS {c}" for c, (a, b) in COLUMNS.items())} FROM i GROUP BY ALL)
+SELECT page, row_no, mark, {", ".join(f"regexp_replace({c}, '\\b(\\d) (\\d{{1,2}}\\\")', '\\1/\\2', 'g') AS {c}" for c in COLUMNS)} FROM rows WHERE holdown_type <> ''"""
+)
+def banded_schedules(spark: SparkSession, d: str) -> DataFrame:
+    rows = places(spark, d).selectExpr("n div 40 AS page", "n AS seq", "cast(n * 7919 % 251 AS double) AS x0", "95D + n * 6277 % 67 AS y0", f"{CELL} AS text")
+    words = rows.selectExpr("page", "seq", "x0", "y0", "x0 + 20 AS x1", "y0 + 8 AS y1", "text")
+    return S.banded_rows(words, BANDS, COLUMNS, "holdown_type", 50.0, 245.0)
+
+
+@query(
+    PRELUDE + """, w AS (SELECT n // 400 AS doc, n // 40 % 10 AS page, CASE WHEN n % 40 = 3 AND n // 40 % 3 > 0 THEN 's201' WHEN n * 7919 % 11 < n // 40 % 5 THEN 'H' || (n % 6) ELSE 'x' END AS text FROM keys),
+p AS (SELECT doc, page, bool_or(text = 's201') AS named, count(*) FILTER (regexp_matches(text, '^H[1-4]$')) AS marks FROM w GROUP BY ALL)
+SELECT doc, page, marks FROM p WHERE named AND marks > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY marks DESC, page) = 1"""
+)
+def located_pages(spark: SparkSession, d: str) -> DataFrame:
+    words = places(spark, d).selectExpr("n div 400 AS doc", "n div 40 % 10 AS page", "CASE WHEN n % 40 = 3 AND n div 40 % 3 > 0 THEN 's201' WHEN n * 7919 % 11 < n div 40 % 5 THEN concat('H', n % 6) ELSE 'x' END AS text")
+    return S.located_page(words, r"(?i)S-?201", r"\bH[1-4]\b")
