@@ -37,9 +37,11 @@ from .common import arrow_map, arrow_stream, blank, stash, table, texts
 #: Bytes of text for each hash partition: about five million n-grams' mass to a few MB.
 PART_BYTES = 32 << 20
 #: Distinct n-grams and words that a task holds before it passes them on.
-HELD_GRAMS, HELD_WORDS = 2_000_000, 300_000
+HELD_GRAMS, HELD_WORDS = 1_200_000, 200_000
 #: Bytes of text that are split into words at a time, one text at least.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows that a task passes on at a time.
+ROWS = 50_000
 #: Bits of the survivors' bitmap: 8 MB.
 BITMAP = 1 << 26
 #: Candidates of one (lang, salt), which a window sorts, on average at most.
@@ -278,10 +280,10 @@ def counted(docs: DataFrame, how: Phrases) -> DataFrame:
             kept = (bits[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
             total = int(counts[single].sum())
             packed, counts = packed[kept], counts[kept]
-            for a in range(0, len(packed), 200_000):
-                part = packed[a : a + 200_000]
+            for a in range(0, len(packed), ROWS):
+                part = packed[a : a + ROWS]
                 size = sum((p > 0).astype(np.int32) for p in tally.parts(part))
-                yield {"lang": [lang] * len(part), "size": size, "phrase": tally.strings(part), "n": counts[a : a + 200_000]}
+                yield {"lang": [lang] * len(part), "size": size, "phrase": tally.strings(part), "n": counts[a : a + ROWS]}
             yield {"lang": [lang], "size": [0], "phrase": [""], "n": [total]}
 
     rows = arrow_stream(docs, exact, "lang string, size int, phrase string, n bigint")
