@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.sources.scratch import stash
+from spanwright.sources.scratch import discard, stash
 
 
 #: Edges (16 bytes each) that one task takes at the end; more are contracted in rounds.
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", last: int
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = stash(small.distinct(), "edges")
+        before, e = e, stash(small.distinct(), "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -44,7 +44,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a stashed table that nothing will read again, such as that of a round before."""
+    path = getattr(table, "_scratch", None)
+    if path in _written:
+        spark = table.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove(path)
 
 
 def _sweep(spark: SparkSession) -> None:
