@@ -14,7 +14,7 @@ import unicodedata
 from array import array
 
 #: Pieces that a worker keeps; others are encoded again whenever they come.
-KEPT = 200_000
+KEPT = 500_000
 _workers: dict = {}
 
 
