@@ -169,10 +169,12 @@ def _best_of(tries: pd.DataFrame, pts: pd.DataFrame, gate: float) -> tuple | Non
             i, j, _ = grid.inliers(lk, fit[0] * own + fit[1])
             if len(i) < LEAST:
                 continue
-            fit = _fit(own[i], right[j])
+            order = np.argsort(i)  # equal inliers are summed in one order and about their middle, so they tie on any sheet
+            mine, theirs = own[i[order]], right[j[order]]
+            fit = _fit(mine, theirs)
             if fit is None:
                 continue
-            rms = round(float(np.sqrt(np.mean(np.abs(fit[0] * own[i] + fit[1] - right[j]) ** 2))), 9)  # equal inliers tie
+            rms = round(float(np.sqrt(np.mean(np.abs(fit[0] * (mine - mine.mean()) - (theirs - theirs.mean())) ** 2))), 9)
             n = len(grid.inliers(lk, fit[0] * own + fit[1])[0])
             if best is None or (-n, rms) < (-best[-2], best[-1]):
                 z, w = fit

@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,26 @@ def test_ransac_finds_a_planted_transform(spark):
     assert best["reflected"] and best["inliers"] >= 50 and best["scale"] == pytest.approx(18, abs=0.05)
     again = consensus.ransac(frame(model).repartition(3), frame(drawn).repartition(2), "sheet", "mark", 16.0, tries=3000).first()
     assert again == best
+
+
+def test_tries_of_equal_inliers_tie_on_far_sheets():
+    """Sheets 400,000 ft out, where sums in another order differ in the ninth place: the first try
+    of those with the same inliers is the best, as in SQL."""
+
+    def at(n):
+        j = lambda a: ((n * a) % 41 - 20) * 0.25
+        x, y = float(n % 30 * 20), float(n // 30 * 20)
+        return x, y, 100 + 18 * y + j(7919) + (400.0 if n % 11 == 0 else 0.0), 50 + 18 * x + j(6277)
+
+    for sheet, first in ((3597, 4), (3604, 16), (3640, 12), (3707, 4), (3740, 12)):
+        places = [(n, f"H{n % 4}", at(n)) for n in range(240 * sheet, 240 * sheet + 240)]
+        pts = pd.DataFrame([(k, 0, p[0], p[1]) for _, k, p in places] + [(k, 1, p[2], p[3]) for n, k, p in places if n % 7], columns=["k", "side", "x", "y"])
+        tries = []
+        for h in range(40):
+            a = [(h * 37 + r * 101 + h * h % 29) % 240 for r in range(3)]
+            b = [(a[r] + (0 if h % 4 == 0 or (h % 4 == 1 and r < 2) else 4 * (1 + (h + r * 7) % 50))) % 240 for r in range(3)]
+            if all((240 * sheet + n) % 7 for n in b):
+                tries.append([h] + [v for r in range(3) for v in (*at(240 * sheet + a[r])[:2], *at(240 * sheet + b[r])[2:])])
+        names = ["h"] + [f"{c}{k}" for k in range(3) for c in ("sx", "sy", "dx", "dy")]
+        best = consensus._best_of(pd.DataFrame(tries, columns=names), pts, 16.0)
+        assert (best[0], best[-2]) == (first, 187)
