@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from spanwright.functions.marks import variant_key
 from spanwright.operators.cluster import leader_clusters, numbered
 from spanwright.operators.spatial import attach_nearest
-from spanwright.sources.scratch import stash
+from spanwright.sources.scratch import large, stash
 
 # Families that are bolts, the word of companion variants, and the categories
 # that may hold the hardware.
@@ -38,17 +38,18 @@ def seated(records: DataFrame, tolerance: float) -> DataFrame:
 
     Members and bodies of a cluster meet by distinct places, so copies at one place cost one
     row on either side."""
+    records = stash(records, "records")
     found = leader_clusters(records.withColumn("mark", F.lit("")).withColumn("sheet", F.lit("")), tolerance, one_per_sheet=False).drop("mark", "sheet")
     found = stash(found.withColumn("body", is_body(F.col("family"))), "clusters")
     bodies = found.where("body")
     count = bodies.groupBy("founder").agg(F.count("*").alias("bodies"), F.min("seq").alias("first_body"))
-    counted = found.join(count, "founder", "left")
+    counted = large(found).join(large(count), "founder", "left")
     loose = counted.where("NOT body AND bodies > 1").select("founder", "x", "y").distinct()
     places = bodies.groupBy("founder", F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.min("seq").alias("b"))
     far = F.pow(F.col("bx") - F.col("x"), 2) + F.pow(F.col("by") - F.col("y"), 2)
-    nearest = loose.join(places, "founder").groupBy("founder", "x", "y").agg(F.min(F.struct(far.alias("far"), "b")).alias("n")).select("founder", "x", "y", F.col("n.b").alias("nearest"))
+    nearest = large(loose).join(large(places), "founder").groupBy("founder", "x", "y").agg(F.min(F.struct(far.alias("far"), "b")).alias("n")).select("founder", "x", "y", F.col("n.b").alias("nearest"))
     seat = F.when(F.coalesce("bodies", F.lit(0)) <= 1, F.coalesce("first_body", "founder")).when(F.col("body"), F.col("seq")).otherwise(F.col("nearest"))
-    return counted.join(nearest, ["founder", "x", "y"], "left").withColumn("seat", seat).withColumn("split", F.coalesce(F.col("bodies") > 1, F.lit(False))).drop("nearest", "first_body", "bodies")
+    return large(counted).join(large(nearest), ["founder", "x", "y"], "left").withColumn("seat", seat).withColumn("split", F.coalesce(F.col("bodies") > 1, F.lit(False))).drop("nearest", "first_body", "bodies")
 
 
 def built(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,7 +64,7 @@ def built(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> tuple
     named = numbered(seats, "_order", "no").drop("_order").withColumn("assembly", F.format_string("rev_asm_%03d", "no"))
     specs = specs.groupBy("key").agg(F.min("mark").alias("mark"))
     named = stash(named.withColumn("key", variant_key(F.col("family"))).join(specs, "key", "left"), "named")
-    inside = rows.join(named.select("seat", "assembly"), "seat")
+    inside = large(rows).join(large(named.select("seat", "assembly")), "seat")
     order = F.struct((F.col("split") & (F.col("seq") != F.col("seat"))).alias("later"), "seq")
     members = inside.withColumn("place", F.row_number().over(Window.partitionBy("assembly").orderBy(order)))
     members = members.select("assembly", "place", F.col("id").alias("element"), F.when(F.col("body"), "body").otherwise("evidence_member").alias("role"), "family")
@@ -75,7 +76,7 @@ def built(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> tuple
     reason = F.when(known, F.concat(F.lit("Family "), "family", F.lit(" is product "), product, F.lit(", which the schedule lists as "), "mark", F.lit("."))).otherwise(
         F.concat(F.lit("Family "), "family", F.lit(" is product "), product, F.lit(", which no schedule row specifies; no mark is given."))
     )
-    assemblies = named.join(size, "assembly").select(
+    assemblies = large(named).join(large(size), "assembly").select(
         F.col("no").alias("seq"), F.col("assembly").alias("id"), "mark", F.coalesce("key", F.lit("")).alias("core_token"), "family", F.col("id").alias("primary_id"), "x", "y", "z", "level", "n_members",
         F.when(known, 0.9).otherwise(0.5).alias("confidence"), reason.alias("reason"),
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.sources.scratch import discard, stash
+from spanwright.sources.scratch import discard, large, stash
 
 
 #: Edges (16 bytes each) that one task takes at the end; more are contracted in rounds.
@@ -32,9 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", last: int
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        hung = large(both).join(large(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = hung.groupBy("a").agg(F.min("b").alias("m"))
+        small = large(hung).join(large(low), "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         before, e = e, stash(small.distinct(), "edges")
         discard(before)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanwright.functions.geometry import distance, segment_distance
+from spanwright.sources.scratch import large
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -20,20 +21,25 @@ def _cell(c: Column, size: float) -> Column:
 def within(left: DataFrame, right: DataFrame, gate: float, key: str | None = None, box: bool = False) -> DataFrame:
     """Pairs of rows at most ``gate`` apart (both need x, y), with equal ``key`` if given.
 
-    Left rows are sent to the nine cells around them, right rows to their own, so each pair
-    meets once. Columns of ``left`` keep their names, those of ``right`` get the prefix
-    ``r_``; ``dist`` is added. ``box``: the larger of |dx| and |dy| instead of the distance.
-    Rows without coordinates, or with a null key, meet nothing."""
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_c", F.explode(around))
-    a = a.withColumn("_cx", _cell(F.col("x"), gate) + F.col("_c.i")).withColumn("_cy", _cell(F.col("y"), gate) + F.col("_c.j")).drop("_c")
+    Cells are two gates wide; left rows are sent to the cells that a square of a gate around
+    them touches (four on average), right rows to their own, so each pair meets once. Columns of
+    ``left`` keep their names, those of ``right`` get the prefix ``r_``; ``dist`` is added.
+    ``box``: the larger of |dx| and |dy| instead of the distance. Rows without coordinates, or
+    with a null key, meet nothing."""
+    size = 2 * gate
+
+    def touched(c: str) -> Column:
+        reach = F.lit(gate) + (F.abs(F.col(c)) + gate) * 1e-12  # more than rounding can take off
+        return F.sequence(_cell(F.col(c) - reach, size), _cell(F.col(c) + reach, size))
+
+    a = left.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_cx", F.explode(touched("x"))).withColumn("_cy", F.explode(touched("y")))
     b = right.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    b = b.withColumn("_rx", _cell(F.col("r_x"), gate)).withColumn("_ry", _cell(F.col("r_y"), gate))
+    b = b.withColumn("_rx", _cell(F.col("r_x"), size)).withColumn("_ry", _cell(F.col("r_y"), size))
     on = (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
     if key:
         on &= F.col(key) == F.col(f"r_{key}")
     far = F.greatest(F.abs(F.col("x") - F.col("r_x")), F.abs(F.col("y") - F.col("r_y"))) if box else distance(F.col("x"), F.col("y"), F.col("r_x"), F.col("r_y"))
-    return a.join(b, on).withColumn("dist", far).where(F.col("dist") <= gate).drop("_cx", "_cy", "_rx", "_ry")
+    return large(a).join(large(b), on).withColumn("dist", far).where(F.col("dist") <= gate).drop("_cx", "_cy", "_rx", "_ry")
 
 
 def nearest_k(left: DataFrame, right: DataFrame, gate: float, k: int, by: str, key: str | None = None) -> DataFrame:
@@ -57,7 +63,7 @@ def segments_within(points: DataFrame, segments: DataFrame, gate: float, key: st
     if key:
         on &= points[key] == F.col(f"r_{key}")
     far = segment_distance(points["x"], points["y"], ax, ay, bx, by)
-    return points.join(b, on).withColumn("dist", far).where(F.col("dist") <= gate).drop("_rx", "_ry")
+    return large(points).join(large(b), on).withColumn("dist", far).where(F.col("dist") <= gate).drop("_rx", "_ry")
 
 
 def attach_nearest(members: DataFrame, bodies: DataFrame, gate: float, token: str = "token") -> DataFrame:
@@ -156,7 +162,7 @@ def closest_pair(points: DataFrame, by: str) -> DataFrame:
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = rows.select(by, F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     b = rows.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).select(by, F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"), (cell("x") + F.col("i")).alias("cx"), (cell("y") + F.col("j")).alias("cy"))
-    pairs = a.join(b, [by, "cx", "cy"]).where("a < b")
+    pairs = large(a).join(large(b), [by, "cx", "cy"]).where("a < b")
     dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_"))
     return pairs.groupBy(by).agg(F.min(F.struct(dist.alias("dist"), "a", "b")).alias("p")).select(by, "p.a", "p.b", "p.dist")
 
