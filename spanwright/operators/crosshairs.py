@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanwright.operators.spatial import within
+from spanwright.sources.scratch import large, stash
 
 # Radii in points, how round, how long lines are in radii, how near they pass, the
 # slack of the right angle, how near the word stands, and the words.
 R_MIN, R_MAX, ROUND, LONG, NEAR, SLACK_DEG, WORD_PT = 6.0, 30.0, 0.25, 2.6, 0.25, 10.0, 60.0
 BENCHMARK = r"(?i)\bBM[-_ ]?(\d)\b"
-#: Classes of direction in half a turn, and the width of an offset bin in points.
-CLASSES, BIN = 180, 16.0
+#: Classes of direction in half a turn, and the width of an offset bin in points. On pages with
+#: no more lines than FEW a circle meets them all, as that takes no more rows than its curve.
+CLASSES, BIN, FEW = 180, 16.0, 180
 
 
 def round_shapes(shapes: DataFrame) -> DataFrame:
@@ -34,23 +36,26 @@ def lines_through(circles: DataFrame, lines: DataFrame) -> DataFrame:
     """(page, seq, angle): for each circle the directions, in degrees from 0 up to 180, of lines
     (page, ax, ay, bx, by) of at least LONG radii whose extension passes its middle within NEAR
     radii. Pages are moved to the middle of their circles first, so offsets stay small."""
-    middle = circles.groupBy("page").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    c = circles.join(middle, "page").withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    lines = lines.withColumn("dx", dx).withColumn("dy", dy).withColumn("size", F.hypot("dx", "dy")).where(F.col("size") >= LONG * R_MIN)
+    many = lines.groupBy("page").agg(F.count("*").alias("many"))
+    middle = large(circles.groupBy("page").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))).join(large(many), "page").withColumn("few", F.col("many") <= FEW).drop("many")
+    c = large(circles).join(large(middle), "page").withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
     step = 180.0 / CLASSES
     # over a class the curve u sin t - v cos t moves by no more than radius * step
     wide = F.hypot("u", "v") * math.radians(step) + F.col("r") * NEAR
     t = F.radians((F.col("class") + 0.5) * step)
     at = F.col("u") * F.sin(t) - F.col("v") * F.cos(t)
-    c = c.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
-    c = c.withColumn("bin", F.explode(F.sequence(F.floor((at - wide) / BIN), F.floor((at + wide) / BIN))))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    l = lines.join(middle, "page").withColumn("dx", dx).withColumn("dy", dy).withColumn("size", F.hypot("dx", "dy")).where(F.col("size") >= LONG * R_MIN)  # noqa: E741
+    c = c.withColumn("class", F.explode(F.sequence(F.lit(0), F.when(F.col("few"), 0).otherwise(CLASSES - 1))))
+    none = F.lit(0).cast("long")
+    c = c.withColumn("bin", F.explode(F.when(F.col("few"), F.array(none)).otherwise(F.sequence(F.floor((at - wide) / BIN), F.floor((at + wide) / BIN)))))
+    l = large(lines).join(large(middle), "page")  # noqa: E741
     angle = F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))
-    l = l.withColumn("angle", F.when(angle >= 180.0, 0.0).otherwise(angle)).withColumn("class", F.least(F.floor(F.col("angle") / step), F.lit(CLASSES - 1)).cast("int"))  # noqa: E741
+    l = l.withColumn("angle", F.when(angle >= 180.0, 0.0).otherwise(angle)).withColumn("class", F.when(F.col("few"), 0).otherwise(F.least(F.floor(F.col("angle") / step), F.lit(CLASSES - 1)).cast("int")))  # noqa: E741
     turn = F.radians("angle")
     offset = (F.col("ax") - F.col("mx")) * F.sin(turn) - (F.col("ay") - F.col("my")) * F.cos(turn)
-    l = l.withColumn("bin", F.floor(offset / BIN)).select("page", "class", "bin", "ax", "ay", "dx", "dy", "size", "angle")  # noqa: E741
-    met = c.drop("mx", "my", "u", "v").join(l, ["page", "class", "bin"])
+    l = l.withColumn("bin", F.when(F.col("few"), none).otherwise(F.floor(offset / BIN))).select("page", "class", "bin", "ax", "ay", "dx", "dy", "size", "angle")  # noqa: E741
+    met = large(c.select("page", "seq", "x", "y", "r", "class", "bin")).join(large(l), ["page", "class", "bin"])
     far = F.abs(F.col("dy") * (F.col("x") - F.col("ax")) - F.col("dx") * (F.col("y") - F.col("ay"))) / F.col("size")
     return met.where((F.col("size") >= LONG * F.col("r")) & (far <= NEAR * F.col("r"))).select("page", "seq", "angle").distinct()
 
@@ -75,10 +80,10 @@ def crosshairs(circles: DataFrame, lines: DataFrame, words: DataFrame) -> DataFr
     benchmark word (page, seq, x, y, text) nearer than WORD_PT, or none; the first circle of a
     mark on a page is assigned it."""
     whole = circles.where("x IS NOT NULL AND y IS NOT NULL AND r > 0")
-    found = whole.join(crossed(lines_through(whole, lines)), ["page", "seq"])
+    found = stash(large(whole).join(large(crossed(lines_through(whole, lines))), ["page", "seq"]), "crossed")
     named = words.withColumn("digit", F.regexp_extract("text", BENCHMARK, 1)).where("digit <> ''")
     met = within(found.select("page", "seq", "x", "y"), named.select("page", "x", "y", "digit", "seq"), WORD_PT, "page").where(F.col("dist") < WORD_PT)
     best = met.groupBy("page", "seq").agg(F.min_by("r_digit", F.struct("dist", "r_seq")).alias("digit"))
-    out = found.join(best, ["page", "seq"], "left").withColumn("mark", F.concat(F.lit("BM-"), "digit")).drop("digit")
+    out = large(found).join(large(best), ["page", "seq"], "left").withColumn("mark", F.concat(F.lit("BM-"), "digit")).drop("digit")
     first = F.row_number().over(Window.partitionBy("page", "mark").orderBy("seq")) == 1
     return out.withColumn("assigned", F.coalesce(F.col("mark").isNotNull() & first, F.lit(False))).select("page", "seq", "x", "y", "r", "mark", "assigned")
