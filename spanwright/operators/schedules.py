@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanwright.functions.marks import MARK_PATTERNS, first_of
+from spanwright.sources.scratch import large, stash
 
 # Fixed values, in points: how far a word may stand from its line's mean height, gaps between
 # runs and between columns, how far around and below a header its columns are looked for, the
@@ -103,7 +104,7 @@ def bands(words: DataFrame, found: DataFrame) -> DataFrame:
     """The words of each table's column titles, with ``sub_y1``, the lower end of the band: lines
     below the header, around it, up to the first that holds a mark, or the first beyond BELOW_PT.
     Tables without a known title have none."""
-    near = words.join(found, "page").where((F.col("ly0") > F.col("hy1")) & ((F.col("x0") + F.col("x1")) / 2).between(F.col("hx0") - AROUND_PT, F.col("hx1") + AROUND_PT))
+    near = large(words).join(large(found), "page").where((F.col("ly0") > F.col("hy1")) & ((F.col("x0") + F.col("x1")) / 2).between(F.col("hx0") - AROUND_PT, F.col("hx1") + AROUND_PT))
     hit = _marks("category", F.upper(F.trim("text")), F.lit(False))
     lines = near.groupBy("page", "table_no", "line").agg(F.bool_or(hit).alias("marked"), F.min("ly0").alias("ly0"), F.min("hy1").alias("hy1"))
     order = Window.partitionBy("page", "table_no").orderBy("line")
@@ -113,13 +114,13 @@ def bands(words: DataFrame, found: DataFrame) -> DataFrame:
     ends = (F.col("far") & (F.col("n") == 0)) | F.col("marked") | F.col("far")
     lines = lines.withColumn("ends", ends).withColumn("over", F.coalesce(F.max("ends").over(before), F.lit(False)))
     alive = lines.where("NOT over")
-    first_far = words.join(found.select("page", "table_no", "hy1"), "page").where(F.col("ly0") - F.col("hy1") > BELOW_PT).groupBy("page", "table_no").agg(F.min("line").alias("far_line"))
-    alive = alive.join(first_far, ["page", "table_no"], "left")
+    first_far = large(words).join(large(found.select("page", "table_no", "hy1")), "page").where(F.col("ly0") - F.col("hy1") > BELOW_PT).groupBy("page", "table_no").agg(F.min("line").alias("far_line"))
+    alive = large(alive).join(large(first_far), ["page", "table_no"], "left")
     first = Window.partitionBy("page", "table_no")
     alive = alive.withColumn("head", F.min("line").over(first)).where(F.col("far_line").isNull() | (F.col("head") < F.col("far_line")))
     data = F.min(F.when(F.col("marked"), F.col("ly0"))).over(first)
     kept = alive.withColumn("data_y0", data).where("NOT marked AND NOT (far AND n = 0)").select("page", "table_no", "line", "data_y0")
-    band = near.join(kept, ["page", "table_no", "line"]).where(F.col("data_y0").isNull() | (F.col("y1") <= F.col("data_y0")))
+    band = large(near).join(large(kept), ["page", "table_no", "line"]).where(F.col("data_y0").isNull() | (F.col("y1") <= F.col("data_y0")))
     title = F.upper(F.regexp_replace("text", r"\.+$", "")).rlike(SUBHEADER)
     whole = Window.partitionBy("page", "table_no")
     band = band.withColumn("_titled", F.max(title).over(whole)).withColumn("sub_y1", F.max("y1").over(whole))
@@ -149,7 +150,7 @@ def body(words: DataFrame, cols: DataFrame) -> DataFrame:
     tables = cols.groupBy("page", "table_no", "category", "stop", "sub_y1").agg(
         F.min("x0").alias("tx0"), F.max("x1").alias("tx1"), F.array_sort(F.collect_list(F.struct("column", "x0", "x1"))).alias("spans")
     )
-    below = words.join(tables, "page").where(F.col("ly0") > F.col("sub_y1")).withColumn("xc", (F.col("x0") + F.col("x1")) / 2)
+    below = large(words).join(large(tables), "page").where(F.col("ly0") > F.col("sub_y1")).withColumn("xc", (F.col("x0") + F.col("x1")) / 2)
     inside = F.col("xc").between(F.col("tx0"), F.col("tx1"))
     lines = below.groupBy("page", "table_no", "line").agg(F.min("ly0").alias("ly0"), F.min("ly1").alias("ly1"), F.min("stop").alias("stop"), F.bool_or(inside).alias("any"), F.min_by("text", F.when(inside, F.struct(*_ORDER))).alias("first"))
     order = Window.partitionBy("page", "table_no").orderBy("line")
@@ -162,7 +163,7 @@ def body(words: DataFrame, cols: DataFrame) -> DataFrame:
     lines = lines.withColumn("ends", ends).withColumn("over", F.max("ends").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kept = lines.where("any AND NOT over").select("page", "table_no", "line")
     column = F.get(F.filter("spans", lambda s: F.col("xc").between(s["x0"], s["x1"])), 0)["column"]
-    return below.where(inside).join(kept, ["page", "table_no", "line"]).withColumn("column", column).drop("spans", "stop")
+    return large(below.where(inside)).join(large(kept), ["page", "table_no", "line"]).withColumn("column", column).drop("spans", "stop")
 
 
 def _mark_columns(cols: DataFrame, cells: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def _mark_columns(cols: DataFrame, cells: DataFrame) -> DataFrame:
     named = cols.withColumn("rank", rank).groupBy("page", "table_no").agg(F.min_by("column", F.when(F.col("rank").isNotNull(), F.struct("rank", "column"))).alias("named"))
     hit = _marks("category", F.trim("cell"), F.lit(False))
     like = cells.groupBy("page", "table_no", "column").agg(F.count_if(hit).alias("hits")).where("hits > 0").groupBy("page", "table_no").agg(F.min_by("column", F.struct((-F.col("hits")).alias("h"), "column")).alias("like"))
-    return named.join(like, ["page", "table_no"], "left").select("page", "table_no", F.coalesce("named", "like", F.lit(0)).alias("mark_column"))
+    return large(named).join(large(like), ["page", "table_no"], "left").select("page", "table_no", F.coalesce("named", "like", F.lit(0)).alias("mark_column"))
 
 
 def read_schedules(words: DataFrame, category: Callable[[Column], Column] = _built_in) -> dict[str, DataFrame]:
@@ -184,8 +185,6 @@ def read_schedules(words: DataFrame, category: Callable[[Column], Column] = _bui
     row_text, x0, y0, x1, y1) and cells (page, table_no, row_no, column, name, text).
 
     A line with a mark starts a row; a line without one goes on with the row above."""
-    from spanwright.sources.scratch import stash
-
     rows = stash(lined(words), "lines")
     found = stash(headers(rows, category), "headers")
     cols = stash(columns(bands(rows, found)), "columns")
@@ -201,8 +200,8 @@ def read_schedules(words: DataFrame, category: Callable[[Column], Column] = _bui
         F.min_by(token, F.when(window & _marks("category", token, F.lit(False)), F.col("place"))).alias("mark"), _joined("text", "place").alias("line_text"),
         F.min("ly0").alias("ly0"), F.min("ly1").alias("ly1"), F.min("tx0").alias("tx0"), F.min("tx1").alias("tx1"),
     )
-    at_mark = cells.join(mark_column, ["page", "table_no"]).where("column = mark_column").select(*keys, F.trim("cell").alias("own"))
-    lines = lines.join(at_mark, keys, "left")
+    at_mark = large(cells).join(large(mark_column), ["page", "table_no"]).where("column = mark_column").select(*keys, F.trim("cell").alias("own"))
+    lines = large(lines).join(large(at_mark), keys, "left")
     known = F.col("category").isin(*MARK_PATTERNS)
     spare = F.when(F.col("category") == "wall_type", None).when(known, F.when(F.upper("own").rlike(GENERIC_MARK), F.upper("own"))).otherwise(F.nullif("own", F.lit("")))
     lines = lines.withColumn("mark", F.coalesce("mark", spare))
@@ -214,14 +213,14 @@ def read_schedules(words: DataFrame, category: Callable[[Column], Column] = _bui
         F.min_by("mark", "line").alias("mark"), _joined("line_text", "line").alias("row_text"), F.min("tx0").alias("x0"), F.min_by("ly0", "line").alias("y0"), F.min("tx1").alias("x1"), F.max_by("ly1", "line").alias("y1")
     )
     named = cols.select("page", "table_no", "column", "name")
-    merged = cells.join(lines.select(*keys, "row_no"), keys).groupBy("page", "table_no", "row_no", "column").agg(_joined("cell", "line").alias("text"))
+    merged = large(cells).join(large(lines.select(*keys, "row_no")), keys).groupBy("page", "table_no", "row_no", "column").agg(_joined("cell", "line").alias("text"))
     ends = out.groupBy("page", "table_no").agg(F.max("y1").alias("ry1"), F.count("*").alias("n_rows"))
     spans = cols.groupBy("page", "table_no").agg(F.min("x0").alias("cx0"), F.max("x1").alias("cx1"), F.count("*").alias("n_columns"), F.min("sub_y1").alias("sub_y1"))
-    tables = found.join(spans, ["page", "table_no"], "left").join(ends, ["page", "table_no"], "left").select(
+    tables = large(found).join(large(spans), ["page", "table_no"], "left").join(large(ends), ["page", "table_no"], "left").select(
         "page", "table_no", "category", "header_text", F.least("hx0", "cx0").alias("x0"), F.col("hy0").alias("y0"), F.greatest("hx1", "cx1").alias("x1"), F.coalesce("ry1", "sub_y1", "hy1").alias("y1"),
         F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
     )
-    return {"tables": tables, "columns": cols.select("page", "table_no", "column", "name", "x0", "x1"), "rows": out, "cells": merged.join(named, ["page", "table_no", "column"])}
+    return {"tables": tables, "columns": cols.select("page", "table_no", "column", "name", "x0", "x1"), "rows": out, "cells": large(merged).join(large(named), ["page", "table_no", "column"])}
 
 
 def schedule_rows(words: DataFrame) -> DataFrame:
