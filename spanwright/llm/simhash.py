@@ -247,7 +247,8 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     pruned by the differing bits of the first long, then of all. Candidates are then held to the
     exact similarity of their shingles. Texts that share a leaf are first linked to the nearest
     of the leaves' least texts, so a dense group is one component before pairs are looked for;
-    those only matter between components, and a text is held to its nearest in each."""
+    those only matter between components. A text is first held to its nearest in each, then to all
+    that it met in components that are still apart, so no candidate is left unjudged."""
     depth, count = how.tries(docs.select("t").distinct().count())
     per = max(1, 60 // depth)
     slim, limit = how.budget(depth * min(per, count)), how.budget(depth * count)
@@ -279,11 +280,22 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     pairs = stash(whole(pairs.select(F.col("tx").alias("a"), F.col("ty").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct()), "met")
     turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("cb").alias("ca"), F.col("ca").alias("cb"), "d")
     best = pairs.unionByName(turned).groupBy("a", "ca", "cb").agg(F.min(F.struct("d", "b")).alias("b")).select("a", F.col("b.b").alias("b"))
-    links = _verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, how)
-    names = known.select("t", "c")
+    tried = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    nearer = _merged(known.select("t", "c"), _verified(tried, docs, how))
+    # all other candidates whose components are still apart
+    ends = lambda n: nearer.select(F.col("t").alias(n), F.col("c").alias(f"c{n}"))
+    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = stash(rest.join(ends("a"), "a").join(ends("b"), "b").where("ca != cb").select("a", "b"), "rest")
+    if rest.isEmpty():
+        return nearer.select("t", F.col("c").alias("root"))
+    return _merged(nearer, _verified(rest, docs, how)).select("t", F.col("c").alias("root"))
+
+
+def _merged(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(t, c): texts with their components after the links (a, b) of texts."""
     ends = lambda n: names.select(F.col("t").alias(n), F.col("c").alias(f"c{n}"))
     joined = connected_components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return names.join(joined, names.c == joined.v, "left").select("t", F.coalesce("root", "c").alias("root"))
+    return stash(names.join(joined, names.c == joined.v, "left").select("t", F.coalesce("root", "c").alias("c")), "merged")
 
 
 def one_of_each_group(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:

@@ -436,3 +436,25 @@ def test_held_out_fold(spark):
     ids = [1, 2, 33, 404, -5, None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in got)
+
+
+def test_near_copies_try_more_than_the_nearest_candidate(spark, monkeypatch):
+    """Where the nearest by bits isn't alike enough, the others of its component are held, too."""
+    words = [f"w{i}" for i in range(400)]
+    left = [[*words], [*words, "x"], [*words, "x", "y"]]
+    right = [[*words, *[f"z{i}" for i in range(20)], *end] for end in ([], ["x"], ["x", "y"])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(left + right)], "t long, text string")
+    across = {(i, j) for i in range(3) for j in range(3, 6)}
+    calls = []
+
+    def picky(pairs, docs, how):
+        """Each side is a component; across, only pairs that aren't the nearest are alike."""
+        rows = {(r.a, r.b) for r in pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).collect()}
+        calls.append(rows)
+        alike = {1: [(0, 1), (0, 2), (3, 4), (3, 5)], 2: []}.get(len(calls), sorted(rows))
+        return spark.createDataFrame(alike, "a long, b long")
+
+    monkeypatch.setattr(simhash, "_verified", picky)
+    root = {r.t: r.root for r in simhash.near_copies(df).collect()}
+    assert len(calls) == 3 and calls[2] and not calls[1] & calls[2] and calls[1] | calls[2] == across
+    assert set(root.values()) == {0}
