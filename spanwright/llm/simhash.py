@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from spanwright.operators.graph import connected_components
 
 from .common import arrow_map, blank, stash, table, texts, unused
+from .tokens import forget
 
 SEED = 42
 
@@ -192,6 +193,7 @@ def wide_prints(docs: DataFrame, key: str, shingle: int, depth: int, count: int)
     per = max(1, 60 // depth)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        forget()  # what an earlier packing left in this worker
         out = []
         for text in texts(batch):
             h, words = _shingle_hashes(text, shingle), []

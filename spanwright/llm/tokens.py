@@ -154,3 +154,9 @@ def pieces_of(path: str, spaced: bool, ranked: bool = False) -> Pieces:
     if key not in _workers:
         _workers[key] = RankedPieces(path) if ranked else Pieces(path, spaced)
     return _workers[key]
+
+
+def forget() -> None:
+    """Lets go of the worker's tokenizers and pieces, for tasks that need the memory themselves;
+    a task that encodes loads them again."""
+    _workers.clear()

@@ -122,3 +122,16 @@ def test_files_hold_all_rows_in_order(spark, odd, empty, tmp_path):
         at += r.n_tokens
     write_token_files(empty, f"{tmp_path}/none", BYTE, 2)
     assert read_token_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_workers_let_go_of_their_pieces():
+    import public_tokenizers
+
+    from spanwright.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    before = tokens.pieces_of(path, spaced=False)
+    want = before.ids("some words to keep")
+    tokens.forget()
+    again = tokens.pieces_of(path, spaced=False)
+    assert again is not before and not again.known and again.ids("some words to keep") == want
