@@ -30,21 +30,43 @@ from .rangecoder import pack_ids, unpack_ids
 from .tokens import pieces_of
 
 
+#: Bytes of text that are split and encoded at once, one text at least.
+PORTION = 4 << 20
+
+
+def _portions(found: list[bytes]) -> Iterator[list[bytes]]:
+    some: list[bytes] = []
+    size = 0
+    for text in found:
+        if some and size + len(text) > PORTION:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def _ended(coded: tuple[np.ndarray, np.ndarray], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of texts with the end id after each."""
+    ids, lengths = coded
+    return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     kind = docs.schema["doc_id"].dataType
     schema = StructType(
         [StructField("part", IntegerType()), StructField("segment", IntegerType()), StructField("first", LongType()), StructField("doc_ids", ArrayType(kind)), StructField("lengths", ArrayType(LongType())), StructField("data", BinaryType())]
     )
     arrow = to_arrow_schema(schema)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, first, segment = pieces_of(tokenizer, spaced=True), 0, 0
         for batch in batches:
             for part in sliced(batch):
-                coded = [pieces.ids(t.decode("utf-8", "replace")) + end for t in texts(part)]
-                ids = np.frombuffer(b"".join(coded), dtype="<u4")
-                row = [part.column("part")[0].as_py(), segment, first, part.column("doc_id").to_pylist(), [len(c) // 4 for c in coded], pack_ids(ids.astype(np.int64))]
+                coded = [_ended(pieces.many([t.decode("utf-8", "replace") for t in some]), end_id) for some in _portions(texts(part))]
+                ids, lengths = (np.concatenate(x) for x in zip(*coded, strict=True))
+                row = [part.column("part")[0].as_py(), segment, first, part.column("doc_id").to_pylist(), lengths.tolist(), pack_ids(ids.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
                 first, segment = first + len(ids), segment + 1
 

@@ -8,13 +8,21 @@ its vocabulary ("<|endoftext|>"), goes to the tokenizer whole.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import sys
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces that a worker keeps; others are encoded again whenever they come.
 KEPT = 500_000
+#: Pieces that go to the tokenizer in one string.
+RUN = 200
 _workers: dict = {}
 
 
@@ -38,6 +46,7 @@ class Pieces:
     """``spaced``: a piece's ids depend on the space before it (byte-level vocabularies)."""
 
     def __init__(self, path: str, spaced: bool) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,6 +115,71 @@ class Pieces:
                     got[at] = held
         return head + b"".join(got)
 
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, one after the other, and how many each has; for ``spaced`` only. Each
+        different piece of them is looked up once, and those that aren't kept are encoded
+        together."""
+        heads: list[bytes | None] = [self.whole(t) if any(a in t for a in self.added) else None for t in texts]
+        parts = pc.split_pattern(pa.array([t if h is None else "" for t, h in zip(texts, heads, strict=True)], pa.string()), " ")
+        bounds = np.asarray(parts.offsets).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
+        known = self.known
+        got = list(map(known.get, words))
+        loose = [at for at, held in enumerate(got) if held is None]
+        for at, held in zip(loose, self._together([words[i] for i in loose]), strict=True):
+            got[at] = held
+            if held is not None and len(known) < KEPT:
+                known[words[at]] = held
+        first, owner = bounds[:-1], np.repeat(np.arange(len(texts)), np.diff(bounds))
+        white = np.array([held is None for held in got], dtype=bool)[codes]
+        white[first] = False
+        whole = set(np.unique(owner[white]).tolist())  # white space reaches over a piece
+        for i, text in enumerate(texts):
+            if heads[i] is None:
+                heads[i] = self.whole(text if i in whole else words[codes[first[i]]])
+        if whole:
+            codes[np.isin(owner, list(whole))] = len(got)
+        codes[first] = len(got) + 1 + np.arange(len(texts))
+        entries = [held or b"" for held in got] + [b""] + heads
+        lengths = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // 4
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[codes]
+        before = np.cumsum(sizes) - sizes
+        place = np.repeat(starts[codes] - before, sizes)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(entries), dtype="<u4")[place], np.add.reduceat(sizes, first) if len(texts) else sizes
+
+    def _together(self, pieces: list[str]) -> list[bytes | None]:
+        """As ``_piece`` of each: pieces that don't begin with white space go to the tokenizer in long
+        runs, in which those tokens that begin with a space begin a piece."""
+        out: list[bytes | None] = [None] * len(pieces)
+        plain = [at for at, p in enumerate(pieces) if p and not p[0].isspace()]
+        taken = set(plain)
+        for at, p in enumerate(pieces):
+            if at not in taken:
+                out[at] = self._piece(p)
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        joined = ["".join([" " + pieces[at] for at in run]) for run in runs]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(run) or begins[0]:
+                for at in run:
+                    out[at] = self.whole(" " + pieces[at])
+                continue
+            data, ends = ids.tobytes(), [*begins[1:].tolist(), len(ids)]
+            for at, b, e in zip(run, begins.tolist(), ends, strict=True):
+                out[at] = data[4 * b : 4 * e]
+        return out
+
+    @functools.cached_property
+    def opens(self) -> np.ndarray:
+        """Which ids' tokens begin with a space."""
+        out = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
+        out[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(self.letters[32])]] = True
+        return out
+
 
 # Fixed value: how byte-level vocabularies of this family part a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -135,3 +135,45 @@ def test_workers_let_go_of_their_pieces():
     tokens.forget()
     again = tokens.pieces_of(path, spaced=False)
     assert again is not before and not again.known and again.ids("some words to keep") == want
+
+
+def test_many_lanes_share_a_step():
+    """A step costs the same for one lane as for a thousand, so a segment has many, in little more space than order 0."""
+    from spanwright.llm import rangecoder as coder
+
+    ids = np.random.default_rng(5).zipf(1.3, 300_000) % 50_257
+    lanes, steps = coder._lanes(len(ids))
+    assert lanes >= 1000 and lanes * steps < len(ids) + lanes
+    assert len({coder._lanes(n)[0] for n in (1 << 22, 1 << 25)}) == 1 and coder._lanes(1 << 28)[1] <= coder.LONGEST
+    data = pack_ids(ids)
+    assert np.array_equal(unpack_ids(data), ids)
+    share = np.bincount(ids) / len(ids)
+    bits = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(data) * 8 < 1.15 * bits * len(ids)
+
+
+def test_carries_run_through_many_words():
+    from spanwright.llm import rangecoder as coder
+
+    frequency = np.array([1, 65_534, 1])
+    symbols = np.concatenate((np.full(3000, 1), [2], np.full(3000, 2), [0], np.full(2000, 2), np.full(7, 1)))
+    assert np.array_equal(coder._decode_plain(coder._encode_plain(symbols, frequency), len(symbols), frequency), symbols)
+    every = np.arange(65_536)
+    assert np.array_equal(unpack_ids(pack_ids(every)), every)
+
+
+def test_many_texts_at_once_equal_whole_texts(documents, monkeypatch):
+    from spanwright.llm import tokens
+
+    texts = [*ODD, "", "x\u00a0y z", "a b\n\n c", " 's 've", "<|endoftext|>", *[r.text for r in documents.select("text").limit(60).collect()]]
+    plain = Tokenizer.from_file(BYTE)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept, run in ((500_000, 200), (3, 2)):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        monkeypatch.setattr(tokens, "RUN", run)
+        p = Pieces(BYTE, True)
+        for _ in range(2):
+            ids, lengths = p.many(texts)
+            ends = np.cumsum(lengths).tolist()
+            assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths.tolist(), strict=True)] == want
+    assert [len(x) for x in p.many([])] == [0, 0]
