@@ -253,3 +253,16 @@ def test_tries_of_equal_inliers_tie_on_far_sheets():
         names = ["h"] + [f"{c}{k}" for k in range(3) for c in ("sx", "sy", "dx", "dy")]
         best = consensus._best_of(pd.DataFrame(tries, columns=names), pts, 16.0)
         assert (best[0], best[-2]) == (first, 187)
+
+
+def test_near_numbers_are_contracted_without_rounds(spark, monkeypatch):
+    """Three rounds and more of shuffles for each search are what made large tables costly."""
+    from spanwright.operators import graph
+
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 50)
+    calls = []
+    monkeypatch.setattr(graph, "_in_rounds", lambda e, last: calls.append(1))
+    rows = spark.range(4000).selectExpr("id", "id div 10 * 10 AS root")
+    edges = rows.where("id % 10 <> 0").selectExpr("id AS a", "id - 1 AS b")
+    got = graph.connected_components(edges.unionByName(edges.selectExpr("b AS a", "a AS b")), last=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) and not calls
