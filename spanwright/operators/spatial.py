@@ -88,7 +88,8 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float, on: str, cell
 def farthest_pair(points: DataFrame) -> DataFrame:
     """One row (a, b, dist): the two of ``points`` (seq, id, x, y) that are farthest apart, the
     least seqs on ties. They are corners of the convex hull; each task sends on the corners of
-    its own rows' hull, which are few, and one task pairs the corners of those."""
+    its own rows' hull, which are few, and one task pairs the corners of those (they are dealt anew:
+    a plain coalesce would hull all rows in that task)."""
     least = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min_by(F.struct("seq", "id"), "seq").alias("p")).select("p.seq", "p.id", "x", "y")
 
     def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +101,7 @@ def farthest_pair(points: DataFrame) -> DataFrame:
             yield kept
 
     schema = least.schema
-    few = least.mapInPandas(corners, schema).coalesce(1).mapInPandas(corners, schema)
+    few = least.mapInPandas(corners, schema).repartition(1).mapInPandas(corners, schema)
     a, b = few.select(*[F.col(c).alias(f"a_{c}") for c in few.columns]), few.select(*[F.col(c).alias(f"b_{c}") for c in few.columns])
     far = F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y"))
     best = a.join(b, F.col("a_seq") < F.col("b_seq")).select(far.alias("dist"), "a_seq", "b_seq", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
