@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions.geometry import apply_affine, distance
 from spanwright.functions.verdicts import fit_quality
+from spanwright.sources.scratch import by_group, stash
 
 
 def _matrix(reflect: bool) -> Column:
@@ -27,8 +28,8 @@ def residual(m: Column) -> Column:
 
 def similarity_fits(pairs: DataFrame, by: str) -> DataFrame:
     """Both variants for each ``by``: reflected, matrix, rms, worst, n. Two aggregates."""
-    solved = pairs.groupBy(by).agg(_matrix(False).alias("plain"), _matrix(True).alias("mirrored"), F.count("*").alias("n"))
-    off = pairs.join(solved, by)
+    solved = stash(pairs.groupBy(by).agg(_matrix(False).alias("plain"), _matrix(True).alias("mirrored"), F.count("*").alias("n")), "solved")
+    off = by_group(pairs, solved, by)
     sums = off.groupBy(by).agg(
         *[f.alias(n) for k in ("plain", "mirrored") for f, n in ((F.sqrt(F.avg(F.pow(residual(F.col(k)), 2))), f"{k}_rms"), (F.max(residual(F.col(k))), f"{k}_worst"))]
     )
@@ -46,7 +47,7 @@ def calibrate(pairs: DataFrame, by: str, held: DataFrame | None = None) -> DataF
     out = best.withColumn("scale", F.hypot(m[0], m[2])).withColumn("rotation_deg", F.degrees(F.atan2(m[2], m[0]))).withColumn("confidence", fit_quality(F.col("rms"), F.col("worst"), F.col("n")))
     if held is None:
         return out.withColumn("match_allowed", F.col("confidence").isin("high", "medium"))
-    checks = held.join(out.select(by, "matrix"), by).groupBy(by).agg(F.sqrt(F.avg(F.pow(residual(m), 2))).alias("held_rms"), F.max(residual(m)).alias("held_worst"), F.count("*").alias("n_held"))
+    checks = by_group(held, out.select(by, "matrix"), by).groupBy(by).agg(F.sqrt(F.avg(F.pow(residual(m), 2))).alias("held_rms"), F.max(residual(m)).alias("held_worst"), F.count("*").alias("n_held"))
     out = out.join(checks, by, "left")
     return out.withColumn("match_allowed", F.col("confidence").isin("high", "medium") & (F.coalesce("held_rms", F.lit(0.0)) <= 16.0))
 
@@ -71,6 +72,6 @@ def principal_segments(points: DataFrame, by: str) -> DataFrame:
     """The main axis of each point set and its extent along it, as a segment."""
     axis = points.groupBy(by).agg((0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("t"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     along = (F.col("x") - F.col("mx")) * F.cos("t") + (F.col("y") - F.col("my")) * F.sin("t")
-    ends = points.join(axis, by).groupBy(by, "t", "mx", "my").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
+    ends = by_group(points, axis, by).groupBy(by, "t", "mx", "my").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
     at = lambda m, f, s: F.col(m) + f("t") * F.col(s)
     return ends.select(by, at("mx", F.cos, "lo").alias("ax"), at("my", F.sin, "lo").alias("ay"), at("mx", F.cos, "hi").alias("bx"), at("my", F.sin, "hi").alias("by"), (F.col("hi") - F.col("lo")).alias("length"), F.pmod(F.degrees("t"), F.lit(180.0)).alias("angle"))

@@ -19,3 +19,20 @@ def test_only_corners_of_hulls_meet_in_one_task(spark):
     far = spatial.farthest_pair(points)
     assert "Coalesce 1" not in plan(far)
     assert tuple(far.first())[:2] == ("0", "399")
+
+
+def test_few_groups_are_sent_to_their_rows(spark, monkeypatch):
+    from spanwright.sources import scratch
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(60).selectExpr("concat('S', id % 2) AS sheet", "cast(id AS double) AS x", "cast(id * id % 7 AS double) AS y").selectExpr("sheet", "x", "y", "2 * x + 1 AS u", "3 - 2 * y AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = fit.similarity_fits(rows, "sheet")
+        assert re.search(r"BroadcastHashJoin", plan(few))
+        monkeypatch.setattr(scratch, "SENT_GROUPS", 1)
+        many = scratch.by_group(rows, rows.groupBy("sheet").agg(F.count("*").alias("n")), "sheet")
+        assert "Broadcast" not in plan(many) and many.count() == 60
+        assert few.where("reflected").agg(F.max("worst")).first()[0] == pytest.approx(0, abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
