@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators.fit import calibrate
 from spanwright.operators.spatial import farthest_pair
+from spanwright.sources.scratch import by_group, stash
 
 
 def joined_points(sheet: DataFrame, model: DataFrame) -> DataFrame:
@@ -45,6 +46,6 @@ def verified_stamps(proposal: DataFrame, found: DataFrame, tolerance: float = 3.
 def grid_calibration(sheet: DataFrame, model: DataFrame, least: int = 3) -> DataFrame:
     """Calibration of each sheet by its labelled grid points (sheet, id, x, y); the model's are
     (id, x, y). Sheets with fewer common points than ``least`` have no row."""
-    pairs = sheet.join(model.select("id", F.col("x").alias("u"), F.col("y").alias("v")), "id")
+    pairs = stash(sheet.join(model.select("id", F.col("x").alias("u"), F.col("y").alias("v")), "id"), "pairs")
     enough = pairs.groupBy("sheet").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("sheet")
-    return calibrate(pairs.join(enough, "sheet"), "sheet")
+    return calibrate(by_group(pairs, enough, "sheet"), "sheet")

@@ -36,3 +36,17 @@ def test_few_groups_are_sent_to_their_rows(spark, monkeypatch):
         assert few.where("reflected").agg(F.max("worst")).first()[0] == pytest.approx(0, abs=1e-9)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_sheets_with_few_points_are_left_out_without_a_shuffle_by_sheet(spark):
+    model = spark.range(50).selectExpr("concat('G', id) AS id", "cast(id % 7 AS double) AS x", "cast(id div 7 AS double) AS y")
+    sheet = model.selectExpr("CASE WHEN id IN ('G1', 'G2') THEN 'few' ELSE 'T' END AS sheet", "id", "4 * x AS x", "-4 * y AS y")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = benchmarks.grid_calibration(sheet, model)
+        # only one-row-a-sheet tables are joined so, once for each variant of the fit
+        assert plan(out).count("SortMergeJoin [sheet") == 2
+        assert [(r.sheet, r.n, r.reflected) for r in out.collect()] == [("T", 48, True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
