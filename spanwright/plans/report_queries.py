@@ -201,7 +201,10 @@ def count_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PRELUDE + "SELECT mark FROM callouts WHERE sheet = 'S1' INTERSECT SELECT mark FROM targets")
 def mark_intersection(spark: SparkSession, d: str) -> DataFrame:
-    return callouts(spark, d).where("sheet = 'S1'").select("mark").intersect(targets(spark, d).select("mark"))
+    """Marks are few, so rows are summed up by mark where they are, and no sides are joined."""
+    drawn = callouts(spark, d).where("sheet = 'S1'").select("mark", F.lit(True).alias("drawn"))
+    both = drawn.unionByName(targets(spark, d).select("mark", F.lit(False).alias("drawn")))
+    return both.groupBy("mark").agg(F.max("drawn").alias("a"), F.min("drawn").alias("b")).where("a AND NOT b").select("mark")
 
 
 @query(PRELUDE + "SELECT seq // 10 AS k FROM callouts EXCEPT SELECT seq // 10 FROM targets")

@@ -50,3 +50,11 @@ def test_sheets_with_few_points_are_left_out_without_a_shuffle_by_sheet(spark):
         assert [(r.sheet, r.n, r.reflected) for r in out.collect()] == [("T", 48, True)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_marks_are_summed_up_without_a_join(spark):
+    from spanwright.plans.catalogue import QUERIES
+
+    found = QUERIES["mark_intersection"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(found)
+    assert sorted(r.mark for r in found.collect()) == ["H0", "H1", "H2", "H3"]
