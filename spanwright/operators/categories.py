@@ -17,7 +17,8 @@ from spanwright.config import Gates
 from spanwright.functions.geometry import segment_distance
 from spanwright.functions.verdicts import product_verdict
 from spanwright.operators import matching as M
-from spanwright.operators.cluster import leader_clusters, numbered
+from spanwright.operators.claims import within_tiles
+from spanwright.operators.cluster import device_rows, leader_clusters, numbered
 from spanwright.sources.scratch import stash
 
 
@@ -54,15 +55,12 @@ def devices_of(callouts: DataFrame, tolerance: float) -> DataFrame:
     """Devices (seq, id, category, mark, x, y, z, orientation_deg, appearances, sheets) of callouts
     (seq, id, category, mark, sheet, x, y): first-fit clusters inside a category and mark, one
     row of a sheet in each; numbered by category in the order of their founders."""
-    callouts = M.filled(callouts)
-    keyed = callouts.withColumn("_mark", F.col("mark")).withColumn("mark", F.concat_ws("\x1f", F.coalesce("category", F.lit("\x00")), F.coalesce("mark", F.lit("\x00"))))
-    members = leader_clusters(keyed, tolerance).drop("mark").withColumnRenamed("_mark", "mark")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda s: s[c])
-    made = members.groupBy("category", "mark", "founder").agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), first("z"), first("orientation_deg"), in_order("id").alias("appearances"), in_order("sheet").alias("sheets")
-    )
-    ranked = stash(numbered(made.withColumn("_o", F.struct("category", "founder")), "_o", "seq").drop("_o"), "devices")
+    def clusters(left: DataFrame) -> DataFrame:
+        keyed = left.withColumn("_mark", F.col("mark")).withColumn("mark", F.concat_ws("\x1f", F.coalesce("category", F.lit("\x00")), F.coalesce("mark", F.lit("\x00"))))
+        return leader_clusters(keyed, tolerance).drop("mark").withColumnRenamed("_mark", "mark")
+
+    made = device_rows(M.filled(callouts), tolerance, ["category", "mark"], clusters, nulls_meet=True)
+    ranked = numbered(made.withColumn("_o", F.struct("category", "founder")), "_o", "seq").drop("_o")
     before = ranked.groupBy(F.col("category").alias("_c")).agg((F.min("seq") - 1).alias("_before"))
     named = ranked.join(F.broadcast(before), F.col("category").eqNullSafe(F.col("_c")))  # a row for each category
     return named.withColumn("id", F.format_string("%s_dev_%03d", F.coalesce("category", F.lit("none")), F.col("seq") - F.col("_before"))).drop("_c", "_before")
@@ -103,16 +101,41 @@ def matched(devices: DataFrame, targets: DataFrame, sheets: DataFrame, rules: tu
     others claim in order of distance, pairs of the least total first where the category says
     so; another storey ends a device and leaves the target; then distance alone, within the
     match gate, where marks may be ignored."""
+    plan = F.broadcast(rules_table(devices.sparkSession, rules)).select("category", "match_ft", "ceiling")
+    ruled = gated(devices.join(plan, "category", "left"), sheets).drop("match_ft", "ceiling")
+    own = ("seq", "id", "category", "mark", "x", "y", "z", "ax", "ay", "bx", "by")
+    done, left_d, left_t = within_tiles(ruled, targets.select(*[c for c in own if c in targets.columns]), rules, _segments)
+    rest = stash(_matched(left_d, left_t, rules), "rest")
+    both = done.unionByName(rest)
+    return both.withColumn("distance_ft", F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))).drop("dist")
+
+
+#: Sheets whose residuals are sent to the devices as one map, at most.
+SENT_SHEETS = 1_000
+
+
+def gated(devices: DataFrame, sheets: DataFrame) -> DataFrame:
+    """With ``gate``: ``match_ft``, widened by the worst registration residual (rms / scale) of the
+    device's sheets, up to ``ceiling`` times."""
+    worst = F.max(F.when(F.col("scale") > 0, F.col("rms") / F.col("scale")))
+    each = sheets.where("sheet IS NOT NULL").groupBy("sheet").agg(worst.alias("worst")).where("worst IS NOT NULL")
+    gate = F.least(F.col("match_ft") + F.coalesce("_worst", F.lit(0.0)), F.col("match_ft") * F.col("ceiling"))
+    if each.limit(SENT_SHEETS + 1).count() <= SENT_SHEETS:
+        sent = each.agg(F.map_from_entries(F.collect_list(F.struct("sheet", "worst"))).alias("_of"))
+        mine = F.array_max(F.transform("sheets", lambda s: F.try_element_at("_of", s)))
+        return devices.crossJoin(F.broadcast(sent)).withColumn("_worst", mine).withColumn("gate", gate).drop("_of", "_worst")
+    mine = devices.select("seq", F.explode("sheets").alias("sheet")).join(each, "sheet").groupBy("seq").agg(F.max("worst").alias("_worst"))
+    return devices.join(mine, "seq", "left").withColumn("gate", gate).drop("_worst")
+
+
+def _matched(devices: DataFrame, segments: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The same by joins, for any devices (with gate) and segments, with ``dist``."""
     spark = devices.sparkSession
     plan = F.broadcast(rules_table(spark, rules))
     widest = max(r.mismatch_ft + r.ambiguity_ft for r in rules)
     ruled = devices.join(plan, "category").withColumn("reach", F.col("mismatch_ft") + F.col("ambiguity_ft"))
-    each = ruled.select(F.col("seq").alias("d"), "match_ft", "ceiling", F.explode_outer("sheets").alias("sheet")).join(sheets.select("sheet", "rms", "scale"), "sheet", "left")
-    worst = F.max(F.when(F.col("scale") > 0, F.col("rms") / F.col("scale")))
-    gate = F.least(F.col("match_ft") + F.coalesce(worst, F.lit(0.0)), F.col("match_ft") * F.col("ceiling"))
-    limits = stash(each.groupBy("d", "match_ft", "ceiling").agg(gate.alias("gate")).select("d", "gate"), "limits")
+    limits = devices.select(F.col("seq").alias("d"), "gate")
     mine = ruled.select(F.col("seq").alias("d"), F.col("mismatch_ft").alias("outer"), F.col("ambiguity_ft").alias("margin"), "level_ft", "optimal")
-    segments = stash(_segments(targets), "segments")
     pairs = stash(candidate_pairs(ruled, segments, "reach", widest).join(mine, "d").join(limits, "d"), "pairs")
 
     w = Window.partitionBy("d").orderBy("dist", "target")
@@ -137,13 +160,13 @@ def matched(devices: DataFrame, targets: DataFrame, sheets: DataFrame, rules: tu
 
     found = segments.select(F.col("seq").alias("t"), F.col("id").alias("target_id"), F.col("mark").alias("target_mark"), F.col("x").alias("target_x"), F.col("y").alias("target_y"), F.col("z").alias("target_z"))
     joined = devices.join(done.withColumnRenamed("d", "seq"), "seq", "left").join(found, "t", "left").drop("t")
-    joined = joined.join(tied.withColumnRenamed("d", "seq"), "seq", "left").join(limits.withColumnRenamed("d", "seq"), "seq", "left")
-    return joined.withColumn("distance_ft", F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))).withColumn("status", F.coalesce("status", F.lit("PDF_ONLY"))).drop("dist")
+    joined = joined.join(tied.withColumnRenamed("d", "seq"), "seq", "left")
+    return joined.withColumn("status", F.coalesce("status", F.lit("PDF_ONLY")))
 
 
 def settled(assigned: DataFrame, targets: DataFrame, rules: tuple[Rule, ...] = RULES, gates: Gates = Gates()) -> DataFrame:
     """Ties settled by drawn direction, then by storey, in the categories whose rules say so."""
-    segments = stash(_segments(targets), "segments")
+    segments = _segments(targets)
     out = M.with_resolved(assigned)
     for rule in rules:  # a pass for each category that has this evidence
         if not (rule.by_direction or rule.by_storey):
@@ -154,7 +177,7 @@ def settled(assigned: DataFrame, targets: DataFrame, rules: tuple[Rule, ...] = R
             here = M.settle_by_orientation(here, there, own)
         if rule.by_storey:
             here = M.settle_by_context(here, there, own)
-        out = stash(out.where(F.coalesce(F.col("category") != rule.category, F.lit(True))).unionByName(here), "settled")
+        out = out.where(F.coalesce(F.col("category") != rule.category, F.lit(True))).unionByName(here)
     return out
 
 
@@ -182,10 +205,13 @@ def row_overrides(assigned: DataFrame) -> DataFrame:
     return each
 
 
-def run(callouts: DataFrame, targets: DataFrame, sheets: DataFrame, tolerance: float = 3.0, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(devices with their verdicts, targets left over) of all categories."""
-    assigned = stash(matched(devices_of(callouts, tolerance), targets, sheets, rules), "assigned")
-    final = stash(settled(assigned, targets, rules), "final")
-    known = targets.select("category", "mark").where("mark IS NOT NULL").distinct().withColumn("_known", F.lit(True))
-    final = final.join(known, ["category", "mark"], "left").withColumn("vocabulary_gap", (F.col("status") == "PDF_ONLY") & F.col("_known").isNull()).drop("_known")
-    return final, left_over(final, targets, rules)
+#: Marks of targets that are sent to the devices, at most.
+SENT_MARKS = 100_000
+
+
+def run(callouts: DataFrame, targets: DataFrame, sheets: DataFrame, tolerance: float = 3.0, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Devices with their verdicts, of all categories."""
+    final = settled(matched(devices_of(callouts, tolerance), targets, sheets, rules), targets, rules)
+    known = stash(targets.select("category", "mark").where("mark IS NOT NULL").distinct().withColumn("_known", F.lit(True)), "marks")
+    known = F.broadcast(known) if known.count() <= SENT_MARKS else known
+    return final.join(known, ["category", "mark"], "left").withColumn("vocabulary_gap", (F.col("status") == "PDF_ONLY") & F.col("_known").isNull()).drop("_known")
