@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanwright.config import Gates
 from spanwright.functions.geometry import angle_delta, segment_distance
+from spanwright.operators.claims import within_tiles
 from spanwright.operators.graph import connected_components
 from spanwright.operators.parts import over_parts
 from spanwright.operators.spatial import within
@@ -137,9 +138,22 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     claim greedily (or optimally first); a winner on another level sends the device to review
     and leaves the target free. Then, if ``mark_blind``, what is left claims by distance alone
     within the base gate, as a mismatch of marks."""
-    reach = gates.mismatch_ft + gates.ambiguity_ft
+    from spanwright.operators.categories import Rule, gated
+
     devices, targets = filled(devices).drop("level"), filled(targets)
-    limits = adaptive_gate(devices, sheets, gates)
+    rule = Rule("", gates.match_ft, gates.mismatch_ft, gates.ambiguity_ft, gates.level_ft, gates.ceiling, mark_blind, optimal)
+    mine = gated(devices.withColumns({"_rule": F.lit(""), "match_ft": F.lit(rule.match_ft), "ceiling": F.lit(rule.ceiling)}), sheets).drop("match_ft", "ceiling")
+    points = lambda t: t.withColumns({f"{end}{axis}": F.col(axis) for end in "ab" for axis in "xy"})
+    done, left_d, left_t = within_tiles(mine, targets.select("seq", "id", F.lit("").alias("_rule"), "mark", "x", "y", "z"), (rule,), points, "_rule")
+    rest = stash(_assigned(left_d, left_t, gates, mark_blind, optimal), "rest")
+    distance = F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))
+    return done.unionByName(rest).withColumn("distance_ft", distance).drop("dist", "_rule")
+
+
+def _assigned(devices: DataFrame, targets: DataFrame, gates: Gates, mark_blind: bool, optimal: bool) -> DataFrame:
+    """The same by joins, for any devices (with gate), with ``dist``."""
+    reach = gates.mismatch_ft + gates.ambiguity_ft
+    limits = devices.select(F.col("seq").alias("d"), "gate")
     pairs = within(devices.select("seq", "mark", "x", "y", "z"), targets.select("seq", "id", "mark", "x", "y", "z"), reach, "mark")
     pairs = pairs.select(F.col("seq").alias("d"), F.col("r_seq").alias("t"), F.col("r_id").alias("target"), "dist", "z", F.col("r_z").alias("tz")).join(limits, "d")
     pairs = stash(pairs, "pairs")
@@ -161,9 +175,8 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
         blind = greedy_pairs(within(rest_d, rest_t, gates.match_ft).select(F.col("seq").alias("d"), F.col("r_seq").alias("t"), "dist"))
         done = done.unionByName(blind.select("d", "t", "dist", F.lit("MARK_MISMATCH").alias("status")))
     mine = targets.select(F.col("seq").alias("t"), F.col("id").alias("target_id"), F.col("mark").alias("target_mark"), F.col("x").alias("target_x"), F.col("y").alias("target_y"), F.col("z").alias("target_z"))
-    joined = devices.join(done.withColumnRenamed("d", "seq"), "seq", "left").join(mine, "t", "left").drop("t").join(tied.withColumnRenamed("d", "seq"), "seq", "left").join(limits.withColumnRenamed("d", "seq"), "seq", "left")
-    distance = F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))
-    return joined.withColumn("distance_ft", distance).withColumn("status", F.coalesce("status", F.lit("PDF_ONLY"))).drop("dist")
+    joined = devices.join(done.withColumnRenamed("d", "seq"), "seq", "left").join(mine, "t", "left").drop("t").join(tied.withColumnRenamed("d", "seq"), "seq", "left")
+    return joined.withColumn("status", F.coalesce("status", F.lit("PDF_ONLY")))
 
 
 def filled(df: DataFrame) -> DataFrame:
@@ -211,10 +224,14 @@ def _in_order(left: DataFrame) -> DataFrame:
     return left.join(took, ["d", "t"])
 
 
-def tie_candidates(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+#: Devices that a pass over ties can change.
+TIED = "coalesce(status = 'NEEDS_REVIEW' AND first IS NOT NULL, false)"
+
+
+def tie_candidates(assigned: DataFrame, targets: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """One row for each tied device and candidate, with the candidate's properties and whether
-    it is claimed."""
-    claimed = assigned.where("target_id IS NOT NULL").select(F.col("target_id").alias("_c")).distinct()
+    it is claimed (in ``claims``, if ``assigned`` are only some devices)."""
+    claimed = (assigned if claims is None else claims).where("target_id IS NOT NULL").select(F.col("target_id").alias("_c")).distinct()
     each = assigned.where("status = 'NEEDS_REVIEW' AND first IS NOT NULL").withColumn("candidate", F.explode(F.array("first", "second")))
     named = {"id": "_id", "level": "c_level", "orientation_deg": "c_deg", "x": "cx", "y": "cy", "mark": "c_mark"}
     line = [c for c in ("ax", "ay", "bx", "by") if c in targets.columns]
@@ -224,12 +241,14 @@ def tie_candidates(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("claimed", F.col("_c").isNotNull()).withColumn("dist", far).drop("_id", "_c", *[f"_{c}" for c in line])
 
 
-def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Column, name: str, gates: Gates, split: bool = False) -> DataFrame:
+def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Column, name: str, gates: Gates, split: bool = False, tied: DataFrame | None = None) -> DataFrame:
     """Gives tied devices their only agreeing, unclaimed candidate within the outer gate, in
     device order, as each claim can take another device's candidate. Only devices that share
     a candidate meet, so the ordered kernel runs on connected parts. ``split``: a tie whose
-    candidates all agree, claimed or not, stays open."""
-    cands = stash(tie_candidates(assigned, targets).select("seq", "candidate", "c_mark", "cx", "cy", "dist", "claimed", agrees.alias("agrees"), usable.alias("usable")), "cands")
+    candidates all agree, claimed or not, stays open. Only tied devices are joined (``tied``, if they
+    have more columns); the others stay as they are."""
+    tied = assigned.where(TIED) if tied is None else tied
+    cands = stash(tie_candidates(tied, targets, assigned).select("seq", "candidate", "c_mark", "cx", "cy", "dist", "claimed", agrees.alias("agrees"), usable.alias("usable")), "cands")
     links = cands.groupBy("candidate").agg(F.min("seq").alias("b")).join(cands, "candidate").select(F.col("seq").alias("a"), "b")
     parts = cands.join(connected_components(links).withColumnRenamed("v", "seq"), "seq", "left").withColumn("root", F.coalesce("root", "seq"))
     outer = gates.mismatch_ft
@@ -247,14 +266,15 @@ def _settle(assigned: DataFrame, targets: DataFrame, agrees: Column, usable: Col
 
     won = over_parts(parts, "root", ["seq", "candidate"], ["seq", "candidate", "agrees", "usable", "claimed", "dist"], in_order, "seq long, candidate string")
     take = won.join(cands.select("seq", "candidate", "c_mark", "cx", "cy", "dist"), ["seq", "candidate"]).withColumnRenamed("seq", "_s")
-    old = assigned.join(take, assigned.seq == take["_s"], "left")
+    old = tied.join(take, tied.seq == take["_s"], "left")
     hit = F.col("_s").isNotNull()
     new = {
         "status": F.when(F.col("dist") <= F.coalesce("gate", F.lit(gates.match_ft)), "MATCH").otherwise("LOCATION_MISMATCH"),
         "target_id": F.col("candidate"), "target_mark": F.col("c_mark"), "target_x": F.col("cx"), "target_y": F.col("cy"),
         "distance_ft": F.bround("dist", 2), "resolved_by": F.lit(name),
     }
-    return stash(old.select(*[(F.when(hit, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).alias(c) for c in assigned.columns]), "assigned")
+    settled = stash(old.select(*[(F.when(hit, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).alias(c) for c in assigned.columns]), "settled")
+    return assigned.where(f"NOT {TIED}").unionByName(settled)
 
 
 def settle_by_orientation(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFrame:
@@ -277,10 +297,12 @@ def consensus(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFram
 def settle_by_context(assigned: DataFrame, targets: DataFrame, gates: Gates) -> DataFrame:
     """The sheets' consensus is taken once, before any claim of this pass."""
     agreed = stash(consensus(assigned, targets, gates), "consensus")
-    places = assigned.select("seq", F.posexplode("sheets").alias("pos", "sheet")).join(agreed, "sheet").groupBy("seq").agg(F.min_by("value", "pos").alias("_value"))
-    known = stash(with_resolved(assigned).join(places, "seq", "left"), "known")
+    assigned = with_resolved(assigned)
+    tied = assigned.where(TIED)
+    places = tied.select("seq", F.posexplode("sheets").alias("pos", "sheet")).join(agreed, "sheet").groupBy("seq").agg(F.min_by("value", "pos").alias("_value"))
+    known = stash(tied.join(places, "seq", "left"), "known")
     agrees = F.coalesce(F.col("c_level") == F.col("_value"), F.lit(False))
-    return _settle(known, targets, agrees, F.col("_value").isNotNull(), "level", gates, split=True).drop("_value")
+    return _settle(assigned, targets, agrees, F.col("_value").isNotNull(), "level", gates, split=True, tied=known)
 
 
 def with_resolved(df: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def _assigned(spark: SparkSession, d: str, optimal: bool = False) -> tuple[DataF
     with a direction, against the model's targets."""
     n = F.expr("founder div 10")
     found = devices(callouts(spark, d), 3.0, "holdown").withColumn("z", F.when(n % 19 == 0, (n + 1) % 3 * 10.0)).withColumn("orientation_deg", F.when(n % 2 == 0, n % 4 * 45.0))
-    t = stash(targets(spark, d), "targets")
-    return M.assign(stash(found, "devices"), t, _sheets(spark), Gates(), optimal=optimal), t
+    t = targets(spark, d)
+    return M.assign(found, t, _sheets(spark), Gates(), optimal=optimal), t
 
 
 @query(ASSIGNED + "SELECT founder, status, target_id, target_mark, distance_ft FROM final")
