@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators.graph import connected_components
+from spanwright.operators.cluster import numbered
+from spanwright.operators.graph import _contracted, connected_components
+from spanwright.sources.scratch import large
 
 from .common import arrow_map, blank, stash, table, texts, unused
 from .tokens import forget
@@ -228,19 +230,110 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 SENT_HASHES = 1_000_000
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
-    """``docs``: t (the text's hash) and text. Texts don't move where few are needed."""
-    pairs = stash(pairs.select("a", "b"), "candidates")
-    need = stash(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "need")
+def _sets(docs: DataFrame, need: DataFrame, how: Likeness) -> DataFrame:
+    """(t, s): the shingles of the texts ``need`` (t). Texts don't move where few are needed."""
+    need = stash(need.distinct(), "need")
     need = F.broadcast(need) if need.count() <= SENT_HASHES else need
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"t": batch.column("t"), "s": [np.unique(_shingle_hashes(x, how.shingle)).view(np.int64) for x in texts(batch)]}
 
-    sets = stash(arrow_map(docs.join(need, "t", "left_semi"), run, "t bigint, s array<bigint>").dropDuplicates(["t"]), "sets")
+    return stash(arrow_map(docs.join(need, "t", "left_semi"), run, "t bigint, s array<bigint>").dropDuplicates(["t"]), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
+    """``docs``: t (the text's hash) and text."""
+    pairs = stash(pairs.select("a", "b"), "candidates")
+    sets = _sets(docs, pairs.select(F.col("a").alias("t")).union(pairs.select("b")), how)
     return _alike(pairs, sets, how.similarity)
 
 
+#: Candidates of a text beyond which it is judged in blocks, with all texts that it meets.
+CROWDED = 64
+#: Texts and shingles of a block at most; one text with more is a block of its own.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 18
+#: Texts of one component in a crowd from which they get blocks of their own.
+BLOCK_OWN = 256
+
+
+def _crowds(leaves: DataFrame, close: DataFrame, slim: int) -> DataFrame | None:
+    """(t, crowd): texts of ``leaves`` (k, t, g) near to the middle m, gm of a node, where a text of
+    one of them meets more than ``CROWDED`` in the node pairs ``close`` (x, mx, gx, nx; y, my, gy, ny),
+    each with the least text of what those pairs connect; None where there is no such text."""
+    load = close.select(F.col("x").alias("k"), F.col("ny").alias("n")).union(close.where("x != y").select("y", "nx")).groupBy("k").agg(F.sum("n").alias("n"))
+    laden = stash(large(leaves.select("k", "t")).join(large(load), "k"), "laden")
+    hot = stash(laden.groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("t"), "hot")
+    if hot.isEmpty():
+        return None
+    flagged = stash(laden.join(hot, "t", "left_semi").select("k").distinct(), "flagged")
+    ends = [close.join(flagged.select(F.col("k").alias(n)), n, "left_semi").select(*close.columns) for n in ("x", "y")]
+    touched = stash(ends[0].union(ends[1]).distinct(), "touched")
+    inner = touched.select(F.col("x").alias("k"), F.col("mx").alias("m"), F.col("gx").alias("gm")).union(touched.select("y", "my", "gy")).distinct()
+    members = leaves.join(inner, "k").where(F.bit_count(F.col("g").bitwiseXOR(F.col("gm"))) <= slim)
+    members = stash(members.select(F.col("t").alias("a"), F.col("m").alias("b")).distinct(), "members")
+    found = connected_components(members.unionByName(touched.select(F.col("mx").alias("a"), F.col("my").alias("b"))).distinct())
+    return stash(found.select(F.col("v").alias("t"), F.col("root").alias("crowd")), "crowds")
+
+
+def _crowd_links(crowded: DataFrame, docs: DataFrame, how: Likeness) -> DataFrame:
+    """(a, b): components c of ``crowded`` (t, c, crowd) to be joined, as stars: all with texts of
+    one crowd that are alike.
+
+    A crowd's texts are laid out in blocks by size; block pairs whose sizes, or components, leave
+    nothing to find are skipped, each other one is judged by one task on its sets of shingles. So
+    no row is made for a pair, and a task holds two blocks."""
+    sets = _sets(docs, crowded.select("t"), how)
+    rows = stash(crowded.join(sets.select("t", F.size("s").alias("n")), "t"), "crowd")
+    own = rows.groupBy("crowd", "c").count().where(F.col("count") >= BLOCK_OWN).select("crowd", "c", F.col("c").alias("own"))
+    rows = rows.join(own, ["crowd", "c"], "left").withColumn("_order", F.struct("crowd", "own", "n", "t"))
+    level = F.floor(F.log2("n"))
+    many = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TEXTS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2), level + 1))))
+    block = level * F.lit(1 << 40) + F.floor((F.col("no") - 1) / many)
+    placed = stash(numbered(rows, "_order", "no").select("t", "c", "crowd", "n", block.cast("long").alias("block")), "placed")
+    spans = placed.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    side = lambda n: spans.select("crowd", *[F.col(c).alias(f"{n}{c}") for c in ("block", "lo", "hi", "c0", "c1")])
+    pairs = side("a").join(side("b"), "crowd").where(
+        (F.col("ablock") <= F.col("bblock")) & (F.col("ahi") >= how.similarity * F.col("blo")) & (F.col("bhi") >= how.similarity * F.col("alo"))
+        & ((F.least("ac0", "bc0") != F.greatest("ac1", "bc1")))
+    )
+    pairs = stash(pairs.select("ablock", "bblock").distinct(), "blocks")
+    held = placed.select("t", "c", "block").join(sets, "t").select("block", "c", "s")
+    part = lambda n, right: pairs.where("ablock != bblock" if right else "true").join(held, F.col(n) == F.col("block")).select("ablock", "bblock", F.lit(right).alias("right"), "c", "s")
+    similarity = how.similarity
+
+    def judge(table: pa.Table) -> pa.Table:
+        links = _alike_in(table["s"], table["c"].to_numpy(), table["right"].to_numpy(), similarity)
+        return pa.table({"a": links[0], "b": links[1]})
+
+    return stash(part("ablock", False).unionByName(part("bblock", True)).groupBy("ablock", "bblock").applyInArrow(judge, "a long, b long").distinct(), "crowd_links")
+
+
+def _alike_in(sets: pa.ChunkedArray, c: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Components of texts as stars, linked where a left and a right set (two left ones, if there
+    are no right ones) are as similar as that. Overlaps are products of 0/1 matrices."""
+    sets = sets.combine_chunks()
+    n, flat = sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()
+    _, col, df = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(n)), n), df[col] > 1
+    owner, col = owner[shared], (np.cumsum(df > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    left, right = np.flatnonzero(~right), np.flatnonzero(right if right.any() else ~right)
+    both = np.zeros((len(left), len(right)))
+    width = 4096
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        lo, hi = np.searchsorted(col, [at, at + width])
+        held = np.zeros((len(n), width), dtype=np.float32)
+        held[owner[lo:hi], col[lo:hi] - at] = 1
+        both += held[left] @ held[right].T
+    near = (both >= similarity * (n[left][:, None] + n[right][None] - both)) & (c[left][:, None] != c[right][None])
+    i, j = np.nonzero(near)
+    if not len(i):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    names, roots = _contracted(np.stack([c[left[i]], c[right[j]]], axis=1))
+    return names[names != roots], roots[names != roots]
+
+
 def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     """(t, root): every text hash of ``docs`` (t, text) with the least of its group of near copies.
 
@@ -250,7 +343,11 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     exact similarity of their shingles. Texts that share a leaf are first linked to the nearest
     of the leaves' least texts, so a dense group is one component before pairs are looked for;
     those only matter between components. A text is first held to its nearest in each, then to all
-    that it met in components that are still apart, so no candidate is left unjudged."""
+    that it met in components that are still apart, so no candidate is left unjudged.
+
+    Where texts meet more than ``CROWDED`` others that seem near by the least texts of their nodes, they and
+    those are a crowd. Pairs inside a crowd are judged in blocks, whatever their bits, and make no
+    rows; all others, also those of two crowds, are paired row by row."""
     depth, count = how.tries(docs.select("t").distinct().count())
     per = max(1, 60 // depth)
     slim, limit = how.budget(depth * min(per, count)), how.budget(depth * count)
@@ -273,12 +370,29 @@ def near_copies(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:
     known = stash(prints.join(first, prints.t == first.v, "left").select("t", "f", F.coalesce("root", "t").alias("c")), "known")
     # nodes at the full depth; c: the component of all their leaves, if it is one
     one = F.when(F.min("c") == F.max("c"), F.min("c"))
-    nodes = stash(leaf(known).groupBy("k").agg(one.alias("c")), "nodes")
-    other = nodes.select(F.col("k").alias("y"), F.col("c").alias("cy"))
-    probes = nodes.select(F.col("k").alias("x"), F.col("c").alias("cx"), F.explode(_flips(F.col("k"), range(depth), F.lit(True))).alias("y"))
-    met = probes.join(other, "y").where(F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy"))).select("x", "y")
-    side = lambda n: leaf(known).select(F.col("k").alias(n), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"), F.col("c").alias(f"c{n}"))
-    pairs = met.join(side("x"), "x").join(side("y"), "y").where((F.col("cx") != F.col("cy")) & (bits("gx", "gy") <= slim))
+    apart = lambda df: df.where("cx IS NULL OR cy IS NULL OR cx != cy")
+    middle = F.min(F.struct("t", "g"))
+    nodes = leaf(known).groupBy("k").agg(one.alias("c"), F.count("*").alias("n"), middle.alias("m"))
+    nodes = stash(nodes.select("k", "c", "n", F.col("m.t").alias("m"), F.col("m.g").alias("g")), "nodes")
+    end = lambda n: nodes.select(F.col("k").alias(n), *[F.col(c).alias(f"{c}{n}") for c in ("c", "n", "m", "g")])
+    probes = end("x").withColumn("y", F.explode(_flips(F.col("x"), range(depth), F.lit(True))))
+    met = stash(apart(probes.join(end("y"), "y")).select("x", "y", (bits("gx", "gy") <= slim).alias("near")), "nodes_met")
+    close = stash(met.where("near").select("x", "y").join(end("x"), "x").join(end("y"), "y"), "close")
+    crowds = _crowds(leaf(known).select("k", "t", "g"), close, slim)
+    if crowds is None:
+        none = F.lit(None).cast("long")
+        known, met = known.withColumn("p", none), met.select("x", "y", none.alias("px"), none.alias("py"))
+    else:
+        links = _crowd_links(known.select("t", "c").join(crowds, "t"), docs, how)
+        known = known.select("t", "f").join(_merged(known.select("t", "c"), links), "t").join(crowds, "t", "left")
+        known = stash(known.withColumnRenamed("crowd", "p"), "known")
+        # texts of a node by their crowd: only those of different ones, or of none, are left to be paired
+        parts = stash(leaf(known).groupBy("k", "p").agg(one.alias("c")), "parts")
+        end = lambda n: parts.select(F.col("k").alias(n), F.col("p").alias(f"p{n}"), F.col("c").alias(f"c{n}"))
+        met = apart(large(met.select("x", "y")).join(large(end("x")), "x").join(large(end("y")), "y").where("px IS NULL OR py IS NULL OR px != py")).select("x", "y", "px", "py")
+    side = lambda n: leaf(known).select(F.col("k").alias(f"k{n}"), F.col("p").alias(f"q{n}"), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"), F.col("c").alias(f"c{n}"))
+    at = lambda n: (F.col(n) == F.col(f"k{n}")) & F.col(f"p{n}").eqNullSafe(F.col(f"q{n}"))
+    pairs = met.join(side("x"), at("x")).join(side("y"), at("y")).where((F.col("cx") != F.col("cy")) & (bits("gx", "gy") <= slim))
     pairs = stash(whole(pairs.select(F.col("tx").alias("a"), F.col("ty").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct()), "met")
     turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("cb").alias("ca"), F.col("ca").alias("cb"), "d")
     best = pairs.unionByName(turned).groupBy("a", "ca", "cb").agg(F.min(F.struct("d", "b")).alias("b")).select("a", F.col("b.b").alias("b"))

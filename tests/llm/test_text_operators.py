@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -458,3 +459,53 @@ def test_near_copies_try_more_than_the_nearest_candidate(spark, monkeypatch):
     root = {r.t: r.root for r in simhash.near_copies(df).collect()}
     assert len(calls) == 3 and calls[2] and not calls[1] & calls[2] and calls[1] | calls[2] == across
     assert set(root.values()) == {0}
+
+
+def test_near_copies_of_a_crowd_make_no_pair_rows(spark, monkeypatch):
+    """Many texts that are near by fingerprint and below 0.8 but for some: all true pairs are found, and
+    candidates by row don't grow with the square of the group (they were all pairs)."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.choice(200, 5 if i % 4 else 2, replace=False):
+            w[at] = f"q{i}x{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"v{i}x{j}" for j in range(60)) for i in range(20)]
+    asked, verified = [], simhash._verified
+
+    def counted(pairs, docs, how):
+        asked.append(pairs.count())
+        return verified(pairs, docs, how)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    monkeypatch.setattr(simhash, "CROWDED", 16)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 50)
+    monkeypatch.setattr(simhash, "BLOCK_OWN", 20)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "t long, text string")
+    root = {r.t: r.root for r in simhash.near_copies(df).collect()}
+    sets = shingle_sets(texts)
+    whole = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and whole[i] != whole[j]:
+                a, b = sorted((whole[i], whole[j]))
+                whole = {k: a if v == b else v for k, v in whole.items()}
+    assert 60 < len(set(whole.values())) < len(texts) and root == whole
+    assert sum(asked) < 4 * len(texts)
+
+
+def test_blocks_find_what_sets_tell():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12))) for _ in range(60)]
+    c, right = np.arange(60) // 2 * 2, np.arange(60) >= 35
+    for cut in (right, right & False):
+        names, roots = simhash._alike_in(pa.chunked_array([pa.array(sets, pa.list_(pa.int64()))]), c, cut, 0.8)
+        sides = [range(35), range(35, 60)] if cut.any() else [range(60)] * 2
+        links = [(i, j) for i in sides[0] for j in sides[1] if c[i] != c[j] and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+        least = dict(zip(c.tolist(), c.tolist(), strict=True))
+        for i, j in links:
+            a, b = sorted((least[c[i]], least[c[j]]))
+            least = {k: a if v == b else v for k, v in least.items()}
+        assert links and dict(zip(names.tolist(), roots.tolist(), strict=True)) == {k: v for k, v in least.items() if k != v}
