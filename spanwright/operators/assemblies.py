@@ -6,12 +6,16 @@ the schedule's specifications give the marks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 from pyspark.sql.window import Window
 
 from spanwright.functions.marks import variant_key
-from spanwright.operators.cluster import leader_clusters, numbered
+from spanwright.operators import tiles
+from spanwright.operators.cluster import founders, leader_clusters, numbered
 from spanwright.operators.spatial import attach_nearest
 from spanwright.sources.scratch import large, stash
 
@@ -36,11 +40,65 @@ def seated(records: DataFrame, tolerance: float) -> DataFrame:
     stands for the assembly: in a cluster of several bodies each body is a seat and the others
     sit with the nearest (the first of equally near); else the only body, or the founder.
 
-    Members and bodies of a cluster meet by distinct places, so copies at one place cost one
-    row on either side."""
-    records = stash(records, "records")
+    Clusters inside a stretch of the plane are settled there, in one shuffle; the few that reach a
+    bound, and levels too crowded to hold, go by joins."""
+    records = records.withColumn("seq", F.col("seq").cast("long")).withColumn("body", is_body(F.col("family")))
+    size = tiles.width(tolerance)
+    at = {c: F.col(c).cast("double") for c in ("x", "y")}
+    ready = tiles.dealt(records, tiles.key(tiles.cell(at["x"], size), tiles.cell(at["y"], size)))
+    schema = StructType(list(records.schema.fields)).add("founder", LongType()).add("seat", LongType()).add("split", BooleanType()).add("open", BooleanType())
+    made = stash(tiles.over_tiles(ready, _seats(tolerance), schema), "seats")
+    columns = [*records.columns, "founder", "seat", "split"]
+    rest = stash(_seated_by_joins(made.where("open").select(*records.columns), tolerance).select(*columns), "rest")
+    return made.where("NOT open").select(*columns).unionByName(rest)
+
+
+def _seats(tolerance: float) -> tiles.Kernel:
+    """A stretch's records with founder, seat and split; those of open clusters come out without."""
+
+    def kernel(t: pa.Table, low: int, high: int) -> pa.Table:
+        n, seq, body = t.num_rows, t["seq"].to_numpy(), t["body"].to_numpy()
+        x, y = tiles.numbers(t["x"]), tiles.numbers(t["y"])
+        placed, zero = np.isfinite(x) & np.isfinite(y), np.zeros(n, dtype=np.int64)
+        founder, undone = founders(zero, placed, seq, zero.tolist(), x, y, low, high, tolerance, False)
+        bodies = np.bincount(founder[body], minlength=n)
+        # bodies by cluster, then seq: a cluster's first stands for it if it is the only one
+        heads = np.flatnonzero(body)
+        heads = heads[np.lexsort((seq[heads], founder[heads]))]
+        start = np.searchsorted(founder[heads], np.arange(n))
+        seat = founder.copy()
+        one = bodies[founder] == 1
+        seat[one] = heads[start[founder[one]]]
+        split = bodies[founder] > 1
+        seat[split & body] = np.flatnonzero(split & body)
+        loose = np.flatnonzero(split & ~body)
+        # each loose member and each body of its cluster, some millions at a time
+        many = np.cumsum(bodies[founder[loose]])
+        lo = 0
+        while lo < len(loose):
+            hi = max(lo + 1, int(np.searchsorted(many, (many[lo - 1] if lo else 0) + tiles.TILE_PAIRS, "right")))
+            part = loose[lo:hi]
+            count = bodies[founder[part]]
+            first = np.cumsum(count) - count
+            mine = np.repeat(np.arange(len(part)), count)
+            head = heads[start[founder[part]][mine] + np.arange(len(mine)) - first[mine]]
+            far = np.square(x[head] - x[part][mine]) + np.square(y[head] - y[part][mine])
+            # the first of the nearest, as heads are in order of seq
+            least = np.minimum.reduceat(far, first)
+            hit = np.flatnonzero(far == least[mine])
+            seat[part] = head[hit[np.searchsorted(mine[hit], np.arange(len(part)))]]
+            lo = hi
+        out = {c: t[c] for c in t.column_names if c != "_key"}
+        return pa.table(out | {"founder": pa.array(seq[founder]), "seat": pa.array(seq[seat]), "split": pa.array(split), "open": pa.array(undone)})
+
+    return kernel
+
+
+def _seated_by_joins(records: DataFrame, tolerance: float) -> DataFrame:
+    """The same from records with ``body``. Members and bodies of a cluster meet by distinct places, so
+    copies at one place cost one row on either side."""
     found = leader_clusters(records.withColumn("mark", F.lit("")).withColumn("sheet", F.lit("")), tolerance, one_per_sheet=False).drop("mark", "sheet")
-    found = stash(found.withColumn("body", is_body(F.col("family"))), "clusters")
+    found = stash(found, "clusters")
     bodies = found.where("body")
     count = bodies.groupBy("founder").agg(F.count("*").alias("bodies"), F.min("seq").alias("first_body"))
     counted = large(found).join(large(count), "founder", "left")
@@ -52,6 +110,14 @@ def seated(records: DataFrame, tolerance: float) -> DataFrame:
     return large(counted).join(large(nearest), ["founder", "x", "y"], "left").withColumn("seat", seat).withColumn("split", F.coalesce(F.col("bodies") > 1, F.lit(False))).drop("nearest", "first_body", "bodies")
 
 
+def marked_seats(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """(seq, mark, level): the assemblies of ``built`` by the record that each is named for, without
+    numbers and members."""
+    rows = seated(_filled(records).select("seq", "family", "x", "y", "level"), tolerance).where("seq = seat")
+    specs = specs.groupBy("key").agg(F.min("mark").alias("mark"))
+    return rows.select("seq", "level", variant_key(F.col("family")).alias("key")).join(F.broadcast(specs), "key", "left").select("seq", "mark", "level")
+
+
 def built(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assemblies, members, evidence).
 
@@ -59,7 +125,7 @@ def built(records: DataFrame, specs: DataFrame, tolerance: float = 2.0) -> tuple
     confidence, reason, in order of their clusters, then of their bodies. members: assembly,
     place (from 1; a split-off body comes first), element, role. evidence: assembly, family, n.
     ``specs``: key, mark, of the schedules."""
-    rows = stash(seated(_filled(records), tolerance), "seats")
+    rows = seated(_filled(records), tolerance)
     seats = rows.where("seq = seat").withColumn("_order", F.struct("founder", "seat"))
     named = numbered(seats, "_order", "no").drop("_order").withColumn("assembly", F.format_string("rev_asm_%03d", "no"))
     specs = specs.groupBy("key").agg(F.min("mark").alias("mark"))

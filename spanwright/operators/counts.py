@@ -1,9 +1,10 @@
 """The chain of counts of a conversion: raw records, canonical assemblies, marks, against what was
-expected. Counts are taken while the stages are written, so no table is read again for them."""
+expected. Stages that others read are counted while they are written; those that cost little to derive
+again are only counted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.sources.scratch import stash
@@ -13,20 +14,29 @@ class Chain:
     """Stages written one after another, each observed."""
 
     def __init__(self) -> None:
-        self.seen: list[tuple[str, Observation]] = []
+        self.seen: list[tuple[str, dict | Observation]] = []
+
+    @staticmethod
+    def _counts(rows: DataFrame) -> list[Column]:
+        blank = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("level", "view", "mark") if c in rows.columns]
+        return [F.count("*").alias("rows"), *blank]
 
     def write(self, stage: str, rows: DataFrame) -> DataFrame:
         """The written table; its count, and counts of rows without level, view and mark where it has
         them, are taken on the way."""
         note = Observation()
-        blank = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("level", "view", "mark") if c in rows.columns]
-        out = stash(rows.observe(note, F.count("*").alias("rows"), *blank), stage)
+        out = stash(rows.observe(note, *self._counts(rows)), stage)
         self.seen.append((stage, note))
         return out
 
+    def count(self, stage: str, rows: DataFrame) -> DataFrame:
+        """The same counts of rows that aren't written: those are read, or derived, once more."""
+        self.seen.append((stage, rows.agg(*self._counts(rows)).first().asDict()))
+        return rows
+
     def counts(self) -> list[tuple[int, str, str, int]]:
         """(place, stage, what, n) of all stages so far."""
-        return [(k, stage, what, n) for k, (stage, note) in enumerate(self.seen) for what, n in sorted(note.get.items())]
+        return [(k, stage, what, n) for k, (stage, note) in enumerate(self.seen) for what, n in sorted((note if isinstance(note, dict) else note.get).items())]
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.counts(), "place int, stage string, what string, n long")

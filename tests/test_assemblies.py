@@ -188,3 +188,30 @@ def test_the_data_source_reads_files_side_by_side(spark, tmp_path):
     assert spark.read.format("connector_text").load().count() == 0
     kept = rows_of(spark.createDataFrame([(1, ANSWER), (2, None), (3, "")], "k int, t string"), "k", "t")
     assert kept.groupBy("k").agg(F.count("*").alias("n")).collect()[0]["n"] == 12
+
+
+def test_seats_of_stretches_equal_those_by_joins(spark, monkeypatch):
+    """Most clusters are settled where they lie; before, all rows went through joins and rounds."""
+    monkeypatch.setattr(A.tiles, "TILE_ROWS", 300)
+    rng = random.Random(4)
+    records = []
+    for k in range(1500):
+        x, y = rng.randrange(0, 1200) * 0.5, rng.randrange(0, 4000) * 0.5
+        for j in range(rng.randrange(1, 5)):
+            at = (None, None) if k % 90 == 0 else (x + rng.randrange(-8, 9) * 0.25, y + rng.randrange(-8, 9) * 0.25)
+            records.append((10 * k + j, f"e{k}-{j}", None if k % 70 == 0 else rng.choice(FAMILIES), *at))
+    rng.shuffle(records)
+    rows, left = spark.createDataFrame(records, RECORDS), []
+    joined = A._seated_by_joins
+    monkeypatch.setattr(A, "_seated_by_joins", lambda r, tolerance: left.append(r.count()) or joined(r, tolerance))
+    got = A.seated(rows, 2.0)
+    want = joined(rows.withColumn("body", A.is_body(F.col("family"))), 2.0).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert 0 < left[0] < len(records) // 2
+
+
+def test_a_chain_counts_without_writing(spark):
+    rows = spark.createDataFrame([(1, None, "H1"), (2, None, None)], "id int, level string, mark string")
+    one, two = N.Chain(), N.Chain()
+    one.write("raw", rows)
+    assert two.count("raw", rows) is rows and two.counts() == one.counts()
