@@ -17,8 +17,8 @@ from spanwright.config import Gates
 from spanwright.functions.geometry import segment_distance
 from spanwright.functions.verdicts import product_verdict
 from spanwright.operators import matching as M
-from spanwright.operators.claims import within_tiles
-from spanwright.operators.cluster import device_rows, leader_clusters, numbered
+from spanwright.operators.claims import rest_of, within_tiles
+from spanwright.operators.cluster import device_rows, numbered, rest_clusters
 from spanwright.sources.scratch import stash
 
 
@@ -57,7 +57,7 @@ def devices_of(callouts: DataFrame, tolerance: float) -> DataFrame:
     row of a sheet in each; numbered by category in the order of their founders."""
     def clusters(left: DataFrame) -> DataFrame:
         keyed = left.withColumn("_mark", F.col("mark")).withColumn("mark", F.concat_ws("\x1f", F.coalesce("category", F.lit("\x00")), F.coalesce("mark", F.lit("\x00"))))
-        return leader_clusters(keyed, tolerance).drop("mark").withColumnRenamed("_mark", "mark")
+        return rest_clusters(keyed, tolerance).drop("mark").withColumnRenamed("_mark", "mark")
 
     made = device_rows(M.filled(callouts), tolerance, ["category", "mark"], clusters, nulls_meet=True)
     ranked = numbered(made.withColumn("_o", F.struct("category", "founder")), "_o", "seq").drop("_o")
@@ -105,7 +105,7 @@ def matched(devices: DataFrame, targets: DataFrame, sheets: DataFrame, rules: tu
     ruled = gated(devices.join(plan, "category", "left"), sheets).drop("match_ft", "ceiling")
     own = ("seq", "id", "category", "mark", "x", "y", "z", "ax", "ay", "bx", "by")
     done, left_d, left_t = within_tiles(ruled, targets.select(*[c for c in own if c in targets.columns]), rules, _segments)
-    rest = stash(_matched(left_d, left_t, rules), "rest")
+    rest = rest_of(left_d, left_t, rules, done.columns, lambda: _matched(left_d, left_t, rules))
     both = done.unionByName(rest)
     return both.withColumn("distance_ft", F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))).drop("dist")
 

@@ -26,7 +26,7 @@ def within_tiles(devices: DataFrame, targets: DataFrame, rules: tuple, segments:
     """Devices (with gate) with status, dist, first, second and ``HIT`` that are settled where they
     lie; then the devices and the targets that aren't. ``segments`` gives targets (seq,
     id, ``by``, mark, x, y, z) their ends; they are shuffled without. ``by`` names the rule."""
-    size = tiles.width(max(max(r.mismatch_ft + r.ambiguity_ft, r.match_ft) for r in rules))
+    size = _width(rules)
     spot = lambda c: tiles.cell(F.col(c), size)
     d = devices.select("seq", F.struct(*devices.columns).alias("_d"), tiles.key(spot("x"), spot("y")).alias("_at"), F.lit(True).alias("_one"))
     own, kinds = ("seq", "id", by, "mark", "x", "y", "z", "ax", "ay", "bx", "by"), dict(segments(targets).dtypes)
@@ -40,12 +40,29 @@ def within_tiles(devices: DataFrame, targets: DataFrame, rules: tuple, segments:
     both = d.unionByName(met, allowMissingColumns=True)
     ready = tiles.dealt(both, F.col("_at")).select("_key", "_one", "_d", "_raw.*")
     ready = segments(ready).select("_key", "_one", "_d", F.when(F.col("_d").isNull(), F.struct(*own)).alias("_t"))
-    kind = lambda fields: "struct<" + ", ".join(f"`{c}`: {k}" for c, k in fields) + ">"
-    schema = f"_d {kind(devices.dtypes)}, _t {kind((c, kinds[c]) for c in own)}, status string, dist double, first {kinds['id']}, second {kinds['id']}, " + ", ".join(f"{n} {kinds[c]}" for n, c in HIT.items()) + ", open boolean"
-    out = stash(tiles.over_tiles(ready, _settled(rules, size, by), schema), "tiles")
+    out = stash(tiles.over_tiles(ready, _settled(rules, size, by), _schema(devices.dtypes, [(c, kinds[c]) for c in own])), "tiles")
     return out.where("NOT open").select("_d.*", "status", "dist", "first", "second", *HIT), out.where("open AND _d IS NOT NULL").select("_d.*"), out.where("open AND _t IS NOT NULL").select("_t.*")
 
 
+def _width(rules: tuple) -> float:
+    return tiles.width(max(max(r.mismatch_ft + r.ambiguity_ft, r.match_ft) for r in rules))
+
+
+def _schema(device: list[tuple[str, str]], target: list[tuple[str, str]]) -> str:
+    kind, kinds = lambda fields: "struct<" + ", ".join(f"`{c}`: {k}" for c, k in fields) + ">", dict(target)
+    return f"_d {kind(device)}, _t {kind(target)}, status string, dist double, first {kinds['id']}, second {kinds['id']}, " + ", ".join(f"{n} {kinds[c]}" for n, c in HIT.items()) + ", open boolean"
+
+
+def rest_of(devices: DataFrame, targets: DataFrame, rules: tuple, columns: list[str], by_joins: Callable[[], DataFrame], by: str = "category") -> DataFrame:
+    """The open devices of ``within_tiles``, settled with the open targets: by one task where they are
+    few, else ``by_joins``."""
+    size = _width(rules)
+    each = [devices.select(F.struct(*devices.columns).alias("_d")), targets.select(F.struct(*targets.columns).alias("_t"))]
+    both = each[0].unionByName(each[1], allowMissingColumns=True).withColumn("_one", F.lit(True))
+    made = tiles.in_one(both, _settled(rules, size, by), _schema(devices.dtypes, targets.dtypes))
+    return stash(by_joins(), "rest") if made is None else made.select("_d.*", "status", "dist", "first", "second", *HIT).select(*columns)
+
+
 def _far(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
     """``geometry.segment_distance``."""
     dx, dy = bx - ax, by - ay

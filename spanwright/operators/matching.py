@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanwright.config import Gates
 from spanwright.functions.geometry import angle_delta, segment_distance
-from spanwright.operators.claims import within_tiles
+from spanwright.operators.claims import rest_of, within_tiles
 from spanwright.operators.graph import connected_components
 from spanwright.operators.parts import over_parts
 from spanwright.operators.spatial import within
@@ -145,7 +145,7 @@ def assign(devices: DataFrame, targets: DataFrame, sheets: DataFrame, gates: Gat
     mine = gated(devices.withColumns({"_rule": F.lit(""), "match_ft": F.lit(rule.match_ft), "ceiling": F.lit(rule.ceiling)}), sheets).drop("match_ft", "ceiling")
     points = lambda t: t.withColumns({f"{end}{axis}": F.col(axis) for end in "ab" for axis in "xy"})
     done, left_d, left_t = within_tiles(mine, targets.select("seq", "id", F.lit("").alias("_rule"), "mark", "x", "y", "z"), (rule,), points, "_rule")
-    rest = stash(_assigned(left_d, left_t, gates, mark_blind, optimal), "rest")
+    rest = rest_of(left_d, left_t, (rule,), done.columns, lambda: _assigned(left_d, left_t, gates, mark_blind, optimal), "_rule")
     distance = F.when(F.col("target_id").isNotNull(), F.bround("dist", 2))
     return done.unionByName(rest).withColumn("distance_ft", distance).drop("dist", "_rule")
 

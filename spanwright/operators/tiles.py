@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from spanwright.sources.scratch import stash
 
 #: Cells that a strip is wide. Rows beside its edges are always open.
 STRIP = 256
@@ -81,6 +84,21 @@ def over_tiles(ready: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     return ready.mapInArrow(run, schema)
 
 
+def in_one(rows: DataFrame, kernel: Kernel, schema: str | StructType) -> DataFrame | None:
+    """What stretches left ``open`` (read from a table), settled by one task that gets all of it, so no cell
+    lies beyond a bound; none where that is more than a task holds, or too crowded."""
+    if rows.count() > TILE_ROWS:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from kernel(pa.Table.from_batches(held), -(2**63), 2**63 - 1).to_batches()
+
+    made = stash(rows.withColumn("_key", F.lit(0).cast("long")).repartition(1).mapInArrow(run, schema), "one")
+    return made if made.where("open").isEmpty() else None
+
+
 def codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Equal values as equal numbers from 0, nulls as -1."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

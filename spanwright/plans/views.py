@@ -3,7 +3,7 @@ same rules as SQL. All numbers are multiples of a quarter, so both engines get t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The same views for DuckDB, to put before a query.
@@ -33,6 +33,18 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("n", "concat('H', n % 4) AS mark", "cast(n % 30 * 20 AS double) AS px", "cast(n div 30 * 20 AS double) AS py")
 
 
+def spread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``places`` dealt to all tasks by key: keys pack to so few bytes that a file of them is one
+    partition, and what views make of a key costs far more than its shuffle."""
+    return places(spark, sf_dir).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "n")
+
+
+def once(*columns: Column) -> Column:
+    """Named columns made once a row: later filters and columns can't take in their expressions, which
+    would repeat them until the code is too long for the JVM to compile."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir)
     first = p.selectExpr("10 * n AS seq", "concat('c', 10 * n) AS id", "'S1' AS sheet", "mark", "px AS x", "py AS y")
