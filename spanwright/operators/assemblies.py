@@ -27,8 +27,9 @@ HARDWARE_CATEGORIES = ("Structural Connections", "Structural Foundation", "Gener
 
 
 def hardware_records(elements: DataFrame, categories: tuple[str, ...] = HARDWARE_CATEGORIES) -> DataFrame:
-    """Elements of the categories whose family names a product, with its ``key``."""
-    return elements.where(F.col("category").isin(*categories)).withColumn("key", variant_key(F.col("family"))).where("key IS NOT NULL")
+    """Elements of the categories whose family names a product, with its ``key``. Patterns are tried
+    once a row: the key comes out of a generator, so no later filter repeats them."""
+    return elements.where(F.col("category").isin(*categories)).withColumn("key", F.explode(F.array(variant_key(F.col("family"))))).where("key IS NOT NULL")
 
 
 def is_body(family: Column) -> Column:
@@ -41,18 +42,21 @@ def seated(records: DataFrame, tolerance: float) -> DataFrame:
     sit with the nearest (the first of equally near); else the only body, or the founder.
 
     Clusters inside a stretch of the plane are settled there, in one shuffle; the few that reach a
-    bound, and levels too crowded to hold, go by joins."""
+    bound go to one task; where they are many, or levels too crowded to hold, they go by joins."""
     records = records.withColumn("seq", F.col("seq").cast("long")).withColumn("body", is_body(F.col("family")))
     size = tiles.width(tolerance)
     at = {c: F.col(c).cast("double") for c in ("x", "y")}
     ready = tiles.dealt(records, tiles.key(tiles.cell(at["x"], size), tiles.cell(at["y"], size)))
-    schema = StructType(list(records.schema.fields)).add("founder", LongType()).add("seat", LongType()).add("split", BooleanType()).add("open", BooleanType())
-    made = stash(tiles.over_tiles(ready, _seats(tolerance), schema), "seats")
-    columns = [*records.columns, "founder", "seat", "split"]
-    rest = stash(_seated_by_joins(made.where("open").select(*records.columns), tolerance).select(*columns), "rest")
+    made = stash(tiles.over_tiles(ready, _seats(tolerance), _seat_schema(records)), "seats")
+    columns, left = [*records.columns, "founder", "seat", "split"], made.where("open").select(*records.columns)
+    rest = stash(_seated_by_joins(left, tolerance).select(*columns), "rest")
     return made.where("NOT open").select(*columns).unionByName(rest)
 
 
+def _seat_schema(records: DataFrame) -> StructType:
+    return StructType(list(records.schema.fields)).add("founder", LongType()).add("seat", LongType()).add("split", BooleanType()).add("open", BooleanType())
+
+
 def _seats(tolerance: float) -> tiles.Kernel:
     """A stretch's records with founder, seat and split; those of open clusters come out without."""
 
@@ -96,7 +100,10 @@ def _seats(tolerance: float) -> tiles.Kernel:
 
 def _seated_by_joins(records: DataFrame, tolerance: float) -> DataFrame:
     """The same from records with ``body``. Members and bodies of a cluster meet by distinct places, so
-    copies at one place cost one row on either side."""
+    copies at one place cost one row on either side. Few records go to one task instead."""
+    one = tiles.in_one(records, _seats(tolerance), _seat_schema(records))
+    if one is not None:
+        return one.drop("open")
     found = leader_clusters(records.withColumn("mark", F.lit("")).withColumn("sheet", F.lit("")), tolerance, one_per_sheet=False).drop("mark", "sheet")
     found = stash(found, "clusters")
     bodies = found.where("body")
