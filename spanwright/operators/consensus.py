@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanwright.sources.scratch import stash
+from spanwright.sources.scratch import large, stash
 
 #: Hypotheses of a block.
 BLOCK = 500
+#: Moved points that are looked up at once; each may offer eight pairs, else the tries are halved.
+POINTS = 200_000
 # Scales (points a foot) that a transform may have, the least inliers, and the
 # scatter without a second axis.
 SCALES, LEAST, FLAT = (1.0, 200.0), 3, 1e-6
@@ -67,7 +69,7 @@ def best_fits(draws: DataFrame, left: DataFrame, right: DataFrame, by: str, key:
     flat = three.select("by", "h", *[F.col(f"p{k}.{c}").alias(f"{c}{k}") for k in range(3) for c in ("sx", "sy", "dx", "dy")])
     flat = stash(flat.withColumn("block", F.floor(F.col("h") / BLOCK)), "hypotheses")
     sides = _sited(left, by, key).withColumn("side", F.lit(0)).unionByName(_sited(right, by, key).withColumn("side", F.lit(1)))
-    points = flat.select("by", "block").distinct().join(sides.withColumn("k", F.col("k").cast("string")), "by")
+    points = large(flat.select("by", "block").distinct()).join(large(sides.withColumn("k", F.col("k").cast("string"))), "by")
     kind = dict(flat.dtypes)["by"]
     schema = f"by {kind}, h long, reflected boolean, scale double, p double, q double, e double, f double, inliers long, rms double"
 
@@ -105,35 +107,48 @@ class _Grid:
         return ((keys * (self.columns + 2) + x.astype(np.int64)) * (self.rows + 4)) + y.astype(np.int64) + 1
 
     def inliers(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left, right, distance) pairs, one to one, nearest first."""
-        lefts, rights = [], []
+        """(try, left, right) of pairs, one to one in each try, nearest first; ``at`` has a row of the left
+        points for each try. Sorted by try, then left."""
+        tries, n = at.shape
+        if tries > 1 and tries * n > POINTS:
+            return self._halves(keys, at)
+        flat, codes, found = at.ravel(), np.tile(keys, tries), []
         for step in (-1, 0, 1):
-            code = self._code(keys, at, step)
+            code = self._code(codes, flat, step)
             low, high = np.searchsorted(self.code, code - 1, "left"), np.searchsorted(self.code, code + 1, "right")
-            many = high - low
-            if many.any():
-                lefts.append(np.repeat(np.arange(len(at)), many))
-                rights.append(np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum())))
-        if not lefts:
-            return (np.empty(0, int),) * 2 + (np.empty(0),)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        far = np.abs(at[left] - self.at[right])
+            found.append((low, high - low))
+        if tries > 1 and sum(int(many.sum()) for _, many in found) > 8 * POINTS:
+            return self._halves(keys, at)
+        left = np.concatenate([np.repeat(np.arange(len(flat)), many) for _, many in found])
+        right = np.concatenate([np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum())) for low, many in found])
+        far = np.abs(flat[left] - self.at[right])
         near = far <= self.gate
-        left, right, far = left[near], right[near], far[near]
-        order = np.lexsort((self.order[right], left, far))
-        left, right, far = left[order], right[order], far[order]
-        pairs = left * len(self.at) + right  # edges of clipping can offer a pair twice
-        once = np.sort(np.unique(pairs, return_index=True)[1])
-        left, right, far = left[once], right[once], far[once]
-        if len(np.unique(left)) < len(left) or len(np.unique(right)) < len(right):
-            used_l, used_r, keep = set(), set(), []
-            for n, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        pairs, first = np.unique(left[near] * len(self.at) + right[near], return_index=True)  # edges of clipping can offer a pair twice
+        left, right, far = pairs // len(self.at), pairs % len(self.at), far[near][first]
+        mine = left // n
+        order = np.lexsort((self.order[right], left, far, mine))
+        left, right, mine = left[order], right[order], mine[order]
+        met = mine * len(self.at) + right
+        shared = np.zeros(tries, dtype=bool)  # tries in which a point has two partners
+        for ends in (left, met):
+            names, counts = np.unique(ends, return_counts=True)
+            shared[names[counts > 1] // (n if ends is left else len(self.at))] = True
+        if shared.any():
+            used_l, used_r, keep = set(), set(), ~shared[mine]
+            for k in np.flatnonzero(~keep).tolist():
+                i, j = int(left[k]), int(met[k])
                 if i not in used_l and j not in used_r:
                     used_l.add(i)
                     used_r.add(j)
-                    keep.append(n)
-            left, right, far = left[keep], right[keep], far[keep]
-        return left, self.order[right], far
+                    keep[k] = True
+            left, right, mine = left[keep], right[keep], mine[keep]
+        order = np.argsort(left, kind="stable")
+        return mine[order], left[order] % n, self.order[right[order]]
+
+    def _halves(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        half = len(at) // 2
+        a, b = self.inliers(keys, at[:half]), self.inliers(keys, at[half:])
+        return np.concatenate([a[0], b[0] + half]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
 
 
 def _fit(s: np.ndarray, d: np.ndarray) -> tuple[complex, complex] | None:
@@ -154,29 +169,44 @@ def _best_of(tries: pd.DataFrame, pts: pd.DataFrame, gate: float) -> tuple | Non
     if not len(left) or not len(right):
         return None
     grid, best = _Grid(rk, right, gate), None
-    for row in tries[["h"] + [f"{c}{k}" for k in range(3) for c in ("sx", "sy", "dx", "dy")]].itertuples(index=False):
-        v = np.array(row[1:]).reshape(3, 4)
+    drawn = tries[[f"{c}{k}" for k in range(3) for c in ("sx", "sy", "dx", "dy")]].to_numpy(dtype=float).reshape(-1, 3, 4)
+    firsts = []
+    for h, v in zip(tries["h"].tolist(), drawn, strict=True):
         s, d = v[:, 0] + 1j * v[:, 1], v[:, 2] + 1j * v[:, 3]
         c = v[:, :2] - v[:, :2].mean(axis=0)
         xx, yy, xy = (c[:, 0] ** 2).sum(), (c[:, 1] ** 2).sum(), (c[:, 0] * c[:, 1]).sum()
         if xx + yy <= 0 or (xx * yy - xy * xy) / (xx + yy) ** 2 < FLAT:
             continue
         for mirrored in (False, True):
-            own = left.conj() if mirrored else left
             fit = _fit(s.conj() if mirrored else s, d)
-            if fit is None or not SCALES[0] <= abs(fit[0]) <= SCALES[1]:
-                continue
-            i, j, _ = grid.inliers(lk, fit[0] * own + fit[1])
-            if len(i) < LEAST:
+            if fit is not None and SCALES[0] <= abs(fit[0]) <= SCALES[1]:
+                firsts.append((int(h), mirrored, fit))
+    some = max(1, POINTS // len(left))
+    for lo in range(0, len(firsts), some):  # in order of tries
+        part, again = firsts[lo : lo + some], []
+        which, i, j = grid.inliers(lk, _moved(left, [(m, fit) for _, m, fit in part]))
+        starts = np.searchsorted(which, np.arange(len(part) + 1))
+        for k, (h, mirrored, _) in enumerate(part):
+            a, b = starts[k], starts[k + 1]
+            if b - a < LEAST:
                 continue
-            order = np.argsort(i)  # equal inliers are summed in one order and about their middle, so they tie on any sheet
-            mine, theirs = own[i[order]], right[j[order]]
+            # equal inliers are summed in one order and about their middle, so they tie on any sheet
+            mine, theirs = left[i[a:b]], right[j[a:b]]
+            mine = mine.conj() if mirrored else mine
             fit = _fit(mine, theirs)
-            if fit is None:
-                continue
-            rms = round(float(np.sqrt(np.mean(np.abs(fit[0] * (mine - mine.mean()) - (theirs - theirs.mean())) ** 2))), 9)
-            n = len(grid.inliers(lk, fit[0] * own + fit[1])[0])
+            if fit is not None:
+                rms = round(float(np.sqrt(np.mean(np.abs(fit[0] * (mine - mine.mean()) - (theirs - theirs.mean())) ** 2))), 9)
+                again.append((h, mirrored, fit, rms))
+        if not again:
+            continue
+        counts = np.bincount(grid.inliers(lk, _moved(left, [(m, fit) for _, m, fit, _ in again]))[0], minlength=len(again))
+        for (h, mirrored, (z, w), rms), n in zip(again, counts.tolist(), strict=True):
             if best is None or (-n, rms) < (-best[-2], best[-1]):
-                z, w = fit
-                best = (int(row[0]), mirrored, abs(z), z.real, z.imag, w.real, w.imag, n, rms)
+                best = (h, mirrored, abs(z), z.real, z.imag, w.real, w.imag, n, rms)
     return best
+
+
+def _moved(left: np.ndarray, fits: list[tuple[bool, tuple[complex, complex]]]) -> np.ndarray:
+    """The left points under each (mirrored, similarity), a row for each."""
+    mirrored, z, w = np.array([m for m, _ in fits]), np.array([f[0] for _, f in fits]), np.array([f[1] for _, f in fits])
+    return z[:, None] * np.where(mirrored[:, None], left.conj()[None, :], left[None, :]) + w[:, None]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwright.operators import consensus as N
+from spanwright.sources.scratch import large
 
 from .registrar import query
 from .views import PRELUDE, places
@@ -59,6 +60,6 @@ def ransac_fit(spark: SparkSession, d: str) -> DataFrame:
     model, drawn = rows(MODEL, "true"), rows(DRAWN, "n % 7 <> 0")
     tries = model.select("sheet").distinct().withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2))))
     tries = tries.selectExpr("sheet", "h", "r", f"sheet * 240 + {A} AS a", f"sheet * 240 + {B} AS b")
-    draws = tries.join(model.selectExpr("n AS a", "x AS sx", "y AS sy"), "a").join(drawn.selectExpr("n AS b", "x AS dx", "y AS dy"), "b").withColumnRenamed("sheet", "by")
+    draws = large(tries).join(large(model.selectExpr("n AS a", "x AS sx", "y AS sy")), "a").join(large(drawn.selectExpr("n AS b", "x AS dx", "y AS dy")), "b").withColumnRenamed("sheet", "by")
     best = N.best_fits(draws, model, drawn, "sheet", "mark", 16.0)
     return best.select("sheet", "h", "reflected", "inliers", F.round("rms", 4).alias("rms"), F.round("scale", 4).alias("scale"))
