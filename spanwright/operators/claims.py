@@ -30,7 +30,7 @@ def within_tiles(devices: DataFrame, targets: DataFrame, rules: tuple, segments:
     spot = lambda c: tiles.cell(F.col(c), size)
     d = devices.select("seq", F.struct(*devices.columns).alias("_d"), tiles.key(spot("x"), spot("y")).alias("_at"), F.lit(True).alias("_one"))
     own, kinds = ("seq", "id", by, "mark", "x", "y", "z", "ax", "ay", "bx", "by"), dict(segments(targets).dtypes)
-    t = segments(targets.withColumn("_raw", F.struct(*targets.columns))).select("seq", "_raw", F.struct(*own).alias("_t"))
+    t = segments(targets.withColumn("_raw", F.struct(*targets.columns))).select("seq", "_raw", F.explode(F.array(F.struct(*own))).alias("_t"))  # made once, not again in each filter
     met = t.where(" AND ".join(f"abs(_t.{e}{axis}) < double('inf')" for e in "ab" for axis in "xy"))
     for axis in "xy":
         low, high = spot(f"_t.a{axis}"), spot(f"_t.b{axis}")

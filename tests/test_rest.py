@@ -39,3 +39,14 @@ def test_category_views_deal_keys(spark):
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = made.where("abs(ax) < 10 AND abs(bx) < 10")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("71993" in line for line in plan.splitlines()) == 1
+
+
+def test_ends_of_targets_are_made_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(claims.tiles, "dealt", lambda rows, at: seen.append(rows) or rows.withColumn("_key", at))
+    callouts, targets = plane(spark)
+    sheets = spark.createDataFrame([("S0", 3.0, 4.0)], "sheet string, rms double, scale double")
+    ruled = C.gated(callouts.withColumns({"match_ft": F.lit(2.0), "ceiling": F.lit(3.0), "sheets": F.array("sheet")}), sheets).drop("match_ft", "ceiling")
+    claims.within_tiles(ruled, targets.withColumn("ax", F.expr("CASE WHEN seq < 777 THEN ax ELSE ax END + 0")), C.RULES, C._segments)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("777" in line for line in plan.splitlines() if "Filter" in line)
